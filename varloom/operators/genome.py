@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from varloom.functions.sequence import BASES, complement, n_percent, substitute_centre
-from varloom.operators.scale import skew_join
+from varloom.operators.scale import lookup_join, skew_join
 
 CHUNK = 1 << 16
 OVERLAP = 1 << 12
@@ -41,7 +41,7 @@ def chunk_pieces(
     chunks = spread.groupBy(chrom, "chunk_id", "chunk_start").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list("_part")), lambda p: p["seq"]), "").alias("seq")
     )
-    return skew_join(chunks, lengths, [chrom])
+    return lookup_join(chunks, lengths, [chrom])
 
 
 def chunk_sequences(df: DataFrame, size: int = CHUNK, overlap: int = OVERLAP, chrom: str = "chrom") -> DataFrame:
@@ -67,46 +67,42 @@ def chromosome_lengths(chunks: DataFrame, chrom: str = "chrom") -> DataFrame:
     return chunks.groupBy(chrom).agg(F.max("length").alias("length"))
 
 
-def _valid_alt(alt: Column) -> Column:
-    return F.length(alt) == 1
-
-
 def extract_windows(
     variants: DataFrame, chunks: DataFrame, length: int, size: int = CHUNK, overlap: int = OVERLAP,
     zero_based: bool = False, on_error: str = "raise", hot_rows: int = 1_000_000,
 ) -> DataFrame | tuple[DataFrame, DataFrame]:
     """Reference and alternate window around each variant (chrom, pos, alt, ...).
 
-    The centre is index length // 2. A window over a chromosome end, an unknown chromosome or an
-    alternate of more than one base is an error; with ``on_error="split"`` such rows come back as a
+    The centre is index length // 2. A window that leaves its chromosome (or an unknown one) and an
+    alternate of more than one base are errors; with ``on_error="split"`` such rows come back as a
     second frame with their reason.
     """
     if length > overlap:
         raise ValueError(f"windows of {length} need chunks that overlap by as much, not {overlap}")
     centre = length // 2
-    lengths = chromosome_lengths(chunks)
     zero = F.col("pos") if zero_based else F.col("pos") - 1
-    placed = (
-        skew_join(variants, lengths.withColumnRenamed("length", "_length"), ["chrom"], "left", hot_rows)
-        .withColumn("start", zero - centre).withColumn("end", zero - centre + length)
+    placed = variants.withColumn("start", zero - centre).withColumn("end", zero - centre + length).withColumn(
+        "chunk_id", F.floor(F.col("start") / size)
+    )
+    found = skew_join(
+        placed, chunks.select("chrom", "chunk_id", "chunk_start", "seq", F.col("length").alias("_length")),
+        ["chrom", "chunk_id"], "left", hot_rows,
     )
+    site = F.concat_ws(":", F.col("chrom").cast("string"), F.col("pos").cast("string"))
     problem = (
-        F.when(~_valid_alt(F.col("alt")), F.concat(F.lit("alternate is not one base: "), F.col("alt")))
-        .when(F.col("_length").isNull(), F.concat(F.lit("unknown chromosome: "), F.col("chrom").cast("string")))
-        .when((F.col("start") < 0) | (F.col("end") > F.col("_length")),
-              F.concat(F.lit("too close to the chromosome end: "), F.col("pos").cast("string")))
+        F.when(F.length("alt") != 1, F.concat(F.lit("alternate is not one base: "), F.col("alt")))
+        .when(F.col("_length").isNull() | (F.col("start") < 0) | (F.col("end") > F.col("_length")),
+              F.concat(F.lit("window leaves its chromosome: "), site))
     )
-    checked = placed.withColumn("problem", problem)
+    checked = found.withColumn("problem", problem)
     if on_error == "raise":
         # The check is part of the filter, so no plan can skip it.
         good = checked.filter(F.when(F.col("problem").isNull(), F.lit(True)).otherwise(F.raise_error("problem").cast("boolean")))
     else:
         good = checked.filter("problem is null")
-    keyed = good.withColumn("chunk_id", F.floor(F.col("start") / size))
     inside = (F.col("start") - F.col("chunk_start") + 1).cast("int")
     windows = (
-        skew_join(keyed, chunks.select("chrom", "chunk_id", "chunk_start", "seq"), ["chrom", "chunk_id"], hot_rows=hot_rows)
-        .withColumn("ref_seq", F.substring("seq", inside, F.lit(length)))
+        good.withColumn("ref_seq", F.substring("seq", inside, F.lit(length)))
         .withColumn("alt_seq", substitute_centre(F.col("ref_seq"), F.col("alt"), length))
         .withColumn("ref_base", F.substring("ref_seq", centre + 1, 1))
         .withColumn("alt_base", F.substring("alt_seq", centre + 1, 1))
@@ -115,7 +111,7 @@ def extract_windows(
     )
     if on_error == "raise":
         return windows
-    return windows, checked.filter("problem is not null").drop("_length", "start", "end")
+    return windows, checked.filter("problem is not null").select(*variants.columns, "problem")
 
 
 def bin_genome(

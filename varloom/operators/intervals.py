@@ -11,8 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from varloom.operators.scale import (
-    POSITION_BUCKET, bucket_carry, exact_percentiles, position_bucket, position_scan, skew_join,
+    POSITION_BUCKET, exact_percentiles, lookup_join, position_bucket, position_scan, skew_join,
 )
+from varloom.session import cut_lineage
 
 
 def merge_intervals(
@@ -20,23 +21,26 @@ def merge_intervals(
 ) -> DataFrame:
     """Islands of overlapping or book-ended intervals (or up to ``gap`` apart), with their count ``n``."""
     keys = list(keys)
-    starts = (
+    piece = [*keys, "_bucket"]
+    starts = cut_lineage(
         df.groupBy(*keys, "start").agg(F.max("end").alias("end"), F.count(F.lit(1)).alias("n"))
         .withColumn("_bucket", position_bucket("start", width))
     )
-    inside = W.partitionBy(*keys, "_bucket").orderBy("start")
-    reach = bucket_carry(starts, keys, before={"_reach": (F.max, F.col("end"))})
-    prior = F.greatest(F.max("end").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.col("_reach"))
-    opened = (
-        starts.join(reach, [*keys, "_bucket"])
-        .withColumn("_prior", prior)
-        .withColumn("_opens", F.when(F.col("_prior").isNull() | (F.col("start") > F.col("_prior") + gap), F.col("start")))
+    inside = W.partitionBy(*piece).orderBy("start")
+    local = starts.withColumn("_prior", F.max("end").over(inside.rowsBetween(W.unboundedPreceding, -1)))
+    opens = lambda reach: reach.isNull() | (F.col("start") > reach + gap)
+    # Starts rise inside a bucket, so the bucket's last local opening decides whether it opens an island at all.
+    earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    buckets = (
+        local.groupBy(*piece).agg(F.max("end").alias("_end"), F.max(F.when(opens(F.col("_prior")), F.col("start"))).alias("_open"))
+        .withColumn("_reach", F.max("_end").over(earlier))
+        .withColumn("_open", F.when(F.col("_reach").isNull() | (F.col("_open") > F.col("_reach") + gap), F.col("_open")))
+        .select(*piece, "_reach", F.max("_open").over(earlier).alias("_latest"))
     )
-    latest = bucket_carry(opened, keys, before={"_latest": (F.max, F.col("_opens"))})
-    island = F.greatest(F.max("_opens").over(inside.rowsBetween(W.unboundedPreceding, 0)), F.col("_latest"))
+    opened = F.when(opens(F.greatest("_prior", "_reach")), F.col("start"))
     return (
-        opened.drop("_reach").join(latest, [*keys, "_bucket"])
-        .withColumn("_island", island)
+        local.join(buckets, piece).withColumn("_opens", opened)
+        .withColumn("_island", F.greatest(F.max("_opens").over(inside.rowsBetween(W.unboundedPreceding, 0)), F.col("_latest")))
         .groupBy(*keys, F.col("_island").alias("start"))
         .agg(F.max("end").alias("end"), F.sum("n").alias("n"))
     )
@@ -55,22 +59,10 @@ def multi_intersect(
         )).alias("p"))
         .groupBy(*keys, F.col("p.pos").alias("pos")).agg(F.sum("p.step").alias("step"))
     )
-    scanned = _with_next_position(points, keys, "pos", {"n": (F.sum, F.col("step"))}, width)
-    return scanned.filter("n > 0").select(*keys, F.col("pos").alias("start"), F.col("next_pos").alias("end"), "n")
-
-
-def _with_next_position(df, keys, position, before, width):
-    """position_scan plus the next occupied position to the right."""
-    bucketed = df.withColumn("_bucket", position_bucket(position, width))
-    first_later = bucket_carry(bucketed, keys, after={"_first_later": (F.min, F.col(position))})
-    inside = W.partitionBy(*keys, "_bucket").orderBy(position)
-    nexted = (
-        bucketed.withColumn("next_pos", F.lead(position).over(inside))
-        .join(first_later, [*keys, "_bucket"])
-        .withColumn("next_pos", F.coalesce("next_pos", "_first_later"))
-        .drop("_first_later", "_bucket")
+    scanned = position_scan(
+        points, keys, "pos", before={"n": (F.sum, F.col("step"))}, following={"next_pos": (F.min, F.col("pos"))}, width=width
     )
-    return position_scan(nexted, keys, position, before=before, width=width)
+    return scanned.filter("n > 0").select(*keys, F.col("pos").alias("start"), F.col("next_pos").alias("end"), "n")
 
 
 def consensus(
@@ -80,8 +72,7 @@ def consensus(
     """Regions covered by at least half (rounded up) of a feature's samples, merged."""
     needed = df.groupBy(feature).agg(F.ceil(F.countDistinct(sample) / 2).alias("_needed"))
     segments = multi_intersect(df, [feature, *keys], sample, width)
-    # One row per feature on the right; segments are wide spread over chromosomes and positions.
-    kept = skew_join(segments, needed, [feature]).filter(F.col("n") >= F.col("_needed"))
+    kept = lookup_join(segments, needed, [feature]).filter(F.col("n") >= F.col("_needed"))
     return merge_intervals(kept.select(feature, *keys, "start", "end"), [feature, *keys], width=width).drop("n")
 
 
@@ -128,8 +119,9 @@ def coverage(
     left = scanned.select(*keys, F.col("pos").alias("start"), F.col("ended"), F.col("covered").alias("_c0"))
     right = scanned.select(*keys, F.col("pos").alias("end"), F.col("started"), F.col("covered").alias("_c1"))
     length = F.col("end") - F.col("start")
+    by_end = bins.groupBy(*keys, "end").agg(F.count(F.lit(1)).alias("_rows"))
     return (
-        skew_join(skew_join(bins, left, [*keys, "start"]), right, [*keys, "end"])
+        skew_join(skew_join(bins, left, [*keys, "start"]), right, [*keys, "end"], counted=by_end)
         .withColumn("num_overlaps", F.col("started") - F.col("ended"))
         .withColumn("bases_covered", F.col("_c1") - F.col("_c0"))
         .withColumn("interval_length", length)
@@ -222,18 +214,13 @@ def start_distances(df: DataFrame, keys: Sequence[str] = ("chrom",), width: int
     Result: (keys, start, distance, n) with n equal rows; intervals that share a start are 0 apart.
     """
     keys = list(keys)
-    starts = df.groupBy(*keys, "start").agg(F.count(F.lit(1)).alias("_rows")).withColumn("_bucket", position_bucket("start", width))
-    inside = W.partitionBy(*keys, "_bucket").orderBy("start")
-    earlier = bucket_carry(starts, keys, before={"_earlier": (F.max, F.col("start"))})
-    previous = (
-        starts.withColumn("_previous", F.lag("start").over(inside))
-        .join(earlier, [*keys, "_bucket"])
-        .withColumn("_previous", F.coalesce("_previous", "_earlier"))
-    )
-    return previous.select(*keys, "start", F.explode(F.array(
-        F.struct((F.col("start") - F.col("_previous")).alias("distance"), F.lit(1).cast("long").alias("n")),
-        F.struct(F.lit(0).cast("long").alias("distance"), (F.col("_rows") - 1).alias("n")),
-    )).alias("d")).select(*keys, "start", "d.distance", "d.n").filter("distance is not null and n > 0")
+    starts = df.groupBy(*keys, "start").agg(F.count(F.lit(1)).alias("_rows"))
+    # Seen from the right, the previous start is the one this start follows.
+    scanned = position_scan(starts, keys, "start", following={"_next": (F.min, F.col("start"))}, width=width)
+    return scanned.select(*keys, F.explode(F.array(
+        F.struct(F.col("_next").alias("start"), (F.col("_next") - F.col("start")).alias("distance"), F.lit(1).cast("long").alias("n")),
+        F.struct(F.col("start"), F.lit(0).cast("long").alias("distance"), (F.col("_rows") - 1).alias("n")),
+    )).alias("d")).select(*keys, "d.*").filter("distance is not null and n > 0")
 
 
 # Percentiles and distance limits of the summary report.

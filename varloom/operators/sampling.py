@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from varloom.operators.scale import hash_order, hash_rank, skew_join
+from varloom.operators.scale import hash_order, hash_rank, lookup_join
 
 # Default shares and held-out chromosomes.
 TEST_SIZE = 0.2
@@ -22,7 +22,7 @@ VAL_CHROM = 7
 def _assign(df: DataFrame, seed, keys, group, test_rows: Column, val_rows: Column) -> DataFrame:
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
     ranked = hash_rank(df, seed, keys, group, "_rank")
-    sized = skew_join(ranked, sizes, group) if group else ranked.crossJoin(F.broadcast(sizes))  # one row
+    sized = lookup_join(ranked, sizes, group) if group else ranked.crossJoin(F.broadcast(sizes))  # one row
     return sized.withColumn("_test", test_rows).withColumn("_val", val_rows).withColumn(
         "split",
         F.when(F.col("_rank") <= F.col("_test"), "test").when(F.col("_rank") <= F.col("_test") + F.col("_val"), "val").otherwise("train"),
@@ -61,7 +61,7 @@ def stratified_split(
     signed = df.withColumn("_stratum", signature(features))
     if min_stratum > 1:
         counts = signed.groupBy(*group, "_stratum").agg(F.count(F.lit(1)).alias("_rows"))
-        signed = skew_join(signed, counts, [*group, "_stratum"]).withColumn(
+        signed = lookup_join(signed, counts, [*group, "_stratum"]).withColumn(
             "_stratum", F.when(F.col("_rows") < min_stratum, F.lit("rare")).otherwise(F.col("_stratum"))
         ).drop("_rows")
     return _assign(
@@ -114,7 +114,7 @@ def stratified_subsample(
     take = shared.withColumn(
         "_take", F.col("_take") + (F.row_number().over(order) <= F.col("_quota") - F.sum("_take").over(inside)).cast("long")
     ).select(group, "_stratum", "_take")
-    placed = skew_join(signed, take, [group, "_stratum"])
+    placed = lookup_join(signed, take, [group, "_stratum"])
     return hash_rank(placed, seed, keys, [group, "_stratum"], "_rank", keep=F.col("_take")).drop("_rank", "_take", "_stratum")
 
 

@@ -33,29 +33,39 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
 
 
 def skew_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", hot_rows: int = HOT_ROWS
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", hot_rows: int = HOT_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join that spreads left keys with more than ``hot_rows`` rows over several slots.
 
-    The list of hot keys holds at most rows(left) / hot_rows entries, which bounds its broadcast;
-    right rows are copied only for those keys.
+    Without such keys this is a plain join. Their list holds at most rows(left) / hot_rows entries, which bounds
+    what is collected and broadcast; right rows are copied only for them. ``counted`` is a frame
+    (on, _rows) where the key counts are known already.
     """
     on = list(on)
-    hot = F.broadcast(
-        left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > hot_rows)
-        .select(*on, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_slots"))
+    if counted is None:
+        counted = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    listed = counted.filter(F.col("_rows") > hot_rows).select(
+        *on, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_slots")
     )
-    spread = left.join(hot, on, "left").withColumn(
-        "_slot",
-        F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("_slots")).cast("int"), F.lit(0)),
-    ).drop("_slots")
+    keys = listed.collect()
+    if not keys:
+        return left.join(right, on, how)
+    hot = F.broadcast(left.sparkSession.createDataFrame(keys, listed.schema))
+    slot = F.pmod(F.xxhash64(*left.columns), F.col("_slots")).cast("int")
+    spread = left.join(hot, on, "left").withColumn("_slot", F.coalesce(slot, F.lit(0))).drop("_slots")
     copied = right.join(hot, on, "left").withColumn(
         "_slot", F.explode(F.sequence(F.lit(0), F.coalesce("_slots", F.lit(1)) - 1))
     ).drop("_slots")
     return spread.join(copied, [*on, "_slot"], how).drop("_slot")
 
 
+def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join to a table that is expected to be small: broadcast when its count proves it, else ``skew_join``."""
+    hinted = broadcast_if_small(right)
+    return left.join(hinted, list(on), how) if hinted is not right else skew_join(left, right, on, how)
+
+
 # --- value order -------------------------------------------------------------------------------
 
 
@@ -85,13 +95,13 @@ def with_block(df: DataFrame, column: str, cuts: Sequence[float], name: str = "_
 def block_by_value(df: DataFrame, column: str, rows_per_block: int = ROWS_PER_BLOCK) -> tuple[DataFrame, bool]:
     """``df`` with a ``_block`` number that rises with ``column``, and whether there is more than one.
 
-    Up to ``rows_per_block`` rows stay one block. Beyond that the frame is stored once, because the cut
-    points, the block summaries and the rows all read it.
+    The frame is stored once, because the count, the cut points, the block summaries and the rows all
+    read it. Up to ``rows_per_block`` rows stay one block.
     """
-    rows = df.count()
-    if rows <= rows_per_block:
-        return df.withColumn("_block", F.lit(0)), False
     stored = cut_lineage(df)
+    rows = stored.count()
+    if rows <= rows_per_block:
+        return stored.withColumn("_block", F.lit(0)), False
     return with_block(stored, column, cut_points(stored, column, rows, rows_per_block)), True
 
 
@@ -158,11 +168,11 @@ def global_row_number(
     that holds a third of the rows is numbered by many tasks.
     """
     sort = F.col(order).desc() if descending else F.col(order).asc()
-    per_value = df.groupBy(order).agg(F.count(F.lit(1)).alias("_n"))
+    stored = cut_lineage(df)
+    per_value = stored.groupBy(order).agg(F.count(F.lit(1)).alias("_n"))
     rows, hottest = per_value.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
     if rows <= rows_per_block:
-        return df.withColumn(name, F.row_number().over(W.partitionBy(F.lit(0)).orderBy(sort, key)).cast("long"))
-    stored = cut_lineage(df)
+        return stored.withColumn(name, F.row_number().over(W.partitionBy(F.lit(0)).orderBy(sort, key)).cast("long"))
     keyed = stored.withColumn("_key_block", F.lit(0))
     if hottest > rows_per_block:
         keyed = with_block(stored, key, cut_points(stored, key, rows, rows_per_block), "_key_block")
@@ -279,26 +289,32 @@ def bucket_carry(
 def position_scan(
     df: DataFrame, keys: Sequence[str], position: str,
     before: Mapping[str, tuple] | None = None, after: Mapping[str, tuple] | None = None,
-    width: int = POSITION_BUCKET,
+    following: Mapping[str, tuple] | None = None, width: int = POSITION_BUCKET,
 ) -> DataFrame:
-    """Running aggregates along a coordinate, inclusive of the row itself.
+    """Running aggregates along a coordinate.
 
-    ``before`` accumulates from the left, ``after`` from the right. ``df`` holds one row per
-    (keys, position), so a bucket holds at most ``width`` rows however hot a position is.
+    ``before`` accumulates from the left and ``after`` from the right, both with the row itself;
+    ``following`` from the right without it. ``df`` holds one row per (keys, position), so a bucket
+    holds at most ``width`` rows however hot a position is. It is stored once: the bucket
+    summaries and the rows both read it, and scans of scans stay linear.
     """
-    before, after = before or {}, after or {}
-    bucketed = df.withColumn("_bucket", position_bucket(position, width))
+    before, after, following = before or {}, after or {}, following or {}
+    rightward = {**after, **following}
+    bucketed = cut_lineage(df.withColumn("_bucket", position_bucket(position, width)))
     inside = W.partitionBy(*keys, "_bucket").orderBy(position)
+    frames = {
+        **{n: (*v, inside.rowsBetween(*_EVERYTHING)) for n, v in before.items()},
+        **{n: (*v, inside.rowsBetween(W.currentRow, W.unboundedFollowing)) for n, v in after.items()},
+        **{n: (*v, inside.rowsBetween(*_LATER)) for n, v in following.items()},
+    }
     carried = bucket_carry(
         bucketed, keys,
-        {f"_carry_{n}": v for n, v in before.items()}, {f"_carry_{n}": v for n, v in after.items()},
+        {f"_carry_{n}": v for n, v in before.items()}, {f"_carry_{n}": v for n, v in rightward.items()},
     )
-    frames = {
-        **{n: (fn, column, inside.rowsBetween(*_EVERYTHING)) for n, (fn, column) in before.items()},
-        **{n: (fn, column, inside.rowsBetween(W.currentRow, W.unboundedFollowing))
-           for n, (fn, column) in after.items()},
+    zero = F.lit(0)
+    combine = {
+        F.sum: lambda a, b: F.coalesce(a, zero) + F.coalesce(b, zero), F.max: F.greatest, F.min: F.least,
     }
-    combine = {F.sum: lambda a, b: a + F.coalesce(b, F.lit(0)), F.max: F.greatest, F.min: F.least}
     return (
         bucketed.withColumns({f"_in_{n}": fn(column).over(frame) for n, (fn, column, frame) in frames.items()})
         .join(carried, [*keys, "_bucket"])

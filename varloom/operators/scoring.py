@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from varloom.functions.naming import position_id
 from varloom.functions.scores import EFFECTS, sigmoid
 from varloom.functions.sequence import BASES, kmers
-from varloom.operators.scale import broadcast_if_small, global_row_number, skew_join
+from varloom.operators.scale import broadcast_if_small, global_row_number, lookup_join, skew_join
 
 # --- probabilities -----------------------------------------------------------------------------
 
@@ -145,7 +145,7 @@ def per_feature_hits(scores: DataFrame, thresholds: DataFrame, level: float, key
     unique = chosen.groupBy("feature").agg(F.count(F.lit(1)).alias("_n"), F.max("score").alias("_threshold")).filter(
         F.when(F.col("_n") == 1, F.lit(True)).otherwise(one.cast("boolean"))
     ).drop("_n")
-    return skew_join(scores, unique, ["feature"]).filter(F.abs("score") >= F.col("_threshold")).select("feature", key, "score")
+    return lookup_join(scores, unique, ["feature"]).filter(F.abs("score") >= F.col("_threshold")).select("feature", key, "score")
 
 
 def feature_impact(scores: DataFrame) -> DataFrame:

@@ -27,15 +27,16 @@ def empirical_p(
     counts = (
         background.select(size, F.lit(1).alias("_bg"))
         .unionByName(scores.select(size, F.lit(0).alias("_bg")))
-        .groupBy("_size").agg(F.sum("_bg").alias("_bg"))
+        .groupBy("_size").agg(F.sum("_bg").alias("_bg"), F.count_if(F.col("_bg") == 0).alias("_rows"))
     )
-    total = background.agg(F.count(F.lit(1)).alias("_total"))
     larger = running_totals(counts, ["_size"], {"bg": F.col("_bg")}, descending=True, rows_per_block=rows_per_block)
+    total = larger.agg(F.sum("_bg").alias("_total"))
     p = (
-        larger.crossJoin(F.broadcast(total))  # one row
+        larger.filter("_rows > 0").crossJoin(F.broadcast(total))  # one row
         .select("_size", ((F.col("cum_bg") - F.col("_bg") + 1) / (F.col("_total") + 1)).alias(name))
     )
-    return skew_join(scores.withColumn("_size", F.abs(F.col(score))), p, ["_size"]).drop("_size")
+    sized = scores.withColumn("_size", F.abs(F.col(score)))
+    return skew_join(sized, p, ["_size"], counted=larger.select("_size", "_rows")).drop("_size")
 
 
 # --- multiple testing --------------------------------------------------------------------------

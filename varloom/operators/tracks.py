@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from varloom.operators.intervals import asof_last
-from varloom.operators.scale import POSITION_BUCKET, aligned_blocks, skew_join
+from varloom.operators.scale import POSITION_BUCKET, aligned_blocks, lookup_join, skew_join
 
 CELL = 256
 LEVELS = 32
@@ -99,7 +99,7 @@ def binned_track(runs: DataFrame, lengths: DataFrame, n_bins: int = 5000, keys:
     keys = list(keys)
     edge = lambda i: F.floor(i * F.col("length") / n_bins)
     bin_of = lambda base: F.floor(((base + 1) * n_bins - 1) / F.col("length"))
-    sized = skew_join(runs, lengths, keys)
+    sized = lookup_join(runs, lengths, keys)
     # Runs are disjoint, so listing the bins of each run adds at most n_bins rows per chromosome.
     pieces = (
         sized.withColumn("bin", F.explode(F.sequence(bin_of(F.col("start")), bin_of(F.col("end") - 1))))

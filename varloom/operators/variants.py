@@ -12,7 +12,7 @@ from varloom.functions.naming import (
 )
 from varloom.operators.intervals import outside_intervals
 from varloom.operators.scale import (
-    POSITION_BUCKET, aligned_blocks, broadcast_if_small, enclosing_blocks, hash_order, hash_rank,
+    POSITION_BUCKET, aligned_blocks, enclosing_blocks, hash_order, hash_rank, lookup_join,
     position_scan, running_totals, skew_join, top_n_per_group,
 )
 
@@ -38,7 +38,7 @@ def passed_quality(df: DataFrame, column: str = "FILTER") -> DataFrame:
 
 def away_from_ends(df: DataFrame, lengths: DataFrame, buffer: int = 1000, pos: str = "pos") -> DataFrame:
     """Strictly more than ``buffer`` bases from both chromosome ends."""
-    joined = skew_join(df, lengths.withColumnRenamed("length", "_length"), ["chrom"])
+    joined = lookup_join(df, lengths.withColumnRenamed("length", "_length"), ["chrom"])
     return joined.filter((F.col(pos) > buffer) & (F.col(pos) < F.col("_length") - buffer)).drop("_length")
 
 
@@ -74,17 +74,14 @@ def outside_genes(variants: DataFrame, genes: DataFrame, width: int = POSITION_B
 
 def percent_rank(df: DataFrame, value: str, name: str = "MAF_PCT", digits: int | None = None) -> DataFrame:
     """Rank / n with average ranks for ties, from a histogram of the values."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
-    share = (F.col("cum_n") - F.col("_n") + (F.col("_n") + 1) / 2) / F.col("_total")
+    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_rows"))
+    ranked = running_totals(counts, [value], {"n": F.col("_rows")})
+    total = ranked.agg(F.sum("_rows").alias("_total"))
+    share = (F.col("cum_n") - F.col("_rows") + (F.col("_rows") + 1) / 2) / F.col("_total")
     if digits is not None:
         share = F.round(share, digits)
-    ranked = (
-        running_totals(counts, [value], {"n": F.col("_n")})
-        .crossJoin(F.broadcast(total))  # one row
-        .select(value, share.alias(name))
-    )
-    return skew_join(df, ranked, [value], "left")
+    shares = ranked.crossJoin(F.broadcast(total)).select(value, share.alias(name))  # one row
+    return skew_join(df, shares, [value], "left", counted=ranked.select(value, "_rows"))
 
 
 def maf_table(frequencies: DataFrame) -> DataFrame:
@@ -217,7 +214,7 @@ def eligible_candidates(
 
 def sample_per_chromosome(df: DataFrame, quotas: DataFrame, seed: int, keys: Sequence[str]) -> DataFrame:
     """Per chromosome the number of rows its quota names (column ``cnt``), or all if there are fewer."""
-    sized = skew_join(df, quotas.select("chrom", F.col("cnt").alias("_cnt")), ["chrom"])
+    sized = lookup_join(df, quotas.select("chrom", F.col("cnt").alias("_cnt")), ["chrom"])
     return hash_rank(sized, seed, keys, ["chrom"], "_rank", keep=F.col("_cnt")).drop("_rank", "_cnt")
 
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["queries_scores"]
+MODULES = ["queries_scores", "queries_intervals", "queries_labels"]
 
 
 def load_registry():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from varloom.functions.scores import sigmoid
-from varloom.operators.scale import POSITION_BUCKET, bucket_carry, position_bucket
+from varloom.operators.scale import position_scan
 from varloom.plans.registry import view
 
 FEATURES = [f"f{i:02d}" for i in range(12)]
@@ -72,14 +72,8 @@ view("genes", """SELECT chrom, start, "end" - 1 AS "end" FROM intervals WHERE fe
 def runs(spark: SparkSession, sf: str) -> DataFrame:
     """Disjoint signal runs: each position keeps its largest value up to the next position."""
     points = variants(spark, sf).groupBy("chrom", F.col("pos").alias("start")).agg(F.max("score").alias("value"))
-    bucketed = points.withColumn("_bucket", position_bucket("start", POSITION_BUCKET))
-    later = bucket_carry(bucketed, ["chrom"], after={"_later": (F.min, F.col("start"))})
-    from pyspark.sql import Window as W
-
-    following = F.lead("start").over(W.partitionBy("chrom", "_bucket").orderBy("start"))
-    return bucketed.withColumn("_next", following).join(later, ["chrom", "_bucket"]).select(
-        "chrom", "start", F.coalesce("_next", "_later", F.col("start") + 1).alias("end"), "value"
-    )
+    scanned = position_scan(points, ["chrom"], "start", following={"_next": (F.min, F.col("start"))})
+    return scanned.select("chrom", "start", F.coalesce("_next", F.col("start") + 1).alias("end"), "value")
 
 
 view("runs", """
