@@ -96,18 +96,15 @@ def label_counts_long(prevalence: DataFrame, group: str = "chrom") -> DataFrame:
 def cooccurrence(df: DataFrame, features: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
     """Long (group, feature_a, feature_b, n) of joint positives; the diagonal holds the counts.
 
-    One pass with a conditional sum per unordered pair of features: nothing grows with the rows of a
-    sample's group.
+    Rows with the same label set are counted first, so pairs are made per label set and never per row.
     """
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
-    summed = df.groupBy(*group).agg(*[
-        F.sum(F.when((F.col(a) == 1) & (F.col(b) == 1), 1).otherwise(0)).alias(f"_{i}") for i, (a, b) in enumerate(pairs)
-    ])
-    cells = []
-    for i, (a, b) in enumerate(pairs):
-        for x, y in {(a, b), (b, a)}:
-            cells.append(F.struct(F.lit(x).alias("feature_a"), F.lit(y).alias("feature_b"), F.coalesce(F.col(f"_{i}"), F.lit(0)).alias("n")))
-    return summed.select(*group, F.explode(F.array(*cells)).alias("c")).select(*group, "c.*")
+    sets = df.groupBy(*group, *features).agg(F.count(F.lit(1)).alias("_rows"))
+    cells = F.array(*[F.struct(F.lit(f).alias("f"), (F.col(f) == 1).cast("long").alias("y")) for f in features])
+    return (
+        sets.withColumn("a", F.explode(cells)).withColumn("b", F.explode(cells))
+        .groupBy(*group, F.col("a.f").alias("feature_a"), F.col("b.f").alias("feature_b"))
+        .agg(F.sum(F.col("_rows") * F.col("a.y") * F.col("b.y")).alias("n"))
+    )
 
 
 def sum_matrices(matrices: DataFrame) -> DataFrame:
