@@ -11,14 +11,20 @@ MAX_TOKENS = 512
 
 
 def kmers(seq: Column, k: int, max_kmers: int | None = None) -> Column:
-    """Overlapping k-mers as an array; empty when the sequence is shorter than k."""
+    """Overlapping k-mers as an array; empty when the sequence is shorter than k. Sequences are ASCII.
+
+    The string is bound once as bytes, where a substring costs k steps; in a string it costs its offset.
+    """
     count = F.length(seq) - (k - 1)
     if max_kmers is not None:
         count = F.least(count, F.lit(max_kmers))
-    # The else branch never runs with count < 1: sequence(1, 0) would count down.
-    return F.when(
-        count >= 1, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substring(seq, i, F.lit(k)))
-    ).otherwise(F.array().cast("array<string>"))
+    # Only rows with count < 1 meet the lower bound of 1: sequence(1, 0) would count down.
+    places = F.sequence(F.lit(1), F.greatest(count, F.lit(1)))
+    words = F.transform(
+        F.array(seq.cast("binary")),
+        lambda b: F.transform(places, lambda i: F.substring(b, i, F.lit(k)).cast("string")),
+    )[0]
+    return F.when(count >= 1, words).otherwise(F.array().cast("array<string>"))
 
 
 def kmerize(seq: Column, k: int, max_kmers: int | None = MAX_TOKENS) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from varloom.functions.sequence import BASES, complement, n_percent, substitute_centre
 from varloom.operators.scale import lookup_join, skew_join
@@ -67,6 +67,11 @@ def chromosome_lengths(chunks: DataFrame, chrom: str = "chrom") -> DataFrame:
     return chunks.groupBy(chrom).agg(F.max("length").alias("length"))
 
 
+def _bytes() -> Column:
+    """A chunk as bytes: a substring of a string walks to its offset, one of bytes does not."""
+    return F.col("seq").cast("binary").alias("_bytes")
+
+
 def extract_windows(
     variants: DataFrame, chunks: DataFrame, length: int, size: int = CHUNK, overlap: int = OVERLAP,
     zero_based: bool = False, on_error: str = "raise", hot_rows: int = 1_000_000,
@@ -85,7 +90,7 @@ def extract_windows(
         "chunk_id", F.floor(F.col("start") / size)
     )
     found = skew_join(
-        placed, chunks.select("chrom", "chunk_id", "chunk_start", "seq", F.col("length").alias("_length")),
+        placed, chunks.select("chrom", "chunk_id", "chunk_start", _bytes(), F.col("length").alias("_length")),
         ["chrom", "chunk_id"], "left", hot_rows,
     )
     site = F.concat_ws(":", F.col("chrom").cast("string"), F.col("pos").cast("string"))
@@ -102,12 +107,12 @@ def extract_windows(
         good = checked.filter("problem is null")
     inside = (F.col("start") - F.col("chunk_start") + 1).cast("int")
     windows = (
-        good.withColumn("ref_seq", F.substring("seq", inside, F.lit(length)))
+        good.withColumn("ref_seq", F.substring("_bytes", inside, F.lit(length)).cast("string"))
         .withColumn("alt_seq", substitute_centre(F.col("ref_seq"), F.col("alt"), length))
         .withColumn("ref_base", F.substring("ref_seq", centre + 1, 1))
         .withColumn("alt_base", F.substring("alt_seq", centre + 1, 1))
         .withColumn("left_cnt", F.lit(centre)).withColumn("right_cnt", F.lit(length - centre - 1))
-        .drop("chunk_id", "chunk_start", "seq", "_length", "problem")
+        .drop("chunk_id", "chunk_start", "_bytes", "_length", "problem")
     )
     if on_error == "raise":
         return windows
@@ -135,12 +140,13 @@ def bin_genome(
     need = F.greatest(F.col("start") - backward, F.lit(0))
     raw_end = F.col("start") + bin_size
     body = F.substring(
-        "seq", (need - F.col("chunk_start") + 1).cast("int"),
+        "_bytes", (need - F.col("chunk_start") + 1).cast("int"),
         (F.least(raw_end + forward, F.col("length")) - need).cast("int"),
-    )
+    ).cast("string")
     left_pad = F.greatest(F.lit(backward) - F.col("start"), F.lit(0)).cast("int")
     out = (
-        chunks.filter(first <= last).withColumn("_index", F.explode(F.sequence(first, last)))
+        chunks.filter(first <= last).withColumn("_bytes", _bytes()).drop("seq")
+        .withColumn("_index", F.explode(F.sequence(first, last)))
         .withColumn("start", start)
         .withColumn("_body", F.concat(F.repeat(F.lit("N"), left_pad), body))
         .withColumn("_seq", F.rpad("_body", bin_size + forward + backward, "N"))
@@ -191,9 +197,9 @@ def saturate_regions(chunks: DataFrame, regions: DataFrame, size: int = CHUNK) -
     own = skew_join(pieces, chunks.drop("length"), ["chrom", "chunk_id"])
     low = F.greatest(zero_start, F.col("chunk_start"))
     high = F.least(zero_end, F.col("chunk_start") + size - 1, F.col("chunk_start") + F.length("seq") - 1)
+    piece = F.substring("seq", (low - F.col("chunk_start") + 1).cast("int"), (high - low + 1).cast("int"))
     positions = (
-        own.filter(low <= high).withColumn("_zero", F.explode(F.sequence(low, high)))
-        .select("chrom", (F.col("_zero") + 1).alias("pos"),
-                F.substring("seq", (F.col("_zero") - F.col("chunk_start") + 1).cast("int"), F.lit(1)).alias("ref"))
+        own.filter(low <= high).select("chrom", low.alias("_low"), F.posexplode(F.split(piece, "")).alias("_i", "ref"))
+        .select("chrom", (F.col("_low") + F.col("_i") + 1).alias("pos"), "ref")
     )
     return positions.select("*", F.explode(F.array(*[F.lit(b) for b in BASES])).alias("alt"))

@@ -159,33 +159,27 @@ def nearest_eligible(
     with rows, not with pairs. Ties go to the smaller position. Percentiles have five digits.
     """
     span = round(tolerance * _PCT_SCALE)
-    cell = _pct_cell("MAF_PCT")
-    blocked = positives.select("chrom", "pos", F.explode(enclosing_blocks(cell, _PCT_LEVELS)).alias("_b")).select(
-        "chrom", "_b.*", "pos", F.col("pos").alias("_positive"), F.lit(None).cast("long").alias("_asked")
+    celled = candidates.withColumn("_cell", _pct_cell("MAF_PCT"))
+    low, high = F.greatest(F.col("_cell") - span, F.lit(0)), F.col("_cell") + span + 1
+    none = F.lit(None).cast("long")
+    listed = positives.select("chrom", "pos", F.explode(enclosing_blocks(_pct_cell("MAF_PCT"), _PCT_LEVELS)).alias("_b")).select(
+        "chrom", "_b.*", "pos", F.col("pos").alias("_positive"), none.alias("_cell")
+    )
+    asked = celled.select("chrom", "pos", "_cell", F.explode(aligned_blocks(low, high, _PCT_LEVELS)).alias("_b")).select(
+        "chrom", "_b.*", "pos", none.alias("_positive"), "_cell"
     )
-    low = F.greatest(cell - span, F.lit(0))
-    asked = candidates.select(
-        "chrom", "pos", cell.alias("_cell"), F.explode(aligned_blocks(low, cell + span + 1, _PCT_LEVELS)).alias("_b")
-    ).select("chrom", "_b.*", "pos", F.lit(None).cast("long").alias("_positive"), F.col("pos").alias("_asked"))
     keys = ["chrom", "level", "block"]
-    sites = blocked.unionByName(asked).groupBy(*keys, "pos").agg(
-        F.max("_positive").alias("_positive"), F.max("_asked").alias("_asked")
+    # A site is one row per block with the distinct percentiles that ask there, at most the width of the block.
+    sites = listed.unionByName(asked).groupBy(*keys, "pos").agg(
+        F.max("_positive").alias("_positive"), F.collect_set("_cell").alias("_cells")
     )
     scanned = position_scan(
         sites, keys, "pos", before={"_left": (F.max, F.col("_positive"))}, after={"_right": (F.min, F.col("_positive"))}, width=width
-    ).filter("_asked is not null")
-    option = lambda side: F.when(F.col(side).isNotNull(), F.struct(F.abs(F.col(side) - F.col("pos")).alias("distance"), F.col(side).alias("positive_pos")))
-    best = scanned.withColumn("_best", F.least(option("_left"), option("_right"))).filter(
-        F.col("_best").isNotNull() & (F.col("_best.distance") <= max_dist)
     )
-    # A block answers for a percentile range, so its answer belongs to every candidate of the site that asked for it.
-    answers = best.select("chrom", "pos", "level", "block", "_best")
-    asked_keys = candidates.withColumn("_b", F.explode(aligned_blocks(low, cell + span + 1, _PCT_LEVELS))).select(
-        "chrom", "pos", "MAF_PCT", "_b.level", "_b.block"
-    ).distinct()
-    closest = asked_keys.join(answers, ["chrom", "pos", "level", "block"]).groupBy("chrom", "pos", "MAF_PCT").agg(F.min("_best").alias("_best"))
-    found = closest.select("chrom", "pos", "MAF_PCT", "_best.*")
-    return skew_join(candidates, found, ["chrom", "pos", "MAF_PCT"])
+    option = lambda side: F.when(F.col(side).isNotNull(), F.struct(F.abs(F.col(side) - F.col("pos")).alias("distance"), F.col(side).alias("positive_pos")))
+    best = scanned.select("chrom", "pos", F.explode("_cells").alias("_cell"), F.least(option("_left"), option("_right")).alias("_best"))
+    closest = best.filter(F.col("_best.distance") <= max_dist).groupBy("chrom", "pos", "_cell").agg(F.min("_best").alias("_best"))
+    return skew_join(celled, closest.select("chrom", "pos", "_cell", "_best.*"), ["chrom", "pos", "_cell"]).drop("_cell")
 
 
 def matched_negatives(

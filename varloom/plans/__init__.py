@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["queries_scores", "queries_intervals", "queries_labels", "queries_sequences", "queries_evaluation"]
+MODULES = ["queries_scores", "queries_intervals", "queries_labels", "queries_sequences", "queries_evaluation", "queries_variants"]
 
 
 def load_registry():
@@ -11,4 +11,4 @@ def load_registry():
 
     for name in MODULES:
         import_module(f"varloom.plans.{name}")
-    return registry.QUERIES, registry.ORACLES
+    return registry.QUERIES, registry.oracles()

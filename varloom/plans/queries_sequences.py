@@ -125,8 +125,8 @@ def reverse_complements(spark, sf):
 
 
 @query("""
-  SELECT chrom, b.alt, substr(seq, CAST(p AS INTEGER), 1) AS ref, count(*) AS n, CAST(sum(p) AS BIGINT) AS position_sum
-  FROM dna d, LATERAL (SELECT unnest(range(1, length(d.seq) + 1)) AS p) u, (VALUES ('A'), ('C'), ('G'), ('T')) b(alt) GROUP BY ALL""")
+  SELECT chrom, b.alt, ref, count(*) AS n, CAST(sum(p) AS BIGINT) AS position_sum
+  FROM (SELECT chrom, unnest(string_split(seq, '')) AS ref, unnest(range(1, length(seq) + 1)) AS p FROM dna WHERE length(seq) > 0), (VALUES ('A'), ('C'), ('G'), ('T')) b(alt) GROUP BY ALL""")
 def saturation_counts(spark, sf):
     """Every position of every sequence with all four bases, counted by reference and alternate."""
     whole = sequences(spark, sf).filter(F.length("seq") > 0).select("chrom", F.lit(1).alias("start"), F.length("seq").alias("end"))

@@ -16,18 +16,25 @@ def view(name: str, sql: str) -> None:
     VIEWS[name] = sql
 
 
+def oracles() -> dict[str, str]:
+    """The SQL of every query with the views it needs."""
+    return {name: _with_views(sql) for name, sql in ORACLES.items()}
+
+
 def _with_views(body: str) -> str:
     """Prefix the views that ``body`` uses, directly or through other views."""
-    needed: set[str] = set()
+    ordered: list[str] = []
 
     def visit(text: str) -> None:
         for name in VIEWS:
-            if name not in needed and re.search(rf"\b{name}\b", text):
-                needed.add(name)
-                visit(VIEWS[name])
+            if name not in ordered and re.search(rf"\b{name}\b", text):
+                if VIEWS[name] is not text:
+                    visit(VIEWS[name])
+                    if name not in ordered:
+                        ordered.append(name)
 
     visit(body)
-    parts = [f"{name} AS ({VIEWS[name]})" for name in VIEWS if name in needed]
+    parts = [f"{name} AS ({VIEWS[name]})" for name in ordered]
     if not parts:
         return body
     if body.lstrip().upper().startswith("WITH "):
@@ -39,7 +46,7 @@ def query(sql: str | None = None):
     def register(fn):
         QUERIES[fn.__name__] = fn
         if sql is not None:
-            ORACLES[fn.__name__] = _with_views(sql)
+            ORACLES[fn.__name__] = sql
         return fn
 
     return register
