@@ -102,7 +102,7 @@ def extract_windows(
     checked = found.withColumn("problem", problem)
     if on_error == "raise":
         # The check is part of the filter, so no plan can skip it.
-        good = checked.filter(F.when(F.col("problem").isNull(), F.lit(True)).otherwise(F.raise_error("problem").cast("boolean")))
+        good = checked.filter(F.when(F.col("problem").isNull(), F.lit(True)).otherwise(F.raise_error(F.col("problem")).cast("boolean")))
     else:
         good = checked.filter("problem is null")
     inside = (F.col("start") - F.col("chunk_start") + 1).cast("int")

@@ -280,7 +280,9 @@ def read_fasta(
         F.monotonically_increasing_id().alias("at"),
     )
     pieces = fasta_pieces(lines)
-    if ids is not None:
-        pieces = pieces.filter(F.col("accession").isin(list(ids)))
     chrom = accession_to_number(F.col("accession")) if numbered else F.col("accession")
+    if ids is not None:
+        # The name is only looked up for listed records, wherever the optimizer puts the filter.
+        listed = F.col("accession").isin(list(ids))
+        pieces, chrom = pieces.filter(listed), F.when(listed, chrom)
     return chunk_pieces(pieces.withColumn("chrom", chrom).select("chrom", "offset", "seq"), size, overlap)
