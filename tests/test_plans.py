@@ -41,8 +41,12 @@ def test_no_python_in_the_hot_path(spark, sf, name):
     assert not re.search(r"BatchEvalPython|ArrowEvalPython|MapInPandas|FlatMapGroupsInPandas", plan(QUERIES[name](spark, sf)))
 
 
-def test_bins_are_cut_without_a_shuffle(spark, sf):
-    assert "Exchange" not in plan(QUERIES["genome_bins"](spark, sf))
+def test_bins_are_cut_without_a_shuffle(spark, tmp_path):
+    from varloom.operators import genome
+
+    genome.chunk_sequences(spark.createDataFrame([(1, "ACGT" * 500)], "chrom int, seq string"), 256, 64).write.parquet(str(tmp_path / "genome"))
+    chunks = spark.read.parquet(str(tmp_path / "genome"))
+    assert "Exchange" not in plan(genome.bin_genome(chunks, 20, forward=5, backward=5, size=256, overlap=64))
 
 
 def test_top_k_is_not_a_full_sort(spark, sf):

@@ -32,6 +32,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if counted <= max_rows else df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Shuffle by ``key`` only when a source has fewer splits than the cluster has cores.
+
+    For costly per-row work on a few large files; a source with enough splits is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def skew_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", hot_rows: int = HOT_ROWS,
     counted: DataFrame | None = None,

@@ -59,11 +59,32 @@ def score_ref_alt(df: DataFrame, scorer: Callable[[DataFrame], DataFrame], key:
     )).alias("_s")).select(F.struct(key, "_s.side").alias("_key"), "_s.seq")
     scored = scorer(both)
     features = [c for c in scored.columns if c not in ("_key", "seq")]
-    long = scored.select(f"_key.{key}", "_key.side", *features).unpivot([key, "side"], features, "feature", "p")
-    return long.groupBy(key, "feature").agg(
-        F.max(F.when(F.col("side") == "ref", F.col("p"))).alias("p_ref"),
-        F.max(F.when(F.col("side") == "alt", F.col("p"))).alias("p_alt"),
-    )
+    side = lambda f, name: F.max(F.when(F.col("_key.side") == name, F.col(f))).alias(f"p_{name}")
+    # Both sides meet in one wide row; the long rows are made after the shuffle.
+    paired = scored.groupBy(F.col(f"_key.{key}").alias(key)).agg(*[F.struct(side(f, "ref"), side(f, "alt")).alias(f) for f in features])
+    rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"{f}.p_ref"), F.col(f"{f}.p_alt")) for f in features])
+    return paired.select(key, F.explode(rows).alias("_r")).select(key, "_r.*")
+
+
+def score_pairs(
+    df: DataFrame, model: Callable[[list[str]], np.ndarray], features: Sequence[str], key: str = "variant_key", batch: int = 32, logits: bool = True,
+) -> DataFrame:
+    """Long (key, feature, p_ref, p_alt) with a user model that sees both sides of a row in one task; no shuffle."""
+    schema = T.StructType([df.schema[key], T.StructField("ref", T.ArrayType(T.DoubleType())), T.StructField("alt", T.ArrayType(T.DoubleType()))])
+
+    def predict(seqs: list[str]) -> list[np.ndarray]:
+        out = [np.asarray(model(seqs[at:at + batch]), dtype=float) for at in range(0, len(seqs), batch)]
+        return [row for part in out for row in (1 / (1 + np.exp(-part)) if logits else part)]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({key: frame[key], "ref": predict(frame["ref_seq"].tolist()), "alt": predict(frame["alt_seq"].tolist())})
+
+    scored = df.select(key, "ref_seq", "alt_seq").mapInPandas(run, schema)
+    rows = F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col("ref")[i].alias("p_ref"), F.col("alt")[i].alias("p_alt")) for i, f in enumerate(features)
+    ])
+    return scored.select(key, F.explode(rows).alias("_r")).select(key, "_r.*")
 
 
 # --- effect scores -----------------------------------------------------------------------------
@@ -76,6 +97,13 @@ def effect_scores(probabilities: DataFrame, method: str = "log_odds", eps: float
     return probabilities.withColumn("score", fn(*args, eps) if method == "log_odds" else fn(*args))
 
 
+def row_scores(df: DataFrame, ref: str = "p_ref", alt: str = "p_alt", method: str = "log_odds", name: str = "Variant") -> DataFrame:
+    """Effect scores of rows that hold all features as arrays, with the overall score; nothing is shuffled."""
+    scores = F.zip_with(alt, ref, lambda a, r: EFFECTS[method](a, r))
+    squares = F.aggregate("scores", F.lit(0.0), lambda total, s: total + s * s)
+    return df.withColumn("scores", scores).withColumn(name, F.sqrt(squares))
+
+
 def overall_scores(scores: DataFrame, key: str = "variant_key", name: str = "Variant") -> DataFrame:
     """Euclidean norm over the features of each variant."""
     return scores.groupBy(key).agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias(name))

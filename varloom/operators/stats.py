@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from varloom.functions.scores import bonferroni, sidak
 from varloom.functions.sequence import BASES
 from varloom.operators.scale import ROWS_PER_BLOCK, global_row_number, running_totals, skew_join
+from varloom.session import cut_lineage
 
 # --- empirical p -------------------------------------------------------------------------------
 
@@ -89,7 +90,7 @@ def multitest(df: DataFrame, method: str, q: float, m: float, p: str = "p_value"
 
 def compare_methods(df: DataFrame, q: float, m: float, show: int = 3, p: str = "p_value", key: str = "variant_key") -> DataFrame:
     """The first ``show`` rows by p under the three corrections side by side."""
-    frames = []
+    df, frames = cut_lineage(df), []
     for method in ("bh_meff", "bonf", "sidak"):
         tested = multitest(df, method, q, m, p)
         bound = F.col("bh_threshold") if method == "bh_meff" else F.lit(q / m if method == "bonf" else sidak_alpha(q, m))

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from varloom.operators.intervals import asof_last
 from varloom.operators.scale import POSITION_BUCKET, aligned_blocks, lookup_join, skew_join
+from varloom.session import cut_lineage
 
 CELL = 256
-LEVELS = 32
+# Blocks of up to 2**23 cells, two gigabases; the lower levels are made from cells, the upper from blocks of 64.
+LEVELS = 24
+LOWER = 6
 
 
 def track_lengths(runs: DataFrame, keys: Sequence[str] = ("chrom",)) -> DataFrame:
@@ -41,6 +44,18 @@ def _moments(bases, value):
     ]
 
 
+def _combined():
+    return [F.sum(c).alias(c) for c in ("_b", "_s", "_q")] + [F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")]
+
+
+def _level_sums(blocks: DataFrame, keys: Sequence[str], base: int, levels: range) -> DataFrame:
+    """Sums of aligned blocks at the given levels, from blocks of 2**base cells."""
+    at = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("level"), F.floor(F.col("_cell") / (1 << (i - base))).cast("long").alias("block")) for i in levels
+    ]))
+    return blocks.withColumn("_at", at).groupBy(*keys, "_at.level", "_at.block").agg(*_combined())
+
+
 def region_stats(regions: DataFrame, runs: DataFrame, keys: Sequence[str] = ("chrom",)) -> DataFrame:
     """Mean, min, max, std and coverage of the signal in each region (region_id, keys, start, end).
 
@@ -49,13 +64,9 @@ def region_stats(regions: DataFrame, runs: DataFrame, keys: Sequence[str] = ("ch
     """
     keys = list(keys)
     cells = _cell_runs(runs, keys)
-    blocks = cells.groupBy(*keys, "_cell").agg(*_moments(F.col("_to") - F.col("_from"), F.col("value")))
-    levels = blocks.select("*", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("level"), F.floor(F.col("_cell") / (1 << i)).cast("long").alias("block")) for i in range(LEVELS)
-    ])).alias("_at")).groupBy(*keys, "_at.level", "_at.block").agg(
-        F.sum("_b").alias("_b"), F.sum("_s").alias("_s"), F.sum("_q").alias("_q"),
-        F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"),
-    )
+    blocks = cut_lineage(cells.groupBy(*keys, "_cell").agg(*_moments(F.col("_to") - F.col("_from"), F.col("value"))))
+    wide = blocks.groupBy(*keys, F.floor(F.col("_cell") / (1 << LOWER)).alias("_cell")).agg(*_combined())
+    levels = _level_sums(blocks, keys, 0, range(LOWER)).unionByName(_level_sums(wide, keys, LOWER, range(LOWER, LEVELS)))
     first, last = F.floor(F.col("start") / CELL), F.floor((F.col("end") - 1) / CELL)
     parts = ("_b", "_s", "_q", "_lo", "_hi")
     inner = skew_join(

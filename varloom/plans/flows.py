@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from varloom.functions.naming import annotation_pos, variant_id
 from varloom.operators import genome, intervals as iv, labels, logs, sampling, scoring, stats, variants as vt
-from varloom.operators.scale import POSITION_BUCKET
+from varloom.operators.scale import POSITION_BUCKET, broadcast_if_small
 from varloom.session import cut_lineage
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -55,8 +55,8 @@ def training_samples(
     samples = genome.filter_ambiguous(
         genome.bin_genome(chunks, bin_size, forward=forward, backward=backward, size=size, overlap=overlap), max_n_percent
     ).select("chrom", "start", "end", "seq")
-    tracks = runs.select(*track).distinct()
-    asked = samples.select("chrom", "start", "end").crossJoin(tracks)  # a few tracks per bin
+    # Every bin is asked of every track, as many rows as there are labels to give.
+    asked = samples.select("chrom", "start", "end").crossJoin(broadcast_if_small(runs.select(*track).distinct()))
     labeled = labels.sample_labels(iv.coverage(asked, peaks, [*track, "chrom"], width), coverage_threshold)
     per_feature = _majority_by_feature(labeled, majority)
     merged = labels.merge_labels(samples, per_feature, features)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from varloom.functions.scores import sigmoid
-from varloom.operators.scale import position_scan
+from varloom.operators.scale import position_scan, spread
 from varloom.plans.registry import view
+from varloom.session import cut_lineage
 
 FEATURES = [f"f{i:02d}" for i in range(12)]
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -176,16 +177,22 @@ _TO = "ACGTACGTACGTACGTACGTACGTACN"
 def sequences(spark: SparkSession, sf: str) -> DataFrame:
     """Every document as a DNA string (chrom = doc_id)."""
     letters = F.upper(F.regexp_replace("text", "[^A-Za-z ]", ""))
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("chrom"), F.translate(letters, _FROM, _TO).alias("seq"))
+    texts = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return texts.select(F.col("doc_id").alias("chrom"), F.translate(letters, _FROM, _TO).alias("seq"))
+
+
+def stored_sequences(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, made once for a query that reads it several times."""
+    return cut_lineage(sequences(spark, sf))
 
 
 view("dna", f"""
   SELECT doc_id AS chrom, translate(upper(regexp_replace(text, '[^A-Za-z ]', '', 'g')), '{_FROM}', '{_TO}') AS seq FROM documents""")
 
 
-def genome_variants(spark: SparkSession, sf: str) -> DataFrame:
+def genome_variants(spark: SparkSession, sf: str, dna: DataFrame) -> DataFrame:
     """Every event as a variant in some document: (variant_key, chrom, pos, ref, alt)."""
-    dna = sequences(spark, sf).select("chrom", F.length("seq").alias("_length")).filter("_length > 0")
+    dna = dna.select("chrom", F.length("seq").alias("_length")).filter("_length > 0")
     docs = table(spark, sf, "documents").agg(F.count(F.lit(1)).alias("_docs"))
     placed = variants(spark, sf).crossJoin(F.broadcast(docs)).select(  # one row
         "variant_key", (F.col("variant_key") % F.col("_docs")).alias("chrom"), "pos", "ref", "alt"

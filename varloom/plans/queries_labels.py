@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from varloom.operators import intervals as iv, labels, sampling
+from varloom.operators.scale import broadcast_if_small, hash_rank
 from varloom.operators.variants import sample_exact, sample_per_chromosome
 from varloom.plans.inputs import (
-    EVENT_TYPES, FEATURES, bins, intervals, labeled_documents, labeled_vectors, prevalence, r6, variants,
+    EVENT_TYPES, FEATURES, bins, intervals, labeled_documents, labeled_vectors, prevalence, r6, table, variants,
 )
 from varloom.plans.registry import query, view
 
@@ -18,7 +19,7 @@ def _sample_coverage(spark, sf):
     """Bin coverage per feature and sample."""
     source = intervals(spark, sf)
     groups = source.select("feature", "sample").distinct()
-    wide = bins(spark, sf).crossJoin(F.broadcast(groups))  # features x samples, a few rows
+    wide = bins(spark, sf).crossJoin(broadcast_if_small(groups))  # every bin is asked of every sample
     return iv.coverage(wide, source, ["feature", "sample", "chrom"])
 
 
@@ -256,7 +257,4 @@ def first_n_per_dataset(spark, sf):
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS place FROM documents")
 def shuffled_order(spark, sf):
-    from varloom.operators.scale import hash_rank
-    from varloom.plans.inputs import table
-
     return hash_rank(table(spark, sf, "documents").select("doc_id"), 42, ["doc_id"], name="place")

@@ -18,8 +18,15 @@ def _scores(spark, sf):
   SELECT variant_key, round(sqrt(sum(score * score)), 6) AS variant FROM log_odds
   GROUP BY variant_key ORDER BY sqrt(sum(score * score)) DESC, variant_key LIMIT 20""")
 def top_variants(spark, sf):
-    overall = scoring.overall_scores(_scores(spark, sf), name="variant")
-    return scoring.rank_variants(overall, "variant", top=20).select("variant_key", r6(F.col("variant")).alias("variant"))
+    p = lambda first: F.transform(F.slice("embedding", first, 12), lambda x: fn.sigmoid(x.cast("double")))
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("variant_key"), p(1).alias("p_ref"), p(13).alias("p_alt"))
+    scored = scoring.row_scores(rows, name="variant").select("variant_key", "variant")
+    return scoring.rank_variants(scored, "variant", top=20).select("variant_key", r6(F.col("variant")).alias("variant"))
+
+
+@query("SELECT variant_key, round(sqrt(sum(score * score)), 6) AS variant FROM log_odds GROUP BY variant_key")
+def overall_scores(spark, sf):
+    return scoring.overall_scores(_scores(spark, sf), name="variant").withColumn("variant", r6(F.col("variant")))
 
 
 @query("""

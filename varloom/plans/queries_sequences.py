@@ -6,15 +6,17 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from varloom.functions.sequence import complement, kmer_combinations, kmerize, n_percent
-from varloom.operators import genome, scoring, tokens
-from varloom.plans.inputs import genome_variants, r6, sequences, table
+from varloom.operators import evaluate, genome, scoring, tokens
+from varloom.plans.inputs import genome_variants, r6, sequences, stored_sequences, table
 from varloom.plans.registry import query, view
+from varloom.session import cut_lineage
+from varloom.sources.readers import fasta_pieces
 
 _SIZE, _OVERLAP, _LENGTH = 4096, 512, 101
 
 
-def chunks(spark, sf):
-    return genome.chunk_sequences(sequences(spark, sf), _SIZE, _OVERLAP)
+def chunks(spark, sf, dna=None):
+    return genome.chunk_sequences(dna or stored_sequences(spark, sf), _SIZE, _OVERLAP)
 
 
 @query(f"""
@@ -29,17 +31,14 @@ def genome_chunks(spark, sf):
   FROM dna d, LATERAL (SELECT unnest(range(0, length(d.seq), 1000)) AS s) u""")
 def genome_from_fasta(spark, sf):
     """FASTA lines of 60 bases, put back together as chunks."""
-    from varloom.operators.genome import chunk_pieces
-    from varloom.sources.readers import fasta_pieces
-
     line = F.transform(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / 60).cast("int")), lambda i: F.substring("seq", i * 60 + 1, F.lit(60)))
     header = F.array(F.concat(F.lit(">"), F.col("chrom").cast("string"), F.lit(" made from a document")))
-    lines = sequences(spark, sf).filter(F.length("seq") > 0).select("chrom", F.posexplode(F.concat(header, line)).alias("at", "value"))
+    lines = stored_sequences(spark, sf).filter(F.length("seq") > 0).select("chrom", F.posexplode(F.concat(header, line)).alias("at", "value"))
     # Eight splits per file, so records run over split borders.
     split = F.floor(F.col("at") / 16)
     source = lines.select("value", F.col("chrom").cast("string").alias("file"), split.alias("split"), "at")
     pieces = fasta_pieces(source).select(F.col("accession").cast("long").alias("chrom"), "offset", "seq")
-    return chunk_pieces(pieces, 1000, 100).select("chrom", "length", "chunk_id", "chunk_start", F.md5("seq").alias("seq_md5"))
+    return genome.chunk_pieces(pieces, 1000, 100).select("chrom", "length", "chunk_id", "chunk_start", F.md5("seq").alias("seq_md5"))
 
 
 # --- windows -----------------------------------------------------------------------------------
@@ -52,7 +51,9 @@ view("windows", f"""
 
 
 def windows(spark, sf):
-    return genome.extract_windows(genome_variants(spark, sf), chunks(spark, sf), _LENGTH, _SIZE, _OVERLAP, on_error="split")
+    dna = stored_sequences(spark, sf)
+    snps = cut_lineage(genome_variants(spark, sf, dna))
+    return genome.extract_windows(snps, chunks(spark, sf, dna), _LENGTH, _SIZE, _OVERLAP, on_error="split")
 
 
 @query(f"""
@@ -129,8 +130,9 @@ def reverse_complements(spark, sf):
   FROM (SELECT chrom, unnest(string_split(seq, '')) AS ref, unnest(range(1, length(seq) + 1)) AS p FROM dna WHERE length(seq) > 0), (VALUES ('A'), ('C'), ('G'), ('T')) b(alt) GROUP BY ALL""")
 def saturation_counts(spark, sf):
     """Every position of every sequence with all four bases, counted by reference and alternate."""
-    whole = sequences(spark, sf).filter(F.length("seq") > 0).select("chrom", F.lit(1).alias("start"), F.length("seq").alias("end"))
-    s = genome.saturate_regions(chunks(spark, sf), whole, _SIZE)
+    dna = stored_sequences(spark, sf)
+    whole = dna.filter(F.length("seq") > 0).select("chrom", F.lit(1).alias("start"), F.length("seq").alias("end"))
+    s = genome.saturate_regions(chunks(spark, sf, dna), whole, _SIZE)
     return s.groupBy("chrom", "alt", "ref").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("position_sum"))
 
 
@@ -170,7 +172,7 @@ view("framed", """SELECT chrom, list_concat([2], list_concat(ids, [3])) AS ids F
 
 
 def _encoded(spark, sf):
-    words = sequences(spark, sf).select("chrom", kmerize(F.col("seq"), 3, 512).alias("seq"))
+    words = stored_sequences(spark, sf).select("chrom", kmerize(F.col("seq"), 3, 512).alias("seq"))
     return tokens.encode(words, vocabulary(spark), "chrom", max_length=128, start_id=2, end_id=3)
 
 
@@ -218,16 +220,10 @@ def masked_token_metrics(spark, sf):
     rows = table(spark, sf, "events").select(
         F.when(e % 7 == 0, -100).otherwise(e % 5).alias("label"), (e % 3).alias("predicted"), (F.col("value") / 100).alias("loss")
     )
-    m = tokens_metrics(rows)
+    m = evaluate.masked_token_metrics(rows)
     return m.select("tokens", *[r6(F.col(c)).alias(c) for c in ("accuracy", "loss", "perplexity")])
 
 
-def tokens_metrics(rows):
-    from varloom.operators.evaluate import masked_token_metrics as metrics
-
-    return metrics(rows)
-
-
 # --- scoring -------------------------------------------------------------------------------------
 
 _MODEL = ["open", "closed"]
@@ -283,3 +279,14 @@ def score_with_user_model(spark, sf):
     good, _ = windows(spark, sf)
     scored = scoring.score_sequences(good.select("variant_key", "ref_seq"), gc_model, ["gc", "skew"], "ref_seq")
     return scored.select("variant_key", r6(F.col("gc")).alias("gc"), r6(F.col("skew")).alias("skew"))
+
+
+def _gc_sql(seq: str) -> str:
+    return f"round(1 / (1 + exp(-((length({seq}) - length(replace(replace({seq}, 'G', ''), 'C', ''))) / length({seq}) * 4 - 2))), 6)"
+
+
+@query(f"SELECT variant_key, {_gc_sql('ref_seq')} AS p_ref, {_gc_sql('alt_seq')} AS p_alt FROM windows")
+def score_pairs_with_user_model(spark, sf):
+    good, _ = windows(spark, sf)
+    pairs = scoring.score_pairs(good, gc_model, ["gc", "skew"]).filter("feature = 'gc'")
+    return pairs.select("variant_key", r6(F.col("p_ref")).alias("p_ref"), r6(F.col("p_alt")).alias("p_alt"))

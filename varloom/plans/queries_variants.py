@@ -8,9 +8,10 @@ from varloom.functions import naming
 from varloom.functions.naming import ACCESSIONS
 from varloom.operators import variants as vt
 from varloom.plans import flows
-from varloom.plans.inputs import EVENT_TYPES, FEATURES, genes, genome_variants, intervals, labeled_vectors, r6, table, variants
+from varloom.plans.inputs import EVENT_TYPES, FEATURES, genes, genome_variants, intervals, labeled_vectors, r6, stored_sequences, table, variants
 from varloom.plans.queries_sequences import _LENGTH, _MODEL, _OVERLAP, _SIZE, chunks, kmer_weights
 from varloom.plans.registry import query, view
+from varloom.session import cut_lineage
 from varloom.sources import catalog, readers, writers
 
 _SQL_ACCESSIONS = "[" + ", ".join(f"'{a}'" for a in ACCESSIONS) + "]"
@@ -291,16 +292,19 @@ def _kmer_scorer(spark):
     return lambda df: score_kmers(df, weights, _MODEL, 3, key="_key")
 
 
-def _window_effects(spark, sf):
-    return flows.score_variants(
-        genome_variants(spark, sf), chunks(spark, sf), _kmer_scorer(spark), _MODEL, _LENGTH, size=_SIZE, overlap=_OVERLAP, on_error="split"
-    )
+def _snps_and_chunks(spark, sf):
+    dna = stored_sequences(spark, sf)
+    return cut_lineage(genome_variants(spark, sf, dna)), chunks(spark, sf, dna)
 
 
 @query("""
   SELECT variant_key, 'Chr' || chrom || ':' || pos || '_' || ref || alt AS id, round(overall, 6) AS overall FROM window_effects JOIN genome_variants USING (variant_key)""")
 def score_and_rank_variants(spark, sf):
-    ranked = flows.rank_scored(genome_variants(spark, sf), _window_effects(spark, sf))
+    snps, genome_chunks = _snps_and_chunks(spark, sf)
+    scores = flows.score_variants(
+        snps, genome_chunks, _kmer_scorer(spark), _MODEL, _LENGTH, size=_SIZE, overlap=_OVERLAP, on_error="split"
+    )
+    ranked = flows.rank_scored(snps, scores)
     return ranked.select("variant_key", "id", r6(F.col("Variant")).alias("overall"))
 
 
@@ -341,10 +345,10 @@ def consensus_distance_matrix(spark, sf):
     return m.select("anchor", *[r6(F.col(f)).alias(f) for f in EVENT_TYPES])
 
 
-def _document_runs(spark, sf):
+def _document_runs(spark, sf, snps):
     """Signal on the document genome: every event is a run of its own feature and sample."""
     k = F.col("variant_key")
-    return genome_variants(spark, sf).join(variants(spark, sf).select("variant_key", "score", "event_type"), "variant_key").groupBy(
+    return snps.join(variants(spark, sf).select("variant_key", "score", "event_type"), "variant_key").groupBy(
         F.col("event_type").alias("feature"), (k % 2).alias("sample"), "chrom", (F.floor(F.col("pos") / 100) * 100).alias("start")
     ).agg(F.max("score").alias("value")).withColumn("end", F.col("start") + 100)
 
@@ -370,8 +374,9 @@ view("document_bins", """
        + ", ".join(f"max(label) FILTER (feature = '{f}') AS {f}" for f in EVENT_TYPES)
        + " FROM (SELECT chrom, start, feature, CAST(sum(label) >= 0.5 * count(*) AS INTEGER) AS label FROM document_votes GROUP BY ALL) GROUP BY chrom, start")
 def labeled_training_samples(spark, sf):
+    snps, genome_chunks = _snps_and_chunks(spark, sf)
     out = flows.training_samples(
-        chunks(spark, sf), _document_runs(spark, sf), 200, 30, 0, 20.0, 0, 1, EVENT_TYPES, max_n_percent=50.0, size=_SIZE, overlap=_OVERLAP
+        genome_chunks, _document_runs(spark, sf, snps), 200, 30, 0, 20.0, 0, 1, EVENT_TYPES, max_n_percent=50.0, size=_SIZE, overlap=_OVERLAP
     )
     return out.select("chrom", "start", "split", *EVENT_TYPES)
 

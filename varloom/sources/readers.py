@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from varloom.functions.naming import accession_to_number
+from varloom.functions.naming import accession_to_number, number_to_name, variant_id
 from varloom.operators.genome import CHUNK, OVERLAP, chunk_pieces
-from varloom.operators.scale import hash_rank
+from varloom.operators.scale import hash_rank, top_n_per_group
+from varloom.session import cut_lineage
 
 SNP_LIST = "chrom int, pos long, id string, ref string, alt string"
 ANNOTATED_SNPS = "chrom int, pos long, annot_id string, id string, ref string, alt string, MAF double, MAF_PCT double"
@@ -66,8 +67,6 @@ def read_vcf(spark: SparkSession, path, on_error: str = "raise"):
 
 def vcf_to_snp_list(sites: DataFrame, numbered: bool = True, keep_id: bool = False) -> DataFrame:
     """SNP list of VCF sites whose CHROM is an accession."""
-    from varloom.functions.naming import number_to_name, variant_id
-
     number = accession_to_number(F.col("CHROM"))
     own = variant_id(number, F.col("POS"), F.col("REF"), F.col("ALT"))
     return sites.select(
@@ -159,8 +158,6 @@ def read_sequence_arrays(spark: SparkSession, path, count: int | None = None, sh
         return df
     if shuffle:
         return hash_rank(df, seed, [key], ["file"], "_rank", keep=F.lit(count)).drop("_rank")
-    from varloom.operators.scale import top_n_per_group
-
     return top_n_per_group(df, ["file"], [F.col(key)], count)
 
 
@@ -285,4 +282,4 @@ def read_fasta(
         # The name is only looked up for listed records, wherever the optimizer puts the filter.
         listed = F.col("accession").isin(list(ids))
         pieces, chrom = pieces.filter(listed), F.when(listed, chrom)
-    return chunk_pieces(pieces.withColumn("chrom", chrom).select("chrom", "offset", "seq"), size, overlap)
+    return chunk_pieces(cut_lineage(pieces.withColumn("chrom", chrom).select("chrom", "offset", "seq")), size, overlap)
