@@ -132,6 +132,22 @@ def test_sinks(spark, tmp_path):
     assert len(list((tmp_path / "kmers").glob("part-*"))) == 3
 
 
+def test_keyless_scores_and_best_rows(spark, tmp_path):
+    rows = "".join(f"{i}.5\t{-i}.25\n" for i in range(300))
+    path = put(tmp_path, "scores.tsv", "f00\tf01\n" + rows)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        got = {r["variant_key"]: (r["f00"], r["f01"]) for r in readers.read_keyless_tsv(spark, path, ["f00", "f01"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {i: (i + 0.5, float(f"{-i}.25")) for i in range(300)}
+    for model, loss in (("k3", 0.4), ("k6", 0.3)):
+        put(tmp_path, f"best/{model}/best.json", json.dumps({"step": 10, "eval_loss": loss}) + "\n")
+    best = readers.read_best_metrics(spark, str(tmp_path / "best"), "step long, eval_loss double")
+    assert sorted((r["model"], r["eval_loss"]) for r in best.collect()) == [("k3", 0.4), ("k6", 0.3)]
+
+
 def test_catalog_append(spark, tmp_path):
     samples = spark.createDataFrame([("a1", "leaf", "H3K9ac", "x.bw", "http")], "Accession string, Tissue string, Histone_Mod string, File_Name string, Link string")
     path = str(tmp_path / "catalog")

@@ -22,6 +22,12 @@ def evaluation_rows(df: DataFrame, features: Sequence[str], logits: str = "logit
     return df.select(F.explode(cells).alias("c")).select("c.*").withColumn("p", sigmoid(F.col("logit")))
 
 
+def with_labels(scored: DataFrame, labels: DataFrame, features: Sequence[str], key: str) -> DataFrame:
+    """Model outputs beside the labels of the same rows, as arrays in feature order (key, logits, labels)."""
+    array = lambda df, name, kind: df.select(key, F.array(*[F.col(f).cast(kind) for f in features]).alias(name))
+    return array(scored, "logits", "double").join(array(labels, "labels", "int"), key)
+
+
 def flattened(df: DataFrame, name: str = "micro") -> DataFrame:
     """All labels as one, for micro averages."""
     return df.withColumn("label", F.lit(name))
@@ -116,6 +122,11 @@ def threshold_metrics(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     )
 
 
+def metric_table(metrics: DataFrame, metric: str) -> DataFrame:
+    """One metric in percent per label, the best first."""
+    return metrics.select("label", (F.col(metric) * 100).alias(metric)).orderBy(F.col(metric).desc_nulls_last(), "label")
+
+
 def summary_metrics(df: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Macro and micro AUROC and average precision, and the micro baseline; null macro when a label lacks a class."""
     per_label = curve_areas(df, rows_per_block)

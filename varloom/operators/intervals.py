@@ -22,25 +22,30 @@ def merge_intervals(
     """Islands of overlapping or book-ended intervals (or up to ``gap`` apart), with their count ``n``."""
     keys = list(keys)
     piece = [*keys, "_bucket"]
-    starts = cut_lineage(
+    starts = (
         df.groupBy(*keys, "start").agg(F.max("end").alias("end"), F.count(F.lit(1)).alias("n"))
         .withColumn("_bucket", position_bucket("start", width))
     )
     inside = W.partitionBy(*piece).orderBy("start")
-    local = starts.withColumn("_prior", F.max("end").over(inside.rowsBetween(W.unboundedPreceding, -1)))
     opens = lambda reach: reach.isNull() | (F.col("start") > reach + gap)
-    # Starts rise inside a bucket, so the bucket's last local opening decides whether it opens an island at all.
+    # Islands of each bucket by itself; they are grouped where the window left them.
+    local = cut_lineage(
+        starts.withColumn("_prior", F.max("end").over(inside.rowsBetween(W.unboundedPreceding, -1)))
+        .withColumn("_open", F.when(opens(F.col("_prior")), F.col("start")))
+        .withColumn("_local", F.max("_open").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+        .groupBy(*piece, F.col("_local").alias("start")).agg(F.max("end").alias("end"), F.sum("n").alias("n"))
+    )
+    # A bucket's last island opens one of its own unless an earlier bucket reaches it, and then no island before it does.
     earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     buckets = (
-        local.groupBy(*piece).agg(F.max("end").alias("_end"), F.max(F.when(opens(F.col("_prior")), F.col("start"))).alias("_open"))
+        local.groupBy(*piece).agg(F.max("end").alias("_end"), F.max("start").alias("start"))
         .withColumn("_reach", F.max("_end").over(earlier))
-        .withColumn("_open", F.when(F.col("_reach").isNull() | (F.col("_open") > F.col("_reach") + gap), F.col("_open")))
+        .withColumn("_open", F.when(opens(F.col("_reach")), F.col("start")))
         .select(*piece, "_reach", F.max("_open").over(earlier).alias("_latest"))
     )
-    opened = F.when(opens(F.greatest("_prior", "_reach")), F.col("start"))
+    island = F.when(opens(F.col("_reach")), F.col("start")).otherwise(F.col("_latest"))
     return (
-        local.join(buckets, piece).withColumn("_opens", opened)
-        .withColumn("_island", F.greatest(F.max("_opens").over(inside.rowsBetween(W.unboundedPreceding, 0)), F.col("_latest")))
+        local.join(buckets, piece).withColumn("_island", island)
         .groupBy(*keys, F.col("_island").alias("start"))
         .agg(F.max("end").alias("end"), F.sum("n").alias("n"))
     )

@@ -6,7 +6,8 @@ repeated in any SQL engine.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -129,6 +130,17 @@ def first_n_per_group(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42
     return hash_rank(df, seed, keys, list(group), "_rank", keep=F.lit(n)).drop("_rank")
 
 
+def concat_datasets(
+    datasets: Mapping[str, DataFrame], keys: Sequence[str], n: int | None = None, seed: int = 42, shuffle: bool = False
+) -> DataFrame:
+    """Datasets under one another with their name, optionally n rows of each and in seeded hash order."""
+    named = [df.withColumn("dataset", F.lit(name)) for name, df in datasets.items()]
+    whole = reduce(DataFrame.unionByName, named)
+    if n is not None:
+        whole = first_n_per_group(whole, n, keys, seed)
+    return shuffled(whole, ["dataset", *keys], seed) if shuffle else whole
+
+
 def shuffled(df: DataFrame, keys: Sequence[str], seed: int = 42) -> DataFrame:
     """Reproducible random order for a file that is about to be written."""
     return df.withColumn("_hash", hash_order(seed, *keys)).orderBy("_hash", *keys).drop("_hash")

@@ -87,6 +87,13 @@ def score_pairs(
     return scored.select(key, F.explode(rows).alias("_r")).select(key, "_r.*")
 
 
+def pair_probabilities(ref: DataFrame, alt: DataFrame, features: Sequence[str], key: str = "variant_key") -> DataFrame:
+    """Long (key, feature, p_ref, p_alt) from two wide tables of the same variants, matched by key."""
+    wide = lambda df, side: df.select(key, F.struct(*features).alias(side))
+    rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_ref.{f}").alias("p_ref"), F.col(f"_alt.{f}").alias("p_alt")) for f in features])
+    return bind(wide(ref, "_ref"), wide(alt, "_alt"), key).select(key, F.explode(rows).alias("_r")).select(key, "_r.*")
+
+
 # --- effect scores -----------------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from varloom.functions.naming import (
-    NON_CODING, annotation_chrom, annotation_pos, gene_id, info_allele_frequency,
+    CHROMOSOMES, NON_CODING, annotation_chrom, annotation_pos, consensus_chromosome, gene_id, info_allele_frequency,
     max_minor_frequency, minor_frequency, variant_id,
 )
 from varloom.operators.intervals import outside_intervals
@@ -69,6 +69,17 @@ def outside_genes(variants: DataFrame, genes: DataFrame, width: int = POSITION_B
     return outside_intervals(points, half_open, ["chrom"], "pos0", width).drop("pos0")
 
 
+def split_known_chromosomes(df: DataFrame, column: str = "chrom") -> tuple[DataFrame, DataFrame]:
+    """(rows of chr1..chr12 with the normalised name, rejected rows as they came)."""
+    name = consensus_chromosome(F.col(column))
+    known = name.isin([f"chr{n}" for n in CHROMOSOMES])
+    return df.filter(known).withColumn(column, name), df.filter(~known)
+
+
+def unique_variants(df: DataFrame, by: str = "id") -> DataFrame:
+    return df.agg(F.countDistinct(by).alias("n_variants"))
+
+
 # --- frequencies -------------------------------------------------------------------------------
 
 

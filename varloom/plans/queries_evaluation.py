@@ -111,6 +111,15 @@ def threshold_metrics(spark, sf):
     return m.withColumns({c: r6(F.col(c)) for c in ("accuracy", "precision", "recall", "f1", "mcc")})
 
 
+@query("SELECT label, round(100.0 * count(*) FILTER ((p >= 0.5) = (y = 1)) / count(*), 6) AS accuracy FROM evaluations GROUP BY label")
+def accuracy_percent(spark, sf):
+    scored = table(spark, sf, "embeddings")
+    logits = scored.select("vec_id", *[F.col("embedding")[i].alias(f) for i, f in enumerate(FEATURES)])
+    marks = scored.select("vec_id", *[(F.col("embedding")[24 + i] > 0).alias(f) for i, f in enumerate(FEATURES)])
+    rows = evaluate.evaluation_rows(evaluate.with_labels(logits, marks, FEATURES, "vec_id"), FEATURES)
+    return evaluate.metric_table(evaluate.threshold_metrics(rows), "accuracy").withColumn("accuracy", r6(F.col("accuracy")))
+
+
 @query("""
   SELECT label, round(avg(loss), 6) AS loss, round(sum(loss), 4) AS total_loss, count(*) AS elements
   FROM (SELECT label, greatest(logit, 0) - logit * y + ln(1 + exp(-abs(logit))) AS loss FROM evaluations) GROUP BY label""")

@@ -258,3 +258,13 @@ def first_n_per_dataset(spark, sf):
 @query("SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS place FROM documents")
 def shuffled_order(spark, sf):
     return hash_rank(table(spark, sf, "documents").select("doc_id"), 42, ["doc_id"], name="place")
+
+
+@query("""
+  SELECT dataset, key FROM (SELECT 'parts' AS dataset, p_partkey AS key FROM part UNION ALL SELECT 'customers', c_custkey FROM customer)
+  QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY md5('42:' || key), key) <= 120""")
+def concatenated_datasets(spark, sf):
+    sets = {
+        "parts": table(spark, sf, "part").select(F.col("p_partkey").alias("key")), "customers": table(spark, sf, "customer").select(F.col("c_custkey").alias("key")),
+    }
+    return sampling.concat_datasets(sets, ["key"], 120, shuffle=True).select("dataset", "key")

@@ -122,6 +122,14 @@ def bind_by_key(spark, sf):
     return scoring.bind(left, right)
 
 
+@query("SELECT variant_key, feature, round(p_ref, 6) AS p_ref, round(p_alt, 6) AS p_alt FROM probabilities")
+def paired_probabilities(spark, sf):
+    e = table(spark, sf, "embeddings")
+    wide = lambda first: e.select(F.col("vec_id").alias("variant_key"), *[fn.sigmoid(F.col("embedding")[first + i].cast("double")).alias(f) for i, f in enumerate(FEATURES)])
+    paired = scoring.pair_probabilities(wide(0), wide(12), FEATURES)
+    return paired.select("variant_key", "feature", r6(F.col("p_ref")).alias("p_ref"), r6(F.col("p_alt")).alias("p_alt"))
+
+
 # --- saturation matrices -------------------------------------------------------------------------
 
 

@@ -146,6 +146,21 @@ def chromosome_names(spark, sf):
     )
 
 
+@query("SELECT variant_key, 'chr' || chrom AS name FROM names WHERE variant_key % 5 < 4")
+def known_chromosomes(spark, sf):
+    return vt.split_known_chromosomes(_names(spark, sf), "name")[0].select("variant_key", "name")
+
+
+@query("SELECT name, count(*) AS n FROM names WHERE variant_key % 5 = 4 GROUP BY name")
+def rejected_chromosomes(spark, sf):
+    return vt.split_known_chromosomes(_names(spark, sf), "name")[1].groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(DISTINCT (chrom, ref, alt)) AS n_variants FROM variants")
+def unique_variants(spark, sf):
+    return vt.unique_variants(variants(spark, sf).withColumn("id", F.concat_ws(":", "chrom", "ref", "alt")))
+
+
 # --- positive and negative sets --------------------------------------------------------------------
 
 

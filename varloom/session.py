@@ -13,6 +13,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str
         SparkSession.builder.master(f"local[{cores}]")
         .appName("varloom")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")

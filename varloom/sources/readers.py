@@ -234,6 +234,19 @@ def with_line_number(lines: DataFrame) -> DataFrame:
     )
 
 
+def read_keyless_tsv(spark: SparkSession, path, columns: Sequence[str], key: str = "variant_key") -> DataFrame:
+    """A headed file of numbers without a key: the data line number becomes the key, once, at the reader."""
+    lines = with_line_number(spark.read.text(path)).filter("line > 0")
+    f = F.split("value", "\t")
+    return lines.select((F.col("line") - 1).alias(key), *[f[i].cast("double").alias(c) for i, c in enumerate(columns)])
+
+
+def read_best_metrics(spark: SparkSession, path, schema: str) -> DataFrame:
+    """Best-step records of several models; the model is the name of the folder that holds the file."""
+    folders = F.split(F.col("_metadata.file_path"), "/")
+    return spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path).withColumn("model", F.element_at(folders, -2))
+
+
 # --- genome ------------------------------------------------------------------------------------
 
 
