@@ -86,9 +86,10 @@ def variants_outside_genes(spark, sf):
 
 
 view("closest", """
-  SELECT a.feature AS anchor, b.feature AS feature, a.chrom, a.start, coalesce(min(abs(b.start - a.start)), -1) AS distance,
+  SELECT a.feature AS anchor, f.feature AS feature, a.chrom, a.start, coalesce(min(abs(b.start - a.start)), -1) AS distance,
          coalesce(arg_min(b.start, (abs(b.start - a.start), b.start)), -1) AS nearest
-  FROM centres a JOIN centres b ON a.chrom = b.chrom AND a.feature <> b.feature GROUP BY ALL""")
+  FROM centres a JOIN (SELECT DISTINCT feature FROM centres) f ON f.feature <> a.feature
+  LEFT JOIN centres b ON b.chrom = a.chrom AND b.feature = f.feature GROUP BY ALL""")
 
 
 def _closest(spark, sf):
@@ -120,7 +121,7 @@ def distance_summary(spark, sf):
 
 
 @query("SELECT anchor, " + ", ".join(f"CASE WHEN anchor = '{f}' THEN 0 ELSE round(quantile_cont(distance, 0.5) FILTER (feature = '{f}'), 6) END AS {f}" for f in EVENT_TYPES)
-       + " FROM closest GROUP BY anchor")
+       + " FROM (SELECT * FROM closest WHERE distance >= 0) GROUP BY anchor")
 def distance_matrix(spark, sf):
     summary = iv.distribution_summary(_closest(spark, sf), ["anchor", "feature"], "distance")
     matrix = iv.statistic_matrix(summary, EVENT_TYPES, "median")

@@ -419,8 +419,9 @@ view("chosen_records", """
 
 
 @query("""
-  SELECT 'L' || l AS label, """ + ", ".join(f"round(max(value / d) FILTER (model = '{m}'), 6) AS {m}" for m in _STEPS) + """, round(avg(value / d), 6) AS mean
+  SELECT 'L' || l AS label, """ + ", ".join(f"round(max(value / d) FILTER (model = '{m}'), 9) AS {m}" for m in _STEPS) + """, round(avg(value / d), 9) AS mean
   FROM chosen_records, (VALUES (0, 600), (1, 700), (2, 800)) v(l, d) WHERE """ + " OR ".join(f"(model = '{m}' AND step = {s})" for m, s in _STEPS.items()) + " GROUP BY l")
 def model_comparison(spark, sf):
     t = flows.model_comparison(_records(spark, sf), _STEPS, ["L0", "L1", "L2"], "auroc")
-    return t.select("label", *[r6(F.col(c)).alias(c) for c in [*_STEPS, "mean"]])
+    # Quotients by 800 end at the seventh digit, so six would round ties.
+    return t.select("label", *[F.round(c, 9).alias(c) for c in [*_STEPS, "mean"]])
