@@ -178,7 +178,7 @@ def _block_eigenvalues(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": pdf["block"].iloc[0], "eigenvalue": values})
 
 
-def effective_tests(ld: DataFrame, max_block: int = 4096) -> DataFrame:
+def effective_tests(ld: DataFrame, max_block: int = 2048) -> DataFrame:
     """Effective number of tests from correlations (block, i, j, r); both triangles of each block are given.
 
     Eigenvalues are taken per LD block, so blocks run side by side; the sum over blocks is exact
