@@ -8,8 +8,8 @@ from pyspark.sql import Window as W, functions as F
 
 from varloom.operators import evaluate, genome, intervals as iv, stats, variants as vt
 from varloom.operators.scale import (
-    aligned_blocks, enclosing_blocks, exact_percentiles, global_row_number, hash_rank, neighbour, running_totals,
-    skew_join, top_n_per_group,
+    enclosing_blocks, exact_percentiles, global_row_number, hash_rank, neighbour, running_totals, skew_join,
+    top_n_per_group, with_aligned_blocks,
 )
 
 
@@ -84,10 +84,13 @@ def test_top_n_per_group(skewed):
     assert as_set(top_n_per_group(skewed, ["grp"], [F.col("score"), F.col("variant_key")], 4), "variant_key") == as_set(plain, "variant_key")
 
 
-def test_aligned_blocks_cover_a_range_once(spark):
+@pytest.mark.parametrize("levels", [2, 7])
+def test_aligned_blocks_cover_a_range_once(spark, levels):
     ranges = [(lo, hi) for lo in range(0, 20) for hi in range(lo, 35)]
-    df = spark.createDataFrame(ranges, "lo long, hi long").withColumn("b", F.explode(aligned_blocks(F.col("lo"), F.col("hi"), 7)))
-    cells = df.select("lo", "hi", F.explode(F.sequence(F.col("b.block") * F.pow(F.lit(2), "b.level").cast("long"), (F.col("b.block") + 1) * F.pow(F.lit(2), "b.level").cast("long") - 1)).alias("c"))
+    df = with_aligned_blocks(spark.createDataFrame(ranges, "lo long, hi long"), F.col("lo"), F.col("hi"), levels)
+    assert df.agg(F.max("level")).first()[0] < levels
+    size = F.pow(F.lit(2), "level").cast("long")
+    cells = df.select("lo", "hi", F.explode(F.sequence(F.col("block") * size, (F.col("block") + 1) * size - 1)).alias("c"))
     found = Counter(map(tuple, cells.collect()))
     assert found == Counter((lo, hi, c) for lo, hi in ranges for c in range(lo, hi))
     up = spark.range(1).select(F.explode(enclosing_blocks(F.lit(13), 4)).alias("b")).select("b.*")

@@ -335,19 +335,25 @@ def position_scan(
 # --- ranges as aligned blocks --------------------------------------------------------------------
 
 
-def aligned_blocks(low: Column, high: Column, levels: int) -> Column:
-    """The range [low, high) as at most 2 * levels disjoint blocks (level, block) of 2**level cells.
+def with_aligned_blocks(df: DataFrame, low: Column, high: Column, levels: int) -> DataFrame:
+    """One row per block (level, block) of the disjoint blocks of 2**level cells that make up [low, high).
 
-    Two ranges or a range and a point meet by equality on (level, block), with no all-pairs test.
+    About 2 * log2(high - low) rows. Two ranges, or a range and a point, meet by equality on (level, block),
+    with no all-pairs test. Blocks above ``levels`` - 1 are not used.
     """
-    pieces = []
-    for level in range(levels):
-        first = F.ceil(low / (1 << level)).cast("long")
-        last = F.floor(high / (1 << level)).cast("long")
-        block = lambda b: F.struct(F.lit(level).alias("level"), b.alias("block"))
-        pieces.append(F.when((first < last) & (first % 2 == 1), block(first)))
-        pieces.append(F.when((first < last) & (last % 2 == 1), block(last - 1)))
-    return F.filter(F.array(*pieces), lambda p: p.isNotNull())
+    first, last = F.col("_first"), F.col("_last")
+    odd_ends = F.array(F.when(first % 2 == 1, first), F.when(last % 2 == 1, last - 1))
+    return (
+        df.withColumns({"_low": low.cast("long"), "_high": high.cast("long")}).filter("_low < _high")
+        .withColumn("_top", F.least(F.floor(F.log2(F.col("_high") - F.col("_low"))), F.lit(levels - 1)).cast("int"))
+        .withColumn("level", F.explode(F.sequence(F.lit(0), F.col("_top"))))
+        .withColumn("_first", F.expr("shiftright(_low + shiftleft(1L, level) - 1, level)"))
+        .withColumn("_last", F.expr("shiftright(_high, level)"))
+        .filter(first < last)
+        # Ends that do not fill a block of the next level stay here; the top level takes what is left.
+        .withColumn("block", F.explode(F.when(F.col("level") == F.col("_top"), F.sequence(first, last - 1)).otherwise(odd_ends)))
+        .filter("block is not null").drop("_low", "_high", "_top", "_first", "_last")
+    )
 
 
 def enclosing_blocks(cell: Column, levels: int) -> Column:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from varloom.operators.intervals import asof_last
-from varloom.operators.scale import POSITION_BUCKET, aligned_blocks, lookup_join, skew_join
+from varloom.operators.scale import POSITION_BUCKET, lookup_join, skew_join, with_aligned_blocks
 from varloom.session import cut_lineage
 
 CELL = 256
@@ -63,15 +63,14 @@ def region_stats(regions: DataFrame, runs: DataFrame, keys: Sequence[str] = ("ch
     long region costs about as much as a short one.
     """
     keys = list(keys)
-    cells = _cell_runs(runs, keys)
+    cells = cut_lineage(_cell_runs(runs, keys))
     blocks = cut_lineage(cells.groupBy(*keys, "_cell").agg(*_moments(F.col("_to") - F.col("_from"), F.col("value"))))
     wide = blocks.groupBy(*keys, F.floor(F.col("_cell") / (1 << LOWER)).alias("_cell")).agg(*_combined())
     levels = _level_sums(blocks, keys, 0, range(LOWER)).unionByName(_level_sums(wide, keys, LOWER, range(LOWER, LEVELS)))
     first, last = F.floor(F.col("start") / CELL), F.floor((F.col("end") - 1) / CELL)
     parts = ("_b", "_s", "_q", "_lo", "_hi")
     inner = skew_join(
-        regions.select("region_id", *keys, F.explode(aligned_blocks(first + 1, last, LEVELS)).alias("_at"))
-        .select("region_id", *keys, "_at.*"),
+        with_aligned_blocks(regions.select("region_id", *keys, "start", "end"), first + 1, last, LEVELS).drop("start", "end"),
         levels, [*keys, "level", "block"],
     ).select("region_id", *parts)
     ends = regions.select("region_id", *keys, "start", "end", F.explode(F.array_distinct(F.array(first, last))).alias("_cell"))

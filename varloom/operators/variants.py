@@ -12,8 +12,8 @@ from varloom.functions.naming import (
 )
 from varloom.operators.intervals import outside_intervals
 from varloom.operators.scale import (
-    POSITION_BUCKET, aligned_blocks, enclosing_blocks, hash_order, hash_rank, lookup_join,
-    position_scan, running_totals, skew_join, top_n_per_group,
+    POSITION_BUCKET, enclosing_blocks, hash_order, hash_rank, lookup_join, position_scan,
+    running_totals, skew_join, top_n_per_group, with_aligned_blocks,
 )
 
 # --- filters -----------------------------------------------------------------------------------
@@ -153,7 +153,6 @@ def functional_snps(annotations: DataFrame, maf: DataFrame, min_maf: float = 0.1
 # --- matched negatives -------------------------------------------------------------------------
 
 _PCT_SCALE = 100_000
-_PCT_LEVELS = 18
 
 
 def _pct_cell(column: str) -> Column:
@@ -172,12 +171,13 @@ def nearest_eligible(
     span = round(tolerance * _PCT_SCALE)
     celled = candidates.withColumn("_cell", _pct_cell("MAF_PCT"))
     low, high = F.greatest(F.col("_cell") - span, F.lit(0)), F.col("_cell") + span + 1
+    levels = (2 * span + 1).bit_length()
     none = F.lit(None).cast("long")
-    listed = positives.select("chrom", "pos", F.explode(enclosing_blocks(_pct_cell("MAF_PCT"), _PCT_LEVELS)).alias("_b")).select(
+    listed = positives.select("chrom", "pos", F.explode(enclosing_blocks(_pct_cell("MAF_PCT"), levels)).alias("_b")).select(
         "chrom", "_b.*", "pos", F.col("pos").alias("_positive"), none.alias("_cell")
     )
-    asked = celled.select("chrom", "pos", "_cell", F.explode(aligned_blocks(low, high, _PCT_LEVELS)).alias("_b")).select(
-        "chrom", "_b.*", "pos", none.alias("_positive"), "_cell"
+    asked = with_aligned_blocks(celled.select("chrom", "pos", "_cell"), low, high, levels).select(
+        "chrom", "level", "block", "pos", none.alias("_positive"), "_cell"
     )
     keys = ["chrom", "level", "block"]
     # A site is one row per block with the distinct percentiles that ask there, at most the width of the block.

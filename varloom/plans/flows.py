@@ -104,7 +104,7 @@ def positives_and_negatives(
     """
     positives = cut_lineage(vt.sample_exact(vt.functional_snps(annotations, maf, min_maf), n_positive, seed, ["id"]))
     known = annotations.select(F.substring("var", 3, 2).cast("int").alias("chrom"), annotation_pos(F.col("var")).alias("pos"))
-    free = vt.eligible_candidates(sites, genes, known)
+    free = cut_lineage(vt.eligible_candidates(sites, genes, known))
     candidates = vt.percent_rank(vt.info_maf(free), "MAF", "MAF_PCT", 5).filter(F.col("MAF_PCT").isNotNull())
     return positives, vt.matched_negatives(positives, cut_lineage(candidates), max_dist, tolerance, per_positive, seed)
 
