@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from varloom.llm import exact_dedup, mixing, url_filter
-from varloom.llm.common import table
+from varloom.llm import exact_dedup, language_id, mixing, token_output, url_filter
+from varloom.llm.common import crc_of_id, shared_path, table
 from varloom.llm.registry import query
 
 URL_RULES = [
@@ -85,3 +86,24 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "keep_id", "group_size", "kept", F.col("text_digest").alias("text_sha256")
     )
+
+
+def token_checksums(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Encode ``docs`` in a new folder of the shared one and sum up what its files hold."""
+    path = shared_path(spark, "tokens")
+    token_output.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_output.read_checksums(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query()
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, read back from the files."""
+    return token_checksums(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query()
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; a quarter of them is held out of learning."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", crc_of_id() % 4 == 2)
+    model = language_id.fit(docs, learn=~F.col("held_out"))
+    return language_id.predict(docs, model).select("doc_id", "held_out", "lang_pred", "score")
