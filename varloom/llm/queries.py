@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from varloom.llm import exact_dedup, language_id, mixing, token_output, url_filter
+from varloom.llm import decontaminate, exact_dedup, language_id, mixing, simhash, token_output, url_filter
 from varloom.llm.common import crc_of_id, shared_path, table
 from varloom.llm.registry import query
 
@@ -16,6 +16,12 @@ URL_RULES = [
 ]
 
 
+@query()
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every test item that a document holds: one row per document and distinct item, none for clean documents."""
+    return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("""
 WITH cut AS (
   SELECT page_id, CASE WHEN url IS NULL OR position('://' IN url) = 0 THEN NULL ELSE substr(url, position('://' IN url) + 3) END AS rest FROM pages
@@ -76,6 +82,13 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of every document."""
+    found = simhash.assign(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
 @query("""
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
   doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
