@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from varloom.llm import decontaminate, exact_dedup, language_id, mixing, simhash, token_output, url_filter
+from varloom.llm import decontaminate, exact_dedup, hmm, language_id, mixing, simhash, token_output, url_filter
 from varloom.llm.common import crc_of_id, shared_path, table
 from varloom.llm.registry import query
 
@@ -114,6 +114,12 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_checksums(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query()
+def op8_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document under the unigram and the hidden Markov model; a tenth is held out."""
+    return hmm.score_documents(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document; a quarter of them is held out of learning."""
