@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from varloom.llm import decontaminate, exact_dedup, hmm, language_id, mixing, simhash, token_output, url_filter
+from varloom.llm import decontaminate, exact_dedup, hmm, language_id, line_dedup, mixing, simhash, token_output, url_filter
 from varloom.llm.common import crc_of_id, shared_path, table
 from varloom.llm.registry import query
 
@@ -101,6 +101,15 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, the recurring ones that are dropped, and what is left of its text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.drop_recurring_lines(docs).select(
+        "doc_id", "n_lines", "dropped_lines", F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("clean_sha256")
+    )
+
+
 def token_checksums(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Encode ``docs`` in a new folder of the shared one and sum up what its files hold."""
     path = shared_path(spark, "tokens")

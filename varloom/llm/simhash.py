@@ -138,7 +138,7 @@ def shards(distinct: DataFrame, radius: int, shard_rows: int) -> DataFrame:
         placed = stored(
             waiting.select("fingerprint", F.explode(F.coalesce(*options)).alias("shard")).select("fingerprint", "shard.*"), "shards"
         )
-        sizes = placed.groupBy("path", "value").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+        sizes = stored(placed.groupBy("path", "value").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "shard-sizes")
         counted = placed.join(sizes, ["path", "value"])  # a fingerprint alone in its shard has no link there
         done.append(counted.filter(F.col("rows") <= shard_rows).drop("rows"))
         large = stored(sizes.filter(F.col("rows") > shard_rows), "large-shards")
@@ -190,9 +190,11 @@ def connected(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Stored, so that the join can split the rows of a node with very many neighbours.
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stored(large, "large-star")
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u")
         current = stored(
             small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
