@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from varloom.llm.common import crc_of_id, stored, text_or_empty
+from varloom.llm.words import count_words, frequency_histogram, least_count, texts_of, words_of
 
 STATES = 8
 PASSES = 2
@@ -33,51 +34,14 @@ ADDED = 0.1  # the unigram model adds this to every count
 BACKOFF = 200.0
 BATCH_TOKENS = 1_000_000
 TRAINING_SPAN = 1 << 16
-_BUCKETS_PER_OCTAVE = 16
 _EDGE = b".,;:!?\"')]}"
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words between ASCII white space, A-Z lower-cased; all other bytes stay."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
 def word_class(word: bytes) -> int:
     """A class by the ending, which tells languages and inflections apart."""
     return zlib.crc32(word.rstrip(_EDGE)[-2:]) % CLASSES
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    for batch in batches:
-        # Spans of rows, so that one batch of long texts is not turned into Python strings at once.
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            yield part, part.column("text").to_pylist()
-
-
-def count_words(docs: DataFrame, text: str = "text", flush: int = 400_000) -> DataFrame:
-    """(word, n) over all rows of ``docs``; each task sums before it sends, holding about ``flush`` words at most."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            return pa.RecordBatch.from_arrays(
-                [pa.array(held.keys(), pa.binary()).cast(pa.string()), pa.array(held.values(), pa.int64())], names=["word", "n"]
-            )
-
-        held: Counter[bytes] = Counter()
-        for _, texts in _texts(batches):
-            for value in texts:
-                held.update(words_of(value))
-            if len(held) > flush:
-                yield rows()
-                held = Counter()
-        yield rows()
-
-    return docs.select(F.col(text).alias("text")).mapInArrow(counted, "word string, n long").groupBy("word").agg(
-        F.sum("n").alias("n")
-    )
-
-
 class Symbols(dict):
     """Word to symbol: head words first, then the classes, then the end of a text."""
 
@@ -114,17 +78,10 @@ class Counts:
 def gather_counts(training: DataFrame, text: str = "text", head_words: int = HEAD_WORDS) -> Counts:
     """Complete word counts, stored as ``table``; what reaches the driver is the head and sums per class."""
     table = stored(count_words(training, text), "word-counts")
-    octave = F.floor(F.log2(F.col("n").cast("double")) * _BUCKETS_PER_OCTAVE).cast("int")
-    histogram = table.groupBy(octave.alias("at")).agg(
-        F.count(F.lit(1)).alias("words"), F.sum("n").alias("n"), F.min("n").alias("least")
-    ).orderBy(F.desc("at")).collect()  # at most 16 rows per doubling of the largest count
+    histogram = frequency_histogram(table)
     texts = training.count()
-    taken, least = 0, math.inf
-    for row in histogram:
-        if taken + row["words"] > head_words:
-            break
-        taken, least = taken + row["words"], row["least"]
-    head = table.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").collect() if taken else []
+    least = least_count(histogram, head_words)
+    head = table.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").collect() if least < math.inf else []
 
     @F.pandas_udf("int")
     def class_of(words):
@@ -262,7 +219,7 @@ def _sampled(training: DataFrame, symbols, rows: int, total: int) -> list[np.nda
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Symbols(symbols.value)
-        for _, texts in _texts(batches):
+        for _, texts in texts_of(batches):
             # What the starting point reads: counts of the most frequent words, as their symbols.
             kept = [np.sort(s[s < START_WORDS]) for s in (known.encode(words_of(t)) for t in texts)]
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.list_(pa.int32()))], names=["ids"])
@@ -297,7 +254,7 @@ def train(
                 for sums, more in zip((first, moves, emissions), got):
                     sums += more
 
-            for _, texts in _texts(batches):
+            for _, texts in texts_of(batches):
                 for value in texts:
                     found = known.encode(words_of(value))
                     held += [found[i:i + TRAINING_SPAN] for i in range(0, len(found), TRAINING_SPAN)]
@@ -361,7 +318,7 @@ def score(
                 at += n
 
         held, tokens = [], 0
-        for part, texts in _texts(batches):
+        for part, texts in texts_of(batches):
             found, rest = [], []
             for value in texts:
                 words = words_of(value)

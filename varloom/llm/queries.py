@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from varloom.llm import decontaminate, exact_dedup, hmm, language_id, line_dedup, mixing, simhash, token_output, url_filter
+from varloom.llm import decontaminate, exact_dedup, hmm, language_id, line_dedup, mixing, secret_scan, simhash, token_output, url_filter
 from varloom.llm.common import crc_of_id, shared_path, table
 from varloom.llm.registry import query
 
@@ -129,6 +129,12 @@ def op8_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_documents(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate secret of every document with the forest's verdict."""
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document; a quarter of them is held out of learning."""
