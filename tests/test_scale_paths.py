@@ -1,12 +1,13 @@
 """The split-and-stitch paths must give what one plain window gives; tiny block sizes force them."""
 
 import random
+import statistics
 from collections import Counter
 
 import pytest
 from pyspark.sql import Window as W, functions as F
 
-from varloom.operators import evaluate, genome, intervals as iv, stats, variants as vt
+from varloom.operators import evaluate, genome, intervals as iv, sampling, stats, tracks, variants as vt
 from varloom.operators.scale import (
     enclosing_blocks, exact_percentiles, global_row_number, hash_rank, neighbour, running_totals, skew_join,
     top_n_per_group, with_aligned_blocks,
@@ -21,9 +22,10 @@ def as_set(df, *columns):
 
 @pytest.fixture(scope="module")
 def skewed(spark):
-    """900 rows; a third share one score, and most share one group."""
+    """900 rows; a third share one score, most share one group, and some know neither group nor score."""
     rng = random.Random(1)
     rows = [(i, "hot" if rng.random() < 0.7 else f"g{rng.randrange(5)}", 0.5 if rng.random() < 0.34 else round(rng.random(), 3)) for i in range(900)]
+    rows = [(i, None if i % 23 == 0 else g, None if i % 19 == 0 else s) for i, g, s in rows]
     return spark.createDataFrame(rows, "variant_key long, grp string, score double").repartition(7).cache()
 
 
@@ -66,11 +68,37 @@ def test_exact_percentiles(skewed):
 @pytest.mark.parametrize("how", ["inner", "left", "left_anti"])
 def test_skew_join(spark, skewed, how):
     right = spark.createDataFrame([("hot", 1), ("g1", 2), ("g2", 3)], "grp string, v int")
-    plain, split = skewed.join(right, ["grp"], how), skew_join(skewed, right, ["grp"], how, hot_rows=100)
+    plain, split = skewed.join(right, ["grp"], how), skew_join(
+        skewed, right, ["grp"], how, hot_rows=100, counted=skewed.groupBy("grp").agg(F.count(F.lit(1)).alias("_rows"))
+    )
     assert "_slot" in split._jdf.queryExecution().toString()
     assert as_set(split, *plain.columns) == as_set(plain, *plain.columns)
 
 
+def test_equal_rows_spread_over_slots(spark):
+    equal = spark.range(4000, numPartitions=8).select(F.lit("hot").alias("grp"))
+    right = spark.createDataFrame([("hot", 1)], "grp string, v int")
+    joined = skew_join(equal, right, ["grp"], hot_rows=500, counted=equal.groupBy("grp").agg(F.count(F.lit(1)).alias("_rows")))
+    assert joined.count() == 4000
+    slot = F.pmod(F.xxhash64(F.spark_partition_id(), "grp"), F.lit(8))
+    assert equal.select(slot).distinct().count() > 3
+
+
+def test_null_keys_are_kept_or_refused(spark, skewed):
+    split = sampling.random_split(skewed, ["variant_key"], group=["grp"])
+    assert split.count() == 900 and split.filter("grp is null").groupBy("split").count().count() == 3
+    assert sampling.random_split(skewed, ["variant_key"], group=[]).count() == 900
+    strata = skewed.withColumns({"a": F.col("variant_key") % 2, "b": F.when(F.col("variant_key") % 3 > 0, F.col("variant_key") % 2)})
+    assert sampling.stratified_split(strata, ["a", "b"], ["variant_key"], group=["grp"], min_stratum=9).count() == 900
+    assert sampling.stratified_subsample(strata, sampling.quotas(strata, 200, "grp"), ["a", "b"], ["variant_key"], group="grp").count() == 200
+    three = spark.createDataFrame([(1, None, 0), (1, 0, None), (1, 0, 0)], "a int, b int, c int")
+    assert three.select(sampling.signature(["a", "b", "c"])).distinct().count() == 3
+    unknown = spark.createDataFrame([(1, 0, 5), (None, 2, 9)], "chrom int, start long, end long")
+    for operator in (iv.merge_intervals, lambda df: iv.call_peaks(df.withColumn("value", F.lit(9.0)), 1.0, 0, 1, ["chrom"])):
+        with pytest.raises(Exception, match="null among chrom"):
+            operator(unknown).collect()
+
+
 def test_hash_rank_matches_window(skewed):
     order = F.md5(F.concat_ws(":", F.lit("3"), F.col("variant_key").cast("string")))
     plain = skewed.withColumn("rank", F.row_number().over(W.partitionBy("grp").orderBy(order, "variant_key")))
@@ -211,20 +239,43 @@ def test_nearest_eligible_across_buckets(spark):
 def test_statistics_with_many_blocks(skewed):
     background = skewed.filter("grp = 'hot'")
     few = as_set(stats.empirical_p(skewed, background), "variant_key", "p_value")
+    unscored = {r["variant_key"] for r in skewed.filter("score is null").collect()}
+    assert len(few) == 900 and {k for k, p in few if p is None} == unscored
     many = stats.empirical_p(skewed, background, rows_per_block=25)
     assert as_set(many, "variant_key", "p_value") == few
     columns = ("variant_key", "rank", "significant")
-    assert as_set(stats.bh(many, 0.4, 300, rows_per_block=25), *columns) == as_set(stats.bh(many, 0.4, 300), *columns)
+    tested = as_set(stats.bh(many, 0.4, 300), *columns)
+    assert as_set(stats.bh(many, 0.4, 300, rows_per_block=25), *columns) == tested
+    assert {r for k, r, s in tested if k in unscored} == {None} and not any(s for k, _, s in tested if k in unscored)
+    for method in stats.METHODS:
+        assert stats.multitest(many, method, 0.4, 300).filter("significant is null").count() == 0
 
 
 def test_curves_with_many_blocks(skewed):
     rows = skewed.select(F.col("grp").alias("label"), F.col("score").alias("p"), (F.col("variant_key") % 2).cast("int").alias("y"))
     for curve, columns in ((evaluate.roc_curve, ("fpr", "tpr")), (evaluate.pr_curve, ("precision", "recall"))):
         one, many = curve(rows), curve(rows, rows_per_block=20)
-        assert sorted(map(tuple, one.select("label", *columns).collect())) == sorted(map(tuple, many.select("label", *columns).collect()))
+        assert sorted(map(tuple, one.select("label", *columns).collect()), key=repr) == sorted(map(tuple, many.select("label", *columns).collect()), key=repr)
+    rows = rows.filter("p is not null and label is not null")
     one, many = evaluate.curve_areas(rows), evaluate.curve_areas(rows, rows_per_block=20)
     for a, b in zip(one.orderBy("label").collect(), many.orderBy("label").collect()):
         assert tuple(a)[1:] == pytest.approx(tuple(b)[1:])
+    # The area under the points of the curve, vertical steps included, is the area from the counts.
+    under = {r["label"]: r["area"] for r in evaluate.trapezoid(evaluate.roc_curve(rows), "fpr", "tpr", rows_per_block=20).collect()}
+    assert under == pytest.approx({r["label"]: r["auroc"] for r in one.collect()})
+
+
+def test_deviations_of_large_values_do_not_cancel(spark):
+    values = [1e9 + x for x in (0, 1, 2, 2, 1)]
+    rows = spark.createDataFrame([("a", v, n) for v, n in ((1e9, 1), (1e9 + 1, 2), (1e9 + 2, 2))], "g string, v double, n long")
+    expected = statistics.stdev(values)
+    weighted = iv.distribution_summary(rows, ["g"], "v", weight="n").collect()[0]
+    assert weighted["std"] == pytest.approx(expected) and weighted["mean"] == pytest.approx(1e9 + 1.2)
+    assert iv.distribution_summary(rows, [], "v", weight="n").collect()[0]["std"] == pytest.approx(expected)
+    runs = spark.createDataFrame([(1, i, i + 1, v) for i, v in enumerate(values)], "chrom int, start long, end long, value double")
+    region = spark.createDataFrame([(7, 1, 0, 5)], "region_id int, chrom int, start long, end long")
+    got = tracks.region_stats(region, runs).collect()[0]
+    assert got["std"] == pytest.approx(expected) and got["mean"] == pytest.approx(1e9 + 1.2) and (got["min"], got["max"]) == (1e9, 1e9 + 2)
 
 
 def test_windows_on_a_hot_chunk(spark):

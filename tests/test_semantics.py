@@ -169,17 +169,11 @@ def test_priors_sum_to_one_and_fall_back(spark):
         assert [r["prior"] for r in make(flat).collect()] == [0.5, 0.5]
 
 
-def test_effective_tests(spark):
+def test_ld_matrix_must_fit_the_scores(spark):
     def ld(matrix, block=0):
         return [(block, i, j, float(v)) for i, row in enumerate(matrix) for j, v in enumerate(row)]
 
     schema = "block int, i int, j int, r double"
-    m_eff = lambda rows: one(stats.effective_tests(spark.createDataFrame(rows, schema)))["m_eff"]
-    assert m_eff(ld(np.eye(5))) == 5
-    assert m_eff(ld(np.ones((4, 4)))) in (1, 2)  # eigenvalue 4 with rounding noise
-    assert m_eff(ld([[1, float("nan")], [float("nan"), 1]])) == 2
-    assert m_eff(ld(np.eye(3)) + ld(np.eye(2), 7)) == 5
-    fails(stats.effective_tests(spark.createDataFrame(ld(np.eye(3)), schema), max_block=2), "too large")
     scores = spark.range(4)
     fails(stats.check_ld_size(spark.createDataFrame(ld(np.eye(3)), schema), scores), "LD matrix has 3")
     assert one(stats.check_ld_size(spark.createDataFrame(ld(np.eye(4)), schema), scores))["n_ld"] == 4
@@ -219,10 +213,34 @@ def test_missing_partner_is_an_error(spark):
 
 def test_majority_tie_is_positive(spark):
     rows = [(1, 0, 5, s, y) for s, y in (("a", 1), ("b", 0))] + [(1, 5, 9, "a", 0), (1, 5, 9, "b", 0)]
-    got = labels.majority_labels(spark.createDataFrame(rows, "chrom int, start long, end long, sample string, label int"))
+    keys = ["chrom", "start", "end"]
+    got = labels.majority_labels(spark.createDataFrame(rows, "chrom int, start long, end long, sample string, label int"), keys=keys)
     assert sorted(map(tuple, got.collect())) == [(1, 0, 5, 1), (1, 5, 9, 0)]
 
 
+def test_features_with_different_numbers_of_samples(spark):
+    bins = spark.createDataFrame([(1, s, s + 100) for s in range(0, 500, 100)], "chrom int, start long, end long")
+    rows = [("A", 0, 0, 160), ("A", 1, 0, 149), ("B", 0, 0, 500), ("B", 1, 300, 400), ("B", 2, 310, 360), ("B", 2, 340, 350), ("C", 0, 480, 480)]
+    peaks = spark.createDataFrame([(f, s, 1, a, b) for f, s, a, b in rows], "feature string, sample int, chrom int, start long, end long")
+    for cell in (7, 100, 10_000):
+        positives = labels.positive_bins(bins, peaks, cell=cell)
+        found = {tuple(r) for r in positives.select("feature", "sample", "start").collect()}
+        assert found == {("A", 0, 0), ("A", 1, 0), ("A", 0, 100), ("B", 1, 300), ("B", 2, 300), *(("B", 0, s) for s in range(0, 500, 100))}
+    of = labels.replicates(peaks.select("feature", "sample"))
+    assert of == {"A": 2, "B": 3, "C": 1}
+    wide = labels.add_majority(bins, positives, of, ["A", "B", "C"])
+    assert {r["start"]: (r["A"], r["B"], r["C"]) for r in wide.collect()} == {
+        0: (1, 0, 0), 100: (1, 0, 0), 200: (0, 0, 0), 300: (0, 1, 0), 400: (0, 0, 0)
+    }
+    long = labels.long_labels(wide, ["A", "B", "C"])
+    tracks = labels.track_prevalence(bins, positives, peaks)
+    assert {(r["feature"], r["sample"]): (r["positive"], r["total"]) for r in tracks.collect()}["C", 0] == (0, 5)
+    stats_ = {r["sample"]: (r["positive"], r["total"]) for r in labels.label_stats(tracks, long).collect()}
+    assert stats_ == {"0": (7, 15), "1": (2, 10), "2": (1, 5), "majority": (3, 15)}
+    with pytest.raises(ValueError):
+        labels.add_majority(bins, positives, of, ["D"])
+
+
 def test_labels_must_match_samples(spark):
     samples = spark.createDataFrame([(1, 0, 5, "A"), (1, 5, 9, "C")], "chrom int, start long, end long, seq string")
     marks = spark.createDataFrame([(1, 0, 5, "f", 1), (1, 5, 9, "f", 0)], "chrom int, start long, end long, feature string, label int")

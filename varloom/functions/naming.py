@@ -41,7 +41,7 @@ def number_to_name(number: Column) -> Column:
 def peak_chromosome(chrom: Column) -> Column:
     """Accession -> ChrN; chr/Chr/CHR prefix -> Chr; anything else unchanged."""
     name = F.try_element_at(_literal_map((a, f"Chr{n}") for a, n in zip(ACCESSIONS, CHROMOSOMES)), chrom)
-    prefixed = F.when(F.lower(chrom).startswith("chr"), F.concat(F.lit("Chr"), F.substring(chrom, 4, 1_000_000)))
+    prefixed = F.when(F.lower(chrom).startswith("chr"), F.concat(F.lit("Chr"), F.substring(chrom, F.lit(4), F.length(chrom))))
     return F.coalesce(name, prefixed, chrom)
 
 
@@ -67,7 +67,7 @@ def annotation_chrom(annot_id: Column) -> Column:
 
 def annotation_pos(annot_id: Column) -> Column:
     """vgCCPPPP... -> PPPP..."""
-    return F.substring(annot_id, 5, 1_000_000).cast("long")
+    return F.substring(annot_id, F.lit(5), F.length(annot_id)).cast("long")
 
 
 def gene_id(attributes: Column) -> Column:

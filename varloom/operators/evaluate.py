@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from varloom.functions.scores import bce_with_logits, sigmoid
-from varloom.operators.scale import ROWS_PER_BLOCK, neighbour, running_totals
+from varloom.operators.scale import ROWS_PER_BLOCK, match, neighbour, running_totals
 
 
 def evaluation_rows(df: DataFrame, features: Sequence[str], logits: str = "logits", labels: str = "labels") -> DataFrame:
@@ -40,18 +40,18 @@ def cumulative_counts(df: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> Da
     running = running_totals(
         counts, ["p"], {"pos": F.col("pos"), "neg": F.col("neg"), "points": F.lit(1)}, ["label"], True, rows_per_block
     )
-    return running.join(totals, "label").withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp", "cum_points": "point"})
+    return match(running, totals, ["label"]).withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp", "cum_points": "point"})
 
 
 def roc_curve(df: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """(label, threshold, fpr, tpr) from (0, 0) on, without points inside a straight line."""
+    """(label, threshold, fpr, tpr) from (0, 0), which has no threshold, on; without points inside a straight line."""
     counted = neighbour(cumulative_counts(df, rows_per_block), "p", ["pos", "neg"], "_next", ["label"], True, True, rows_per_block)
     bends = (F.col("point") == 1) | F.col("_next").isNull() | (F.col("_next.pos") != F.col("pos")) | (F.col("_next.neg") != F.col("neg"))
     points = counted.filter(bends).select(
         "label", F.col("p").alias("threshold"),
         (F.col("fp") / F.nullif(F.col("n_neg"), F.lit(0))).alias("fpr"), (F.col("tp") / F.nullif(F.col("n_pos"), F.lit(0))).alias("tpr"),
     )
-    start = df.select("label").distinct().select("label", F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    start = df.select("label").distinct().select("label", F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return points.unionByName(start)
 
 
@@ -83,9 +83,16 @@ def curve_areas(df: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFram
 
 
 def trapezoid(points: DataFrame, x: str, y: str, keys: Sequence[str] = ("label",), rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """Area under any (x, y) points, one row per x, in the order of x."""
-    stepped = neighbour(points, x, [x, y], "_prev", keys, following=False, rows_per_block=rows_per_block)
-    return stepped.groupBy(*keys).agg(F.sum((F.col(x) - F.col(f"_prev.{x}")) * (F.col(y) + F.col(f"_prev.{y}")) / 2).alias("area"))
+    """Area under (x, y) points in the order of x.
+
+    Several points of one x are a vertical step that rises, like in a ROC curve: the way comes in at the least y and
+    leaves at the largest.
+    """
+    steps = points.groupBy(*keys, x).agg(F.min(y).alias("_in"), F.max(y).alias("_out"))
+    stepped = neighbour(steps, x, [x, "_out"], "_prev", keys, following=False, rows_per_block=rows_per_block)
+    return stepped.groupBy(*keys).agg(F.coalesce(
+        F.sum((F.col(x) - F.col(f"_prev.{x}")) * (F.col("_in") + F.col("_prev._out")) / 2), F.lit(0.0)
+    ).alias("area"))
 
 
 def thin_curve(points: DataFrame, x: str, max_points: int = 2000, keys: Sequence[str] = ("label",), rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:

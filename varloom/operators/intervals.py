@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from varloom.operators.scale import (
-    POSITION_BUCKET, exact_percentiles, lookup_join, position_bucket, position_scan, skew_join,
+    POSITION_BUCKET, exact_percentiles, lookup_join, match, position_bucket, position_scan, reject_nulls, skew_join,
 )
 from varloom.session import cut_lineage
 
@@ -19,11 +19,14 @@ from varloom.session import cut_lineage
 def merge_intervals(
     df: DataFrame, keys: Sequence[str] = ("chrom",), gap: int = 0, width: int = POSITION_BUCKET
 ) -> DataFrame:
-    """Islands of overlapping or book-ended intervals (or up to ``gap`` apart), with their count ``n``."""
+    """Islands of overlapping or book-ended intervals (or up to ``gap`` apart), with their count ``n``.
+
+    Null keys or borders are an error.
+    """
     keys = list(keys)
     piece = [*keys, "_bucket"]
     starts = (
-        df.groupBy(*keys, "start").agg(F.max("end").alias("end"), F.count(F.lit(1)).alias("n"))
+        reject_nulls(df, [*keys, "start", "end"]).groupBy(*keys, "start").agg(F.max("end").alias("end"), F.count(F.lit(1)).alias("n"))
         .withColumn("_bucket", position_bucket("start", width))
     )
     inside = W.partitionBy(*piece).orderBy("start")
@@ -246,9 +249,12 @@ def distribution_summary(df: DataFrame, group: Sequence[str], value: str, weight
     n = F.col(weight) if weight else F.lit(1)
     total = F.sum(F.when(ok, n))
     if weight:
-        mean = F.sum(F.when(ok, v * n)) / total
-        spread = F.sum(F.when(ok, v * v * n)) - F.sum(F.when(ok, v * n)) * mean
-        std = F.when(total > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / F.nullif(total - 1, F.lit(0))))
+        # Deviations are taken from the group's mean: a difference of large sums of squares would cancel.
+        means = df.groupBy(*group).agg((F.sum(F.when(ok, v * n)) / total).alias("_mean"))
+        df = match(df, means, group) if group else df.crossJoin(F.broadcast(means))  # one row
+        apart = v - F.col("_mean")
+        mean = F.first("_mean") + F.sum(F.when(ok, apart * n)) / total
+        std = F.when(total > 1, F.sqrt(F.sum(F.when(ok, apart * apart * n)) / F.nullif(total - 1, F.lit(0))))
     else:
         mean, std = F.avg(F.when(ok, v)), F.stddev_samp(F.when(ok, v))
     moments = df.groupBy(*group).agg(
@@ -259,7 +265,7 @@ def distribution_summary(df: DataFrame, group: Sequence[str], value: str, weight
         F.sum(F.when(ok, 0).otherwise(n)).alias("invalid"),
     )
     percentiles = exact_percentiles(df.filter(ok), group, value, PERCENTILES, weight=weight)
-    return moments.join(percentiles, group, "left") if group else moments.crossJoin(F.broadcast(percentiles))
+    return match(moments, percentiles, group, "left") if group else moments.crossJoin(F.broadcast(percentiles))
 
 
 def statistic_matrix(summary: DataFrame, features: Sequence[str], statistic: str) -> DataFrame:

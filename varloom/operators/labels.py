@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from varloom.operators.scale import exact_percentiles, skew_join
+from varloom.operators.intervals import merge_intervals
+from varloom.operators.scale import POSITION_BUCKET, exact_percentiles, match
 
 
 def sample_labels(coverage: DataFrame, threshold: float = 50.0, column: str = "percent_covered") -> DataFrame:
@@ -20,19 +21,85 @@ def sample_prevalence(labeled: DataFrame, sample: str = "sample") -> DataFrame:
 
 
 def majority_labels(
-    labeled: DataFrame, majority: float = 0.5, keys: Sequence[str] = ("chrom", "start", "end"), sample: str = "sample"
+    labeled: DataFrame, majority: float = 0.5, keys: Sequence[str] = ("feature", "chrom", "start", "end")
 ) -> DataFrame:
-    """1 where at least ``majority`` of all samples are positive; a tie at one half is positive."""
-    samples = labeled.agg(F.countDistinct(sample).alias("_samples"))
-    votes = labeled.groupBy(*keys).agg(F.sum("label").alias("_votes"))
-    return votes.crossJoin(F.broadcast(samples)).select(  # one row
-        *keys, (F.col("_votes") >= majority * F.col("_samples")).cast("int").alias("label")
+    """1 where at least ``majority`` of the samples asked are positive; a tie at one half is positive.
+
+    Every key has one row per sample of its feature, so features may have different numbers of samples.
+    """
+    return labeled.groupBy(*keys).agg((F.sum("label") >= majority * F.count(F.lit(1))).cast("int").alias("label"))
+
+
+# --- labels from intervals, without a row for every bin and sample ---------------------------------
+
+
+def positive_bins(
+    bins: DataFrame, intervals: DataFrame, track: Sequence[str] = ("feature", "sample"), threshold: float = 50.0,
+    cell: int = 4096, width: int = POSITION_BUCKET,
+) -> DataFrame:
+    """(track, chrom, start, end) of the bins that a track's intervals cover by ``threshold`` percent or more.
+
+    Only bins that an interval touches are looked at: both sides meet in cells of ``cell`` bases, and what overlaps inside
+    the cells is summed. ``cell`` is best about the length of a bin.
+    """
+    if threshold <= 0:
+        raise ValueError("the threshold must be above zero")
+    track, at = list(track), ["chrom", "start", "end"]
+    union = merge_intervals(intervals.filter("start < `end`").select(*track, *at), [*track, "chrom"], width=width)
+    cells = F.explode(F.sequence(F.floor(F.col("start") / cell), F.floor((F.col("end") - 1) / cell)))
+    asked = bins.filter("start < `end`").select(*at).distinct().withColumn("_cell", cells)
+    pieces = union.withColumn("_cell", cells).select(
+        *track, "chrom", "_cell", F.greatest(F.col("start"), F.col("_cell") * cell).alias("_from"),
+        F.least(F.col("end"), (F.col("_cell") + 1) * cell).alias("_to"),
+    )
+    bases = F.least("end", "_to") - F.greatest("start", "_from")
+    return (
+        asked.join(pieces, ["chrom", "_cell"]).filter(bases > 0)
+        .groupBy(*track, *at).agg(F.sum(bases).alias("_covered"))
+        .filter(F.col("_covered") * 100 >= threshold * (F.col("end") - F.col("start"))).drop("_covered")
     )
 
 
-def label_stats(labeled: DataFrame, majority: DataFrame, output: str = "majority", sample: str = "sample") -> DataFrame:
-    """Per-sample counts and a final row for the majority vote."""
-    return sample_prevalence(labeled, sample).unionByName(sample_prevalence(majority.withColumn(sample, F.lit(output)), sample))
+def replicates(tracks: DataFrame, feature: str = "feature") -> dict[str, int]:
+    """Number of samples of each feature; one row per feature reaches the driver."""
+    return {r[0]: r[1] for r in tracks.distinct().groupBy(feature).count().collect()}
+
+
+def add_majority(
+    bins: DataFrame, positives: DataFrame, samples_of: dict[str, int], features: Sequence[str], majority: float = 0.5
+) -> DataFrame:
+    """``bins`` with one 0/1 column per feature: whether at least ``majority`` of its samples are positive there."""
+    unknown = [f for f in features if not samples_of.get(f)]
+    if unknown:
+        raise ValueError(f"no samples of {unknown}")
+    at = ["chrom", "start", "end"]
+    votes = positives.groupBy(*at).agg(*[F.count_if(F.col("feature") == f).alias(f) for f in features])
+    return bins.join(votes, at, "left").withColumns({
+        f: (F.coalesce(F.col(f), F.lit(0)) >= majority * samples_of[f]).cast("int") for f in features
+    })
+
+
+def long_labels(wide: DataFrame, features: Sequence[str], keys: Sequence[str] = ("chrom", "start", "end")) -> DataFrame:
+    return wide.unpivot(list(keys), list(features), "feature", "label")
+
+
+def track_prevalence(
+    bins: DataFrame, positives: DataFrame, tracks: DataFrame, track: Sequence[str] = ("feature", "sample")
+) -> DataFrame:
+    """(track, positive, total, prevalence) over all bins, tracks without a positive bin included."""
+    total = bins.agg(F.count(F.lit(1)).alias("total"))
+    found = positives.groupBy(*track).agg(F.count(F.lit(1)).alias("positive"))
+    counted = match(tracks.select(*track).distinct(), found, list(track), "left").crossJoin(F.broadcast(total))  # one row
+    positive = F.coalesce("positive", F.lit(0))
+    return counted.select(*track, positive.alias("positive"), "total", (positive / F.col("total")).alias("prevalence"))
+
+
+def label_stats(prevalence: DataFrame, majority: DataFrame, output: str = "majority", sample: str = "sample") -> DataFrame:
+    """Counts per sample over its features, and a final row for the majority vote (rows with a label)."""
+    counts = lambda positive, total: (F.sum(positive).alias("positive"), F.sum(total).alias("total"), (F.sum(positive) / F.sum(total)).alias("prevalence"))
+    return prevalence.groupBy(F.col(sample).cast("string").alias(sample)).agg(*counts("positive", "total")).unionByName(
+        majority.agg(*counts("label", F.lit(1))).withColumn(sample, F.lit(output))
+    )
 
 
 def merge_labels(

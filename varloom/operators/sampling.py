@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from varloom.operators.scale import hash_order, hash_rank, lookup_join
+from varloom.operators.scale import hash_order, hash_rank, match
 
 # Default shares and held-out chromosomes.
 TEST_SIZE = 0.2
@@ -23,7 +23,7 @@ VAL_CHROM = 7
 def _assign(df: DataFrame, seed, keys, group, test_rows: Column, val_rows: Column) -> DataFrame:
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
     ranked = hash_rank(df, seed, keys, group, "_rank")
-    sized = lookup_join(ranked, sizes, group) if group else ranked.crossJoin(F.broadcast(sizes))  # one row
+    sized = match(ranked, sizes, group) if group else ranked.crossJoin(F.broadcast(sizes))  # one row
     return sized.withColumn("_test", test_rows).withColumn("_val", val_rows).withColumn(
         "split",
         F.when(F.col("_rank") <= F.col("_test"), "test").when(F.col("_rank") <= F.col("_test") + F.col("_val"), "val").otherwise("train"),
@@ -46,8 +46,8 @@ def train_val_split(df: DataFrame, keys: Sequence[str], val_size: float = VAL_SI
 
 
 def signature(features: Sequence[str]) -> Column:
-    """The label set of a row as one string."""
-    return F.concat_ws("", *[F.col(f).cast("string") for f in features])
+    """The label set of a row as one string, unknown labels included."""
+    return F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("?")) for f in features])
 
 
 def stratified_split(
@@ -62,7 +62,7 @@ def stratified_split(
     signed = df.withColumn("_stratum", signature(features))
     if min_stratum > 1:
         counts = signed.groupBy(*group, "_stratum").agg(F.count(F.lit(1)).alias("_rows"))
-        signed = lookup_join(signed, counts, [*group, "_stratum"]).withColumn(
+        signed = match(signed, counts, [*group, "_stratum"]).withColumn(
             "_stratum", F.when(F.col("_rows") < min_stratum, F.lit("rare")).otherwise(F.col("_stratum"))
         ).drop("_rows")
     return _assign(
@@ -104,7 +104,7 @@ def stratified_subsample(
     strata = signed.groupBy(group, "_stratum").agg(F.count(F.lit(1)).alias("_rows"))
     sizes = strata.groupBy(group).agg(F.sum("_rows").alias("_size"))
     shared = (
-        strata.join(sizes, group).join(wanted.select(group, "quota"), group)
+        match(match(strata, sizes, [group]), wanted.select(group, "quota"), [group])
         .withColumn("_quota", F.least("quota", "_size"))
         .withColumn("_take", F.floor(F.col("_quota") * F.col("_rows") / F.col("_size")))
         .withColumn("_rest", (F.col("_quota") * F.col("_rows")) % F.col("_size"))
@@ -115,7 +115,7 @@ def stratified_subsample(
     take = shared.withColumn(
         "_take", F.col("_take") + (F.row_number().over(order) <= F.col("_quota") - F.sum("_take").over(inside)).cast("long")
     ).select(group, "_stratum", "_take")
-    placed = lookup_join(signed, take, [group, "_stratum"])
+    placed = match(signed, take, [group, "_stratum"])
     return hash_rank(placed, seed, keys, [group, "_stratum"], "_rank", keep=F.col("_take")).drop("_rank", "_take", "_stratum")
 
 

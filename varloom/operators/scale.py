@@ -8,7 +8,9 @@ inside the pieces, and pass a short per-piece summary along.
 from __future__ import annotations
 
 import math
+import operator
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -16,22 +18,15 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from varloom.session import cut_lineage
 
 ROWS_PER_BLOCK = 1_000_000
-MAX_BLOCKS = 2048
+MAX_BLOCKS = 1 << 16
 HOT_ROWS = 1_000_000
 POSITION_BUCKET = 1 << 18
-BROADCAST_ROWS = 200_000
 
 _EVERYTHING = (W.unboundedPreceding, W.currentRow)
 _EARLIER = (W.unboundedPreceding, -1)
 _LATER = (1, W.unboundedFollowing)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only for a side counted to hold at most ``max_rows`` rows."""
-    counted = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if counted <= max_rows else df
-
-
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Shuffle by ``key`` only when a source has fewer splits than the cluster has cores.
 
@@ -41,19 +36,37 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
+def match(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys meet each other."""
+    other = right.withColumnsRenamed({c: f"_other_{c}" for c in on})
+    same = reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"_other_{c}")) for c in on])
+    return left.join(other, same, how).drop(*[f"_other_{c}" for c in on])
+
+
+def reject_nulls(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df``; a null in one of the columns is an error.
+
+    The check is a filter, so no plan can skip it, and one that names the partition, so none moves it before other filters.
+    """
+    missing = reduce(operator.or_, [F.col(c).isNull() for c in columns])
+    error = F.raise_error(F.lit("null among " + ", ".join(columns))).cast("boolean")
+    return df.filter(F.when(missing, error).otherwise(F.spark_partition_id() >= 0))
+
+
 def skew_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", hot_rows: int = HOT_ROWS,
     counted: DataFrame | None = None,
 ) -> DataFrame:
-    """Equi-join that spreads left keys with more than ``hot_rows`` rows over several slots.
+    """Equi-join whose left side may have hot keys.
 
-    Without such keys this is a plain join. Their list holds at most rows(left) / hot_rows entries, which bounds
-    what is collected and broadcast; right rows are copied only for them. ``counted`` is a frame
-    (on, _rows) where the key counts are known already.
+    Adaptive execution splits them at run time, without a count beforehand. Where the right side is partitioned by the
+    key already, it cannot; callers then pass ``counted``, a frame (on, _rows) that they have anyway, and left keys
+    of more than ``hot_rows`` rows are spread over slots. The list of such keys holds at most rows(left) / hot_rows entries. The
+    slot comes from the row and its partition: equal rows spread too, and a task that runs again deals alike.
     """
     on = list(on)
     if counted is None:
-        counted = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+        return left.join(right, on, how)
     listed = counted.filter(F.col("_rows") > hot_rows).select(
         *on, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_slots")
     )
@@ -61,7 +74,7 @@ def skew_join(
     if not keys:
         return left.join(right, on, how)
     hot = F.broadcast(left.sparkSession.createDataFrame(keys, listed.schema))
-    slot = F.pmod(F.xxhash64(*left.columns), F.col("_slots")).cast("int")
+    slot = F.pmod(F.xxhash64(F.spark_partition_id(), *left.columns), F.col("_slots")).cast("int")
     spread = left.join(hot, on, "left").withColumn("_slot", F.coalesce(slot, F.lit(0))).drop("_slots")
     copied = right.join(hot, on, "left").withColumn(
         "_slot", F.explode(F.sequence(F.lit(0), F.coalesce("_slots", F.lit(1)) - 1))
@@ -70,9 +83,8 @@ def skew_join(
 
 
 def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join to a table that is expected to be small: broadcast when its count proves it, else ``skew_join``."""
-    hinted = broadcast_if_small(right)
-    return left.join(hinted, list(on), how) if hinted is not right else skew_join(left, right, on, how)
+    """Join to a table that is expected to be small: adaptive execution broadcasts it if it is, and splits hot keys if not."""
+    return left.join(right, list(on), how)
 
 
 # --- value order -------------------------------------------------------------------------------
@@ -85,18 +97,19 @@ def cut_points(df: DataFrame, column: str, rows: int, rows_per_block: int = ROWS
     """
     blocks = min(MAX_BLOCKS, -(-rows // rows_per_block))
     grid = [i / blocks for i in range(1, blocks)]
-    quantiles = df.agg(F.percentile_approx(F.col(column).cast("double"), grid, 10_000)).first()[0]
-    return sorted({q for q in quantiles if math.isfinite(q)})
+    quantiles = df.agg(F.percentile_approx(F.col(column).cast("double"), grid, max(10_000, 10 * blocks))).first()[0]
+    return sorted({q for q in quantiles or [] if math.isfinite(q)})
 
 
 def with_block(df: DataFrame, column: str, cuts: Sequence[float], name: str = "_block") -> DataFrame:
+    """Add the block number; null comes before all values, like in an ascending sort."""
     bucketizer = Bucketizer(
         splits=[float("-inf"), *cuts, float("inf")],
         inputCol="_cut_value", outputCol="_cut_block", handleInvalid="keep",
     )
     return (
         bucketizer.transform(df.withColumn("_cut_value", F.col(column).cast("double")))
-        .withColumn(name, F.col("_cut_block").cast("int"))
+        .withColumn(name, F.coalesce(F.col("_cut_block").cast("int"), F.lit(-1)))
         .drop("_cut_value", "_cut_block")
     )
 
@@ -141,7 +154,7 @@ def running_totals(
             .withColumns({f"_carry_{n}": F.coalesce(F.sum(f"_carry_{n}").over(across), F.lit(0)) for n in sums})
         )
         out = (
-            out.join(carried, keys)
+            match(out, carried, keys)
             .withColumns({f"cum_{n}": F.col(f"cum_{n}") + F.col(f"_carry_{n}") for n in sums})
             .drop(*[f"_carry_{n}" for n in sums])
         )
@@ -162,8 +175,10 @@ def neighbour(
         # The edge row of each block that faces the neighbouring block.
         edge = F.max_by if following == descending else F.min_by
         across = W.partitionBy(*(group or [F.lit(0)])).orderBy(sort("_block"))
-        edges = blocked.groupBy(*keys).agg(edge(row, order).alias("_edge")).withColumn("_edge", shift("_edge").over(across))
-        out = out.join(edges, keys).withColumn(name, F.coalesce(name, "_edge")).drop("_edge")
+        # The block of null orders has one row, which no least or largest order finds.
+        ends = F.coalesce(edge(row, order), F.first(row)).alias("_edge")
+        edges = blocked.groupBy(*keys).agg(ends).withColumn("_edge", shift("_edge").over(across))
+        out = match(out, edges, keys).withColumn(name, F.coalesce(name, "_edge")).drop("_edge")
     return out.drop("_block")
 
 
@@ -171,7 +186,7 @@ def global_row_number(
     df: DataFrame, order: str, key: str, name: str = "rank", descending: bool = False,
     rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
-    """Dense 1..n numbering by (order, key) without sorting everything in one task.
+    """Dense 1..n numbering by (order, key) without sorting everything in one task; null is the lowest value.
 
     Rows with the same ``order`` value are further cut by ranges of the unique ``key``, so a value
     that holds a third of the rows is numbered by many tasks.
@@ -192,7 +207,7 @@ def global_row_number(
     ).select(order, "_key_block", (F.col("cum_n") - F.col("_n")).alias("_before"))
     inside = W.partitionBy(order, "_key_block").orderBy(key)
     return (
-        keyed.join(placed, [order, "_key_block"])
+        match(keyed, placed, [order, "_key_block"])
         .withColumn(name, F.col("_before") + F.row_number().over(inside))
         .drop("_before", "_key_block")
     )
@@ -208,7 +223,7 @@ def exact_percentiles(
     counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(rows.alias("_n"))
     totals = counts.groupBy(*group).agg(F.sum("_n").alias("_total"))
     ranked = running_totals(counts, [value], {"n": F.col("_n")}, group, rows_per_block=rows_per_block)
-    ranked = ranked.join(totals, group) if group else ranked.crossJoin(F.broadcast(totals))
+    ranked = match(ranked, totals, group) if group else ranked.crossJoin(F.broadcast(totals))
     last = F.col("_total") - 1
     holds = lambda i: (F.col("cum_n") - F.col("_n") <= i) & (i < F.col("cum_n"))
     picks = []
@@ -235,15 +250,19 @@ def hash_order(seed: int | str, *keys: str) -> Column:
 
 def hash_rank(
     df: DataFrame, seed: int | str, keys: Sequence[str], group: Sequence[str] = (),
-    name: str = "rank", keep: Column | None = None,
+    name: str = "rank", keep: Column | None = None, digits: int = 4,
 ) -> DataFrame:
-    """1..n in hash order within each group. The first three hex digits split a group in 4096 even parts.
+    """1..n in hash order within each group, a null group being one of its own.
 
-    With ``keep`` (rows wanted per group), parts that start after the quota are dropped before sorting.
+    The first hex ``digits`` split a group in 16**digits even parts. With ``keep`` (rows wanted per group), parts that start
+    after the quota are dropped before sorting.
     """
-    hashed = df.withColumn("_hash", hash_order(seed, *keys)).withColumn("_part", F.substring("_hash", 1, 3))
-    parts = [*group, "_part"]
-    across = W.partitionBy(*(group or [F.lit(0)])).orderBy("_part").rowsBetween(*_EARLIER)
+    # A struct is never null, so the group's rows meet whatever it holds.
+    hashed = df.withColumn("_hash", hash_order(seed, *keys)).withColumn("_part", F.substring("_hash", 1, digits)).withColumn(
+        "_group", F.struct(F.lit(0).alias("_"), *group)
+    )
+    parts = ["_group", "_part"]
+    across = W.partitionBy("_group").orderBy("_part").rowsBetween(*_EARLIER)
     before = (
         hashed.groupBy(*parts).agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(across), F.lit(0))).drop("_n")
@@ -252,7 +271,7 @@ def hash_rank(
     if keep is not None:
         placed = placed.filter(F.col("_before") < keep)
     inside = W.partitionBy(*parts).orderBy("_hash", *keys)
-    ranked = placed.withColumn(name, F.col("_before") + F.row_number().over(inside)).drop("_hash", "_part", "_before")
+    ranked = placed.withColumn(name, F.col("_before") + F.row_number().over(inside)).drop("_hash", "_part", "_before", "_group")
     return ranked if keep is None else ranked.filter(F.col(name) <= keep)
 
 
@@ -305,11 +324,11 @@ def position_scan(
     ``before`` accumulates from the left and ``after`` from the right, both with the row itself;
     ``following`` from the right without it. ``df`` holds one row per (keys, position), so a bucket
     holds at most ``width`` rows however hot a position is. It is stored once: the bucket
-    summaries and the rows both read it, and scans of scans stay linear.
+    summaries and the rows both read it, and scans of scans stay linear. Null keys or positions are an error.
     """
     before, after, following = before or {}, after or {}, following or {}
     rightward = {**after, **following}
-    bucketed = cut_lineage(df.withColumn("_bucket", position_bucket(position, width)))
+    bucketed = cut_lineage(reject_nulls(df, [*keys, position]).withColumn("_bucket", position_bucket(position, width)))
     inside = W.partitionBy(*keys, "_bucket").orderBy(position)
     frames = {
         **{n: (*v, inside.rowsBetween(*_EVERYTHING)) for n, v in before.items()},

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from varloom.functions.naming import position_id
 from varloom.functions.scores import EFFECTS, sigmoid
 from varloom.functions.sequence import BASES, kmers
-from varloom.operators.scale import broadcast_if_small, global_row_number, lookup_join, skew_join
+from varloom.operators.scale import global_row_number, lookup_join, skew_join
 
 # --- probabilities -----------------------------------------------------------------------------
 
@@ -47,7 +47,7 @@ def score_kmers(
     """
     words = df.select(key, F.explode(kmers(F.col(seq), k)).alias("kmer"))
     # K-mers that the model does not know add nothing.
-    matched = words.join(broadcast_if_small(weights), "kmer", "left")
+    matched = words.join(weights, "kmer", "left")
     return matched.groupBy(key).agg(*[sigmoid(F.coalesce(F.sum(f), F.lit(0.0))).alias(f) for f in features])
 
 

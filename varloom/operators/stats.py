@@ -1,11 +1,12 @@
-"""Ranks, empirical p-values, multiple-testing corrections, priors and the effective number of tests."""
+"""Ranks, empirical p-values, multiple-testing corrections and priors.
+
+The number of tests ``m`` (all of them, or an effective number) is a parameter of the corrections.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from varloom.functions.scores import bonferroni, sidak
@@ -22,13 +23,14 @@ def empirical_p(
 ) -> DataFrame:
     """(background with strictly larger |score| + 1) / (background + 1).
 
-    Both sides meet as counts per distinct |score|; one running sum replaces a search per row.
+    Both sides meet as counts per distinct |score|; one running sum replaces a search per row. A null score has a null p,
+    and a null of the background counts for nothing.
     """
     size = F.abs(F.col(score)).alias("_size")
     counts = (
         background.select(size, F.lit(1).alias("_bg"))
         .unionByName(scores.select(size, F.lit(0).alias("_bg")))
-        .groupBy("_size").agg(F.sum("_bg").alias("_bg"), F.count_if(F.col("_bg") == 0).alias("_rows"))
+        .filter("_size is not null").groupBy("_size").agg(F.sum("_bg").alias("_bg"), F.count_if(F.col("_bg") == 0).alias("_rows"))
     )
     larger = running_totals(counts, ["_size"], {"bg": F.col("_bg")}, descending=True, rows_per_block=rows_per_block)
     total = larger.agg(F.sum("_bg").alias("_total"))
@@ -37,7 +39,7 @@ def empirical_p(
         .select("_size", ((F.col("cum_bg") - F.col("_bg") + 1) / (F.col("_total") + 1)).alias(name))
     )
     sized = scores.withColumn("_size", F.abs(F.col(score)))
-    return skew_join(sized, p, ["_size"], counted=larger.select("_size", "_rows")).drop("_size")
+    return skew_join(sized, p, ["_size"], "left", counted=larger.select("_size", "_rows")).drop("_size")
 
 
 # --- multiple testing --------------------------------------------------------------------------
@@ -45,30 +47,36 @@ def empirical_p(
 
 def _step_up(ranked: DataFrame, p: str, threshold: Column) -> DataFrame:
     """Everything up to the largest rank that meets its threshold is significant."""
-    marked = ranked.withColumn("bh_threshold", threshold)
+    marked = ranked.withColumn("bh_threshold", F.when(F.col("rank").isNotNull(), threshold))
     cut = marked.agg(F.max(F.when(F.col(p) <= F.col("bh_threshold"), F.col("rank"))).alias("_cut"))
     return marked.crossJoin(F.broadcast(cut)).withColumn(  # one row
-        "significant", F.col("_cut").isNotNull() & (F.col("rank") <= F.coalesce("_cut", F.lit(0)))
+        "significant", F.coalesce(F.col("rank") <= F.col("_cut"), F.lit(False))
     ).drop("_cut")
 
 
+def _ranked(df: DataFrame, p: str, key: str, rows_per_block: int) -> DataFrame:
+    """Rank by p; rows without one have no rank and take no part in the correction."""
+    ranked = global_row_number(df.filter(F.col(p).isNotNull()), p, key, rows_per_block=rows_per_block)
+    return ranked.unionByName(df.filter(F.col(p).isNull()).withColumn("rank", F.lit(None).cast("long")))
+
+
 def bh(df: DataFrame, q: float, m: float, p: str = "p_value", key: str = "variant_key", rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Step-up procedure with threshold rank / m * q."""
-    ranked = global_row_number(df, p, key, rows_per_block=rows_per_block)
+    ranked = _ranked(df, p, key, rows_per_block)
     return _step_up(ranked, p, F.col("rank") / F.lit(float(m)) * q)
 
 
 def bh_meff(df: DataFrame, q: float, m_eff: float, p: str = "p_value", key: str = "variant_key", rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Step-up procedure whose threshold climbs from q / m_eff at rank 1 to q at the last rank."""
-    ranked = global_row_number(df, p, key, rows_per_block=rows_per_block)
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
+    ranked = _ranked(df, p, key, rows_per_block)
+    total = df.agg(F.count(p).alias("_total"))
     first = q / m_eff
     share = F.when(F.col("_total") > 1, (F.col("rank") - 1) / F.nullif(F.col("_total") - 1, F.lit(0))).otherwise(0.0)
     return _step_up(ranked.crossJoin(F.broadcast(total)), p, F.lit(first) + share * (q - first)).drop("_total")  # one row
 
 
 def bonferroni_test(df: DataFrame, q: float, m: float, p: str = "p_value") -> DataFrame:
-    return df.withColumn("p_bonferroni", bonferroni(F.col(p), F.lit(float(m)))).withColumn("significant", F.col(p) <= q / m)
+    return df.withColumn("p_bonferroni", bonferroni(F.col(p), F.lit(float(m)))).withColumn("significant", F.coalesce(F.col(p) <= q / m, F.lit(False)))
 
 
 def sidak_alpha(q: float, m: float) -> float:
@@ -76,7 +84,7 @@ def sidak_alpha(q: float, m: float) -> float:
 
 
 def sidak_test(df: DataFrame, q: float, m: float, p: str = "p_value") -> DataFrame:
-    return df.withColumn("p_sidak", sidak(F.col(p), F.lit(float(m)))).withColumn("significant", F.col(p) <= sidak_alpha(q, m))
+    return df.withColumn("p_sidak", sidak(F.col(p), F.lit(float(m)))).withColumn("significant", F.coalesce(F.col(p) <= sidak_alpha(q, m), F.lit(False)))
 
 
 METHODS = {"bh": bh, "bh_meff": bh_meff, "bonf": bonferroni_test, "sidak": sidak_test}
@@ -159,7 +167,7 @@ def threshold_line(df: DataFrame, value: str, t: float) -> DataFrame:
     return df.agg((F.avg(value) + t * F.stddev_samp(value)).alias("threshold"))
 
 
-# --- effective number of tests -------------------------------------------------------------------
+# --- linkage -------------------------------------------------------------------------------------
 
 
 def clean_ld(r: Column) -> Column:
@@ -167,36 +175,6 @@ def clean_ld(r: Column) -> Column:
     return F.when(r.isNull() | F.isnan(r), 0.0).when(r == float("inf"), 1.0).when(r == float("-inf"), -1.0).otherwise(r)
 
 
-def _block_eigenvalues(pdf: pd.DataFrame) -> pd.DataFrame:
-    ids = np.unique(np.concatenate([pdf["i"].to_numpy(), pdf["j"].to_numpy()]))
-    matrix = np.zeros((len(ids), len(ids)))
-    matrix[np.searchsorted(ids, pdf["i"]), np.searchsorted(ids, pdf["j"])] = pdf["r"]
-    try:
-        values = np.linalg.eigvalsh(matrix)
-    except np.linalg.LinAlgError:
-        values = np.linalg.eigvalsh(matrix + np.eye(len(ids)) * 1e-6)
-    return pd.DataFrame({"block": pdf["block"].iloc[0], "eigenvalue": values})
-
-
-def effective_tests(ld: DataFrame, max_block: int = 2048) -> DataFrame:
-    """Effective number of tests from correlations (block, i, j, r); both triangles of each block are given.
-
-    Eigenvalues are taken per LD block, so blocks run side by side; the sum over blocks is exact
-    when blocks are uncorrelated. A block beyond ``max_block`` variants is refused: choose finer blocks.
-    """
-    sizes = ld.groupBy("block").agg(F.count(F.lit(1)).alias("_cells"))
-    too_big = F.raise_error(F.concat(F.lit("LD block too large: "), F.col("block").cast("string")))
-    checked = skew_join(ld.withColumn("r", clean_ld(F.col("r"))), sizes, ["block"]).filter(
-        F.when(F.col("_cells") <= max_block * max_block, F.lit(True)).otherwise(too_big.cast("boolean"))
-    ).select(F.col("block").cast("long").alias("block"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "r")
-    x = F.abs(F.col("eigenvalue"))
-    part = F.when(x >= 1, 1.0).otherwise(0.0) + (x - F.floor(x))
-    return (
-        checked.groupBy("block").applyInPandas(_block_eigenvalues, "block long, eigenvalue double")
-        .agg(F.greatest(F.lit(1), F.bround(F.sum(part), 0).cast("int")).alias("m_eff"))
-    )
-
-
 def check_ld_size(ld: DataFrame, scores: DataFrame) -> DataFrame:
     """One row with the number of variants in both; an error when they differ."""
     sides = ld.agg(F.countDistinct("block", "i").alias("n_ld")).crossJoin(scores.agg(F.count(F.lit(1)).alias("n_scores")))  # one row each

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from varloom.functions.sequence import MAX_TOKENS, kmerize, kmers
-from varloom.operators.scale import broadcast_if_small, hash_order
+from varloom.operators.scale import hash_order
 
 # The label of tokens that carry no loss, the masked share and its division.
 NO_LABEL = -100
@@ -32,7 +32,7 @@ def encode(
     """
     specials = sum(i is not None for i in (start_id, end_id))
     words = df.select(key, F.posexplode_outer(F.slice(F.split(F.col(seq), " "), 1, max_length - specials)).alias("at", "token"))
-    known = words.join(broadcast_if_small(vocabulary), "token", "left")
+    known = words.join(vocabulary, "token", "left")
     ids = known.groupBy(key).agg(
         F.collect_list(F.when(F.length("token") > 0, F.struct("at", F.coalesce("id", F.lit(unknown_id)).cast("int").alias("id")))).alias("_pairs")
     )

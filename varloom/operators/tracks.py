@@ -33,14 +33,14 @@ def _cell_runs(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
         runs.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("start") / CELL), F.floor((F.col("end") - 1) / CELL))))
         .withColumn("_from", F.greatest(F.col("start"), F.col("_cell") * CELL))
         .withColumn("_to", F.least(F.col("end"), (F.col("_cell") + 1) * CELL))
-        .select(*keys, "_cell", "_from", "_to", "value")
+        .select(*keys, "_cell", "_from", "_to", "value", "_apart")
     )
 
 
-def _moments(bases, value):
+def _moments(bases, apart):
     return [
-        F.sum(bases).alias("_b"), F.sum(bases * value).alias("_s"), F.sum(bases * value * value).alias("_q"),
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"),
+        F.sum(bases).alias("_b"), F.sum(bases * apart).alias("_s"), F.sum(bases * apart * apart).alias("_q"),
+        F.min("value").alias("_lo"), F.max("value").alias("_hi"),
     ]
 
 
@@ -63,8 +63,12 @@ def region_stats(regions: DataFrame, runs: DataFrame, keys: Sequence[str] = ("ch
     long region costs about as much as a short one.
     """
     keys = list(keys)
-    cells = cut_lineage(_cell_runs(runs, keys))
-    blocks = cut_lineage(cells.groupBy(*keys, "_cell").agg(*_moments(F.col("_to") - F.col("_from"), F.col("value"))))
+    # Sums are taken around each key's mean signal, so that squares of large values do not cancel in the deviation.
+    width = F.col("end") - F.col("start")
+    anchors = cut_lineage(runs.groupBy(*keys).agg((F.sum(width * F.col("value")) / F.sum(width)).alias("_anchor")))
+    apart = runs.join(anchors, keys).withColumn("_apart", F.col("value") - F.col("_anchor")).drop("_anchor")
+    cells = cut_lineage(_cell_runs(apart, keys))
+    blocks = cut_lineage(cells.groupBy(*keys, "_cell").agg(*_moments(F.col("_to") - F.col("_from"), F.col("_apart"))))
     wide = blocks.groupBy(*keys, F.floor(F.col("_cell") / (1 << LOWER)).alias("_cell")).agg(*_combined())
     levels = _level_sums(blocks, keys, 0, range(LOWER)).unionByName(_level_sums(wide, keys, LOWER, range(LOWER, LEVELS)))
     first, last = F.floor(F.col("start") / CELL), F.floor((F.col("end") - 1) / CELL)
@@ -77,20 +81,20 @@ def region_stats(regions: DataFrame, runs: DataFrame, keys: Sequence[str] = ("ch
     bases = F.least(F.col("end"), F.col("_to")) - F.greatest(F.col("start"), F.col("_from"))
     edge = (
         skew_join(ends, cells, [*keys, "_cell"]).filter(bases > 0)
-        .select("region_id", bases.alias("_b"), (bases * F.col("value")).alias("_s"),
-                (bases * F.col("value") * F.col("value")).alias("_q"), F.col("value").alias("_lo"), F.col("value").alias("_hi"))
+        .select("region_id", bases.alias("_b"), (bases * F.col("_apart")).alias("_s"),
+                (bases * F.col("_apart") * F.col("_apart")).alias("_q"), F.col("value").alias("_lo"), F.col("value").alias("_hi"))
     )
     summed = inner.unionByName(edge).groupBy("region_id").agg(
         F.sum("_b").alias("_b"), F.sum("_s").alias("_s"), F.sum("_q").alias("_q"), F.min("_lo").alias("min"), F.max("_hi").alias("max")
     )
-    mean = F.col("_s") / F.col("_b")
+    mean = F.col("_s") / F.col("_b")  # still around the anchor
     variance = F.greatest((F.col("_q") - F.col("_s") * mean) / F.nullif(F.col("_b") - 1, F.lit(0)), F.lit(0.0))
     return (
-        regions.join(summed, ["region_id"], "left")
-        .withColumn("mean", mean)
+        regions.join(summed, ["region_id"], "left").join(anchors, keys, "left")
+        .withColumn("mean", F.col("_anchor") + mean)
         .withColumn("std", F.when(F.col("_b") > 1, F.sqrt(variance)))
         .withColumn("coverage", F.coalesce("_b", F.lit(0)) / (F.col("end") - F.col("start")))
-        .drop("_b", "_s", "_q")
+        .drop("_b", "_s", "_q", "_anchor")
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from varloom.functions.naming import annotation_pos, variant_id
 from varloom.operators import genome, intervals as iv, labels, logs, sampling, scoring, stats, variants as vt
-from varloom.operators.scale import POSITION_BUCKET, broadcast_if_small
+from varloom.operators.scale import POSITION_BUCKET
 from varloom.session import cut_lineage
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -17,31 +17,41 @@ Scorer = Callable[[DataFrame], DataFrame]
 def score_variants(
     snps: DataFrame, chunks: DataFrame, scorer: Scorer, features: Sequence[str], length: int = 1000, method: str = "log_odds",
     size: int = genome.CHUNK, overlap: int = genome.OVERLAP, on_error: str = "raise",
-) -> DataFrame:
-    """SNP list -> windows -> probabilities -> wide scores with the overall score, by variant key."""
+) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """SNP list -> windows -> probabilities -> wide scores with the overall score, by variant key.
+
+    A variant without a window is an error; with ``on_error="split"`` such variants come back as a second frame with their
+    problem.
+    """
     cut = genome.extract_windows(snps, chunks, length, size, overlap, on_error=on_error)
     windows = cut if on_error == "raise" else cut[0]
     probabilities = scoring.score_ref_alt(windows.select("variant_key", "ref_seq", "alt_seq"), scorer)
-    return scoring.score_matrix(scoring.effect_scores(probabilities, method), features)
+    scores = scoring.score_matrix(scoring.effect_scores(probabilities, method), features)
+    return scores if on_error == "raise" else (scores, cut[1])
 
 
-def rank_scored(snps: DataFrame, scores: DataFrame, metric: str = "Variant", top: int | None = None) -> DataFrame:
-    """SNPs with their scores by falling metric."""
+def rank_scored(
+    snps: DataFrame, scores: DataFrame, metric: str = "Variant", top: int | None = None, rejects: DataFrame | None = None
+) -> DataFrame:
+    """SNPs with their scores by falling metric; with ``rejects`` those too, last, without a score but with their problem."""
     named = snps.withColumn("id", variant_id(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt")))
-    return scoring.rank_variants(named.join(scores, "variant_key"), metric, top)
+    if rejects is None:
+        return scoring.rank_variants(named.join(scores, "variant_key"), metric, top)
+    joined = named.join(scores, "variant_key", "left").join(rejects.select("variant_key", "problem"), "variant_key", "left")
+    return scoring.rank_variants(joined, metric, top)
 
 
 def saturation_scan(
     chunks: DataFrame, regions: DataFrame, scorer: Scorer, features: Sequence[str], length: int, threshold: float,
     size: int = genome.CHUNK, overlap: int = genome.OVERLAP,
-) -> tuple[DataFrame, DataFrame]:
-    """(matrix of base x position effects, positions whose largest effect reaches the threshold)."""
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(matrix of base x position effects, positions whose largest effect reaches the threshold, mutations without a window)."""
     mutations = genome.saturate_regions(chunks, regions, size).withColumn(
         "variant_key", variant_id(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt"))
     )
-    scores = score_variants(mutations, chunks, scorer, features, length, size=size, overlap=overlap, on_error="split")
+    scores, rejects = score_variants(mutations, chunks, scorer, features, length, size=size, overlap=overlap, on_error="split")
     matrix = scoring.mutagenesis_matrix(mutations.join(scores, "variant_key"), "Variant")
-    return matrix, scoring.significant_positions(matrix, threshold)
+    return matrix, scoring.significant_positions(matrix, threshold), rejects
 
 
 def training_samples(
@@ -55,20 +65,11 @@ def training_samples(
     samples = genome.filter_ambiguous(
         genome.bin_genome(chunks, bin_size, forward=forward, backward=backward, size=size, overlap=overlap), max_n_percent
     ).select("chrom", "start", "end", "seq")
-    # Every bin is asked of every track, as many rows as there are labels to give.
-    asked = samples.select("chrom", "start", "end").crossJoin(broadcast_if_small(runs.select(*track).distinct()))
-    labeled = labels.sample_labels(iv.coverage(asked, peaks, [*track, "chrom"], width), coverage_threshold)
-    per_feature = _majority_by_feature(labeled, majority)
-    merged = labels.merge_labels(samples, per_feature, features)
+    positives = labels.positive_bins(samples, peaks, track, coverage_threshold, bin_size, width)
+    merged = labels.add_majority(samples, positives, labels.replicates(runs.select(*track)), features, majority)
     return sampling.chromosome_split(merged)
 
 
-def _majority_by_feature(labeled: DataFrame, majority: float) -> DataFrame:
-    """A feature's samples vote among themselves."""
-    votes = labeled.groupBy("feature", "chrom", "start", "end").agg(F.sum("label").alias("_yes"), F.count(F.lit(1)).alias("_all"))
-    return votes.select("feature", "chrom", "start", "end", (F.col("_yes") >= majority * F.col("_all")).cast("int").alias("label"))
-
-
 def significance(
     scores: DataFrame, background: DataFrame, method: str, q: float, m: float, strategy: str = "minmax_softmax", score: str = "score",
 ) -> DataFrame:
@@ -80,8 +81,8 @@ def significance(
 def background_scores(
     sites: DataFrame, lengths: DataFrame, genes: DataFrame, quotas: DataFrame, chunks: DataFrame, scorer: Scorer, features: Sequence[str],
     length: int, buffer: int = 1000, seed: int = 42, size: int = genome.CHUNK, overlap: int = genome.OVERLAP,
-) -> DataFrame:
-    """Sampled background sites and their overall scores."""
+) -> tuple[DataFrame, DataFrame]:
+    """(overall scores of sampled background sites, sampled sites without a window)."""
     sampled = vt.genomewide_sample(sites, lengths, genes, quotas, buffer, seed)
     return score_variants(sampled, chunks, scorer, features, length, size=size, overlap=overlap, on_error="split")
 

@@ -17,16 +17,16 @@ view("cumulative", """
          lead(pos) OVER w AS next_pos, lead(neg) OVER w AS next_neg FROM score_counts WINDOW w AS (PARTITION BY label ORDER BY p DESC ROWS UNBOUNDED PRECEDING)""")
 view("roc", """
   SELECT label, p AS threshold, fp / n_neg AS fpr, tp / n_pos AS tpr FROM cumulative WHERE point = 1 OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg
-  UNION ALL SELECT DISTINCT label, 'inf'::DOUBLE, 0, 0 FROM event_evaluations""")
+  UNION ALL SELECT DISTINCT label, NULL, 0, 0 FROM event_evaluations""")
 
 
 def _points(df, columns):
     return df.select("label", *[r6(F.col(c)).alias(c) for c in columns])
 
 
-@query("SELECT label, round(threshold, 6) AS threshold, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM roc WHERE threshold < 2")
+@query("SELECT label, round(threshold, 6) AS threshold, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM roc")
 def roc_curve(spark, sf):
-    return _points(evaluate.roc_curve(event_evaluations(spark, sf)).filter("threshold < 2"), ["threshold", "fpr", "tpr"])
+    return _points(evaluate.roc_curve(event_evaluations(spark, sf)), ["threshold", "fpr", "tpr"])
 
 
 @query("""
@@ -72,14 +72,8 @@ def summary_metrics(spark, sf):
 
 @query("SELECT label, round(auroc, 6) AS area FROM event_areas")
 def trapezoid_of_roc(spark, sf):
-    points = evaluate.roc_curve(event_evaluations(spark, sf))
-    # One point per false positive rate is not given on a curve with vertical steps, so the order is the running sum of both rates.
-    ordered = points.withColumn("at", F.col("fpr") + F.col("tpr"))
-    from varloom.operators.scale import neighbour
-
-    stepped = neighbour(ordered, "at", ["fpr", "tpr"], "prev", ["label"], following=False)
-    area = F.sum((F.col("fpr") - F.col("prev.fpr")) * (F.col("tpr") + F.col("prev.tpr")) / 2)
-    return stepped.groupBy("label").agg(r6(area).alias("area"))
+    area = evaluate.trapezoid(evaluate.roc_curve(event_evaluations(spark, sf)), "fpr", "tpr")
+    return area.withColumn("area", r6(F.col("area")))
 
 
 @query("""

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from varloom.operators import intervals as iv, labels, sampling
-from varloom.operators.scale import broadcast_if_small, hash_rank
+from varloom.operators import labels, sampling
+from varloom.operators.scale import hash_rank
 from varloom.operators.variants import sample_exact, sample_per_chromosome
 from varloom.plans.inputs import (
     EVENT_TYPES, FEATURES, bins, intervals, labeled_documents, labeled_vectors, prevalence, r6, table, variants,
@@ -15,14 +15,6 @@ from varloom.plans.registry import query, view
 # --- labels ------------------------------------------------------------------------------------
 
 
-def _sample_coverage(spark, sf):
-    """Bin coverage per feature and sample."""
-    source = intervals(spark, sf)
-    groups = source.select("feature", "sample").distinct()
-    wide = bins(spark, sf).crossJoin(broadcast_if_small(groups))  # every bin is asked of every sample
-    return iv.coverage(wide, source, ["feature", "sample", "chrom"])
-
-
 view("sample_merged", """
   SELECT feature, sample, chrom, min(start) AS start, max("end") AS "end" FROM (
     SELECT *, sum(opens) OVER (PARTITION BY feature, sample, chrom ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM (
@@ -36,22 +28,38 @@ view("bin_labels", """
     ON c.feature = g.feature AND c.sample = g.sample AND c.chrom = b.chrom AND c.start = b.start""")
 
 
-def _bin_labels(spark, sf):
-    return labels.sample_labels(_sample_coverage(spark, sf)).select("chrom", "start", "end", "feature", "sample", "label")
+def _positives(spark, sf):
+    return labels.positive_bins(bins(spark, sf), intervals(spark, sf), cell=10_000)
+
+
+def _prevalence(spark, sf):
+    return labels.track_prevalence(bins(spark, sf), _positives(spark, sf), intervals(spark, sf))
 
 
 @query("SELECT feature, sample, CAST(sum(label) AS BIGINT) AS positive, count(*) AS total, round(avg(label), 6) AS prevalence FROM bin_labels GROUP BY ALL")
 def sample_prevalence(spark, sf):
-    long = _bin_labels(spark, sf).withColumn("sample", F.struct("feature", "sample"))
-    return labels.sample_prevalence(long).select("sample.feature", "sample.sample", "positive", "total", r6(F.col("prevalence")).alias("prevalence"))
+    return _prevalence(spark, sf).withColumn("prevalence", r6(F.col("prevalence")))
 
 
 view("majority", """
   SELECT feature, chrom, start, "end", CAST(sum(label) >= 0.5 * count(*) AS INTEGER) AS label FROM bin_labels GROUP BY ALL""")
 
 
-def _majority(spark, sf):
-    return labels.majority_labels(_bin_labels(spark, sf), keys=["feature", "chrom", "start", "end"])
+def _majority(spark, sf, source=None):
+    source = intervals(spark, sf) if source is None else source
+    positives = labels.positive_bins(bins(spark, sf), source, cell=10_000)
+    wide = labels.add_majority(bins(spark, sf), positives, labels.replicates(source.select("feature", "sample")), EVENT_TYPES)
+    return labels.long_labels(wide, EVENT_TYPES)
+
+
+# Features with one, two and three samples.
+_FEWER = "NOT (feature = 'click' AND sample = 2) AND NOT (feature = 'view' AND sample > 0)"
+
+
+@query(f"""
+  SELECT feature, chrom, start, "end", CAST(sum(label) >= 0.5 * count(*) AS INTEGER) AS label FROM bin_labels WHERE {_FEWER} GROUP BY ALL""")
+def majority_of_unequal_samples(spark, sf):
+    return _majority(spark, sf, intervals(spark, sf).filter(_FEWER))
 
 
 @query("SELECT feature, chrom, start, \"end\", label FROM majority")
@@ -63,8 +71,7 @@ def majority_labels(spark, sf):
   SELECT CAST(sample AS VARCHAR) AS sample, CAST(sum(label) AS BIGINT) AS positive, count(*) AS total, round(avg(label), 6) AS prevalence FROM bin_labels GROUP BY sample
   UNION ALL SELECT 'majority', CAST(sum(label) AS BIGINT), count(*), round(avg(label), 6) FROM majority""")
 def label_stats(spark, sf):
-    long = _bin_labels(spark, sf).withColumn("sample", F.col("sample").cast("string"))
-    return labels.label_stats(long, _majority(spark, sf)).withColumn("prevalence", r6(F.col("prevalence")))
+    return labels.label_stats(_prevalence(spark, sf), _majority(spark, sf)).withColumn("prevalence", r6(F.col("prevalence")))
 
 
 @query("SELECT chrom, start, \"end\", " + ", ".join(f"max(label) FILTER (feature = '{f}') AS {f}" for f in EVENT_TYPES) + " FROM majority GROUP BY ALL")

@@ -222,7 +222,7 @@ def empirical_p(spark, sf):
 
 
 view("p_ranked", "SELECT *, CAST(p_value AS DOUBLE) AS p, row_number() OVER (ORDER BY p_value, variant_key) AS rank, count(*) OVER () AS total FROM p_values")
-# A loose level, because the empirical p of a small background cannot be tiny.
+# A loose level, because the empirical p of a small background cannot be tiny. The number of tests is the caller's.
 _Q, _M = 0.2, 40.0
 
 
@@ -311,7 +311,3 @@ def _ld(spark, sf):
 def ld_matrix(spark, sf):
     return _ld(spark, sf).select("i", "j", r6(F.col("r")).alias("r"))
 
-
-@query()
-def effective_tests(spark, sf):
-    return stats.effective_tests(_ld(spark, sf))

@@ -313,14 +313,16 @@ def _snps_and_chunks(spark, sf):
 
 
 @query("""
-  SELECT variant_key, 'Chr' || chrom || ':' || pos || '_' || ref || alt AS id, round(overall, 6) AS overall FROM window_effects JOIN genome_variants USING (variant_key)""")
+  SELECT variant_key, 'Chr' || chrom || ':' || pos || '_' || ref || alt AS id, round(overall, 6) AS overall,
+         CASE WHEN overall IS NULL THEN 'window leaves its chromosome: ' || chrom || ':' || pos END AS problem
+  FROM genome_variants LEFT JOIN window_effects USING (variant_key)""")
 def score_and_rank_variants(spark, sf):
     snps, genome_chunks = _snps_and_chunks(spark, sf)
-    scores = flows.score_variants(
+    scores, rejects = flows.score_variants(
         snps, genome_chunks, _kmer_scorer(spark), _MODEL, _LENGTH, size=_SIZE, overlap=_OVERLAP, on_error="split"
     )
-    ranked = flows.rank_scored(snps, scores)
-    return ranked.select("variant_key", "id", r6(F.col("Variant")).alias("overall"))
+    ranked = flows.rank_scored(snps, scores, rejects=rejects)
+    return ranked.select("variant_key", "id", r6(F.col("Variant")).alias("overall"), "problem")
 
 
 view("scanned", f"""
@@ -340,7 +342,7 @@ def saturation_scan(spark, sf):
     genome_chunks = chunks(spark, sf)
     middle = F.floor(F.col("length") / 2)
     regions = genome_chunks.filter("chunk_id = 0 and length >= 60").select("chrom", middle.alias("start"), (middle + 4).alias("end"))
-    matrix, _ = flows.saturation_scan(genome_chunks, regions, _kmer_scorer(spark), _MODEL, 21, 0.1, _SIZE, _OVERLAP)
+    matrix, _, _ = flows.saturation_scan(genome_chunks, regions, _kmer_scorer(spark), _MODEL, 21, 0.1, _SIZE, _OVERLAP)
     return matrix.select("id", "ref", r6(F.col("max_effect")).alias("max_effect"), r6(F.col("cumulative")).alias("cumulative"))
 
 

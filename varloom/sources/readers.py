@@ -58,7 +58,8 @@ def parse_vcf(lines: DataFrame, on_error: str = "raise") -> DataFrame | tuple[Da
     if on_error == "split":
         return sites.filter(~several), sites.filter(several)
     message = F.raise_error(F.concat(F.lit("more than one alternate at "), F.col("CHROM"), F.lit(":"), F.col("POS").cast("string")))
-    return sites.withColumn("ALT", F.when(several, message.cast("string")).otherwise(F.col("ALT")))
+    # The check is part of the filter, so no plan can skip it.
+    return sites.filter(F.when(several, message.cast("boolean")).otherwise(F.lit(True)))
 
 
 def read_vcf(spark: SparkSession, path, on_error: str = "raise"):
@@ -96,11 +97,20 @@ def read_gff(spark: SparkSession, path) -> DataFrame:
 
 
 def parse_freq(lines: DataFrame) -> DataFrame:
-    """Ragged allele-frequency lines: four fixed fields, then allele:frequency pairs."""
+    """Ragged allele-frequency lines: four fixed fields, then allele:frequency pairs.
+
+    Header lines, whose second field is POS, and empty lines are skipped; a line whose position is no number is an error.
+    """
     f = F.split("value", "\t")
     pairs = F.slice("_f", 5, F.greatest(F.size("_f") - 4, F.lit(0)))
-    return lines.select(f.alias("_f")).filter(F.try_element_at("_f", F.lit(2)).rlike("^[0-9]+$")).select(
-        F.col("_f")[0].alias("CHROM"), F.col("_f")[1].cast("long").alias("POS"),
+    header = F.upper(F.trim(F.coalesce(F.try_element_at("_f", F.lit(2)), F.lit("")))) == "POS"
+    position = F.try_element_at("_f", F.lit(2)).try_cast("double")
+    broken = F.raise_error(F.concat(F.lit("no position in line: "), F.array_join("_f", " "))).cast("boolean")
+    whole = F.coalesce(position == F.floor(position), F.lit(False))
+    return lines.filter("length(value) > 0").select(f.alias("_f")).filter(~header).filter(
+        F.when(whole, F.lit(True)).otherwise(broken)
+    ).select(
+        F.col("_f")[0].alias("CHROM"), position.cast("long").alias("POS"),
         F.col("_f")[2].cast("int").alias("N_ALLELES"), F.col("_f")[3].cast("int").alias("N_CHR"),
         F.transform(pairs, lambda x: F.split(x, ":")[1].cast("double")).alias("freqs"),
     )
@@ -257,7 +267,7 @@ def fasta_pieces(lines: DataFrame) -> DataFrame:
     headers; splits without one inherit the record and offset of the split before.
     """
     split = ["file", "split"]
-    header = F.when(F.col("value").startswith(">"), F.split(F.substring("value", 2, 1_000_000), r"\s")[0])
+    header = F.when(F.col("value").startswith(">"), F.split(F.substring("value", F.lit(2), F.length("value")), r"\s")[0])
     marked = lines.withColumn("_record", header).withColumn("_bases", F.when(F.col("_record").isNull(), F.length(F.trim("value"))).otherwise(0))
     inside = W.partitionBy(*split).orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
     seen = marked.withColumn("_named", F.last("_record", ignorenulls=True).over(inside)).withColumn(
