@@ -90,7 +90,7 @@ def document_frequencies(learning: DataFrame, text: str, bits: int) -> tuple[int
         yield pd.DataFrame({"bucket": np.append(at, -1), "rows": np.append(found[at], rows)})
 
     sums = learning.select(text).mapInPandas(counted, "bucket long, rows long").groupBy("bucket").agg(F.sum("rows").alias("rows"))
-    got = sums.toPandas()
+    got = sums.toArrow().to_pandas()
     frequencies = np.zeros(1 << bits)
     inside = got["bucket"] >= 0
     frequencies[got.loc[inside, "bucket"]] = got.loc[inside, "rows"]
@@ -113,9 +113,8 @@ def bounded_sample(learning: DataFrame, text: str, label: str, max_rows: int, bi
             yield pd.DataFrame({"label": batch[label], "at": at, "n": [c[i] for c, i in zip(found, at)]})
 
     sample = learning.filter(drawn < wanted).select(text, label).mapInPandas(counted, "label string, at array<int>, n array<int>")
-    got = sample.toPandas()
-    order = sorted(range(len(got)), key=lambda i: (len(got["at"][i]), got["label"][i], got["at"][i].tobytes()))
-    return [(got["label"][i], got["at"][i].astype(np.int64), got["n"][i].astype(float)) for i in order]
+    got = [(r["label"], np.array(r["at"], np.int64), np.array(r["n"], float)) for r in sample.toArrow().to_pylist()]
+    return sorted(got, key=lambda r: (len(r[1]), r[0], r[1].tobytes(), r[2].tobytes()))
 
 
 def ftrl(
