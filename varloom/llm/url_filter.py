@@ -145,10 +145,9 @@ def judge(
     ]
     best = F.greatest(*answers) if len(answers) > 1 else answers[0]
     names = {n: free_name(pages.columns, n) for n in ("host", "path", "rule", "verdict")}
-    result = judged.withColumn("_best", best)
-    return result.select(
-        *[F.col(f"`{c}`") for c in pages.columns],
-        F.col("_best.host").alias(names["host"]), F.col("_best.path").alias(names["path"]),
-        F.col("_best.rule").alias(names["rule"]),
-        F.coalesce(F.col("_best.verdict"), F.lit(default)).alias(names["verdict"]),
+    answer = free_name(pages.columns, "answer")
+    field = lambda name: F.col(answer)[name]
+    return judged.withColumn(answer, best).select(
+        *[F.col(f"`{c}`") for c in pages.columns], *[field(n).alias(names[n]) for n in ("host", "path", "rule")],
+        F.coalesce(field("verdict"), F.lit(default)).alias(names["verdict"]),
     )
