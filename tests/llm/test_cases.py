@@ -1,0 +1,324 @@
+"""Every operator on nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from varloom.llm import decontaminate, exact_dedup, hmm, language_id, line_dedup, mixing, secret_scan, simhash, token_output, url_filter
+
+from .conftest import CLASHES, LONG, ROWS, prose
+
+
+def tuples(frame, *columns):
+    return sorted((tuple(r) for r in frame.select(*columns).collect()), key=repr)
+
+
+def untouched(result, frame):
+    """The caller's rows are all there, with their own columns first and unchanged."""
+    assert result.columns[:len(frame.columns)] == frame.columns
+    assert tuples(result, *[result[c] for c in frame.columns[:4]], result["Score"]) == tuples(frame, *frame.columns[:4], "Score")
+
+
+# --- 1 -------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def items(spark):
+    rows = [(1, LONG[600:900]), (2, LONG[600:900].upper() + "!!"), (3, None), (4, ""), (5, "too short"), (None, prose(2, 50)), (7, prose(11, 40))]
+    return spark.createDataFrame(rows, "item_id long, text string")
+
+
+def test_items_are_found_in_odd_rows(odd, nothing, items):
+    found = decontaminate.find_items(odd, items)
+    got = {(r.doc_id, r.item_id): r for r in found.collect()}
+    assert (7, 1) in got and got[7, 1].n_items == 2 and got[7, 1].distance == 0
+    assert (2, None) in got and not any(i in (3, 4, 5) for _, i in got)
+    assert {d for d, _ in got} <= {2, 7, 1, 8, None}
+    assert decontaminate.find_items(nothing, items).count() == 0
+    assert decontaminate.find_items(odd, items.limit(0)).count() == 0
+    # Blocks change nothing.
+    assert tuples(decontaminate.find_items(odd, items, block_characters=100), "doc_id", "item_id", "distance") == tuples(
+        found, "doc_id", "item_id", "distance"
+    )
+
+
+def test_contaminated_rows_go(odd, nothing, items):
+    kept = decontaminate.remove_contaminated(odd, items)
+    hit = {r.doc_id for r in decontaminate.find_items(odd, items).collect()}
+    assert kept.columns == odd.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(
+        r[0] for r in ROWS if r[0] not in hit or (r[0] is None and r[1] is None)
+    ) or None in hit
+    assert 7 not in {r.doc_id for r in kept.collect()} and 10 in {r.doc_id for r in kept.collect()}
+    assert decontaminate.remove_contaminated(nothing, items).count() == 0
+    assert decontaminate.remove_contaminated(odd, items.limit(0)).count() == len(ROWS)
+
+
+# --- 2 -------------------------------------------------------------------------------------------
+
+
+def test_urls(spark):
+    long_path = "a/" * 50_000
+    cases = {
+        None: ("", "", None, "allow"), "": ("", "", None, "allow"), "example.net/es/": ("", "", None, "allow"),
+        "http://Foo.NET/es/x?q=/": ("foo.net", "/es/x", "net/es/", "block"), "http://net/es": ("net", "/es", None, "allow"),
+        "http://www.Example.com/en/1#x": ("www.example.com", "/en/1", "www.example.com/en/", "allow"),
+        "http://m.example.com/en/1": ("m.example.com", "/en/1", "example.com/en/", "block"),
+        "http://myexample.com/en/1": ("myexample.com", "/en/1", "com/", "allow"),
+        "http://www.example.com/english": ("www.example.com", "/english", "com/", "allow"),
+        "http://x.com?a": ("x.com", "", None, "allow"), "x://://": (":", "//", None, "allow"), "http://É.com/": ("É.com", "/", "com/", "allow"),
+        f"https://b.net/fr/{long_path}": ("b.net", f"/fr/{long_path}", "net/fr/", "block"),
+    }
+    from varloom.llm.queries import URL_RULES
+
+    rows = [(i, u) for i, u in enumerate(cases)] + [(99, None), (99, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "'own' AS host", "'own' AS Rule", "'own' AS answer")
+    for block in (500_000, 2):
+        got = url_filter.judge(pages, URL_RULES, rules_per_block=block)
+        assert got.columns == ["page_id", "url", "host", "Rule", "answer", "_host", "path", "_rule", "verdict"]
+        assert {r.url: tuple(r[5:]) for r in got.collect()} == cases and got.count() == len(rows)
+    assert url_filter.judge(pages.limit(0), URL_RULES).count() == 0
+    assert {r.verdict for r in url_filter.judge(pages, [], default="block").collect()} == {"block"}
+
+
+def test_rule_precedence():
+    rules = [url_filter.parse_rule(*r) for r in (("allow", "a.com/x/"), ("block", "a.com/x/y"), ("allow", "b.a.com/"), ("block", "a.com/x/"), ("block", "/"))]
+    find = url_filter.Trie(rules).find
+    assert find("a.com", "/x/z")[2:] == ("block", "a.com/x/")  # of equal rules block wins
+    assert find("a.com", "/x/yes")[2:] == ("block", "a.com/x/y")
+    assert find("c.b.a.com", "/x/yes")[2:] == ("allow", "b.a.com/")  # the deeper host wins
+    assert find("", "/q")[2:] == ("block", "/") and find("", "") is None
+
+
+# --- 3 -------------------------------------------------------------------------------------------
+
+
+def test_mix_of_odd_rows(odd, plain_rows, nothing):
+    got = mixing.mix_sizes(odd, rows_per_bucket=3)
+    rows = got.collect()
+    assert len(rows) == len(ROWS)
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    assert Counter((r.doc_id, r.size) for r in rows) == Counter((r[0], size(r[1])) for r in ROWS)
+    total = sum(r.size for r in rows)
+    by_source = {r.source: (r.source_size, r.target) for r in rows}
+    assert abs(sum(t for _, t in by_source.values()) - min(1.5 * total, 2 * total)) < 1e-6 * total
+    assert all(t <= 2 * s + 1e-9 for s, t in by_source.values()) and all(0 <= r.copies <= 2 for r in rows)
+    assert tuples(got, *got.columns) == tuples(mixing.mix_sizes(plain_rows), *got.columns)  # buckets and other columns change nothing
+    mixed = mixing.mix(odd)
+    assert mixed.columns == odd.columns
+    assert Counter(r.text for r in mixed.collect()) == Counter(
+        r[1] for r, n in ((r, next(x.copies for x in rows if (x.doc_id, x.size, x.source) == (r[0], size(r[1]), r[3]))) for r in ROWS) for _ in range(n)
+    )
+    assert mixing.mix_sizes(nothing).count() == 0 and mixing.mix(nothing).count() == 0
+
+
+def test_preferences_make_unequal_copies(spark):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "repeat('w ', 10) AS text", "'s' AS source", "cast(if(id % 4 = 0, 3, 1) AS double) AS liked")
+    docs = docs.withColumn("liked", F.when(F.col("doc_id") % 1000 == 1, F.lit(None)).otherwise(F.col("liked")))
+    got = mixing.mix(docs, weights=[1], share=0.5, preference=F.col("liked"), rows_per_bucket=500)
+    taken = Counter(r.doc_id % 4 == 0 for r in got.collect())
+    assert abs(sum(taken.values()) - 2000) <= 1
+    assert 0.9 < taken[True] / 1000 <= 1.1 and 0.28 < taken[False] / 3000 < 0.38  # 3 : 1 with a mean of 1.5 and half taken
+
+
+# --- 4 -------------------------------------------------------------------------------------------
+
+
+def test_fingerprint_groups_of_odd_rows(odd, nothing):
+    got = simhash.assign(odd)
+    rows = got.collect()
+    assert len(rows) == len(ROWS)
+    empty = {r.doc_id: r for r in rows if r.fingerprint == 0}
+    assert set(empty) == {3, 5, 6, None} and {r.component_id for r in empty.values()} == {3}
+    assert {r.component_id for r in rows if r.doc_id in (1, 8)} == {1}
+    assert simhash.assign(nothing).count() == 0
+
+
+def test_one_row_of_each_group(odd, nothing, spark):
+    got = simhash.deduplicate(odd)
+    assert got.columns == odd.columns
+    ids = Counter(r.doc_id for r in got.collect())
+    assert ids[9] == 1 and ids[3] == 1 and not {5, 6, 8} & set(ids) and max(ids.values()) == 1
+    assert simhash.deduplicate(nothing).count() == 0
+    unnamed = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (None, "A b c")], "doc_id long, text string")
+    assert simhash.deduplicate(unnamed).count() == 1
+
+
+# --- 5 -------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_groups_of_odd_rows(odd, nothing, weak):
+    # A digest that all texts share leaves the whole decision to the content.
+    options = {"digest": lambda t: F.lit("same")} if weak else {}
+    got = exact_dedup.assign(odd, **options)
+    untouched(got, odd)
+    groups = {}
+    for doc_id, text, *_ in ROWS:
+        groups.setdefault(text or "", []).append(doc_id)
+    names = got.columns[len(odd.columns):]
+    assert names == ["_text_digest", "_keep_id", "_group_size", "_kept"]
+    for r in got.collect():
+        ids = groups[r.text or ""]
+        keep = max((i for i in ids if i is not None), default=None)
+        assert (r["_keep_id"], r["_group_size"], r["_kept"]) == (keep, len(ids), r.doc_id == keep)
+        if not weak:
+            assert r["_text_digest"] == hashlib.sha256((r.text or "").encode()).hexdigest()
+    kept = exact_dedup.deduplicate(odd, **options)
+    assert kept.columns == odd.columns and Counter(r.text or "" for r in kept.collect()) == Counter(groups.keys())
+    assert exact_dedup.assign(nothing, **options).count() == 0 and exact_dedup.deduplicate(nothing, **options).count() == 0
+
+
+# --- 6 -------------------------------------------------------------------------------------------
+
+
+def test_lines_of_odd_rows(odd, nothing, spark):
+    got = line_dedup.drop_recurring_lines(odd, min_documents=2)
+    untouched(got, odd)
+    rows = [r for r in got.collect()]
+    dropped = {r.doc_id for r in rows if r["_dropped_lines"]}
+    assert dropped == {1, 8}  # row 9 is one document that is there twice
+    assert all(r["_clean_text"] == r.text for r in rows if r.doc_id not in dropped)
+    assert all(r["_n_lines"] == (0 if r.text is None else r.text.count("\n") + 1) for r in rows)
+    assert line_dedup.drop_recurring_lines(nothing).count() == 0
+
+
+def test_templates_generalise_variable_fields(spark):
+    texts = [f"page {i} of {i + 9} printed on {i}/7\nowned by user{chr(97 + i)} since long ago my friend\nnothing {'abcdefgh'[i]} {'stuvwxyz'[i]}\n\nend" for i in range(8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = line_dedup.drop_recurring_lines(docs, min_documents=5, depth=2)
+    for r in got.collect():
+        lines = r.text.split("\n")
+        assert r.dropped_lines == [1, 4] or r.dropped_lines == [0, 1, 4]
+        assert r.clean_text == "\n".join(l for i, l in enumerate(lines) if i not in r.dropped_lines)
+    # "page <*> of <*> printed on <*>" fixes four of seven tokens: under 0.6, but over 0.5.
+    assert {tuple(r.dropped_lines) for r in line_dedup.drop_recurring_lines(docs, min_documents=5, depth=2, min_fixed=0.5).collect()} == {(0, 1, 4)}
+    # The same lines many times in one document are no recurrence.
+    one = spark.createDataFrame([(1, "\n".join(["again and again"] * 9)), (2, "other")], "doc_id long, text string")
+    assert all(not r.dropped_lines for r in line_dedup.drop_recurring_lines(one, min_documents=2).collect())
+
+
+# --- 7 -------------------------------------------------------------------------------------------
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def _ids(text):
+    from tokenizers import Tokenizer
+
+    if not hasattr(_ids, "tokenizer"):
+        _ids.tokenizer = Tokenizer.from_file(TOKENIZER)
+    return _ids.tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
+
+
+@pytest.mark.parametrize("encoding", ["dictionary", "delta"])
+def test_token_files_of_odd_rows(spark, odd, tmp_path, encoding):
+    import pyarrow.parquet as pq
+
+    path = str(tmp_path / "tokens")
+    token_output.write_tokens(odd, path, TOKENIZER, encoding=encoding)
+    order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0))
+    rows = token_output.read_tokens(spark, path).orderBy("shard", "position").collect()
+    assert [r.doc_id for r in rows] == [r[0] for r in order]
+    assert Counter((r.doc_id, tuple(r.ids)) for r in rows) == Counter((r[0], tuple(_ids(r[1]))) for r in ROWS)
+    starts, at = [], 0
+    for r in rows:
+        starts.append((r.doc_id, at, len(r.ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in r.ids))))
+        at += len(r.ids)
+    assert tuples(token_output.read_checksums(spark, path), "doc_id", "start", "n_tokens", "ids_crc32") == sorted(starts, key=repr)
+    assert tuples(token_output.read_metadata(spark, path), "doc_id", "start", "n_tokens") == sorted((s[:3] for s in starts), key=repr)
+    assert {r.doc_id for r in token_output.read_tokens(spark, path, 5, 8).collect()} == {5, 6, 7, 8}
+    file = max((tmp_path / "tokens").glob("*.parquet"), key=lambda p: p.stat().st_size)
+    column = next(c for c in (pq.ParquetFile(file).metadata.row_group(0).column(i) for i in range(5)) if "ids" in c.path_in_schema)
+    assert ("DELTA_BINARY_PACKED" in column.encodings) == (encoding == "delta") and column.has_offset_index
+
+
+def test_empty_token_files(spark, nothing, tmp_path):
+    token_output.write_tokens(nothing, str(tmp_path / "t"), TOKENIZER)
+    assert token_output.read_checksums(spark, str(tmp_path / "t")).count() == 0
+    with pytest.raises(ValueError):
+        token_output.write_tokens(nothing, str(tmp_path / "u"), TOKENIZER, encoding="plain")
+
+
+def test_spaces_of_all_kinds_encode_as_the_whole_text():
+    cases = [
+        "", " ", "  ", " a", "a ", "a  b", "a \n b", "a\n b", "a \nb", "\u00a0 a \u00a0b", "a\u2003 b", "it's  they'll 's", "a\x1c b", "x\x85 y",
+        "\n\n a b\t c", "1 2  3", "\u3000 a", "don't stop 42nd  Street!! ...  ok", "<|endoftext|> a <|endoftext|>", "é è  ê",
+        "a.\nB", "a.\n\nB", "(a) [b].\nc", "x²½ ² 3.14a_b", "e\u0301 l'e\u0301te\u0301", "привет, мир! 你好 \n", "a\n", "\na", " \na", "a;\n b", "!?\nc", " 12\n34",
+    ]
+    encoder = token_output.Encoder(TOKENIZER, 2, memo_entries=3)
+    for text in cases:
+        assert list(memoryview(encoder.encode([text])[0]).cast("I")) == _ids(text), repr(text)
+    assert encoder.by_part and [list(memoryview(x).cast("I")) for x in encoder.encode(cases)] == [_ids(t) for t in cases]
+    other = token_output.Encoder(public_tokenizers.path("word_bpe_49k.json"), 2)
+    assert not other.by_part and list(memoryview(other.encode(["Some  words."])[0]).cast("I")) == (
+        other.tokenizer.encode("Some  words.", add_special_tokens=False).ids + [2]
+    )
+
+
+# --- 8 -------------------------------------------------------------------------------------------
+
+
+def test_scores_of_odd_rows(odd, nothing, plain_rows):
+    got = hmm.score_documents(odd, states=2, head_words=8)
+    rows = got.collect()
+    assert len(rows) == len(ROWS) and all(r.score < 0 and r.base_score < 0 for r in rows)
+    assert all(r.held_out for r in rows if r.doc_id is None)
+    tokens = lambda t: len((t or "").encode().split()) + 1
+    assert Counter((r.doc_id, r.n_tokens) for r in rows) == Counter((r[0], tokens(r[1])) for r in ROWS)
+    assert len({(r.base_score, round(r.score, 6)) for r in rows if r.doc_id == 9}) == 1
+    assert hmm.score_documents(nothing).count() == 0
+    untrained = hmm.score_documents(plain_rows, held_out_part=1).collect()
+    assert all(r.base_score == 0 and r.train_tokens == 0 and r.n_known == 0 and r.score <= 1e-6 for r in untrained)
+
+
+def test_general_scores_keep_columns(odd):
+    counts = hmm.gather_counts(odd)
+    model = hmm.train(odd.select("text"), counts, states=2, passes=1)
+    got = hmm.score(odd, counts, model)
+    assert got.columns == [c for c in odd.columns if c != "text"] + ["_n_tokens", "_n_known", "_base_score", "_score"]
+    assert got.count() == len(ROWS) and {r["Score"] for r in got.collect()} == {"own"}
+
+
+# --- 9 -------------------------------------------------------------------------------------------
+
+
+def test_findings_of_odd_rows(odd, nothing, spark):
+    assert secret_scan.scan(odd, path="source").count() == 0
+    assert secret_scan.scan(nothing).count() == 0
+    key, card = "AKIA" + "Q7" * 8, "4111111111111111"
+    rows = [(i, f"{LONG} the key {key} and card {card}.", None, 1) for i in range(6)] + [(None, f'x = "{key}"', "docs/test.py", 1), (7, None, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, label int")
+    got = secret_scan.scan(docs).collect()
+    assert len(got) == 13
+    for r in got:
+        assert r.is_secret == (r.shape != "digits") and r.preview[:4] in (key[:4], card[:4])
+    one_kind = secret_scan.scan(docs.filter("doc_id is null or doc_id = 7"), held_out_part=1_000_003).collect()
+    assert [r.is_secret for r in one_kind] == [True]
+
+
+# --- 10 ------------------------------------------------------------------------------------------
+
+
+def test_languages_of_odd_rows(odd, nothing):
+    model = language_id.fit(odd, epochs=1)
+    got = language_id.predict(odd, model)
+    untouched(got, odd)
+    for r in got.collect():
+        letters = r.text is not None and any(c.isalpha() for c in r.text)
+        assert (r["_lang_pred"] in ("en", "de") if letters else r["_lang_pred"] == "und") and 0 <= r["_score"] <= 1
+    assert language_id.predict(nothing, model).count() == 0
+    unlearned = language_id.predict(odd, language_id.fit(nothing))
+    assert {(r["_lang_pred"], r["_score"]) for r in unlearned.collect()} == {("und", 0.0)}
+
+
+def test_spans_of_long_texts_count_every_ngram(monkeypatch):
+    whole = language_id.ngram_counts(LONG[:5000])
+    monkeypatch.setattr(language_id, "_SPAN", 7)
+    assert (language_id.ngram_counts(LONG[:5000]) == whole).all()
+    assert whole.sum() == 5000 + 4999 + 4998
