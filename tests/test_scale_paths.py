@@ -236,6 +236,30 @@ def test_nearest_eligible_across_buckets(spark):
     assert as_set(got, "variant_key", "distance", "positive_pos") == expected
 
 
+def test_no_positive_stays_short_while_a_candidate_is_free(spark):
+    rng = random.Random(5)
+    positives = [(1, p, round(rng.random(), 2)) for p in sorted(rng.sample(range(2000), 40))]
+    candidates = [(i, 1, rng.randrange(2000), round(rng.random(), 2)) for i in range(90)]
+    candidates += [(100 + i, 1, candidates[i][2], round(rng.random(), 2)) for i in range(20)]  # two records at one site
+    got = vt.matched_negatives(
+        spark.createDataFrame(positives, "chrom int, pos long, MAF_PCT double"),
+        spark.createDataFrame(candidates, "variant_key long, chrom int, pos long, MAF_PCT double"), 200, 0.2, count=2, width=50,
+    ).collect()
+    fits = lambda c, p: abs(c[2] - p[1]) <= 200 and abs(round(c[3] * 1e5) - round(p[2] * 1e5)) <= 20_000
+    used, filled = Counter(r["pos"] for r in got), Counter(r["positive_pos"] for r in got)
+    assert max(used.values()) == 1 and max(filled.values()) == 2
+    of = {c[0]: c for c in candidates}
+    assert all(fits(of[r["variant_key"]], next(p for p in positives if p[1] == r["positive_pos"])) for r in got)
+    open_pairs = [(c, p) for c in candidates for p in positives if c[2] not in used and filled[p[1]] < 2 and fits(c, p)]
+    assert not open_pairs
+    # Two positives, three candidates that fit both: both are filled.
+    both = vt.matched_negatives(
+        spark.createDataFrame([(1, 100, 0.5), (1, 300, 0.5)], "chrom int, pos long, MAF_PCT double"),
+        spark.createDataFrame([(i, 1, 90 + i, 0.5) for i in range(3)], "variant_key long, chrom int, pos long, MAF_PCT double"), 500, 0.1,
+    )
+    assert {r["positive_pos"] for r in both.collect()} == {100, 300}
+
+
 def test_statistics_with_many_blocks(skewed):
     background = skewed.filter("grp = 'hot'")
     few = as_set(stats.empirical_p(skewed, background), "variant_key", "p_value")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from varloom.functions.naming import (
     CHROMOSOMES, NON_CODING, annotation_chrom, annotation_pos, consensus_chromosome, gene_id, info_allele_frequency,
@@ -15,6 +16,7 @@ from varloom.operators.scale import (
     POSITION_BUCKET, enclosing_blocks, hash_order, hash_rank, lookup_join, position_scan,
     running_totals, skew_join, top_n_per_group, with_aligned_blocks,
 )
+from varloom.session import cut_lineage
 
 # --- filters -----------------------------------------------------------------------------------
 
@@ -197,24 +199,38 @@ def matched_negatives(
     positives: DataFrame, candidates: DataFrame, max_dist: int, tolerance: float = 0.05, count: int = 1, seed: int = 42,
     key: str = "variant_key", width: int = POSITION_BUCKET,
 ) -> DataFrame:
-    """Up to ``count`` negatives per positive, each used once.
+    """Up to ``count`` negatives per positive; a site is used once, and no positive stays short while one is free for it.
 
-    A candidate serves the closest positive it may serve; a positive takes its closest candidates, ties in
-    seeded hash order.
+    In each round a free candidate offers itself to the closest positive that it may serve and that still lacks some; a
+    positive takes the closest offers, ties in seeded hash order. Rounds end when nobody offers; each fills at least
+    every positive that has a free candidate with one more.
     """
-    offered = nearest_eligible(positives.select("chrom", "pos", "MAF_PCT").distinct(), candidates, max_dist, tolerance, width)
-    ordered = offered.withColumn("_hash", hash_order(seed, key))
-    return top_n_per_group(
-        ordered, ["chrom", "positive_pos"], [F.col("distance"), F.col("_hash"), F.col(key)], count
-    ).drop("_hash")
-
-
-def eligible_candidates(
-    variants: DataFrame, genes: DataFrame, known: DataFrame, width: int = POSITION_BUCKET
-) -> DataFrame:
-    """Biallelic SNPs that are not known functional sites and lie in no gene."""
-    snps = variants.filter(is_biallelic_snp(F.col("ref"), F.col("alt")))
-    return outside_genes(remove_positions(snps, known), genes, width)
+    site = ["chrom", "pos"]
+    short = cut_lineage(positives.select("chrom", "pos", "MAF_PCT").distinct().withColumn("_lack", F.lit(count)))
+    free, rounds = candidates, []
+    best_first = lambda: (F.col("distance"), hash_order(seed, key), F.col(key))
+    while True:
+        offered = nearest_eligible(short.select("chrom", "pos", "MAF_PCT"), free, max_dist, tolerance, width)
+        lacking = short.groupBy(F.col("chrom"), F.col("pos").alias("positive_pos")).agg(F.max("_lack").alias("_lack"))
+        # Whoever has no offer left is eligible for none of the positives that are short, now or later.
+        offered = cut_lineage(top_n_per_group(offered, site, best_first(), 1).join(lacking, ["chrom", "positive_pos"]))
+        first = top_n_per_group(offered, ["chrom", "positive_pos"], best_first(), count)
+        place = F.row_number().over(W.partitionBy("chrom", "positive_pos").orderBy(*best_first()))
+        taken = cut_lineage(first.withColumn("_place", place).filter("_place <= _lack").drop("_place", "_lack"))
+        rounds.append(taken)
+        filled = taken.groupBy(F.col("chrom"), F.col("positive_pos").alias("pos")).agg(F.count(F.lit(1)).alias("_got"))
+        short = cut_lineage(
+            short.join(filled, site, "left").withColumn("_lack", F.col("_lack") - F.coalesce("_got", F.lit(0))).drop("_got").filter("_lack > 0")
+        )
+        left_over = offered.select(*site).join(taken.select(*site), site, "left_anti")
+        if short.isEmpty() or left_over.isEmpty():
+            return reduce(DataFrame.unionByName, rounds)
+        free = cut_lineage(candidates.join(left_over.distinct(), site, "left_semi"))
+
+
+def candidate_sites(variants: DataFrame, known: DataFrame) -> DataFrame:
+    """Biallelic SNPs that are not known functional sites: the population in which frequencies are ranked."""
+    return remove_positions(variants.filter(is_biallelic_snp(F.col("ref"), F.col("alt"))), known)
 
 
 def sample_per_chromosome(df: DataFrame, quotas: DataFrame, seed: int, keys: Sequence[str]) -> DataFrame:

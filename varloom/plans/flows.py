@@ -105,8 +105,10 @@ def positives_and_negatives(
     """
     positives = cut_lineage(vt.sample_exact(vt.functional_snps(annotations, maf, min_maf), n_positive, seed, ["id"]))
     known = annotations.select(F.substring("var", 3, 2).cast("int").alias("chrom"), annotation_pos(F.col("var")).alias("pos"))
-    free = cut_lineage(vt.eligible_candidates(sites, genes, known))
-    candidates = vt.percent_rank(vt.info_maf(free), "MAF", "MAF_PCT", 5).filter(F.col("MAF_PCT").isNotNull())
+    # Ranked among all sites that may be negatives, before those in genes are left out.
+    free = cut_lineage(vt.info_maf(vt.candidate_sites(sites, known)))
+    ranked = vt.percent_rank(free, "MAF", "MAF_PCT", 5).filter(F.col("MAF_PCT").isNotNull())
+    candidates = vt.outside_genes(ranked, genes)
     return positives, vt.matched_negatives(positives, cut_lineage(candidates), max_dist, tolerance, per_positive, seed)
 
 

@@ -203,16 +203,36 @@ def attach_frequencies(spark, sf):
 
 
 _DIST, _TOL, _COUNT = 20_000, 0.05, 2
-view("eligible", """
+view("free_sites", """
   SELECT variant_key, chrom, pos, least(af, 1 - af) AS maf FROM sites s WHERE length(alt) = 1 AND alt <> ','
-  AND NOT EXISTS (SELECT 1 FROM variants k WHERE k.event_type = 'click' AND k.chrom = s.chrom AND k.pos = s.pos)
-  AND NOT EXISTS (SELECT 1 FROM genes g WHERE g.chrom = s.chrom AND s.pos BETWEEN g.start AND g."end")""")
+  AND NOT EXISTS (SELECT 1 FROM variants k WHERE k.event_type = 'click' AND k.chrom = s.chrom AND k.pos = s.pos)""")
 view("candidates", """
-  SELECT variant_key, chrom, pos, maf, round((rank() OVER (ORDER BY maf) + (count(*) OVER (PARTITION BY maf) - 1) / 2.0) / count(*) OVER (), 5) AS pct FROM eligible""")
-view("offers", f"""
-  SELECT c.variant_key, c.chrom, c.pos, p.pos AS positive_pos, abs(c.pos - p.pos) AS distance FROM candidates c JOIN (SELECT DISTINCT chrom, pos, pct FROM positives) p
+  SELECT * FROM (SELECT variant_key, chrom, pos, maf, round((rank() OVER (ORDER BY maf) + (count(*) OVER (PARTITION BY maf) - 1) / 2.0) / count(*) OVER (), 5) AS pct FROM free_sites) s
+  WHERE NOT EXISTS (SELECT 1 FROM genes g WHERE g.chrom = s.chrom AND s.pos BETWEEN g.start AND g."end")""")
+
+
+def _offers(positives, candidates):
+    return f"""
+  SELECT c.variant_key, c.chrom, c.pos, p.pos AS positive_pos, abs(c.pos - p.pos) AS distance FROM {candidates} c JOIN (SELECT DISTINCT chrom, pos, pct FROM {positives}) p
   ON p.chrom = c.chrom AND abs(c.pos - p.pos) <= {_DIST} AND abs(CAST(round(c.pct * 100000) AS BIGINT) - CAST(round(p.pct * 100000) AS BIGINT)) <= {round(_TOL * 100000)}
-  QUALIFY row_number() OVER (PARTITION BY c.variant_key ORDER BY abs(c.pos - p.pos), p.pos) = 1""")
+  QUALIFY row_number() OVER (PARTITION BY c.variant_key ORDER BY abs(c.pos - p.pos), p.pos) = 1"""
+
+
+view("offers", _offers("positives", "candidates"))
+# Rounds of matching, more than the tables need: each takes from what the rounds before have left.
+_ROUNDS = 6
+view("short_1", f"SELECT DISTINCT chrom, pos, pct, {_COUNT} AS lack FROM positives")
+view("free_1", "SELECT * FROM candidates")
+for _i in range(1, _ROUNDS + 1):
+    view(f"offers_{_i}", _offers(f"short_{_i}", f"free_{_i}"))
+    view(f"sites_{_i}", f"SELECT * FROM offers_{_i} QUALIFY row_number() OVER (PARTITION BY chrom, pos ORDER BY distance, md5('42:' || variant_key), variant_key) = 1")
+    view(f"taken_{_i}", f"""
+  SELECT o.* FROM sites_{_i} o JOIN (SELECT chrom, pos AS positive_pos, lack FROM short_{_i}) s USING (chrom, positive_pos)
+  QUALIFY row_number() OVER (PARTITION BY chrom, positive_pos ORDER BY distance, md5('42:' || variant_key), variant_key) <= any_value(lack) OVER (PARTITION BY chrom, positive_pos)""")
+    view(f"short_{_i + 1}", f"""
+  SELECT s.chrom, s.pos, s.pct, s.lack - coalesce(t.got, 0) AS lack FROM short_{_i} s LEFT JOIN (SELECT chrom, positive_pos AS pos, count(*) AS got FROM taken_{_i} GROUP BY ALL) t USING (chrom, pos)
+  WHERE s.lack - coalesce(t.got, 0) > 0""")
+    view(f"free_{_i + 1}", f"SELECT * FROM free_{_i} f WHERE NOT EXISTS (SELECT 1 FROM taken_{_i} t WHERE t.chrom = f.chrom AND t.pos = f.pos)")
 view("positives", "SELECT * FROM functional ORDER BY md5('42:' || id), id LIMIT 60")
 
 
@@ -227,9 +247,7 @@ def sampled_positives(spark, sf):
     return vt.sample_exact(vt.functional_snps(_annotations(spark, sf), _maf(spark, sf)), 60, 42, ["id"]).select("chrom", "pos", "id")
 
 
-@query(f"""
-  SELECT variant_key, chrom, pos, positive_pos, distance FROM offers
-  QUALIFY row_number() OVER (PARTITION BY chrom, positive_pos ORDER BY distance, md5('42:' || variant_key), variant_key) <= {_COUNT}""")
+@query(" UNION ALL ".join(f"SELECT variant_key, chrom, pos, positive_pos, distance FROM taken_{i}" for i in range(1, _ROUNDS + 1)))
 def matched_negatives(spark, sf):
     return _positive_negative(spark, sf)[1].select("variant_key", "chrom", "pos", "positive_pos", "distance")
 
@@ -239,8 +257,8 @@ def nearest_eligible_positive(spark, sf):
     """Every candidate with the positive it may serve."""
     positives = vt.sample_exact(vt.functional_snps(_annotations(spark, sf), _maf(spark, sf)), 60, 42, ["id"])
     known = _annotations(spark, sf).select(F.substring("var", 3, 2).cast("int").alias("chrom"), naming.annotation_pos(F.col("var")).alias("pos"))
-    free = vt.eligible_candidates(_sites(spark, sf), genes(spark, sf), known)
-    candidates = vt.percent_rank(vt.info_maf(free), "MAF", "MAF_PCT", 5)
+    ranked = vt.percent_rank(vt.info_maf(vt.candidate_sites(_sites(spark, sf), known)), "MAF", "MAF_PCT", 5)
+    candidates = vt.outside_genes(ranked, genes(spark, sf))
     offered = vt.nearest_eligible(positives.select("chrom", "pos", "MAF_PCT"), candidates, _DIST, _TOL)
     return offered.select("variant_key", "chrom", "pos", "positive_pos", "distance")
 
