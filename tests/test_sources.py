@@ -52,6 +52,14 @@ def test_variant_files(spark, tmp_path):
     assert readers.read_bim(spark, put(tmp_path, "a.bim", "1\trs1\t0.5\t77\tA\tG\n")).collect()[0]["BP"] == 77
     gff = put(tmp_path, "a.gff", "#x\nchr01\ts\tgene\t3\t9\t.\t+\t.\tID=g1;N=2\n")
     assert readers.read_gff(spark, gff).collect()[0]["end"] == 9
+    several = readers.read_vcf(spark, put(tmp_path, "b.vcf", "AP014957.1\t7\trs1\tA\tG,T\n"))
+    for asked in (several.select("CHROM", "POS"), several.agg(F.count(F.lit(1)))):
+        with pytest.raises(Exception, match="more than one alternate at AP014957.1:7"):
+            asked.collect()
+    lost = readers.read_freq(spark, put(tmp_path, "b.frq", "CHROM\tPOS\tN\n1\t1e5\t2\t20\tA:0.9\n"))
+    assert lost.collect()[0]["POS"] == 100_000
+    with pytest.raises(Exception, match="no position"):
+        readers.read_freq(spark, put(tmp_path, "c.frq", "CHROM\tPOS\tN\n1\tx\t2\t20\tA:0.9\n")).collect()
     freq = put(tmp_path, "a.frq", "CHROM\tPOS\tN_ALLELES\tN_CHR\t{ALLELE:FREQ}\n1\t5\t2\t20\tA:0.9\tG:0.1\n1\t6\t3\t20\tA:0.5\tG:0.3\tT:0.2\n")
     assert [r["freqs"] for r in readers.read_freq(spark, freq).orderBy("POS").collect()] == [[0.9, 0.1], [0.5, 0.3, 0.2]]
     snps = put(tmp_path, "s.tsv", "chrom\tpos\tid\tref\talt\n1\t5\tx\tA\tG\n")
@@ -147,6 +155,18 @@ def test_keyless_scores_and_best_rows(spark, tmp_path):
     assert sorted((r["model"], r["eval_loss"]) for r in best.collect()) == [("k3", 0.4), ("k6", 0.3)]
 
 
+def test_logits_and_labels(spark, tmp_path):
+    rows = range(200)
+    logits = put(tmp_path, "logits.txt", "".join(f"{i}.5 -{i}\n" for i in rows))
+    labels = put(tmp_path, "labels.txt", "".join(f"{i % 2} 1\n" for i in rows))
+    both = readers.read_evaluation(spark, logits, labels)
+    writers.write_evaluation(both, str(tmp_path / "evaluation"), "ordinal")
+    got = {r["ordinal"]: (r["logits"], r["labels"]) for r in spark.read.parquet(str(tmp_path / "evaluation")).collect()}
+    assert got == {i: ([i + 0.5, -i], [i % 2, 1]) for i in rows}
+    with pytest.raises(Exception, match="differ at row 199"):
+        readers.read_evaluation(spark, logits, put(tmp_path, "short.txt", "0 1\n" * 199)).collect()
+
+
 def test_catalog_append(spark, tmp_path):
     samples = spark.createDataFrame([("a1", "leaf", "H3K9ac", "x.bw", "http")], "Accession string, Tissue string, Histone_Mod string, File_Name string, Link string")
     path = str(tmp_path / "catalog")

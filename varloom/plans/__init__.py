@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["queries_scores", "queries_intervals", "queries_labels", "queries_sequences", "queries_evaluation", "queries_variants"]
+MODULES = ["queries_scores", "queries_intervals", "queries_labels", "queries_sequences", "queries_evaluation", "queries_variants", "queries_formats"]
 
 
 def load_registry():

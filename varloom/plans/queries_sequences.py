@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from varloom.functions.sequence import complement, kmer_combinations, kmerize, n_percent
+from varloom.functions.sequence import MAX_TOKENS, complement, kmer_combinations, kmerize, n_percent
 from varloom.operators import evaluate, genome, scoring, tokens
 from varloom.plans.inputs import genome_variants, r6, sequences, stored_sequences, table
 from varloom.plans.registry import query, view
@@ -167,18 +167,18 @@ def kmer_counts(spark, sf):
 
 
 view("token_rows", f"""
-  SELECT chrom, list_transform({_sql_kmers(3, limit=126)}, lambda w: instr('ACGTN', substr(w, 1, 1)) * 25 + instr('ACGTN', substr(w, 2, 1)) * 5 + instr('ACGTN', substr(w, 3, 1)) - 31 + 5) AS ids FROM dna""")
+  SELECT chrom, list_transform({_sql_kmers(3, limit=MAX_TOKENS - 2)}, lambda w: instr('ACGTN', substr(w, 1, 1)) * 25 + instr('ACGTN', substr(w, 2, 1)) * 5 + instr('ACGTN', substr(w, 3, 1)) - 31 + 5) AS ids FROM dna""")
 view("framed", """SELECT chrom, list_concat([2], list_concat(ids, [3])) AS ids FROM token_rows""")
 
 
 def _encoded(spark, sf):
-    words = stored_sequences(spark, sf).select("chrom", kmerize(F.col("seq"), 3, 512).alias("seq"))
-    return tokens.encode(words, vocabulary(spark), "chrom", max_length=128, start_id=2, end_id=3)
+    words = stored_sequences(spark, sf).select("chrom", kmerize(F.col("seq"), 3, MAX_TOKENS).alias("seq"))
+    return tokens.encode(words, vocabulary(spark), "chrom", max_length=MAX_TOKENS, start_id=2, end_id=3)
 
 
-@query("""
-  SELECT chrom, array_to_string(list_concat(ids, list_transform(range(0, 128 - len(ids)), lambda i: 0)), ' ') AS input_ids,
-         array_to_string(list_concat(list_transform(ids, lambda i: 1), list_transform(range(0, 128 - len(ids)), lambda i: 0)), ' ') AS attention_mask FROM framed""")
+@query(f"""
+  SELECT chrom, array_to_string(list_concat(ids, list_transform(range(0, {MAX_TOKENS} - len(ids)), lambda i: 0)), ' ') AS input_ids,
+         array_to_string(list_concat(list_transform(ids, lambda i: 1), list_transform(range(0, {MAX_TOKENS} - len(ids)), lambda i: 0)), ' ') AS attention_mask FROM framed""")
 def encoded_tokens(spark, sf):
     joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ").alias(c)
     return _encoded(spark, sf).select("chrom", joined("input_ids"), joined("attention_mask"))
@@ -188,9 +188,9 @@ _PART = "CAST(('0x' || substr(md5('42:' || chrom || ':' || (i - 1)), {}, 8)) AS
 
 
 @query(f"""
-  WITH padded AS (SELECT chrom, list_concat(ids, list_transform(range(0, 128 - len(ids)), lambda i: 0)) AS ids FROM framed),
+  WITH padded AS (SELECT chrom, list_concat(ids, list_transform(range(0, {MAX_TOKENS} - len(ids)), lambda i: 0)) AS ids FROM framed),
   cells AS (SELECT chrom, i, ids[i] AS id, {_PART.format(1)} / 4294967296.0::DOUBLE < 0.15::DOUBLE AND ids[i] NOT IN (0, 1, 2, 3, 4) AS picked,
-            {_PART.format(9)} / 4294967296.0::DOUBLE AS u, {_PART.format(17)} % 130 AS other FROM padded, range(1, 129) t(i))
+            {_PART.format(9)} / 4294967296.0::DOUBLE AS u, {_PART.format(17)} % 130 AS other FROM padded, range(1, {MAX_TOKENS + 1}) t(i))
   SELECT chrom, string_agg(CASE WHEN picked AND u < 0.8::DOUBLE THEN 4 WHEN picked AND u < 0.9::DOUBLE THEN other ELSE id END, ' ' ORDER BY i) AS masked_ids,
          string_agg(CASE WHEN picked AND u < 0.9::DOUBLE THEN id ELSE -100 END, ' ' ORDER BY i) AS labels FROM cells GROUP BY chrom""")
 def masked_tokens(spark, sf):
@@ -205,7 +205,7 @@ def masked_tokens(spark, sf):
 def split_token_dataset(spark, sf):
     split = F.when(F.col("source").isin("src0", "src1"), "test").when(F.col("source") == "src2", "val").otherwise("train")
     rows = sequences(spark, sf).join(table(spark, sf, "documents").select(F.col("doc_id").alias("chrom"), split.alias("split")), "chrom")
-    data = tokens.kmer_token_dataset(rows, vocabulary(spark), 3, "chrom", 126)
+    data = tokens.kmer_token_dataset(rows, vocabulary(spark), 3, "chrom", MAX_TOKENS - 2)
     total = F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, x: a + x)
     kept = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
     # Empty sequences have no tokens.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from varloom.functions.naming import accession_to_number, number_to_name, variant_id
 from varloom.operators.genome import CHUNK, OVERLAP, chunk_pieces
@@ -27,25 +27,45 @@ THRESHOLDS = "significance_lvl double, score double"
 PREVALENCE = "ones long, zeros long, ratio double"
 
 
-def _tsv(spark: SparkSession, path, schema: str, header: bool = False, **options) -> DataFrame:
-    return spark.read.schema(schema).csv(path, sep="\t", header=header, **options)
+def text_lines(spark: SparkSession, path, **options) -> DataFrame:
+    """(value, file): the lines of text files and the names of the files."""
+    return spark.read.options(**options).text(path).select("value", F.col("_metadata.file_name").alias("file"))
 
 
-def file_stem(column: Column | None = None) -> Column:
+def parse_tsv(lines: DataFrame, schema: str, header: bool = False, comment: str | None = None, null: str = "") -> DataFrame:
+    """Fields of tab-separated lines (column value) and the other columns of ``lines``. Empty lines are skipped.
+
+    With ``header`` lines that hold the names of the fields are skipped wherever they are, since every file has one.
+    """
+    rows = lines.filter(F.length("value") > 0)
+    if comment is not None:
+        rows = rows.filter(~F.col("value").startswith(comment))
+    if header:
+        names = "\t".join(field.name for field in T.StructType.fromDDL(schema).fields)
+        rows = rows.filter(F.col("value") != names)
+    others = [c for c in lines.columns if c != "value"]
+    parsed = F.from_csv("value", schema, {"sep": "\t", "nullValue": null})
+    return rows.select(parsed.alias("_row"), *others).select("_row.*", *others)
+
+
+def file_stem(file: str = "file") -> Column:
     """File name without its extension."""
-    name = F.col("_metadata.file_name") if column is None else column
-    return F.regexp_replace(name, r"\.[^.]+$", "")
+    return F.regexp_replace(F.col(file), r"\.[^.]+$", "")
 
 
 # --- variants ----------------------------------------------------------------------------------
 
 
+def parse_snp_list(lines: DataFrame) -> DataFrame:
+    return parse_tsv(lines.select("value"), SNP_LIST, header=True)
+
+
 def read_snp_list(spark: SparkSession, path) -> DataFrame:
-    return _tsv(spark, path, SNP_LIST, header=True)
+    return parse_snp_list(text_lines(spark, path))
 
 
 def read_annotated_snps(spark: SparkSession, path) -> DataFrame:
-    return _tsv(spark, path, ANNOTATED_SNPS, header=True)
+    return parse_tsv(text_lines(spark, path).select("value"), ANNOTATED_SNPS, header=True)
 
 
 def parse_vcf(lines: DataFrame, on_error: str = "raise") -> DataFrame | tuple[DataFrame, DataFrame]:
@@ -76,12 +96,20 @@ def vcf_to_snp_list(sites: DataFrame, numbered: bool = True, keep_id: bool = Fal
     )
 
 
+def parse_pvar(lines: DataFrame) -> DataFrame:
+    return parse_tsv(lines.select("value"), PVAR, comment="#", null=".")
+
+
 def read_pvar(spark: SparkSession, path) -> DataFrame:
-    return _tsv(spark, path, PVAR, comment="#", nullValue=".")
+    return parse_pvar(text_lines(spark, path))
+
+
+def parse_bim(lines: DataFrame) -> DataFrame:
+    return parse_tsv(lines.select("value"), BIM)
 
 
 def read_bim(spark: SparkSession, path) -> DataFrame:
-    return _tsv(spark, path, BIM)
+    return parse_bim(text_lines(spark, path))
 
 
 def parse_gff(lines: DataFrame) -> DataFrame:
@@ -93,7 +121,7 @@ def parse_gff(lines: DataFrame) -> DataFrame:
 
 
 def read_gff(spark: SparkSession, path) -> DataFrame:
-    return _tsv(spark, path, GFF, comment="#")
+    return parse_gff(text_lines(spark, path))
 
 
 def parse_freq(lines: DataFrame) -> DataFrame:
@@ -128,25 +156,42 @@ def read_keyed_annotations(spark: SparkSession, path, key: str, key_column: str
 # --- intervals and tracks ----------------------------------------------------------------------
 
 
-def read_bed(spark: SparkSession, path, feature_from_name: bool = False) -> DataFrame:
+def parse_bed(lines: DataFrame, feature_from_name: bool = False) -> DataFrame:
     """Three columns; the feature is the file name up to the first underscore."""
-    df = _tsv(spark, path, BED)
-    return df.withColumn("feature", F.split(file_stem(), "_")[0]) if feature_from_name else df
+    df = parse_tsv(lines, BED)
+    return df.withColumn("feature", F.split(file_stem(), "_")[0]).drop("file") if feature_from_name else df.select("chrom", "start", "end")
+
+
+def read_bed(spark: SparkSession, path, feature_from_name: bool = False) -> DataFrame:
+    return parse_bed(text_lines(spark, path), feature_from_name)
+
+
+def parse_bedgraph(lines: DataFrame) -> DataFrame:
+    """Signal runs; the sample is the file name."""
+    return parse_tsv(lines, BEDGRAPH, comment="#").withColumn("sample", file_stem()).drop("file")
 
 
 def read_bedgraph(spark: SparkSession, path) -> DataFrame:
-    return _tsv(spark, path, BEDGRAPH, comment="#").withColumn("sample", file_stem())
+    return parse_bedgraph(text_lines(spark, path))
+
+
+def parse_closest(lines: DataFrame) -> DataFrame:
+    """Distances; the feature is the file name after the first underscore."""
+    return parse_tsv(lines, CLOSEST).withColumn("feature", F.regexp_extract(file_stem(), "_(.*)$", 1)).drop("file")
 
 
 def read_closest(spark: SparkSession, path) -> DataFrame:
-    """Distance files below a folder; the feature is the file name after the first underscore."""
-    df = _tsv(spark, path, CLOSEST, recursiveFileLookup=True)
-    return df.withColumn("feature", F.regexp_extract(file_stem(), "_(.*)$", 1))
+    """Distance files anywhere below a folder."""
+    return parse_closest(text_lines(spark, path, recursiveFileLookup="true"))
+
+
+def parse_coverage(lines: DataFrame, column: str = "percent_covered") -> DataFrame:
+    """One coverage column by bin; the sample is the file name."""
+    return parse_tsv(lines, COVERAGE, header=True).select("chrom", "start", "end", column, file_stem().alias("sample"))
 
 
 def read_coverage(spark: SparkSession, path, column: str = "percent_covered") -> DataFrame:
-    df = _tsv(spark, path, COVERAGE, header=True)
-    return df.select("chrom", "start", "end", column, file_stem().alias("sample"))
+    return parse_coverage(text_lines(spark, path), column)
 
 
 # --- datasets ----------------------------------------------------------------------------------
@@ -171,37 +216,51 @@ def read_sequence_arrays(spark: SparkSession, path, count: int | None = None, sh
     return top_n_per_group(df, ["file"], [F.col(key)], count)
 
 
+def parse_features(lines: DataFrame, key: str = "features") -> DataFrame:
+    """(ordinal, feature) of lines (value, at) in the order of ``at``; a feature list is a few rows."""
+    order = W.partitionBy(F.lit(0)).orderBy("at")
+    return lines.filter((F.col("value") != key) & (F.length("value") > 0)).select(
+        (F.row_number().over(order) - 1).alias("ordinal"), F.col("value").alias("feature")
+    )
+
+
 def read_features(spark: SparkSession, path, key: str = "features") -> DataFrame:
-    """(ordinal, feature) in file order; a feature list is a few rows."""
-    lines = spark.read.csv(path, header=True).select(F.col(key).alias("feature"), F.monotonically_increasing_id().alias("_at"))
-    return lines.select((F.row_number().over(W.partitionBy(F.lit(0)).orderBy("_at")) - 1).alias("ordinal"), "feature")
+    return parse_features(spark.read.text(path).withColumn("at", F.monotonically_increasing_id()), key)
 
 
 def feature_list(features: DataFrame) -> list[str]:
     return [r["feature"] for r in features.orderBy("ordinal").collect()]
 
 
+def parse_thresholds(lines: DataFrame, feature_from_name: bool = False) -> DataFrame:
+    df = parse_tsv(lines, THRESHOLDS, header=True)
+    return df.withColumn("feature", file_stem()).drop("file") if feature_from_name else df.select("significance_lvl", "score")
+
+
 def read_thresholds(spark: SparkSession, path, feature_from_name: bool = False) -> DataFrame:
-    df = _tsv(spark, path, THRESHOLDS, header=True)
-    return df.withColumn("feature", file_stem()) if feature_from_name else df
+    return parse_thresholds(text_lines(spark, path), feature_from_name)
 
 
-def read_prevalence(spark: SparkSession, path, features: DataFrame) -> DataFrame:
-    """Per-chromosome files N.csv whose rows follow the feature list.
+def parse_prevalence(lines: DataFrame, features: DataFrame) -> DataFrame:
+    """Per-chromosome files N.csv, lines (value, file, at), whose rows follow the feature list.
 
     The row order inside a file is its only key, so it becomes an ordinal here; a file has one row per
     feature.
     """
-    rows = spark.read.schema(PREVALENCE).csv(path, header=True).select(
-        "*", file_stem().alias("_stem"), F.monotonically_increasing_id().alias("_at")
+    rows = lines.filter((F.col("value") != "1,0,ratio") & (F.length("value") > 0)).select(
+        F.from_csv("value", PREVALENCE).alias("_row"), file_stem().alias("_stem"), "at"
     )
-    ordinal = F.row_number().over(W.partitionBy("_stem").orderBy("_at")) - 1
+    ordinal = F.row_number().over(W.partitionBy("_stem").orderBy("at")) - 1
     return (
         rows.withColumn("ordinal", ordinal).join(features, "ordinal")
-        .select("feature", F.concat(F.lit("Chr"), "_stem").alias("chrom"), "ones", "zeros", "ratio")
+        .select("feature", F.concat(F.lit("Chr"), "_stem").alias("chrom"), "_row.*")
     )
 
 
+def read_prevalence(spark: SparkSession, path, features: DataFrame) -> DataFrame:
+    return parse_prevalence(text_lines(spark, path).withColumn("at", F.monotonically_increasing_id()), features)
+
+
 def read_json_log(spark: SparkSession, path, schema: str | None = None) -> DataFrame:
     """An array of records with its file order as ``ordinal``."""
     reader = spark.read.option("multiLine", True)
@@ -251,10 +310,34 @@ def read_keyless_tsv(spark: SparkSession, path, columns: Sequence[str], key: str
     return lines.select((F.col("line") - 1).alias(key), *[f[i].cast("double").alias(c) for i, c in enumerate(columns)])
 
 
+def parse_best_metrics(lines: DataFrame, schema: str) -> DataFrame:
+    """Best-step records (value, path) of several models; the model is the name of the folder that holds the file."""
+    return lines.select(F.from_json("value", schema).alias("_row"), F.element_at(F.split("path", "/"), -2).alias("model")).select("_row.*", "model")
+
+
 def read_best_metrics(spark: SparkSession, path, schema: str) -> DataFrame:
-    """Best-step records of several models; the model is the name of the folder that holds the file."""
-    folders = F.split(F.col("_metadata.file_path"), "/")
-    return spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path).withColumn("model", F.element_at(folders, -2))
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    return parse_best_metrics(files.select("value", F.col("_metadata.file_path").alias("path")), schema)
+
+
+def parse_arrays(lines: DataFrame, ordinal: str = "ordinal", name: str = "values") -> DataFrame:
+    """(ordinal, values): whitespace-separated numbers of each line."""
+    cells = F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.cast("double"))
+    return lines.filter(F.length(F.trim("value")) > 0).select(ordinal, cells.alias(name))
+
+
+def parse_evaluation(logits: DataFrame, labels: DataFrame, ordinal: str = "ordinal") -> DataFrame:
+    """(ordinal, logits, labels) of two matrices of lines; a row without partner, or of another width, is an error."""
+    both = parse_arrays(logits, ordinal, "logits").join(parse_arrays(labels, ordinal, "labels"), ordinal, "full_outer")
+    fits = F.coalesce(F.size("logits") == F.size("labels"), F.lit(False))
+    lost = F.raise_error(F.concat(F.lit("logits and labels differ at row "), F.col(ordinal).cast("string"))).cast("boolean")
+    return both.filter(F.when(fits, F.lit(True)).otherwise(lost)).select(ordinal, "logits", F.transform("labels", lambda x: x.cast("int")).alias("labels"))
+
+
+def read_evaluation(spark: SparkSession, logits_path, labels_path) -> DataFrame:
+    """Logits and labels of the same samples from two text matrices, matched by line number."""
+    numbered = lambda path: with_line_number(spark.read.text(path)).withColumnRenamed("line", "ordinal")
+    return parse_evaluation(numbered(logits_path), numbered(labels_path))
 
 
 # --- genome ------------------------------------------------------------------------------------

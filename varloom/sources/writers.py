@@ -7,13 +7,23 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 
+def tsv_lines(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(value) lines of the rows; missing is empty."""
+    return df.select(F.array_join(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns or df.columns]), "\t").alias("value"))
+
+
 def write_tsv(df: DataFrame, path: str, columns: Sequence[str] | None = None, mode: str = "overwrite") -> None:
     (df.select(*columns) if columns else df).write.mode(mode).csv(path, sep="\t", header=True)
 
 
+def bed_lines(df: DataFrame) -> DataFrame:
+    """(value) lines with Chr-prefixed names and integer coordinates."""
+    named = df.select(F.concat(F.lit("Chr"), F.col("chrom").cast("string")).alias("chrom"), F.col("start").cast("long"), F.col("end").cast("long"))
+    return tsv_lines(named)
+
+
 def write_bed(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Chr-prefixed names and integer coordinates, no header."""
-    df.select(F.concat(F.lit("Chr"), F.col("chrom").cast("string")), F.col("start").cast("long"), F.col("end").cast("long")).write.mode(mode).csv(path, sep="\t")
+    bed_lines(df).write.mode(mode).text(path)
 
 
 def vcf_lines(df: DataFrame) -> DataFrame:
@@ -52,12 +62,26 @@ def write_if_absent(df: DataFrame, path: str, overwrite: bool = False) -> None:
 def write_with_metadata(df: DataFrame, path: str, facts: Mapping[str, str], mode: str = "overwrite") -> None:
     """The result as TSV and its run facts as a one-row JSON table beside it."""
     write_tsv(df, f"{path}/result", mode=mode)
-    one = df.sparkSession.range(1).select(*[F.lit(v).alias(k) for k, v in facts.items()])
-    one.write.mode(mode).json(f"{path}/metadata")
+    json_lines(with_facts(df.sparkSession.range(1), facts).drop("id")).write.mode(mode).text(f"{path}/metadata")
+
+
+def with_facts(df: DataFrame, facts: Mapping[str, str]) -> DataFrame:
+    """The facts of a run as constant columns."""
+    return df.withColumns({k: F.lit(v) for k, v in facts.items()})
+
+
+def json_lines(df: DataFrame) -> DataFrame:
+    """(value) one JSON object per row."""
+    return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
 
 
 def write_best_metrics(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).json(path)
+    json_lines(df).write.mode(mode).text(path)
+
+
+def write_evaluation(df: DataFrame, path: str, key: str, mode: str = "overwrite") -> None:
+    """Logits and labels of the same samples as one dataset (key, logits, labels)."""
+    df.select(key, "logits", "labels").write.mode(mode).parquet(path)
 
 
 def write_kmer_list(df: DataFrame, path: str, rows_per_file: int = 50_000, mode: str = "overwrite") -> None:
