@@ -27,7 +27,7 @@ def test_filter_and_columns_reach_the_scan(spark, sf):
 
 @pytest.mark.parametrize("name", [
     "merge_intervals", "coverage", "variants_outside_genes", "nearest_feature_distances", "matched_negatives", "region_signal",
-    "multi_intersect", "call_broad_peaks",
+    "multi_intersect", "call_broad_peaks", "majority_labels", "merged_samples", "labeled_training_samples",
 ])
 def test_no_pairwise_interval_join(spark, sf, name):
     text = plan(QUERIES[name](spark, sf))
@@ -41,6 +41,15 @@ def test_no_python_in_the_hot_path(spark, sf, name):
     assert not re.search(r"BatchEvalPython|ArrowEvalPython|MapInPandas|FlatMapGroupsInPandas", plan(QUERIES[name](spark, sf)))
 
 
+@pytest.mark.parametrize("name", ["score_variants_with_kmers", "encoded_tokens"])
+def test_rows_are_scored_and_encoded_by_themselves(spark, sf, name):
+    text = plan(QUERIES[name](spark, sf))
+    if name == "encoded_tokens":
+        assert "Exchange" not in text and "Generate" not in text
+    else:  # the windows meet their chunks; after that nothing is shuffled, and only features become rows
+        assert "HashAggregate" not in text and text.count("Generate (") <= 3
+
+
 def test_bins_are_cut_without_a_shuffle(spark, tmp_path):
     from varloom.operators import genome
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from varloom.functions.naming import position_id
 from varloom.functions.scores import EFFECTS, sigmoid
-from varloom.functions.sequence import BASES, kmers
+from varloom.functions.sequence import BASES
 from varloom.operators.scale import global_row_number, lookup_join, skew_join
 
 # --- probabilities -----------------------------------------------------------------------------
@@ -38,17 +38,62 @@ def score_sequences(
     return df.mapInPandas(run, schema)
 
 
+def _kmer_table(weights: DataFrame, features: Sequence[str], k: int) -> tuple[str, DataFrame]:
+    """The alphabet of the k-mers, and one row with an array of weights per feature, indexed by the k-mer read as a number.
+
+    ``weights`` has a column kmer and one per feature, at most alphabet ** k rows.
+    """
+    rows = weights.select("kmer", *features).collect()
+    alphabet = "".join(sorted({c for r in rows for c in r["kmer"]}))
+    table = np.zeros((len(features), len(alphabet) ** k))
+    for r in rows:
+        number = 0
+        for c in r["kmer"]:
+            number = number * len(alphabet) + alphabet.index(c)
+        table[:, number] = [r[f] or 0.0 for f in features]
+    fields = ", ".join(f"_w{i} array<double>" for i in range(len(features)))
+    return alphabet, weights.sparkSession.createDataFrame([tuple(row.tolist() for row in table)], fields)
+
+
+def _kmer_logits(seq: str, alphabet: str, features: Sequence[str], k: int) -> Column:
+    """Summed weights of a sequence's k-mers as an array by feature, in one pass along the letters.
+
+    K-mers with letters that the model does not know add nothing.
+    """
+    size = len(alphabet)
+    start = F.struct(F.lit(0).alias("number"), F.lit(0).alias("run"), F.array(*[F.lit(0.0)] * len(features)).alias("sums"))
+
+    def step(state, letter):
+        digit = F.position(letter, F.lit(alphabet)) - 1
+        run = F.when((digit < 0) | (F.length(letter) == 0), 0).otherwise(state["run"] + 1)
+        number = F.when(digit < 0, 0).otherwise((state["number"] * size + digit) % size**k)
+        added = [state["sums"][i] + F.when(run >= k, F.get(F.col(f"_w{i}"), number)).otherwise(0.0) for i in range(len(features))]
+        return F.struct(number.cast("int").alias("number"), run.cast("int").alias("run"), F.array(*added).alias("sums"))
+
+    return F.aggregate(F.split(F.col(seq), ""), start, step, lambda state: state["sums"])
+
+
 def score_kmers(
     df: DataFrame, weights: DataFrame, features: Sequence[str], k: int, key: str = "variant_key", seq: str = "seq"
 ) -> DataFrame:
-    """Linear k-mer model: sigmoid of the summed weights of a sequence's k-mers, one row per key.
+    """Linear k-mer model: sigmoid of the summed weights of a sequence's k-mers. Rows are scored by themselves."""
+    alphabet, table = _kmer_table(weights, features, k)
+    scored = df.select(key, seq).crossJoin(F.broadcast(table)).select(key, _kmer_logits(seq, alphabet, features, k).alias("_l"))  # one row
+    return scored.select(key, *[sigmoid(F.col("_l")[i]).alias(f) for i, f in enumerate(features)])
 
-    ``weights`` has a column kmer and one per feature; it has at most len(alphabet) ** k rows.
-    """
-    words = df.select(key, F.explode(kmers(F.col(seq), k)).alias("kmer"))
-    # K-mers that the model does not know add nothing.
-    matched = words.join(weights, "kmer", "left")
-    return matched.groupBy(key).agg(*[sigmoid(F.coalesce(F.sum(f), F.lit(0.0))).alias(f) for f in features])
+
+def score_kmer_pairs(
+    df: DataFrame, weights: DataFrame, features: Sequence[str], k: int, key: str = "variant_key"
+) -> DataFrame:
+    """Long (key, feature, p_ref, p_alt) of the k-mer model for windows with ref_seq and alt_seq; nothing is shuffled."""
+    alphabet, table = _kmer_table(weights, features, k)
+    logits = lambda side: _kmer_logits(f"{side}_seq", alphabet, features, k).alias(side)
+    scored = df.select(key, "ref_seq", "alt_seq").crossJoin(F.broadcast(table)).select(key, logits("ref"), logits("alt"))  # one row
+    rows = F.array(*[
+        F.struct(F.lit(f).alias("feature"), sigmoid(F.col("ref")[i]).alias("p_ref"), sigmoid(F.col("alt")[i]).alias("p_alt"))
+        for i, f in enumerate(features)
+    ])
+    return scored.select(key, F.explode(rows).alias("_r")).select(key, "_r.*")
 
 
 def score_ref_alt(df: DataFrame, scorer: Callable[[DataFrame], DataFrame], key: str = "variant_key") -> DataFrame:

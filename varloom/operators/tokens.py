@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from varloom.functions.sequence import MAX_TOKENS, kmerize, kmers
 from varloom.operators.scale import hash_order
@@ -21,24 +21,40 @@ def kmer_counts(df: DataFrame, vocabulary: DataFrame, k: int, seq: str = "seq")
     return vocabulary.join(counts, "kmer", "left").select("kmer", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def kmer_ids(alphabet: str, k: int, first_id: int) -> Callable[[Column], Column]:
+    """The id of a word when the vocabulary is all words of ``k`` letters in order: the word read as a number; null for other words."""
+    size = len(alphabet)
+
+    def of(word: Column) -> Column:
+        digits = [F.position(F.substring(word, i + 1, 1), F.lit(alphabet)) - 1 for i in range(k)]
+        number = sum((d * size ** (k - 1 - i) for i, d in enumerate(digits)), F.lit(first_id))
+        return F.when((F.length(word) == k) & (F.least(*digits) >= 0 if k > 1 else digits[0] >= 0), number.cast("int"))
+
+    return of
+
+
 def encode(
-    df: DataFrame, vocabulary: DataFrame, key: str, seq: str = "seq", max_length: int = MAX_TOKENS, pad_id: int = 0, unknown_id: int = 1,
-    start_id: int | None = None, end_id: int | None = None,
+    df: DataFrame, vocabulary: DataFrame | Callable[[Column], Column], key: str, seq: str = "seq", max_length: int = MAX_TOKENS,
+    pad_id: int = 0, unknown_id: int = 1, start_id: int | None = None, end_id: int | None = None,
 ) -> DataFrame:
     """Token ids and attention mask of space-separated words, cut and padded to ``max_length``.
 
-    ``vocabulary`` is (token, id). Words are looked up by a join; the words of one row come
-    together again in the same map task, so only finished arrays are shuffled.
+    ``vocabulary`` is a function from word to id, such as ``kmer_ids``, and then every row is encoded by itself; or a frame
+    (token, id) of any words, which is joined. The words of one row come together again in the same map task, so
+    only finished arrays are shuffled.
     """
     specials = sum(i is not None for i in (start_id, end_id))
-    words = df.select(key, F.posexplode_outer(F.slice(F.split(F.col(seq), " "), 1, max_length - specials)).alias("at", "token"))
-    known = words.join(vocabulary, "token", "left")
-    ids = known.groupBy(key).agg(
-        F.collect_list(F.when(F.length("token") > 0, F.struct("at", F.coalesce("id", F.lit(unknown_id)).cast("int").alias("id")))).alias("_pairs")
-    )
-    body = F.transform(F.array_sort("_pairs"), lambda p: p["id"])
+    words = F.slice(F.split(F.col(seq), " "), 1, max_length - specials)
+    if callable(vocabulary):
+        known = F.transform(F.filter(words, lambda w: F.length(w) > 0), lambda w: F.coalesce(vocabulary(w), F.lit(unknown_id)))
+        ids = df.select(key, F.coalesce(known, F.array().cast("array<int>")).alias("_body"))
+    else:
+        placed = df.select(key, F.posexplode_outer(words).alias("at", "token")).join(vocabulary, "token", "left")
+        ids = placed.groupBy(key).agg(F.collect_list(
+            F.when(F.length("token") > 0, F.struct("at", F.coalesce("id", F.lit(unknown_id)).cast("int").alias("id")))
+        ).alias("_pairs")).select(key, F.transform(F.array_sort("_pairs"), lambda p: p["id"]).alias("_body"))
     framed = F.concat(
-        F.array(*([F.lit(start_id)] if start_id is not None else [])).cast("array<int>"), body,
+        F.array(*([F.lit(start_id)] if start_id is not None else [])).cast("array<int>"), F.col("_body"),
         F.array(*([F.lit(end_id)] if end_id is not None else [])).cast("array<int>"),
     )
     padding = lambda value: F.array_repeat(F.lit(value), F.lit(max_length) - F.size("_ids"))
@@ -73,7 +89,7 @@ def mask_tokens(
 
 
 def kmer_token_dataset(
-    df: DataFrame, vocabulary: DataFrame, k: int, key: str, max_length: int = MAX_TOKENS, seq: str = "seq", split: str = "split",
+    df: DataFrame, vocabulary: DataFrame | Callable[[Column], Column], k: int, key: str, max_length: int = MAX_TOKENS, seq: str = "seq", split: str = "split",
 ) -> DataFrame:
     """K-mers, then token ids, for the rows of every split in one job."""
     words = df.withColumn(seq, kmerize(F.col(seq), k, max_length))

@@ -11,6 +11,7 @@ from varloom.operators import genome, intervals as iv, labels, logs, sampling, s
 from varloom.operators.scale import POSITION_BUCKET
 from varloom.session import cut_lineage
 
+# Windows (variant_key, ref_seq, alt_seq) -> long (variant_key, feature, p_ref, p_alt).
 Scorer = Callable[[DataFrame], DataFrame]
 
 
@@ -25,7 +26,7 @@ def score_variants(
     """
     cut = genome.extract_windows(snps, chunks, length, size, overlap, on_error=on_error)
     windows = cut if on_error == "raise" else cut[0]
-    probabilities = scoring.score_ref_alt(windows.select("variant_key", "ref_seq", "alt_seq"), scorer)
+    probabilities = scorer(windows.select("variant_key", "ref_seq", "alt_seq"))
     scores = scoring.score_matrix(scoring.effect_scores(probabilities, method), features)
     return scores if on_error == "raise" else (scores, cut[1])
 

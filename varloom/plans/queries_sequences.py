@@ -171,9 +171,12 @@ view("token_rows", f"""
 view("framed", """SELECT chrom, list_concat([2], list_concat(ids, [3])) AS ids FROM token_rows""")
 
 
+_IDS = tokens.kmer_ids("ACGTN", 3, 5)
+
+
 def _encoded(spark, sf):
     words = stored_sequences(spark, sf).select("chrom", kmerize(F.col("seq"), 3, MAX_TOKENS).alias("seq"))
-    return tokens.encode(words, vocabulary(spark), "chrom", max_length=MAX_TOKENS, start_id=2, end_id=3)
+    return tokens.encode(words, _IDS, "chrom", max_length=MAX_TOKENS, start_id=2, end_id=3)
 
 
 @query(f"""
@@ -241,9 +244,7 @@ def kmer_weights(spark):
 def score_windows(spark, sf):
     good, _ = windows(spark, sf)
     weights = kmer_weights(spark)
-    return scoring.score_ref_alt(
-        good.select("variant_key", "ref_seq", "alt_seq"), lambda df: scoring.score_kmers(df, weights, _MODEL, 3, key="_key")
-    )
+    return scoring.score_kmer_pairs(good, weights, _MODEL, 3)
 
 
 view("acgt", "SELECT l, i FROM letters WHERE l <> 'N'")

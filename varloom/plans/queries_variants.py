@@ -319,10 +319,10 @@ view("window_effects", f"SELECT variant_key, sqrt(sum({_DIFF} * {_DIFF})) AS ove
 
 
 def _kmer_scorer(spark):
-    from varloom.operators.scoring import score_kmers
+    from varloom.operators.scoring import score_kmer_pairs
 
     weights = kmer_weights(spark)
-    return lambda df: score_kmers(df, weights, _MODEL, 3, key="_key")
+    return lambda windows: score_kmer_pairs(windows, weights, _MODEL, 3)
 
 
 def _snps_and_chunks(spark, sf):
