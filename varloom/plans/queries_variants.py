@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from varloom.functions import naming
 from varloom.functions.naming import ACCESSIONS
-from varloom.operators import variants as vt
+from varloom.operators import genome, variants as vt
 from varloom.plans import flows
 from varloom.plans.inputs import EVENT_TYPES, FEATURES, genes, genome_variants, intervals, labeled_vectors, r6, stored_sequences, table, variants
 from varloom.plans.queries_sequences import _LENGTH, _MODEL, _OVERLAP, _SIZE, chunks, kmer_weights
@@ -364,6 +364,40 @@ def saturation_scan(spark, sf):
     return matrix.select("id", "ref", r6(F.col("max_effect")).alias("max_effect"), r6(F.col("cumulative")).alias("cumulative"))
 
 
+# Probabilities of nine digits, so that equal scores are equal in every engine.
+view("rounded_effects", f"""
+  SELECT variant_key, sqrt(sum({_DIFF} * {_DIFF})) AS overall FROM (
+    SELECT variant_key, feature, round(p_ref, 9) AS p_ref, round(p_alt, 9) AS p_alt FROM window_scores) GROUP BY variant_key""")
+view("background_sample", """
+  SELECT variant_key FROM genome_variants g JOIN (SELECT chrom, length(seq) AS length FROM dna) l USING (chrom)
+  WHERE variant_key % 7 <> 0 AND pos > 20 AND pos < length - 20 AND NOT (chrom % 5 = 0 AND pos BETWEEN 50 AND 120)
+  QUALIFY row_number() OVER (PARTITION BY chrom ORDER BY md5('42:' || variant_key), variant_key) <= chrom % 3 + 1""")
+view("background_effects", "SELECT overall FROM rounded_effects JOIN background_sample USING (variant_key)")
+view("background_tested", """
+  SELECT e.variant_key, e.overall, ((SELECT count(*) FROM background_effects b WHERE b.overall > e.overall) + 1.0) / ((SELECT count(*) FROM background_effects) + 1.0) AS p FROM rounded_effects e""")
+
+
+@query("""
+  SELECT variant_key, round(CAST(p AS DOUBLE), 6) AS p_value, CAST(p AS DOUBLE) <= 0.2 / 40.0 AS significant, round(w / sum(w) OVER (), 9) AS prior, NULL AS problem FROM (
+    SELECT *, exp((overall - max(overall) OVER ()) / (max(overall) OVER () - min(overall) OVER ()) / 0.2) AS w FROM background_tested)
+  UNION ALL SELECT variant_key, NULL, NULL, NULL, 'window leaves its chromosome: ' || chrom || ':' || pos FROM genome_variants WHERE variant_key NOT IN (SELECT variant_key FROM rounded_effects)""")
+def background_chain(spark, sf):
+    snps, genome_chunks = _snps_and_chunks(spark, sf)
+    lengths = cut_lineage(genome.chromosome_lengths(genome_chunks))
+    sites = snps.withColumn("FILTER", F.when(F.col("variant_key") % 7 != 0, "PASS").otherwise("LOW"))
+    ranges = lengths.filter("chrom % 5 = 0").select("chrom", F.lit(50).cast("long").alias("start"), F.lit(120).cast("long").alias("end"))
+    quotas = lengths.select("chrom", (F.col("chrom") % 3 + 1).alias("cnt"))
+    scorer = _kmer_scorer(spark)
+    rounded = lambda windows: scorer(windows).withColumns({c: F.round(c, 9) for c in ("p_ref", "p_alt")})
+    tested, rejects = flows.background_chain(
+        snps, sites, lengths, ranges, quotas, genome_chunks, rounded, _MODEL, _LENGTH, "bonf", 0.2, 40.0, buffer=20, size=_SIZE, overlap=_OVERLAP
+    )
+    shown = tested.select(
+        "variant_key", r6(F.col("p_value")).alias("p_value"), "significant", F.round("prior", 9).alias("prior"), F.lit(None).cast("string").alias("problem")
+    )
+    return shown.unionByName(rejects.select("variant_key", "problem"), allowMissingColumns=True)
+
+
 @query("""
   SELECT variant_key, round(p, 6) AS p_value, p <= 0.2 / 40.0 AS significant, round(w / sum(w) OVER (), 9) AS prior FROM (
     SELECT *, exp((score - max(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) / 0.2) AS w FROM p_ranked)""")
