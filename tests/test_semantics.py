@@ -334,3 +334,19 @@ def test_user_model_keeps_rows_and_order_of_features(spark):
     scored = scoring.score_sequences(df, lambda batch: np.array([[len(s), -len(s)] for s in batch]), ["up", "down"], batch=7)
     for r in scored.collect():
         assert (r["up"], r["down"]) == pytest.approx((1 / (1 + math.exp(-r["variant_key"] - 1)), 1 / (1 + math.exp(r["variant_key"] + 1))))
+
+
+@pytest.mark.parametrize("n_bins, sigma", [(12, 1.0), (3, 5.0), (1, 2.0)])
+def test_filters_of_any_width_mirror_the_track(spark, n_bins, sigma):
+    import math
+
+    from varloom.operators import tracks
+
+    values = [float((7 * i + 3) % 5) for i in range(n_bins)]
+    radius = int(4 * sigma + 0.5)
+    weights = {d: math.exp(-0.5 * (d / sigma) ** 2) for d in range(-radius, radius + 1)}
+    at = lambda i: values[i % (2 * n_bins)] if i % (2 * n_bins) < n_bins else values[2 * n_bins - 1 - i % (2 * n_bins)]
+    expected = [sum(w * at(i + d) for d, w in weights.items()) / sum(weights.values()) for i in range(n_bins)]
+    track = spark.createDataFrame([(1, i, v) for i, v in enumerate(values)], "chrom int, bin long, signal double")
+    got = {r["bin"]: r["smoothed"] for r in tracks.gaussian_smooth(track, n_bins, sigma).collect()}
+    assert [got[i] for i in range(n_bins)] == pytest.approx(expected)

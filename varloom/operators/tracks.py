@@ -128,12 +128,12 @@ def binned_track(runs: DataFrame, lengths: DataFrame, n_bins: int = 5000, keys:
 def gaussian_smooth(track: DataFrame, n_bins: int, sigma: float, value: str = "signal", keys: Sequence[str] = ("chrom",)) -> DataFrame:
     """Gaussian filter over the bins, four sigmas wide, mirrored at both ends."""
     radius = int(4 * sigma + 0.5)
-    if radius >= n_bins:
-        raise ValueError("the filter is wider than the track")
+    # A filter wider than the track meets the mirrored track again and again.
+    turns = range(-(radius // (2 * n_bins)) - 1, radius // (2 * n_bins) + 2)
     weights = [math.exp(-0.5 * (d / sigma) ** 2) for d in range(-radius, radius + 1)]
     total = sum(weights)
     kernel = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(w / total).alias("w")) for d, w in zip(range(-radius, radius + 1), weights)])
-    mirrored = F.array(F.col("bin"), -1 - F.col("bin"), 2 * n_bins - 1 - F.col("bin"))
+    mirrored = F.array(*[place + 2 * n_bins * t for t in turns for place in (F.col("bin"), -1 - F.col("bin"))])
     return (
         track.withColumn("_source", F.explode(mirrored)).filter((F.col("_source") >= -radius) & (F.col("_source") < n_bins + radius))
         .withColumn("_k", F.explode(kernel))
