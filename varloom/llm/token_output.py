@@ -7,17 +7,20 @@ metadata touches none of the ids.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-MEMO_ENTRIES = 300_000
-BATCH_IDS = 2_000_000
-ROW_GROUP_BYTES = 32 << 20
+MEMO_ENTRIES = 250_000
+GROUP_BYTES = 8 << 20
+ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 
@@ -32,7 +35,8 @@ def split_at_spaces(text: str) -> list[str]:
     """Parts of ``text`` between those plain spaces that have no other white space on either side.
 
     A byte-level tokenizer starts a new piece at each such space, whatever stands around it: the ids of the text are
-    the ids of the first part and of a space plus each further part. Other spaces stay inside a part.
+    the ids of the first part and of a space plus each further part. Other spaces stay inside a part. Only the first
+    part can be empty.
     """
     parts = text.split(" ")
     if "" in parts or any(c in text and (c + " " in text or " " + c in text) for c in _SPACES):
@@ -46,8 +50,52 @@ def split_at_spaces(text: str) -> list[str]:
     return parts
 
 
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_AFTER_WORDS = '.,;:!?)"'
+_WORD = re.compile(rf"( ?[{_LETTERS}]+)([{re.escape(_AFTER_WORDS)}]*)")
+# A space beside other white space, or at either end of a text.
+_ODD_SPACE = f"[ {_SPACES}] | [{_SPACES}]|^ | $"
+_LETTER_RUN = re.compile(rf" ?[{_LETTERS}]+")
+_RUNS = re.compile(r" ?[^\W\d_]+|[\W\d_]+")
+# Byte-level models write bytes as letters: printable ones as they are, the others counted from U+0100 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_LATIN = "\u0250"  # letters below are letters to every Unicode version
+
+
+def split_at_letters(part: str) -> list[str]:
+    """A part of ``split_at_spaces`` cut where letters meet other characters, and at single line ends.
+
+    A byte-level tokenizer cuts there too. What could be cut otherwise is left whole: apostrophes (contractions are pieces
+    of their own), longer white space, and scripts beyond Latin.
+    """
+    word = _WORD.fullmatch(part)
+    if word:
+        return [word[1], word[2]] if word[2] else [part]
+    if "'" in part or max(part, default="") >= _LATIN:
+        return [part]
+    runs = []
+    for i, line in enumerate(part.split("\n")):
+        inner = line if i else line.removeprefix(" ")
+        if not inner or inner.split() != [inner]:
+            return [part]
+        if i:
+            runs.append("\n")
+        runs += _RUNS.findall(line)
+    return runs
+
+
+def _strings(array: pa.StringArray) -> list[str]:
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
-    """Whole texts to little-endian 32-bit ids, each distinct part handed to the tokenizer once while it is remembered."""
+    """Whole texts to ids.
+
+    Texts are cut where a byte-level tokenizer cuts them anyway. Each distinct part of a group of texts is looked at once, each
+    distinct run goes to the tokenizer's model unless it is remembered, and arrays of ids are put together without a
+    loop over parts. A tokenizer of another kind gets whole texts.
+    """
 
     def __init__(self, tokenizer_file: str, end_id: int, memo_entries: int = MEMO_ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
@@ -55,30 +103,125 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.end = np.array([end_id], "<u4").tobytes()
-        self.memo: dict[str, bytes] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        described = json.loads(self.tokenizer.to_str())
+        cuts = described["pre_tokenizer"] or {}
+        self.by_part = (
+            cuts.get("type") == "ByteLevel" and cuts.get("use_regex") and not cuts.get("add_prefix_space")
+            and described["normalizer"] is None
+        )
+        self.model = self.tokenizer.model
         self.memo_entries = memo_entries
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text and the end id."""
-        parts = [split_at_spaces(t) for t in texts]
-        if len(self.memo) > self.memo_entries:
-            self.memo.clear()
-        new = list(set().union(*[p[1:] for p in parts]).difference(self.memo)) if parts else []
-        self.memo.update(zip(new, self._encoded([" " + p for p in new])))
-        firsts = self._encoded([p[0] for p in parts])
-        known = self.memo.__getitem__
-        return [b"".join([first, *map(known, p[1:]), self.end]) for first, p in zip(firsts, parts)]
-
-
-def _groups(texts: list[str], characters: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive texts of about ``characters`` characters."""
+        self.runs: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # met before the others; at most ``memo_entries`` and one group of texts
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _learn(self, words: set[str], runs: set[str]) -> None:
+        """Remember the ids of all ``words``, a space and letters each, and of other runs."""
+        if len(self.runs) > self.memo_entries:
+            self.older, self.runs = self.runs, {}
+        words, runs = words.difference(self.runs), runs.difference(self.runs)
+        if self.older:
+            again = words.union(runs).intersection(self.older)
+            self.runs.update((r, self.older[r]) for r in again)
+            words, runs = words - again, runs - again
+        # Letters are one piece: the model can have them without the cutting.
+        words = [*words, *(r for r in runs if _LETTER_RUN.fullmatch(r))]
+        flat, ends, tokenize = [], [], self.model.tokenize
+        for word in words:
+            if word.isascii():
+                written = "\u0120" + word[1:] if word[0] == " " else word
+            else:
+                written = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            flat += [t.id for t in tokenize(written)]
+            ends.append(4 * len(flat))
+        data = np.array(flat, "<u4").tobytes()
+        self.runs.update((w, data[a:b]) for w, a, b in zip(words, [0, *ends], ends))
+        for run in runs.difference(self.runs):
+            self.runs[run] = self._whole(run)
+
+    def _cut(self, part: str) -> list[str]:
+        return [part] if any(t in part for t in self.special) else split_at_letters(part)
+
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        cuts = [self._cut(p) for p in parts]
+        self._learn(set(), set().union(*cuts))
+        return [b"".join([self.runs[r] for r in runs]) for runs in cuts]
+
+    def _text(self, text: str) -> bytes:
+        """Any text, part by part."""
+        if any(" " in t and t in text for t in self.special):  # such a token could lie across parts
+            return self._whole(text)
+        first, *more = split_at_spaces(text)
+        return b"".join(self._parts([first, *[" " + p for p in more]]))
+
+    def _distinct(self, parts: pa.StringArray) -> list[bytes]:
+        """The ids of each part with a space before it."""
+        stems = pc.utf8_rtrim(parts, characters=_AFTER_WORDS)
+        words = stems.dictionary_encode()
+        own = [" " + w for w in _strings(words.dictionary)]
+        is_word = pc.match_substring_regex(words.dictionary, f"^[{_LETTERS}]+$").to_numpy(zero_copy_only=False).tolist()
+        sizes = [len(w) for w in own]
+        places, texts = words.indices.to_numpy().tolist(), _strings(parts)
+        # A part is a word and what follows it, or is cut with care.
+        rests = [text[sizes[at] - 1:] if is_word[at] else None for text, at in zip(texts, places)]
+        others = self._parts([" " + text for text, rest in zip(texts, rests) if rest is None])
+        self._learn({w for w, letters in zip(own, is_word) if letters}, {r for r in rests if r})
+        ids = [self.runs[w] if letters else b"" for w, letters in zip(own, is_word)]
+        other, run = iter(others), self.runs
+        return [next(other) if rest is None else ids[at] + run[rest] if rest else ids[at] for at, rest in zip(places, rests)]
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each text's ids followed by the end id; and the number of ids of each text."""
+        if not self.by_part:
+            found = [self._whole(t) + self.end for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found], np.int64)
+        odd = pc.match_substring_regex(texts, _ODD_SPACE)
+        for token in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, token))
+        odd_at = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
+        split = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+        flat, borders = split.flatten(), np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy())])
+        parts = flat.dictionary_encode()
+        # The first part of a text has no space before it; an odd text is one part as a whole.
+        firsts = self._parts(_strings(flat.take(pa.array(borders[:-1]))))
+        for i in odd_at:
+            firsts[i] = self._text(texts[i].as_py())
+        known = self._distinct(parts.dictionary)
+        pieces = [*known, *firsts, self.end]
+        codes = parts.indices.to_numpy().astype(np.int64)
+        codes[borders[:-1]] = len(known) + np.arange(len(firsts))
+        codes = np.insert(codes, borders[1:], len(pieces) - 1)
+        sizes = np.array([len(x) // 4 for x in pieces], np.int64)
+        begins = np.cumsum(sizes) - sizes
+        taken = sizes[codes]
+        ends = np.cumsum(taken)
+        at = np.repeat(begins[codes] - (ends - taken), taken) + np.arange(ends[-1] if len(ends) else 0)
+        last = borders[1:] + np.arange(len(firsts))  # where the ends of the texts are among the codes
+        lengths = np.diff(np.concatenate([[0], ends[last]]))
+        return np.frombuffer(b"".join(pieces), "<u4")[at], lengths
+
+
+_ENCODERS: dict[tuple, Encoder] = {}
+
+
+def encoder_of(tokenizer_file: str, end_id: int) -> Encoder:
+    """One encoder for all tasks that a Python worker runs."""
+    key = (tokenizer_file, end_id)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(tokenizer_file, end_id)
+    return _ENCODERS[key]
+
+
+def _groups(texts: pa.StringArray, size: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive texts of about ``size`` bytes."""
     start = held = 0
-    for i, text in enumerate(texts):
-        held += len(text)
-        if held >= characters:
+    for i, length in enumerate(pc.binary_length(texts).to_pylist()):
+        held += length
+        if held >= size:
             yield start, i + 1
             start, held = i + 1, 0
     if start < len(texts):
@@ -93,22 +236,17 @@ def encode_rows(docs: DataFrame, tokenizer_file: str, end_id: int, text: str = "
         .repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
         .withColumn("shard", F.spark_partition_id())
     )
-    kind = pa.int32()
-
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, position = Encoder(tokenizer_file, end_id), 0
+        encoder, position = encoder_of(tokenizer_file, end_id), 0
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for start, stop in _groups(texts):
-                found = encoder.encode(texts[start:stop])
-                lengths = np.array([len(x) // 4 for x in found], np.int64)
-                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-                values = pa.Array.from_buffers(kind, int(offsets[-1]), [None, pa.py_buffer(b"".join(found))])
+            for start, stop in _groups(batch.column("text")):
+                ids, lengths = encoder.encode(batch.column("text").slice(start, stop - start))
+                offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
                 rows = stop - start
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(start, rows), batch.column("shard").slice(start, rows),
                     pa.array(np.arange(position, position + rows)), pa.array(lengths),
-                    pa.ListArray.from_arrays(pa.array(offsets), values),
+                    pa.ListArray.from_arrays(offsets, pa.array(ids.view(np.int32))),
                 ], names=["doc_id", "shard", "position", "n_tokens", "ids"])
                 position += rows
 
@@ -138,7 +276,7 @@ def write_tokens(
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, shard, position, n_tokens, start) without reading any ids; start counts the ids of all rows before."""
-    return _with_start(spark.read.parquet(path).select("doc_id", "shard", "position", "n_tokens"))
+    return _with_start(spark, path, spark.read.parquet(path).select("doc_id", "shard", "position", "n_tokens"))
 
 
 def read_tokens(spark: SparkSession, path: str, first_id: int | None = None, last_id: int | None = None) -> DataFrame:
@@ -149,10 +287,11 @@ def read_tokens(spark: SparkSession, path: str, first_id: int | None = None, las
     return rows if last_id is None else rows.filter(F.col("doc_id") <= last_id)
 
 
-def _with_start(rows: DataFrame) -> DataFrame:
+def _with_start(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
     inside = W.partitionBy("shard").orderBy("position").rowsBetween(W.unboundedPreceding, -1)
     earlier = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)  # one row per shard
-    shards = rows.groupBy("shard").agg(F.sum("n_tokens").alias("_total")).select(
+    # Totals come from the files' counts, so that the ids are read once.
+    shards = spark.read.parquet(path).groupBy("shard").agg(F.sum("n_tokens").alias("_total")).select(
         "shard", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before")
     )
     return (
@@ -179,5 +318,5 @@ def read_checksums(spark: SparkSession, path: str) -> DataFrame:
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
     return _with_start(
-        rows.mapInArrow(summed, f"doc_id {id_type}, shard int, position long, n_tokens long, ids_crc32 long")
+        spark, path, rows.mapInArrow(summed, f"doc_id {id_type}, shard int, position long, n_tokens long, ids_crc32 long")
     )
