@@ -5,7 +5,9 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,14 +253,17 @@ def test_spaces_of_all_kinds_encode_as_the_whole_text():
         "\n\n a b\t c", "1 2  3", "\u3000 a", "don't stop 42nd  Street!! ...  ok", "<|endoftext|> a <|endoftext|>", "é è  ê",
         "a.\nB", "a.\n\nB", "(a) [b].\nc", "x²½ ² 3.14a_b", "e\u0301 l'e\u0301te\u0301", "привет, мир! 你好 \n", "a\n", "\na", " \na", "a;\n b", "!?\nc", " 12\n34",
     ]
+    def encoded(encoder, texts):
+        ids, lengths = encoder.encode(pa.array(texts, pa.string()))
+        return [part.tolist() for part in np.split(ids, np.cumsum(lengths)[:-1])]
+
     encoder = token_output.Encoder(TOKENIZER, 2, memo_entries=3)
     for text in cases:
-        assert list(memoryview(encoder.encode([text])[0]).cast("I")) == _ids(text), repr(text)
-    assert encoder.by_part and [list(memoryview(x).cast("I")) for x in encoder.encode(cases)] == [_ids(t) for t in cases]
+        assert encoded(encoder, [text]) == [_ids(text)], repr(text)
+    assert encoder.by_part and encoded(encoder, cases * 2) == [_ids(t) for t in cases * 2]
+    assert encoder.encode(pa.array([], pa.string()))[0].tolist() == []
     other = token_output.Encoder(public_tokenizers.path("word_bpe_49k.json"), 2)
-    assert not other.by_part and list(memoryview(other.encode(["Some  words."])[0]).cast("I")) == (
-        other.tokenizer.encode("Some  words.", add_special_tokens=False).ids + [2]
-    )
+    assert not other.by_part and encoded(other, ["Some  words."]) == [other.tokenizer.encode("Some  words.", add_special_tokens=False).ids + [2]]
 
 
 # --- 8 -------------------------------------------------------------------------------------------
