@@ -23,11 +23,17 @@ VARIABLE = "<*>"
 # A token that holds a digit. Both ends are anchored, so that a long token is read once.
 _HAS_DIGIT = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
 _SPACES = r"[\x20\x09-\x0D]+"
+_ODD_SPACES = r"  |[\x09-\x0D]"
 
 
-def line_key(line: Column) -> Column:
-    """The line's tokens with one space between them, tokens with digits as variable fields; empty for a blank line."""
-    return F.regexp_replace(F.trim(F.regexp_replace(line, _SPACES, " ")), _HAS_DIGIT, VARIABLE)
+def line_keys(text: str) -> Column:
+    """A text's lines as tokens with one space between them, tokens with digits as variable fields; blank lines are empty.
+
+    Replacing is dear and seldom needed, so a plain search comes first.
+    """
+    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
+    spaced = F.transform(lines, lambda l: F.trim(F.when(l.rlike(_ODD_SPACES), F.regexp_replace(l, _SPACES, " ")).otherwise(l)))
+    return F.transform(spaced, lambda l: F.when(l.rlike("[0-9]"), F.regexp_replace(l, _HAS_DIGIT, VARIABLE)).otherwise(l))
 
 
 def _digest(text: Column) -> Column:
@@ -39,15 +45,10 @@ def _key_of(doc_id: str, text: str) -> Column:
     return _digest(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.coalesce(F.col(text), F.lit(""))))
 
 
-def _line_keys(text: str) -> Column:
-    return F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), line_key)
-
-
 def _leaf(line: Column, depth: int) -> Column:
     """Number of tokens and the leading ones, as a digest."""
-    tokens = F.length(line) - F.length(F.translate(line, " ", "")) + 1
-    leading = F.array_join(F.slice(F.split(line, " ", depth + 1), 1, depth), " ")
-    return _digest(F.concat_ws(" ", tokens.cast("string"), leading))
+    spaces = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+    return _digest(F.concat_ws(" ", spaces.cast("string"), F.substring_index(line, " ", depth)))
 
 
 def recurring_lines(
@@ -60,13 +61,13 @@ def recurring_lines(
     """
     # A template needs min_documents documents, so its leaf does too: most lines never go further. Joined sides are
     # stored first, so that the join can split a hot leaf.
-    leaves_of = F.array_distinct(F.transform(F.filter(_line_keys(text), lambda l: l != ""), lambda l: _leaf(l, depth)))
+    leaves_of = F.array_distinct(F.transform(F.filter(line_keys(text), lambda l: l != ""), lambda l: _leaf(l, depth)))
     leaves = stored(
         docs.select(F.explode(leaves_of).alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") >= min_documents).select("leaf"), "leaves",
     )
     lines = (
-        docs.select(_key_of(doc_id, text).alias("doc"), F.posexplode(_line_keys(text)).alias("line_no", "line"))
+        docs.select(_key_of(doc_id, text).alias("doc"), F.posexplode(line_keys(text)).alias("line_no", "line"))
         .filter("line != ''").withColumn("leaf", _leaf(F.col("line"), depth))
     )
     placed = stored(lines.join(leaves, "leaf").withColumn("line_id", _digest(F.col("line"))), "leaf-lines")
