@@ -19,14 +19,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from varloom.llm.common import crc_of_id, stored, text_or_empty
+from varloom.llm.common import crc_of_id, free_name, stored, text_or_empty
 from varloom.llm.words import count_words, frequency_histogram, least_count, texts_of, words_of
 
 STATES = 8
 PASSES = 2
 HEAD_WORDS = 1 << 17
+MIN_HEAD_COUNT = 3  # rarer words say little about states
 CLASSES = 61
 START_ROWS = 2_000
 START_WORDS = 2_000
@@ -69,6 +70,7 @@ class Counts:
     head_n: np.ndarray
     class_n: np.ndarray
     class_distinct: np.ndarray
+    least: float  # words of a smaller count are in no head
     table: DataFrame = field(repr=False)
 
     def symbol_counts(self) -> np.ndarray:
@@ -80,7 +82,7 @@ def gather_counts(training: DataFrame, text: str = "text", head_words: int = HEA
     table = stored(count_words(training, text), "word-counts")
     histogram = frequency_histogram(table)
     texts = training.count()
-    least = least_count(histogram, head_words)
+    least = max(MIN_HEAD_COUNT, least_count(histogram, head_words))
     head = table.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").collect() if least < math.inf else []
 
     @F.pandas_udf("int")
@@ -95,7 +97,8 @@ def gather_counts(training: DataFrame, text: str = "text", head_words: int = HEA
         class_n[row["at"]], class_distinct[row["at"]] = row["n"], row["words"]
     return Counts(
         sum(r["n"] for r in histogram) + texts, sum(r["words"] for r in histogram) + (texts > 0), texts,
-        [r["word"].encode() for r in head], np.array([r["n"] for r in head], float), class_n, class_distinct, table,
+        [r["word"].encode() for r in head], np.array([r["n"] for r in head], float), class_n, class_distinct,
+        least, table,
     )
 
 
@@ -179,12 +182,14 @@ def expected_counts(model: Hmm, sequences: Sequence[np.ndarray]) -> tuple[np.nda
 
 
 def estimate(start: np.ndarray, moves: np.ndarray, emissions: np.ndarray, unigram: np.ndarray) -> Hmm:
-    """Probabilities from expected counts; emissions fall back on the unigram distribution of the symbols."""
+    """Probabilities from expected counts. Emissions fall back on the unigram distribution of the symbols, with a weight that
+    grows with the number of different symbols a state has emitted."""
     states = len(start)
+    weight = BACKOFF + (emissions > 0.5).sum(axis=0)
     return Hmm(
         (start + 1) / (start.sum() + states),
         (moves + 1) / (moves.sum(axis=1, keepdims=True) + states),
-        ((emissions + BACKOFF * unigram[:, None]) / (emissions.sum(axis=0) + BACKOFF)).astype(np.float32),
+        ((emissions + weight * unigram[:, None]) / (emissions.sum(axis=0) + weight)).astype(np.float32),
     )
 
 
@@ -224,8 +229,8 @@ def _sampled(training: DataFrame, symbols, rows: int, total: int) -> list[np.nda
             kept = [np.sort(s[s < START_WORDS]) for s in (known.encode(words_of(t)) for t in texts)]
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.list_(pa.int32()))], names=["ids"])
 
-    got = training.filter(drawn < rows / max(1, total)).select("text").mapInArrow(encoded, "ids array<int>").toPandas()["ids"]
-    return sorted((np.asarray(r, np.int64) for r in got), key=lambda r: (len(r), r.tobytes()))
+    got = training.filter(drawn < rows / max(1, total)).select("text").mapInArrow(encoded, "ids array<int>").toArrow()["ids"]
+    return sorted((np.array(r, np.int64) for r in got.to_pylist()), key=lambda r: (len(r), r.tobytes()))
 
 
 def train(
@@ -274,7 +279,7 @@ def train(
 
         sums = training.select("text").mapInArrow(expected, "row int, " + ", ".join(f"{c} float" for c in columns)).groupBy(
             "row"
-        ).agg(*[F.sum(c).alias(c) for c in columns]).toPandas()  # at most one row per symbol and state
+        ).agg(*[F.sum(c).alias(c) for c in columns]).toArrow().to_pandas()  # at most one row per symbol and state
         table = np.zeros((size + states + 1, states))
         table[sums["row"].to_numpy() + states + 1] = sums[columns].to_numpy()
         model = estimate(table[states], table[:states][::-1], table[states + 1:], unigram)
@@ -287,10 +292,12 @@ def score(
 ) -> DataFrame:
     """All columns of ``docs`` but the text, plus n_tokens, n_known, base_score and score (log10 probabilities).
 
-    base_score is the add-0.1 unigram model over the words and the end; score is the hidden Markov model's.
+    base_score is the add-0.1 unigram model over the words and the end; score is the hidden Markov model's. Result
+    columns whose names ``docs`` has already get leading underscores.
     """
     context = docs.sparkSession.sparkContext
     kept = [c for c in docs.columns if c != text]
+    names = {n: free_name(kept, n) for n in ("n_tokens", "n_known", "base_score", "score")}
     denominator = counts.tokens + ADDED * (counts.distinct + 1)
     # Head words and the end; classes are looked up word by word below.
     logs = np.log10((counts.symbol_counts() + ADDED) / denominator)
@@ -310,11 +317,11 @@ def score(
                 n = len(found)
                 inside = [s[(s < symbols.head) | (s == symbols.end)] for s in found]
                 yield pa.RecordBatch.from_arrays([
-                    *[part.column(c) for c in kept], pa.array([len(s) for s in found], pa.int64()),
+                    part.column("kept"), pa.array([len(s) for s in found], pa.int64()),
                     pa.array([len(s) - 1 + known_end for s in inside], pa.int64()),
                     pa.array([float(head_logs[s].sum()) for s in inside], pa.float64()),
                     pa.array(chances[at:at + n], pa.float64()), pa.array(rest, word_type),
-                ], names=[*kept, "n_tokens", "n_known", "base_score", "score", "rest"])
+                ], names=["kept", "n_tokens", "n_known", "base_score", "score", "rest"])
                 at += n
 
         held, tokens = [], 0
@@ -333,19 +340,17 @@ def score(
                 held, tokens = [], 0
         yield from flush()
 
-    own = docs.withColumnRenamed(text, "text").select(*kept, "text") if text != "text" else docs.select(*kept, "text")
-    schema = ", ".join([
-        *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept],
-        "n_tokens long, n_known long, base_score double, score double, rest array<struct<word:string,at:int,n:bigint>>",
-    ])
+    own = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in kept]).alias("kept"), F.col(text).alias("text"))
+    schema = T.StructType([own.schema["kept"]]).add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add(
+        "score", "double"
+    ).add("rest", T.ArrayType(T.StructType().add("word", "string").add("at", "integer").add("n", "long")))
     # Stored with a row number, so that the number stays when a task runs again.
     rows = stored(own.mapInArrow(scored, schema).withColumn("_row", F.monotonically_increasing_id()), "scored")
     inside = np.log10(counts.class_n + ADDED * (counts.class_distinct + 1))
     per_class = F.element_at(F.array(*[F.lit(float(x)) for x in inside]), F.col("at") + 1)
     count = F.coalesce(F.col("c"), F.lit(0))
     log_count = F.log10(count + F.lit(ADDED))
-    least = int(counts.head_n.min()) if len(counts.head) else None
-    tail = counts.table if least is None else counts.table.filter(F.col("n") < least)
+    tail = counts.table.filter(F.col("n") < counts.least)
     others = (
         rows.select("_row", F.inline("rest")).join(tail.select("word", F.col("n").alias("c")), "word", "left")
         .groupBy("_row").agg(
@@ -354,9 +359,9 @@ def score(
             F.sum(F.col("n") * (log_count - per_class)).alias("_score"),
         )
     )
-    added = lambda name, more: (F.col(name) + F.coalesce(F.col(more), F.lit(0))).alias(name)
+    added = lambda name, more: (F.col(name) + F.coalesce(F.col(more), F.lit(0))).alias(names[name])
     return rows.join(others, "_row", "left").select(
-        *[F.col(f"`{c}`") for c in kept], "n_tokens", added("n_known", "_known"), added("base_score", "_base"), added("score", "_score")
+        *[F.col("kept")[c].alias(c) for c in kept], F.col("n_tokens").alias(names["n_tokens"]), added("n_known", "_known"), added("base_score", "_base"), added("score", "_score")
     )
 
 
