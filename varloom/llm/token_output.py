@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 120_000
 GROUP_BYTES = 8 << 20
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
@@ -249,6 +249,9 @@ def encode_rows(docs: DataFrame, tokenizer_file: str, end_id: int, text: str = "
                     pa.ListArray.from_arrays(offsets, pa.array(ids.view(np.int32))),
                 ], names=["doc_id", "shard", "position", "n_tokens", "ids"])
                 position += rows
+        # The worker lives on for other stages.
+        encoder.older = {}
+        pa.default_memory_pool().release_unused()
 
     id_type = docs.schema[doc_id].dataType.simpleString()
     return dealt.mapInArrow(encoded, f"doc_id {id_type}, shard int, position long, n_tokens long, ids array<int>")
