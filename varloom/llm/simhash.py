@@ -249,13 +249,22 @@ def deduplicate(
 
     Rows that repeat both id and text leave one row.
     """
-    key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     rows = stored(docs.select(
-        F.col(doc_id).alias("doc_id"), key.alias("key"), fingerprint_column(F.col(text), words).alias("fingerprint")
+        F.col(doc_id).alias("doc_id"), row_key(text).alias("key"), fingerprint_column(F.col(text), words).alias("fingerprint")
     ), "simhash")
+    return keep_first(docs, rows, group_fingerprints(rows, radius, shard_rows), text, doc_id)
+
+
+def row_key(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def keep_first(docs: DataFrame, rows: DataFrame, groups: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """``docs`` with the first row of each group, by ``rows`` (doc_id, key, fingerprint) and ``groups`` (fingerprint, root)."""
+    key = row_key(text)
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
     members = rows.groupBy("fingerprint").agg(F.min(order).alias("own_first"))
-    grouped = group_fingerprints(rows, radius, shard_rows).join(members, "fingerprint")
+    grouped = groups.join(members, "fingerprint")
     first = grouped.groupBy("root").agg(F.min("own_first").alias("first"))
     known = stored(grouped.join(first, "root").select(
         "fingerprint", F.col("first.doc_id").alias("first_id"), F.col("first.key").alias("first_key")
