@@ -3,7 +3,8 @@
 A line's way through the tree is its number of tokens, then its first ``depth`` tokens; tokens with digits are variable
 fields from the start. The lines of a leaf are generalised position by position: a token stays where enough documents
 of the leaf agree on it, and becomes a variable field elsewhere. A template that enough documents share, and that
-still fixes enough of its tokens, is boilerplate, and its lines are dropped from all of them.
+still fixes enough of its tokens, is boilerplate, and its lines are dropped from all of them. A line whose own text is in
+enough documents is boilerplate too, however many of its tokens hold digits.
 
 The tree is never held anywhere: leaves, tokens of leaves and templates are keys of aggregations over distinct lines, so
 a leaf with a third of all lines is many rows of a shuffle and not one task's list.
@@ -27,13 +28,25 @@ _ODD_SPACES = r"  |[\x09-\x0D]"
 
 
 def line_keys(text: str) -> Column:
-    """A text's lines as tokens with one space between them, tokens with digits as variable fields; blank lines are empty.
+    """A text's lines as tokens with one space between them, tokens with digits as variable fields; blank lines are empty."""
+    return F.transform(_spaced_lines(text), _generalised)
 
-    Replacing is dear and seldom needed, so a plain search comes first.
-    """
+
+def _spaced_lines(text: str) -> Column:
+    """Replacing is dear and seldom needed, so a plain search comes first; the same below."""
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    spaced = F.transform(lines, lambda l: F.trim(F.when(l.rlike(_ODD_SPACES), F.regexp_replace(l, _SPACES, " ")).otherwise(l)))
-    return F.transform(spaced, lambda l: F.when(l.rlike("[0-9]"), F.regexp_replace(l, _HAS_DIGIT, VARIABLE)).otherwise(l))
+    return F.transform(lines, lambda l: F.trim(F.when(l.rlike(_ODD_SPACES), F.regexp_replace(l, _SPACES, " ")).otherwise(l)))
+
+
+def _generalised(line: Column) -> Column:
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, _HAS_DIGIT, VARIABLE)).otherwise(line)
+
+
+def _too_variable(line: Column, min_fixed: float) -> Column:
+    """Whether a line can never fix enough tokens, whatever other lines hold."""
+    tokens = F.split(line, " ")
+    fixed = F.size(F.filter(tokens, lambda t: t != VARIABLE)) / F.size(tokens)
+    return F.when(F.contains(line, F.lit(VARIABLE)), fixed < min_fixed).otherwise(F.lit(False))
 
 
 def _digest(text: Column) -> Column:
@@ -57,6 +70,7 @@ def recurring_lines(
 ) -> DataFrame:
     """(doc, line_no, template, documents): every line whose template recurs, with the documents that share it.
 
+    A line that fixes too few tokens for a template, but is itself in ``min_documents`` documents, is its own template.
     ``doc`` is a digest of id and text. Lines of a document count once per template.
     """
     # A template needs min_documents documents, so its leaf does too: most lines never go further. Joined sides are
@@ -67,8 +81,9 @@ def recurring_lines(
         .filter(F.col("n") >= min_documents).select("leaf"), "leaves",
     )
     lines = (
-        docs.select(_key_of(doc_id, text).alias("doc"), F.posexplode(line_keys(text)).alias("line_no", "line"))
-        .filter("line != ''").withColumn("leaf", _leaf(F.col("line"), depth))
+        docs.select(_key_of(doc_id, text).alias("doc"), F.posexplode(_spaced_lines(text)).alias("line_no", "own"))
+        .filter("own != ''").withColumn("line", _generalised(F.col("own"))).withColumn("leaf", _leaf(F.col("line"), depth))
+        .withColumn("own", F.when(_too_variable(F.col("line"), min_fixed), F.col("own")))
     )
     placed = stored(lines.join(leaves, "leaf").withColumn("line_id", _digest(F.col("line"))), "leaf-lines")
 
@@ -93,13 +108,22 @@ def recurring_lines(
             (F.count("fixed") / F.count(F.lit(1))).alias("share"),
         ).filter(F.col("share") >= min_fixed).select("leaf", "line_id", "template"), "line-templates",
     )
-    found = stored(placed.drop("line", "leaf").join(templates, "line_id"), "templates")
+    found = stored(placed.drop("line", "leaf", "own").join(templates, "line_id"), "templates")
     shared = stored(
         found.select("doc", "leaf", "template").distinct().groupBy("leaf", "template").agg(
             F.count(F.lit(1)).alias("documents")
         ).filter(F.col("documents") >= min_documents), "shared-templates",
     )
-    return found.join(shared, ["leaf", "template"]).select("doc", "line_no", "template", "documents")
+    by_template = found.join(shared, ["leaf", "template"]).select("doc", "line_no", "template", "documents")
+    # A line in min_documents documents has all its tokens without digits fixed, so these are the only ones left out above.
+    variable = placed.filter("own is not null").select("doc", "line_no", "own")
+    repeated = stored(
+        variable.select("doc", "own").distinct().groupBy("own").agg(F.count(F.lit(1)).alias("documents"))
+        .filter(F.col("documents") >= min_documents), "repeated-lines",
+    )
+    return by_template.unionByName(
+        variable.join(repeated, "own").select("doc", "line_no", F.col("own").alias("template"), "documents")
+    )
 
 
 def drop_recurring_lines(
@@ -108,8 +132,8 @@ def drop_recurring_lines(
 ) -> DataFrame:
     """All rows and columns of ``docs`` plus clean_text, n_lines and dropped_lines (line numbers from 0, ascending).
 
-    - A line whose template recurs in ``min_documents`` documents or more is dropped from all of them, exact repeats
-      included; blank lines stay, and so does everything else, in order.
+    - A line whose template recurs in ``min_documents`` documents or more is dropped from all of them; so is a line
+      that is itself in as many, spaces aside, however few of its tokens are free of digits; blank lines stay, and so does everything else, in order.
     - A null text has 0 lines and a null clean_text; an empty one has one blank line and stays empty.
     - Rows that repeat id and text count as one document and are cleaned alike; an empty table gives no rows.
     - Lines are read whole, however long. Result columns whose names ``docs`` has already get leading underscores.
