@@ -1,6 +1,6 @@
 """Lines that are the same in many documents, whatever share of their tokens holds digits."""
 
-from varloom.llm import line_dedup
+from varloom.llm import line_dedup, queries
 
 
 def test_repeats_full_of_digits_go(spark):
@@ -15,3 +15,20 @@ def test_repeats_full_of_digits_go(spark):
     assert len(found) == len({(r.doc, r.line_no) for r in found}) == 70
     assert {r.template for r in found} == {"kept", *repeated}
     assert all(not d for d in (r.dropped_lines for r in line_dedup.drop_recurring_lines(docs, min_documents=21).collect()))
+
+
+def test_long_passages_go_from_all_texts_but_one(spark, tmp_path):
+    word = lambda i: chr(97 + i % 26) + chr(97 + i // 26)
+    passage = " ".join(f"word{word(i)}" for i in range(60))
+    changing = [" ".join(f"other{word(i)}" for i in range(60)).replace("otherha", w) for w in ("this", "that", "these")]
+    short = " ".join(passage.split()[:49])
+    texts = [f"{passage}\n{short}\nalpha", f"beta\n{passage}\n{short}", *[f"{c}\n{w}" for c, w in zip(changing, ("gamma", "delta", "mu"))]]
+    texts += [f"{passage.upper()}\nepsilon"] * 2  # copies of one text, which no other text shares
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.dropped_lines for r in queries.op6_line_dedup(spark, str(tmp_path)).collect()}
+    assert sorted([got[0] == [0], got[1] == [1]]) == [False, True]
+    assert sorted(got[i] for i in (2, 3, 4)) == [[], [0], [0]] and sum(map(len, got.values())) == 3
+    found = line_dedup.recurring_lines(docs, passage_texts=2).collect()
+    assert sorted(r.documents for r in found) == [2, 2, 3, 3, 3] and sum(r.stays for r in found) == 2
+    assert {r.template for r in found} == {passage, changing[0].replace("this", "<*>")}

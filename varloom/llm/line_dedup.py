@@ -6,6 +6,10 @@ of the leaf agree on it, and becomes a variable field elsewhere. A template that
 still fixes enough of its tokens, is boilerplate, and its lines are dropped from all of them. A line whose own text is in
 enough documents is boilerplate too, however many of its tokens hold digits.
 
+Fewer documents are enough for a passage, a line that fixes ``PASSAGE_WORDS`` tokens: chance repeats no such line. Passages
+are content and not boilerplate, so one text keeps its lines, and they are counted by distinct texts, as copies of whole
+texts repeat nothing inside them.
+
 The tree is never held anywhere: leaves, tokens of leaves and templates are keys of aggregations over distinct lines, so
 a leaf with a third of all lines is many rows of a shuffle and not one task's list.
 """
@@ -19,6 +23,8 @@ from varloom.llm.common import free_name, stored
 DEPTH = 3
 MIN_DOCUMENTS = 10
 MIN_FIXED = 0.6
+PASSAGE_WORDS = 50
+PASSAGE_TEXTS = 2
 VARIABLE = "<*>"
 
 # A token that holds a digit. Both ends are anchored, so that a long token is read once.
@@ -58,36 +64,69 @@ def _key_of(doc_id: str, text: str) -> Column:
     return _digest(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.coalesce(F.col(text), F.lit(""))))
 
 
+def _spaces(line: Column) -> Column:
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+
+
 def _leaf(line: Column, depth: int) -> Column:
     """Number of tokens and the leading ones, as a digest."""
-    spaces = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
-    return _digest(F.concat_ws(" ", spaces.cast("string"), F.substring_index(line, " ", depth)))
+    return _digest(F.concat_ws(" ", _spaces(line).cast("string"), F.substring_index(line, " ", depth)))
 
 
 def recurring_lines(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", depth: int = DEPTH, min_documents: int = MIN_DOCUMENTS,
-    min_fixed: float = MIN_FIXED,
+    min_fixed: float = MIN_FIXED, passage_words: int = PASSAGE_WORDS, passage_texts: int | None = None,
 ) -> DataFrame:
-    """(doc, line_no, template, documents): every line whose template recurs, with the documents that share it.
+    """(doc, line_no, template, documents, stays): every line whose template recurs, with the documents that share it.
+
+    ``stays`` marks the lines of a passage in the one text that keeps them: that of the smallest hash. A passage counts
+    distinct texts in place of documents; a line that recurs by both rules has two rows. Without ``passage_texts`` there
+    are no passages, and one number holds for lines of all lengths.
 
     A line that fixes too few tokens for a template, but is itself in ``min_documents`` documents, is its own template.
     ``doc`` is a digest of id and text. Lines of a document count once per template.
     """
-    # A template needs min_documents documents, so its leaf does too: most lines never go further. Joined sides are
-    # stored first, so that the join can split a hot leaf.
-    leaves_of = F.array_distinct(F.transform(F.filter(line_keys(text), lambda l: l != ""), lambda l: _leaf(l, depth)))
+    # A template needs min_documents documents, or a leaf of long lines and several texts: most lines never go further.
+    # Joined sides are stored first, so that the join can split a hot leaf.
+    text_key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    placing = lambda l: F.struct(_leaf(l, depth).alias("leaf"), (_spaces(l) >= passage_words - 1).alias("long"))
+    leaves_of = F.array_distinct(F.transform(F.filter(line_keys(text), lambda l: l != ""), placing))
     leaves = stored(
-        docs.select(F.explode(leaves_of).alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") >= min_documents).select("leaf"), "leaves",
+        docs.select(F.explode(leaves_of).alias("at"), text_key.alias("text_key")).groupBy("at.leaf", "at.long").agg(
+            F.count(F.lit(1)).alias("n"), F.min("text_key").alias("low"), F.max("text_key").alias("high")
+        ).select(
+            "leaf", (F.col("n") >= min_documents).alias("often"),
+            (F.col("long") & F.lit(passage_texts is not None) & (F.col("n") >= (passage_texts or 0)) & (F.col("low") != F.col("high"))).alias("passages"),
+        ).filter("often or passages"), "leaves",
     )
     lines = (
-        docs.select(_key_of(doc_id, text).alias("doc"), F.posexplode(_spaced_lines(text)).alias("line_no", "own"))
+        docs.select(_key_of(doc_id, text).alias("doc"), text_key.alias("text_key"), F.posexplode(_spaced_lines(text)).alias("line_no", "own"))
         .filter("own != ''").withColumn("line", _generalised(F.col("own"))).withColumn("leaf", _leaf(F.col("line"), depth))
         .withColumn("own", F.when(_too_variable(F.col("line"), min_fixed), F.col("own")))
     )
     placed = stored(lines.join(leaves, "leaf").withColumn("line_id", _digest(F.col("line"))), "leaf-lines")
+    columns = ["doc", "line_no", "template", "documents", "stays"]
+
+    by_template = _shared_templates(placed.filter("often"), "doc", min_documents, min_fixed, 1)
+    # A line in min_documents documents has all its tokens without digits fixed, so these are the only ones left out above.
+    variable = placed.filter("often and own is not null").select("doc", "line_no", "own")
+    repeated = stored(
+        variable.select("doc", "own").distinct().groupBy("own").agg(F.count(F.lit(1)).alias("documents"))
+        .filter(F.col("documents") >= min_documents), "repeated-lines",
+    )
+    by_text = variable.join(repeated, "own").withColumnRenamed("own", "template")
+    found = by_template.withColumn("stays", F.lit(False)).select(columns).unionByName(
+        by_text.withColumn("stays", F.lit(False)).select(columns)
+    )
+    if passage_texts is None:
+        return found
+    passages = _shared_templates(placed.filter("passages"), "text_key", passage_texts, min_fixed, passage_words)
+    return found.unionByName(passages.withColumn("stays", F.col("text_key") == F.col("least")).select(columns))
+
 
-    held = placed.select("doc", "line_id").distinct().groupBy("line_id").agg(F.count(F.lit(1)).alias("documents"))
+def _shared_templates(placed: DataFrame, holder: str, least: int, min_fixed: float, fixed_words: int) -> DataFrame:
+    """Lines of ``placed`` with the template that ``least`` holders share, their number (documents) and the least of them."""
+    held = placed.select(holder, "line_id").distinct().groupBy("line_id").agg(F.count(F.lit(1)).alias("documents"))
     distinct = stored(
         placed.groupBy("line_id").agg(F.first("leaf").alias("leaf"), F.first("line").alias("line")).join(held, "line_id"),
         "distinct-lines",
@@ -95,7 +134,7 @@ def recurring_lines(
     cells = distinct.select("leaf", "line_id", "documents", F.posexplode(F.split("line", " ")).alias("at", "token"))
     common = stored(
         cells.groupBy("leaf", "at", "token").agg(F.sum("documents").alias("n"))
-        .filter((F.col("n") >= min_documents) & (F.col("token") != VARIABLE))
+        .filter((F.col("n") >= least) & (F.col("token") != VARIABLE))
         .select("leaf", "at", "token", F.lit(True).alias("fixed")), "common-tokens",
     )
     # A line has as many cells as tokens.
@@ -105,40 +144,33 @@ def recurring_lines(
     templates = stored(
         cells.join(common, ["leaf", "at", "token"], "left").groupBy("leaf", "line_id").agg(
             F.array_join(F.transform(ordered, lambda c: c["token"]), " ").alias("template"),
-            (F.count("fixed") / F.count(F.lit(1))).alias("share"),
-        ).filter(F.col("share") >= min_fixed).select("leaf", "line_id", "template"), "line-templates",
+            F.count("fixed").alias("fixed"), (F.count("fixed") / F.count(F.lit(1))).alias("share"),
+        ).filter((F.col("share") >= min_fixed) & (F.col("fixed") >= fixed_words)).select("leaf", "line_id", "template"), "line-templates",
     )
-    found = stored(placed.drop("line", "leaf", "own").join(templates, "line_id"), "templates")
+    found = stored(placed.select("doc", "text_key", "line_no", "line_id").join(templates, "line_id"), "templates")
     shared = stored(
-        found.select("doc", "leaf", "template").distinct().groupBy("leaf", "template").agg(
-            F.count(F.lit(1)).alias("documents")
-        ).filter(F.col("documents") >= min_documents), "shared-templates",
-    )
-    by_template = found.join(shared, ["leaf", "template"]).select("doc", "line_no", "template", "documents")
-    # A line in min_documents documents has all its tokens without digits fixed, so these are the only ones left out above.
-    variable = placed.filter("own is not null").select("doc", "line_no", "own")
-    repeated = stored(
-        variable.select("doc", "own").distinct().groupBy("own").agg(F.count(F.lit(1)).alias("documents"))
-        .filter(F.col("documents") >= min_documents), "repeated-lines",
-    )
-    return by_template.unionByName(
-        variable.join(repeated, "own").select("doc", "line_no", F.col("own").alias("template"), "documents")
+        found.select(holder, "leaf", "template").distinct().groupBy("leaf", "template").agg(
+            F.count(F.lit(1)).alias("documents"), *([F.min(holder).alias("least")] if holder == "text_key" else [])
+        ).filter(F.col("documents") >= least), "shared-templates",
     )
+    return found.join(shared, ["leaf", "template"])
 
 
 def drop_recurring_lines(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", depth: int = DEPTH, min_documents: int = MIN_DOCUMENTS,
-    min_fixed: float = MIN_FIXED,
+    min_fixed: float = MIN_FIXED, passage_words: int = PASSAGE_WORDS, passage_texts: int | None = None,
 ) -> DataFrame:
     """All rows and columns of ``docs`` plus clean_text, n_lines and dropped_lines (line numbers from 0, ascending).
 
     - A line whose template recurs in ``min_documents`` documents or more is dropped from all of them; so is a line
       that is itself in as many, spaces aside, however few of its tokens are free of digits; blank lines stay, and so does everything else, in order.
+    - A line whose template fixes ``passage_words`` tokens and recurs in ``passage_texts`` different texts, if given, is
+      dropped from all of them but one, the text of the smallest hash.
     - A null text has 0 lines and a null clean_text; an empty one has one blank line and stays empty.
     - Rows that repeat id and text count as one document and are cleaned alike; an empty table gives no rows.
     - Lines are read whole, however long. Result columns whose names ``docs`` has already get leading underscores.
     """
-    found = recurring_lines(docs, text, doc_id, depth, min_documents, min_fixed)
+    found = recurring_lines(docs, text, doc_id, depth, min_documents, min_fixed, passage_words, passage_texts).filter("not stays")
     # At most as many numbers as the document has lines.
     drops = found.groupBy("doc").agg(F.array_sort(F.collect_set("line_no")).alias("drops"))
     names = {n: free_name(docs.columns, n) for n in ("clean_text", "n_lines", "dropped_lines")}

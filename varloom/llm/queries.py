@@ -105,7 +105,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document, the recurring ones that are dropped, and what is left of its text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.drop_recurring_lines(docs).select(
+    return line_dedup.drop_recurring_lines(docs, passage_texts=line_dedup.PASSAGE_TEXTS).select(
         "doc_id", "n_lines", "dropped_lines", F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("clean_sha256")
     )
 
