@@ -2,7 +2,7 @@
 
 Weights are learned by follow-the-regularised-leader with L1 and L2 penalties, then one temperature is fitted on rows
 that the training left out. N-grams fall in 2**bits hash buckets, which bounds the model whatever the texts hold.
-Document frequencies come from all learning rows; the regression is fitted on at most about ``max_rows`` of them.
+Document frequencies come from all learning rows; the regression is fitted on at most ``max_rows`` of them.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from varloom.llm.common import free_name
+from varloom.llm.common import free_name, stored
 
 BITS = 16
 ORDERS = (1, 2, 3)
@@ -98,13 +98,26 @@ def document_frequencies(learning: DataFrame, text: str, bits: int) -> tuple[int
 
 
 def bounded_sample(learning: DataFrame, text: str, label: str, max_rows: int, bits: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """About max_rows / labels rows of every label, chosen by a hash of the text: label, buckets, counts."""
-    rows = {r[0]: r[1] for r in learning.groupBy(label).count().collect()}  # one row per language
-    if not rows:
+    """max_rows / labels distinct texts of every label, one at least, or all it has: label, buckets, counts.
+
+    They are the first by a hash of the text, so that copies count once. Empty texts hold no n-gram and are left out.
+    """
+    keyed = learning.filter(F.col(text) != "").withColumn("key", F.xxhash64(F.col(text), F.lit(11)))
+    distinct = stored(keyed.select(label, "key").distinct(), "distinct-texts")
+    texts = {r[0]: r[1] for r in distinct.groupBy(label).count().collect()}  # one row per language
+    if not texts:
         return []
-    share = {k: max_rows / len(rows) / n for k, n in rows.items()}
+    quota = max(1, max_rows // len(texts))
+    # Twice the quota and more reach the driver, as hashes; fewer than the quota cannot be expected from distinct texts.
+    share = {k: (2 * quota + 50) / n for k, n in texts.items()}
     wanted = F.create_map(*[F.lit(x) for k, s in share.items() for x in (k, s)])[F.col(label)]
-    drawn = (F.pmod(F.xxhash64(F.col(text), F.lit(11)), F.lit(1_000_003)) + 0.5) / 1_000_003
+    drawn = (F.pmod("key", F.lit(1_000_003)) + 0.5) / 1_000_003
+    offered: dict[str, list] = {}
+    for k, key in distinct.filter(drawn < wanted).select(label, "key").collect():
+        offered.setdefault(k, []).append(key)
+    chosen = [(k, key) for k, keys in offered.items() for key in sorted(keys, key=lambda h: (h % 1_000_003, h))[:quota]]
+    taken = learning.sparkSession.createDataFrame(chosen, f"`{label}` string, key long")
+    rows = keyed.join(F.broadcast(taken), [label, "key"], "left_semi").dropDuplicates([label, "key"])  # max_rows or one a language
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -112,7 +125,7 @@ def bounded_sample(learning: DataFrame, text: str, label: str, max_rows: int, bi
             at = [np.flatnonzero(c) for c in found]
             yield pd.DataFrame({"label": batch[label], "at": at, "n": [c[i] for c, i in zip(found, at)]})
 
-    sample = learning.filter(drawn < wanted).select(text, label).mapInPandas(counted, "label string, at array<int>, n array<int>")
+    sample = rows.select(text, label).mapInPandas(counted, "label string, at array<int>, n array<int>")
     got = [(r["label"], np.array(r["at"], np.int64), np.array(r["n"], float)) for r in sample.toArrow().to_pylist()]
     return sorted(got, key=lambda r: (len(r[1]), r[0], r[1].tobytes(), r[2].tobytes()))
 
@@ -160,8 +173,8 @@ def fit(
 ) -> Model:
     """Learn from the rows of ``docs`` where ``learn`` holds and neither text nor label is null.
 
-    ``max_rows`` bounds the rows that reach the regression, spread evenly over labels; every fifth of them fits the
-    temperature instead. Without any learning row the model knows no language and predicts ``und``.
+    ``max_rows`` bounds the rows that reach the regression, distinct texts spread evenly over labels; a label with a text
+    has one there at least. Every fifth of them fits the temperature instead. Without any learning row the model knows no language and predicts ``und``.
     """
     learning = docs if learn is None else docs.filter(learn)
     learning = learning.select(F.col(text).alias("text"), F.col(label).cast("string").alias("label")).filter(
