@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from varloom.llm import decontaminate, exact_dedup, hmm, language_id, line_dedup, mixing, secret_scan, simhash, token_output, url_filter
-from varloom.llm.common import crc_of_id, shared_path, table
+from varloom.llm import decontaminate, exact_dedup, hmm, language_id, line_dedup, mixing, runs, secret_scan, simhash, token_output, url_filter
+from varloom.llm.common import WORD, crc_of_id, shared_path, table
 from varloom.llm.registry import query
 
 URL_RULES = [
@@ -141,3 +141,29 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", crc_of_id() % 4 == 2)
     model = language_id.fit(docs, learn=~F.col("held_out"))
     return language_id.predict(docs, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def _altered(text: str, doc_id: str) -> Column:
+    """The text with words that repeat from some place on, in a tenth of the documents; the others as they are."""
+    words = F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"))
+    n, hashed = F.size(words), crc_of_id(doc_id)
+    g = F.floor(hashed / 10)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    joined = F.array_join(F.concat(F.slice(words, F.lit(1), a), F.slice(tail, F.lit(1), n - a)), " ")
+    return F.when((hashed % 10 == 0) & F.col(text).rlike(WORD), joined).otherwise(F.col(text))
+
+
+@query()
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of runs, the longest one, and checksums of all runs and of the collapsed text, of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", _altered("text", "doc_id").alias("text"))
+    found = runs.find_runs(docs).withColumn("longest", runs.longest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    length, period = F.col("longest.length"), F.col("longest.period")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("longest.start").alias("start"), length.alias("length"),
+        period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2(F.coalesce("collapsed", F.lit("")), 256).alias("collapsed_sha256"),
+    )
