@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from varloom.llm import decontaminate, exact_dedup, hmm, language_id, line_dedup, mixing, runs, secret_scan, simhash, token_output, url_filter
-from varloom.llm.common import WORD, crc_of_id, shared_path, table
+from varloom.llm import decontaminate, exact_dedup, hmm, language_id, line_dedup, mixing, runs, secret_scan, simhash, token_output, url_filter, whitening
+from varloom.llm.common import WORD, crc_of_id, shared_path, stored, table
 from varloom.llm.registry import query
 
 URL_RULES = [
@@ -167,3 +167,22 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"),
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2(F.coalesce("collapsed", F.lit("")), 256).alias("collapsed_sha256"),
     )
+
+
+@query()
+def op12_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight whitened components of every embedding, with the facts of the fit."""
+    raw = table(spark, sf_dir, "embeddings").filter(whitening.usable("embedding"))
+    entries = F.transform("embedding", lambda c: F.floor(1024 * c.cast("double")) + 100000)
+    rows = stored(raw.select("vec_id", entries.alias("x")), "whole-entries")
+    model = whitening.fit(rows, "x")
+    error = whitening.identity_error(rows, model, "x")
+    share = F.array(*[F.lit(float(e / model.trace)) for e in model.eigenvalues]).cast("array<double>")
+    # n * x - S is exact as a long, its square as a decimal.
+    apart = F.zip_with("x", F.array(*[F.lit(s) for s in model.sums]).cast("array<long>"), lambda x, s: (F.lit(model.n) * x - s).cast("decimal(19,0)"))
+    squares = F.aggregate(apart, F.lit(0).cast("decimal(38,0)"), lambda total, v: (total + v * v).cast("decimal(38,0)"))
+    found = whitening.whiten(rows, model, "x").filter("whitened is not null")
+    return found.select("vec_id", squares.cast("long").alias("deviation"), F.posexplode("whitened").alias("at", "whitened")).select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(share, F.col("at")).alias("explained"), F.lit(error).alias("identity_error"),
+    )
