@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from varloom.llm import decontaminate, exact_dedup, hmm, language_id, line_dedup, mixing, runs, secret_scan, simhash, token_output, url_filter, whitening
+from varloom.llm import decontaminate, exact_dedup, hmm, language_id, line_dedup, mixing, quality_rules, runs, secret_scan, simhash, token_output, url_filter, whitening
 from varloom.llm.common import WORD, crc_of_id, shared_path, stored, table
 from varloom.llm.registry import query
 
@@ -186,3 +186,16 @@ def op12_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
         F.get(share, F.col("at")).alias("explained"), F.lit(error).alias("identity_error"),
     )
+
+
+@query()
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document, and whether fixed limits and the learned rules keep it."""
+    counted = stored(quality_rules.statistics(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "statistics")
+    rules = quality_rules.learn(counted, table(spark, sf_dir, "labels"))
+    n = lambda name: F.col("statistics").getField(name)
+    failed = (n("n_words") < 50) | (100 * n("n_repeat_words") > 50 * n("n_words"))
+    return counted.select(
+        "doc_id", *[n(name).alias(name) for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        failed.alias("base_failed"), (~failed & quality_rules.verdict(rules, quality_rules.features())).alias("kept"),
+    )
