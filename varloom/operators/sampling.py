@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from varloom.operators.scale import hash_order, hash_rank, match
+from varloom.operators.stratify import allocate, label_sets, signature
 
 # Default shares and held-out chromosomes.
 TEST_SIZE = 0.2
@@ -45,30 +46,35 @@ def train_val_split(df: DataFrame, keys: Sequence[str], val_size: float = VAL_SI
     return random_split(df, keys, 0.0, val_size, seed, group)
 
 
-def signature(features: Sequence[str]) -> Column:
-    """The label set of a row as one string, unknown labels included."""
-    return F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("?")) for f in features])
-
-
 def stratified_split(
     df: DataFrame, features: Sequence[str], keys: Sequence[str], test_size: float = TEST_SIZE, val_size: float = VAL_SIZE,
     seed: int = 42, group: Sequence[str] = ("chrom",), min_stratum: int = 1,
 ) -> DataFrame:
-    """Split within label sets, so each part has the same label mix; both shares are of all rows.
+    """Split so that every part has its share of every label; both shares are of all rows of a group, rounded.
 
-    Label sets with fewer than ``min_stratum`` rows are pooled.
+    Label sets with fewer than ``min_stratum`` rows are pooled, and their labels are not looked at.
     """
     group = list(group)
     signed = df.withColumn("_stratum", signature(features))
+    strata = label_sets(df, features, group)
     if min_stratum > 1:
-        counts = signed.groupBy(*group, "_stratum").agg(F.count(F.lit(1)).alias("_rows"))
-        signed = match(signed, counts, [*group, "_stratum"]).withColumn(
-            "_stratum", F.when(F.col("_rows") < min_stratum, F.lit("rare")).otherwise(F.col("_stratum"))
-        ).drop("_rows")
-    return _assign(
-        signed, seed, keys, [*group, "_stratum"],
-        F.round(F.col("_size") * F.lit(test_size)), F.round(F.col("_size") * F.lit(val_size)),
-    ).drop("_stratum")
+        rare = F.col("_rows") < min_stratum
+        signed = match(signed, strata, [*group, "_stratum"]).withColumn(
+            "_stratum", F.when(rare, F.lit("rare")).otherwise(F.col("_stratum"))
+        ).drop("_rows", "_labels")
+        strata = strata.groupBy(*group, F.when(rare, F.lit("rare")).otherwise(F.col("_stratum")).alias("_stratum")).agg(
+            F.first(F.when(rare, F.array().cast("array<int>")).otherwise(F.col("_labels"))).alias("_labels"), F.sum("_rows").alias("_rows")
+        )
+    part = lambda share: F.round(F.col("_size") * F.lit(share)).cast("long")
+    sizes = strata.groupBy(*group).agg(F.sum("_rows").alias("_size")).withColumn("_test", part(test_size)).withColumn(
+        "_val", F.least(part(val_size), F.col("_size") - F.col("_test"))
+    ).select(*group, F.array("_test", "_val", F.col("_size") - F.col("_test") - F.col("_val")).alias("_sizes"))
+    placed = match(signed, allocate(strata, sizes, group), [*group, "_stratum"])
+    ranked = hash_rank(placed, seed, keys, [*group, "_stratum"], "_rank")
+    in_test, in_val = F.col("_take")[0], F.col("_take")[0] + F.col("_take")[1]
+    return ranked.withColumn(
+        "split", F.when(F.col("_rank") <= in_test, "test").when(F.col("_rank") <= in_val, "val").otherwise("train")
+    ).drop("_rank", "_take", "_stratum")
 
 
 def chromosome_split(df: DataFrame, test_chrom: int = TEST_CHROM, val_chrom: int = VAL_CHROM, chrom: str = "chrom") -> DataFrame:
@@ -96,26 +102,13 @@ def quotas(df: DataFrame, n: int, group: str = "chrom") -> DataFrame:
 def stratified_subsample(
     df: DataFrame, wanted: DataFrame, features: Sequence[str], keys: Sequence[str], seed: int = 42, group: str = "chrom",
 ) -> DataFrame:
-    """Exactly ``quota`` rows per group (all of them where the quota is larger), in the label mix of the group.
-
-    Each label set gets its floored share; the rows left over go to the largest remainders.
-    """
-    signed = df.withColumn("_stratum", signature(features))
-    strata = signed.groupBy(group, "_stratum").agg(F.count(F.lit(1)).alias("_rows"))
-    sizes = strata.groupBy(group).agg(F.sum("_rows").alias("_size"))
-    shared = (
-        match(match(strata, sizes, [group]), wanted.select(group, "quota"), [group])
-        .withColumn("_quota", F.least("quota", "_size"))
-        .withColumn("_take", F.floor(F.col("_quota") * F.col("_rows") / F.col("_size")))
-        .withColumn("_rest", (F.col("_quota") * F.col("_rows")) % F.col("_size"))
-    )
-    # At most 2 ** features label sets per group.
-    inside = W.partitionBy(group)
-    order = inside.orderBy(F.col("_rest").desc(), F.col("_rows").desc(), "_stratum")
-    take = shared.withColumn(
-        "_take", F.col("_take") + (F.row_number().over(order) <= F.col("_quota") - F.sum("_take").over(inside)).cast("long")
-    ).select(group, "_stratum", "_take")
-    placed = match(signed, take, [group, "_stratum"])
+    """Exactly ``quota`` rows per group (all of them where the quota is larger), with the group's share of every label."""
+    strata = label_sets(df, features, [group])
+    counted = strata.groupBy(group).agg(F.sum("_rows").alias("_size"))
+    taken = F.least("quota", "_size").cast("long")
+    sizes = match(counted, wanted.select(group, "quota"), [group]).select(group, F.array(taken, F.col("_size") - taken).alias("_sizes"))
+    take = allocate(strata, sizes, [group]).select(group, "_stratum", F.col("_take")[0].alias("_take"))
+    placed = match(df.withColumn("_stratum", signature(features)), take, [group, "_stratum"])
     return hash_rank(placed, seed, keys, [group, "_stratum"], "_rank", keep=F.col("_take")).drop("_rank", "_take", "_stratum")
 
 

@@ -192,12 +192,56 @@ def split_stats(spark, sf):
     return sampling.split_stats(_split(spark, sf))
 
 
+def _dealt(name: str, folds: str, n_folds: int) -> None:
+    """Views that deal the label sets of each chromosome; ``folds`` lists the fold sizes for ``size`` rows. The last view has the takes."""
+    n, each = len(FEATURES), ", ".join(str(f) for f in range(n_folds))
+    view(f"{name}_sets", f"""
+      SELECT chrom, sig, bits, rows, size, folds, list_transform(folds, lambda f: rows * f // size) AS floors
+      FROM (SELECT chrom, {" || '|' || ".join(FEATURES)} AS sig, any_value([{", ".join(FEATURES)}]) AS bits, count(*) AS rows FROM labeled_vectors GROUP BY ALL)
+      JOIN (SELECT chrom, size, {folds} AS folds FROM quota_table) USING (chrom)""")
+    view(f"{name}_ones", f"SELECT chrom, l, CAST(sum(rows) AS BIGINT) AS ones FROM {name}_sets, range({n}) t(l) WHERE bits[l + 1] = 1 GROUP BY ALL")
+    view(f"{name}_room", f"""
+      SELECT chrom, list(room ORDER BY f) AS room
+      FROM (SELECT chrom, f, CAST(any_value(folds[f + 1]) - sum(floors[f + 1]) AS BIGINT) AS room FROM {name}_sets, range({n_folds}) t(f) GROUP BY chrom, f) GROUP BY chrom""")
+    view(f"{name}_lacks", f"""
+      SELECT chrom, list(lack ORDER BY f, l) AS lacks
+      FROM (SELECT chrom, f, l, CAST(sum(bits[l + 1] * (rows * folds[f + 1] - size * floors[f + 1])) AS BIGINT) AS lack
+            FROM {name}_sets, range({n_folds}) t(f), range({n}) u(l) GROUP BY chrom, f, l) GROUP BY chrom""")
+    view(f"{name}_rarest", f"""
+      SELECT s.chrom, s.sig, arg_min(o.l, (o.ones, o.l)) AS l, min(o.ones) AS ones FROM {name}_sets s JOIN {name}_ones o ON o.chrom = s.chrom AND s.bits[o.l + 1] = 1 GROUP BY ALL""")
+    view(f"{name}_rest", f"""
+      SELECT chrom, sig, bits, size, l, row_number() OVER (PARTITION BY chrom ORDER BY ones NULLS LAST, l, sig, k) AS step
+      FROM (SELECT *, unnest(range(CAST(rows - list_sum(floors) AS BIGINT))) AS k FROM {name}_sets) LEFT JOIN {name}_rarest USING (chrom, sig)""")
+    view(name, f"""
+      WITH RECURSIVE walked AS (
+        SELECT chrom, CAST(0 AS BIGINT) AS step, '' AS sig, CAST(-1 AS BIGINT) AS fold, room, lacks FROM {name}_room JOIN {name}_lacks USING (chrom)
+        UNION ALL
+        SELECT chrom, step, sig, fold, list_transform(room, lambda r, i: r - CAST(i = fold + 1 AS BIGINT)),
+               list_transform(lacks, lambda x, i: x - CASE WHEN (i - 1) // {n} = fold AND bits[(i - 1) % {n} + 1] = 1 THEN size ELSE 0 END)
+        FROM (SELECT w.chrom, r.step, r.sig, r.bits, r.size, w.room, w.lacks,
+                     list_sort(list_transform([{each}], lambda f: [CASE WHEN w.room[f + 1] > 0 THEN 0 ELSE 1 END, -coalesce(w.lacks[f * {n} + r.l + 1], 0), -w.room[f + 1], f]))[1][4] AS fold
+              FROM walked w JOIN {name}_rest r ON r.chrom = w.chrom AND r.step = w.step + 1))
+      SELECT s.chrom, s.sig, list_transform(any_value(s.floors), lambda t, i: t + len(list_filter(list(w.fold), lambda f: f = i - 1))) AS take
+      FROM {name}_sets s LEFT JOIN walked w ON w.chrom = s.chrom AND w.sig = s.sig AND w.step > 0 GROUP BY s.chrom, s.sig""")
+
+
+view("ranked_vectors", f"""
+  SELECT row_id, chrom, sig, row_number() OVER (PARTITION BY chrom, sig ORDER BY md5('42:' || row_id), row_id) AS rank
+  FROM (SELECT row_id, chrom, {" || '|' || ".join(FEATURES)} AS sig FROM labeled_vectors)""")
+_N = 300
+view("quota_table", f"""
+  SELECT chrom, size, quota + CAST(row_number() OVER (ORDER BY size DESC, chrom) <= {_N} - sum(quota) OVER () AS BIGINT) AS quota
+  FROM (SELECT chrom, size, CAST({_N} * size // sum(size) OVER () AS BIGINT) AS quota FROM (SELECT chrom, count(*) AS size FROM labeled_vectors GROUP BY chrom))""")
+_FIFTH = "CAST(round(size * 0.2::DOUBLE) AS BIGINT)"
+_dealt("thirds", f"[{_FIFTH}, {_FIFTH}, size - 2 * {_FIFTH}]", 3)
+_dealt("halves", "[least(quota, size), size - least(quota, size)]", 2)
+
+
 @query("""
-  SELECT row_id, chrom, CASE WHEN rank <= round(size * 0.2::DOUBLE) THEN 'test' WHEN rank <= round(size * 0.2::DOUBLE) + round(size * 0.2::DOUBLE) THEN 'val' ELSE 'train' END AS split
-  FROM (SELECT row_id, chrom, row_number() OVER (PARTITION BY chrom, f00, f01 ORDER BY md5('42:' || row_id), row_id) AS rank, count(*) OVER (PARTITION BY chrom, f00, f01) AS size FROM labeled_vectors)""")
+  SELECT row_id, chrom, CASE WHEN rank <= take[1] THEN 'test' WHEN rank <= take[1] + take[2] THEN 'val' ELSE 'train' END AS split
+  FROM ranked_vectors JOIN thirds USING (chrom, sig)""")
 def stratified_split(spark, sf):
-    rows = labeled_vectors(spark, sf).select("row_id", "chrom", "f00", "f01")
-    return sampling.stratified_split(rows, ["f00", "f01"], ["row_id"]).select("row_id", "chrom", "split")
+    return sampling.stratified_split(labeled_vectors(spark, sf), FEATURES, ["row_id"]).select("row_id", "chrom", "split")
 
 
 @query("SELECT variant_key, chrom, CASE chrom WHEN 6 THEN 'test' WHEN 7 THEN 'val' ELSE 'train' END AS split FROM variants")
@@ -205,29 +249,17 @@ def chromosome_split(spark, sf):
     return sampling.chromosome_split(variants(spark, sf).select("variant_key", "chrom"))
 
 
-_N = 300
-view("quota_table", f"""
-  SELECT chrom, size, quota + CAST(row_number() OVER (ORDER BY size DESC, chrom) <= {_N} - sum(quota) OVER () AS BIGINT) AS quota
-  FROM (SELECT chrom, size, CAST({_N} * size // sum(size) OVER () AS BIGINT) AS quota FROM (SELECT chrom, count(*) AS size FROM labeled_vectors GROUP BY chrom))""")
-
-
 @query("SELECT chrom, size, quota FROM quota_table")
 def chromosome_quotas(spark, sf):
     return sampling.quotas(labeled_vectors(spark, sf), _N)
 
 
-view("strata", """
-  SELECT chrom, f00, f01, rows, quota, quota * rows // size AS take,
-         row_number() OVER (PARTITION BY chrom ORDER BY (quota * rows) % size DESC, rows DESC, f00 || '' || f01) AS place
-  FROM (SELECT chrom, f00, f01, count(*) AS rows FROM labeled_vectors GROUP BY ALL) JOIN (SELECT chrom, size, least(quota, size) AS quota FROM quota_table) USING (chrom)""")
-view("subsample", """
-  SELECT row_id, chrom FROM (SELECT row_id, chrom, f00, f01, row_number() OVER (PARTITION BY chrom, f00, f01 ORDER BY md5('42:' || row_id), row_id) AS rank FROM labeled_vectors)
-  JOIN (SELECT chrom, f00, f01, take + CAST(place <= quota - sum(take) OVER (PARTITION BY chrom) AS BIGINT) AS take FROM strata) USING (chrom, f00, f01) WHERE rank <= take""")
+view("subsample", "SELECT row_id, chrom FROM ranked_vectors JOIN halves USING (chrom, sig) WHERE rank <= take[1]")
 
 
 def _subsample(spark, sf):
     rows = labeled_vectors(spark, sf)
-    return sampling.stratified_subsample(rows, sampling.quotas(rows, _N), ["f00", "f01"], ["row_id"])
+    return sampling.stratified_subsample(rows, sampling.quotas(rows, _N), FEATURES, ["row_id"])
 
 
 @query("SELECT row_id, chrom FROM subsample")
