@@ -73,7 +73,7 @@ def test_split_of_twelve_labels(spark):
         for name in names:
             ones = sum(r[name] for r in own)
             for part, size in sizes.items():
-                assert abs(sum(r[name] for r in own if r["split"] == part) - ones * size / len(own)) < 3
+                assert abs(sum(r[name] for r in own if r["split"] == part) - ones * size / len(own)) < 7
     again = sampling.stratified_split(frame.repartition(2), names, ["id"], group=["grp"])
     assert sorted((r["id"], r["split"]) for r in again.collect()) == sorted((r["id"], r["split"]) for r in got)
 
