@@ -16,6 +16,8 @@ import xxhash
 import corpus_pipeline
 from varloom.llm import decontaminate, hmm, language_id, line_dedup, mixing, queries, secret_scan, simhash
 
+from .test_near_dedup import plain_first
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -355,8 +357,7 @@ def test_pipeline_against_brute_force(spark, sf, documents):
     judged = {r.doc_id: (r.lang_pred, r.score) for r in queries.op10_language_id(spark, sf).collect()}
     kept = [d for d in sorted(documents) if judged[d][0] != "und" and judged[d][1] >= corpus_pipeline.LEAST_SCORE]
     # 2.
-    groups = plain_groups({d: plain_fingerprint(documents[d].text) for d in kept})
-    kept = [d for d in kept if groups[d] == d]
+    kept = sorted(plain_first({d: documents[d].text for d in kept}))
     # 3.
     items = [decontaminate.plain(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     kept = [d for d in kept if not any(holds(t, decontaminate.plain(documents[d].text)) for t in items)]

@@ -20,12 +20,13 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from varloom.llm.common import free_name, stored
+from varloom.llm.common import discard, free_name, stored
 
 WORDS = 3
 RADIUS = 2
 BITS = 64
 SHARD_ROWS = 10_000
+BROADCAST_ROWS = 2_000_000
 _CHUNK = 1 << 15
 
 
@@ -191,15 +192,16 @@ def connected(edges: DataFrame) -> DataFrame:
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Stored, so that the join can split the rows of a node with very many neighbours.
-        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        first = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = both.join(first, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stored(large, "large-star")
         least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u")
-        current = stored(
+        before, current = current, stored(
             small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges",
         )
+        discard(before, first, large, least)
         now = tuple(current.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == state:
             return current.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
@@ -272,11 +274,15 @@ def keep_first(docs: DataFrame, rows: DataFrame, groups: DataFrame, text: str, d
     joined = rows.join(known, "fingerprint")
     stays = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key"))
     counted = stored(joined.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("rows"), F.bool_or(stays).alias("stays")), "decisions")
+    discard(known)
 
     own_key = free_name(docs.columns, "text_key")
     keyed = docs.withColumn(own_key, key).alias("d")
     same = lambda side: F.col(f"d.`{doc_id}`").eqNullSafe(F.col(f"{side}.doc_id")) & (F.col(f"d.`{own_key}`") == F.col(f"{side}.key"))
-    kept = keyed.join(counted.filter("not stays").alias("x"), same("x"), "left_anti")
+    dropped = counted.filter("not stays").select("doc_id", "key")
+    if dropped.count() <= BROADCAST_ROWS:  # ids and keys; beyond that, texts meet them in a shuffle
+        dropped = F.broadcast(dropped)
+    kept = keyed.join(dropped.alias("x"), same("x"), "left_anti")
     repeated = counted.filter("stays and rows > 1")
     if not repeated.isEmpty():
         once = kept.alias("d").join(repeated.alias("y"), same("y"), "left_anti")
