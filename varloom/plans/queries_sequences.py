@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from varloom.functions.sequence import MAX_TOKENS, complement, kmer_combinations, kmerize, n_percent
-from varloom.operators import evaluate, genome, scoring, tokens
+from varloom.operators import evaluate, genome, kmer_track, scoring, tokens
 from varloom.plans.inputs import genome_variants, r6, sequences, stored_sequences, table
 from varloom.plans.registry import query, view
 from varloom.session import cut_lineage
@@ -232,19 +232,20 @@ def masked_token_metrics(spark, sf):
 _MODEL = ["open", "closed"]
 
 
-def kmer_weights(spark):
-    """Weights of the 64 three-letter words over ACGT, from their position in the alphabet."""
+def kmer_weights(spark, units=(50.0, 80.0)):
+    """Weights of the 64 three-letter words over ACGT, from their position in the alphabet; powers of two make their sums exact."""
     at = lambda i: F.instr(F.lit("ACGT"), F.substring("kmer", i, 1)) - 1
     index = at(1) * 16 + at(2) * 4 + at(3)
     return kmer_combinations(spark, 3, ["A", "C", "G", "T"]).select(
-        "kmer", ((index % 7 - 3) / 50.0).alias("open"), ((index % 11 - 5) / 80.0).alias("closed")
+        "kmer", ((index % 7 - 3) / units[0]).alias("open"), ((index % 11 - 5) / units[1]).alias("closed")
     )
 
 
 def score_windows(spark, sf):
-    good, _ = windows(spark, sf)
-    weights = kmer_weights(spark)
-    return scoring.score_kmer_pairs(good, weights, _MODEL, 3)
+    dna = stored_sequences(spark, sf)
+    model = kmer_track.KmerModel.of(kmer_weights(spark), _MODEL, 3)
+    scored = kmer_track.score_variants(genome_variants(spark, sf, dna), chunks(spark, sf, dna), model, _LENGTH, _SIZE, _OVERLAP)
+    return kmer_track.long_probabilities(scored, _MODEL)
 
 
 view("acgt", "SELECT l, i FROM letters WHERE l <> 'N'")

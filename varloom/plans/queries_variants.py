@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from varloom.functions import naming
-from varloom.functions.naming import ACCESSIONS
-from varloom.operators import genome, variants as vt
+from varloom.functions.naming import ACCESSIONS, position_id
+from varloom.operators import genome, kmer_track, scoring, variants as vt
 from varloom.plans import flows
 from varloom.plans.inputs import EVENT_TYPES, FEATURES, genes, genome_variants, intervals, labeled_vectors, r6, stored_sequences, table, variants
 from varloom.plans.queries_sequences import _LENGTH, _MODEL, _OVERLAP, _SIZE, chunks, kmer_weights
@@ -343,25 +343,56 @@ def score_and_rank_variants(spark, sf):
     return ranked.select("variant_key", "id", r6(F.col("Variant")).alias("overall"), "problem")
 
 
-view("scanned", f"""
-  SELECT d.chrom, p, substr(d.seq, p, 1) AS ref, b.alt, substr(d.seq, p - 10, 21) AS ref_seq, substr(d.seq, p - 10, 10) || b.alt || substr(d.seq, p + 1, 10) AS alt_seq
-  FROM (SELECT chrom, seq, length(seq) // 2 AS middle FROM dna WHERE length(seq) >= 60) d, LATERAL (SELECT unnest(range(d.middle, d.middle + 5)) AS p) u, (VALUES ('A'), ('C'), ('G'), ('T')) b(alt)""")
-view("scan_logits", """
-  SELECT chrom, p, ref, alt, side, coalesce(sum(open), 0) AS open, coalesce(sum(closed), 0) AS closed FROM (
-    SELECT chrom, p, ref, alt, 'ref' AS side, unnest(list_transform(range(1, 20), lambda i: substr(ref_seq, i, 3))) AS kmer FROM scanned UNION ALL
-    SELECT chrom, p, ref, alt, 'alt', unnest(list_transform(range(1, 20), lambda i: substr(alt_seq, i, 3))) FROM scanned) LEFT JOIN weights USING (kmer) GROUP BY ALL""")
+# Letters as 0 to 3 in the order of the bases, N as null, with the two on either side.
+view("placed_letters", """
+  SELECT chrom, length, p, ref, c, lag(c, 2) OVER w AS l2, lag(c) OVER w AS l1, lead(c) OVER w AS r1, lead(c, 2) OVER w AS r2
+  FROM (SELECT *, CASE WHEN ref <> 'N' THEN position(ref IN 'ACGT') - 1 END AS c
+        FROM (SELECT chrom, length(seq) AS length, unnest(range(1, length(seq) + 1)) AS p, unnest(string_split(seq, '')) AS ref FROM dna WHERE length(seq) > 0))
+  WINDOW w AS (PARTITION BY chrom ORDER BY p)""")
 
 
-@query("""
-  SELECT 'Chr' || a.chrom || ':' || a.p AS id, a.ref, round(max(sqrt((a.open - r.open) ^ 2 + (a.closed - r.closed) ^ 2)), 6) AS max_effect,
-         round(sum(sqrt((a.open - r.open) ^ 2 + (a.closed - r.closed) ^ 2)), 6) AS cumulative
-  FROM scan_logits a JOIN scan_logits r ON a.chrom = r.chrom AND a.p = r.p AND a.alt = r.alt AND a.side = 'alt' AND r.side = 'ref' GROUP BY a.chrom, a.p, a.ref""")
+def _scan_sql() -> str:
+    weight = lambda index, modulus, middle, unit: f"coalesce((({index}) % {modulus} - {middle}) / {unit}.0::DOUBLE, 0)"
+    words = lambda b: (f"l2 * 16 + l1 * 4 + {b}", f"l1 * 16 + {b} * 4 + r1", f"{b} * 16 + r1 * 4 + r2")
+    change = lambda b, *kind: " + ".join(f"{weight(x, *kind)} - {weight(y, *kind)}" for x, y in zip(words(b), words("c")))
+    squares = lambda d: f"({d}) * ({d})"
+    effects = [f"sqrt({squares(change(b, 7, 3, 64))} + {squares(change(b, 11, 5, 128))}) AS e{b}" for b in range(4)]
+    return f"SELECT chrom, p, ref, {', '.join(effects)} FROM placed_letters WHERE p > 10 AND p <= length - 10"
+
+
+view("scanned", _scan_sql())
+view("scan_matrix", "SELECT chrom, p, ref, ((e0 + e1) + e2) + e3 AS cumulative, greatest(e0, e1, e2, e3) AS max_effect FROM scanned")
+_SIGNIFICANT = 0.15
+
+
+def _scan(spark, sf):
+    model = kmer_track.KmerModel.of(kmer_weights(spark, (64.0, 128.0)), _MODEL, 3)
+    matrix, rejects = kmer_track.saturate(chunks(spark, sf), model, 21, _SIZE, _OVERLAP)
+    return kmer_track.matrix_totals(matrix), rejects
+
+
+@query(f"""
+  SELECT 'Chr' || chrom || ':' || p AS id, ref, round(max_effect, 6) AS max_effect, round(cumulative, 6) AS cumulative FROM scan_matrix WHERE max_effect >= {_SIGNIFICANT}""")
 def saturation_scan(spark, sf):
-    genome_chunks = chunks(spark, sf)
-    middle = F.floor(F.col("length") / 2)
-    regions = genome_chunks.filter("chunk_id = 0 and length >= 60").select("chrom", middle.alias("start"), (middle + 4).alias("end"))
-    matrix, _, _ = flows.saturation_scan(genome_chunks, regions, _kmer_scorer(spark), _MODEL, 21, 0.1, _SIZE, _OVERLAP)
-    return matrix.select("id", "ref", r6(F.col("max_effect")).alias("max_effect"), r6(F.col("cumulative")).alias("cumulative"))
+    """Positions of all texts where some base changes the score much."""
+    found = scoring.significant_positions(_scan(spark, sf)[0], _SIGNIFICANT)
+    return found.select(
+        position_id(F.col("chrom"), F.col("pos")).alias("id"), "ref", r6(F.col("max_effect")).alias("max_effect"), r6(F.col("cumulative")).alias("cumulative")
+    )
+
+
+@query(f"""
+  SELECT chrom, count(*) AS positions, count(cumulative) AS scored, count(*) FILTER (max_effect >= {_SIGNIFICANT}) AS significant, round(max(max_effect), 6) AS max_effect,
+         CAST(coalesce(sum(CAST(round(cumulative * 1000000) AS BIGINT)), 0) AS BIGINT) AS cumulative_micro
+  FROM placed_letters LEFT JOIN scan_matrix USING (chrom, p) GROUP BY chrom""")
+def saturation_report(spark, sf):
+    """Per text: all positions, those with a window, and what changes at them come to."""
+    matrix, rejects = _scan(spark, sf)
+    scored = matrix.select("chrom", "max_effect", F.round(F.col("cumulative") * 1000000).cast("long").alias("micro"))
+    return scored.unionByName(rejects.select("chrom"), allowMissingColumns=True).groupBy("chrom").agg(
+        F.count(F.lit(1)).alias("positions"), F.count("micro").alias("scored"), F.count_if(F.col("max_effect") >= _SIGNIFICANT).alias("significant"),
+        r6(F.max("max_effect")).alias("max_effect"), F.coalesce(F.sum("micro"), F.lit(0)).alias("cumulative_micro"),
+    )
 
 
 # Probabilities of nine digits, so that equal scores are equal in every engine.
