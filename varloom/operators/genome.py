@@ -72,6 +72,23 @@ def _bytes() -> Column:
     return F.col("seq").cast("binary").alias("_bytes")
 
 
+def read_ranges(ranges: DataFrame, chunks: DataFrame, size: int = CHUNK, hot_rows: int = 1_000_000) -> DataFrame:
+    """(chrom, start, end, seq) of the distinct ranges in ``ranges`` (0-based, within their chromosomes), however long.
+
+    A range lists the chunks it touches, takes its share of each, and one aggregation puts the shares in order.
+    """
+    wanted = ranges.select("chrom", "start", "end").distinct().filter("start < end").withColumn(
+        "chunk_id", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("end") - 1) / size)))
+    )
+    pieces = skew_join(wanted, chunks.select("chrom", "chunk_id", "chunk_start", _bytes()), ["chrom", "chunk_id"], hot_rows=hot_rows)
+    low = F.greatest("start", "chunk_start")
+    high = F.least(F.col("end"), F.col("chunk_start") + size)
+    share = F.substring("_bytes", (low - F.col("chunk_start") + 1).cast("int"), (high - low).cast("int")).cast("string")
+    # As many shares as the range touches chunks.
+    ordered = F.array_sort(F.collect_list(F.struct("chunk_id", share.alias("share"))))
+    return pieces.groupBy("chrom", "start", "end").agg(F.array_join(F.transform(ordered, lambda p: p["share"]), "").alias("seq"))
+
+
 def extract_windows(
     variants: DataFrame, chunks: DataFrame, length: int, size: int = CHUNK, overlap: int = OVERLAP,
     zero_based: bool = False, on_error: str = "raise", hot_rows: int = 1_000_000,
@@ -80,19 +97,21 @@ def extract_windows(
 
     The centre is index length // 2. A window that leaves its chromosome (or an unknown one) and an
     alternate of more than one base are errors; with ``on_error="split"`` such rows come back as a
-    second frame with their reason.
+    second frame with their reason. Windows longer than the overlap are read over several chunks.
     """
-    if length > overlap:
-        raise ValueError(f"windows of {length} need chunks that overlap by as much, not {overlap}")
     centre = length // 2
     zero = F.col("pos") if zero_based else F.col("pos") - 1
     placed = variants.withColumn("start", zero - centre).withColumn("end", zero - centre + length).withColumn(
         "chunk_id", F.floor(F.col("start") / size)
     )
-    found = skew_join(
-        placed, chunks.select("chrom", "chunk_id", "chunk_start", _bytes(), F.col("length").alias("_length")),
-        ["chrom", "chunk_id"], "left", hot_rows,
-    )
+    if length <= overlap:
+        found = skew_join(
+            placed, chunks.select("chrom", "chunk_id", "chunk_start", _bytes(), F.col("length").alias("_length")),
+            ["chrom", "chunk_id"], "left", hot_rows,
+        )
+    else:
+        lengths = chunks.filter("chunk_id = 0").select("chrom", F.col("length").alias("_length"))
+        found = skew_join(placed, lengths, ["chrom"], "left", hot_rows)
     site = F.concat_ws(":", F.col("chrom").cast("string"), F.col("pos").cast("string"))
     problem = (
         F.when(F.length("alt") != 1, F.concat(F.lit("alternate is not one base: "), F.col("alt")))
@@ -105,10 +124,15 @@ def extract_windows(
         good = checked.filter(F.when(F.col("problem").isNull(), F.lit(True)).otherwise(F.raise_error(F.col("problem")).cast("boolean")))
     else:
         good = checked.filter("problem is null")
-    inside = (F.col("start") - F.col("chunk_start") + 1).cast("int")
+    if length <= overlap:
+        inside = (F.col("start") - F.col("chunk_start") + 1).cast("int")
+        read = good.withColumn("ref_seq", F.substring("_bytes", inside, F.lit(length)).cast("string"))
+    else:
+        read = skew_join(
+            good, read_ranges(good, chunks, size, hot_rows).withColumnRenamed("seq", "ref_seq"), ["chrom", "start", "end"], hot_rows=hot_rows
+        )
     windows = (
-        good.withColumn("ref_seq", F.substring("_bytes", inside, F.lit(length)).cast("string"))
-        .withColumn("alt_seq", substitute_centre(F.col("ref_seq"), F.col("alt"), length))
+        read.withColumn("alt_seq", substitute_centre(F.col("ref_seq"), F.col("alt"), length))
         .withColumn("ref_base", F.substring("ref_seq", centre + 1, 1))
         .withColumn("alt_base", F.substring("alt_seq", centre + 1, 1))
         .withColumn("left_cnt", F.lit(centre)).withColumn("right_cnt", F.lit(length - centre - 1))
@@ -126,11 +150,11 @@ def bin_genome(
     """Bins of each chromosome with their sequence, cut chunk by chunk without a shuffle.
 
     ``start``/``end`` are the core bin (``end`` cut at the chromosome end); ``seq`` also holds the
-    forward and backward extension, filled with N beyond the chromosome.
+    forward and backward extension, filled with N beyond the chromosome. Bins that do not fit in the overlap with
+    their extensions are read over several chunks.
     """
     stride = stride or bin_size
-    if bin_size + forward + backward > overlap:
-        raise ValueError("bin and extensions must fit in the chunk overlap")
+    reach = bin_size + forward + backward
     # A bin belongs to the chunk that holds the first base it needs.
     low = F.when(F.col("chunk_id") == 0, F.lit(0)).otherwise(F.col("chunk_start") + backward)
     high = F.least(F.col("chunk_start") + size + backward, F.col("length"))
@@ -139,17 +163,21 @@ def bin_genome(
     start = F.col("_index") * stride
     need = F.greatest(F.col("start") - backward, F.lit(0))
     raw_end = F.col("start") + bin_size
-    body = F.substring(
-        "_bytes", (need - F.col("chunk_start") + 1).cast("int"),
-        (F.least(raw_end + forward, F.col("length")) - need).cast("int"),
-    ).cast("string")
+    stop = F.least(raw_end + forward, F.col("length"))
     left_pad = F.greatest(F.lit(backward) - F.col("start"), F.lit(0)).cast("int")
+    listed = lambda df: df.withColumn("_index", F.explode(F.sequence(first, last))).withColumn("start", start)
+    held = chunks.filter(first <= last)
+    if reach <= overlap:
+        body = F.substring("_bytes", (need - F.col("chunk_start") + 1).cast("int"), (stop - need).cast("int")).cast("string")
+        read = listed(held.withColumn("_bytes", _bytes()).drop("seq")).withColumn("_body", body)
+    else:
+        asked = listed(held.drop("seq")).drop("chunk_id", "chunk_start").withColumns({"_need": need, "_stop": stop})
+        ranges = asked.select("chrom", F.col("_need").alias("start"), F.col("_stop").alias("end"))
+        seqs = read_ranges(ranges, chunks, size).withColumnsRenamed({"start": "_need", "end": "_stop", "seq": "_body"})
+        read = asked.join(seqs, ["chrom", "_need", "_stop"])
     out = (
-        chunks.filter(first <= last).withColumn("_bytes", _bytes()).drop("seq")
-        .withColumn("_index", F.explode(F.sequence(first, last)))
-        .withColumn("start", start)
-        .withColumn("_body", F.concat(F.repeat(F.lit("N"), left_pad), body))
-        .withColumn("_seq", F.rpad("_body", bin_size + forward + backward, "N"))
+        read.withColumn("_body", F.concat(F.repeat(F.lit("N"), left_pad), "_body"))
+        .withColumn("_seq", F.rpad("_body", reach, "N"))
         .select(
             "chrom", (F.col("_index") + 1).alias("bin_id"), "start", F.least(raw_end, F.col("length")).alias("end"),
             F.col("_seq").alias("seq"), F.col("length").alias("_length"),

@@ -92,12 +92,12 @@ def background_chain(
     snps: DataFrame, sites: DataFrame, lengths: DataFrame, genes: DataFrame, quotas: DataFrame, chunks: DataFrame, scorer: Scorer,
     features: Sequence[str], length: int, method: str, q: float, m: float, strategy: str = "minmax_softmax", buffer: int = 1000,
     seed: int = 42, size: int = genome.CHUNK, overlap: int = genome.OVERLAP,
-) -> tuple[DataFrame, DataFrame]:
-    """Background sample -> scores -> empirical p of the SNPs -> correction -> prior; and the SNPs without a window."""
-    background, _ = background_scores(sites, lengths, genes, quotas, chunks, scorer, features, length, buffer, seed, size, overlap)
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Background sample -> scores -> empirical p of the SNPs -> correction -> prior; the SNPs and the sampled sites without a window."""
+    background, lost = background_scores(sites, lengths, genes, quotas, chunks, scorer, features, length, buffer, seed, size, overlap)
     scores, rejects = score_variants(snps, chunks, scorer, features, length, size=size, overlap=overlap, on_error="split")
     scores = cut_lineage(scores.select("variant_key", "Variant"))
-    return significance(scores, cut_lineage(background.select("Variant")), method, q, m, strategy, "Variant"), rejects
+    return significance(scores, cut_lineage(background.select("Variant")), method, q, m, strategy, "Variant"), rejects, lost
 
 
 def consensus_distances(peaks: DataFrame, features: Sequence[str], statistic: str = "median", width: int = POSITION_BUCKET) -> DataFrame:

@@ -70,6 +70,33 @@ def windows_out_of_bounds(spark, sf):
     return windows(spark, sf)[1].select("variant_key", "chrom", "pos")
 
 
+# Chunks much shorter than a window, so that every window is put together from four or five of them.
+_SHORT, _LONG = 100, 401
+
+
+@query(f"""
+  SELECT variant_key, chrom, pos, pos - 1 - {_LONG // 2} AS start, pos - 1 - {_LONG // 2} + {_LONG} AS "end", md5(substr(seq, pos - {_LONG // 2}, {_LONG})) AS ref_md5,
+         md5(substr(seq, pos - {_LONG // 2}, {_LONG // 2}) || alt || substr(seq, pos + 1, {_LONG // 2})) AS alt_md5
+  FROM genome_variants JOIN dna USING (chrom) WHERE pos - 1 - {_LONG // 2} >= 0 AND pos - 1 - {_LONG // 2} + {_LONG} <= length(seq)""")
+def windows_over_chunks(spark, sf):
+    """Windows four times as long as a chunk."""
+    dna = stored_sequences(spark, sf)
+    snps = cut_lineage(genome_variants(spark, sf, dna))
+    good, _ = genome.extract_windows(snps, genome.chunk_sequences(dna, _SHORT, 20), _LONG, _SHORT, 20, on_error="split")
+    return good.select("variant_key", "chrom", "pos", "start", "end", F.md5("ref_seq").alias("ref_md5"), F.md5("alt_seq").alias("alt_md5"))
+
+
+@query("""
+  SELECT chrom, s // 250 + 1 AS bin_id, s AS start, least(s + 250, length(seq)) AS "end",
+         md5(rpad(repeat('N', greatest(120 - s, 0)::INTEGER) || substr(seq, greatest(s - 120, 0) + 1, least(s + 430, length(seq)) - greatest(s - 120, 0)), 550, 'N')) AS seq_md5
+  FROM dna d, LATERAL (SELECT unnest(range(0, length(d.seq), 250)) AS s) u""")
+def bins_over_chunks(spark, sf):
+    """Bins with extensions, together five times as long as a chunk."""
+    short = genome.chunk_sequences(stored_sequences(spark, sf), _SHORT, 20)
+    bins = genome.bin_genome(short, 250, forward=180, backward=120, size=_SHORT, overlap=20)
+    return bins.select("chrom", "bin_id", "start", "end", F.md5("seq").alias("seq_md5"))
+
+
 # --- bins --------------------------------------------------------------------------------------
 
 _BIN = 200

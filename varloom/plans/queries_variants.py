@@ -411,7 +411,9 @@ view("background_tested", """
 @query("""
   SELECT variant_key, round(CAST(p AS DOUBLE), 6) AS p_value, CAST(p AS DOUBLE) <= 0.2 / 40.0 AS significant, round(w / sum(w) OVER (), 9) AS prior, NULL AS problem FROM (
     SELECT *, exp((overall - max(overall) OVER ()) / (max(overall) OVER () - min(overall) OVER ()) / 0.2) AS w FROM background_tested)
-  UNION ALL SELECT variant_key, NULL, NULL, NULL, 'window leaves its chromosome: ' || chrom || ':' || pos FROM genome_variants WHERE variant_key NOT IN (SELECT variant_key FROM rounded_effects)""")
+  UNION ALL SELECT variant_key, NULL, NULL, NULL, 'window leaves its chromosome: ' || chrom || ':' || pos FROM genome_variants WHERE variant_key NOT IN (SELECT variant_key FROM rounded_effects)
+  UNION ALL SELECT variant_key, NULL, NULL, NULL, 'background: window leaves its chromosome: ' || chrom || ':' || pos FROM genome_variants JOIN background_sample USING (variant_key)
+            WHERE variant_key NOT IN (SELECT variant_key FROM rounded_effects)""")
 def background_chain(spark, sf):
     snps, genome_chunks = _snps_and_chunks(spark, sf)
     lengths = cut_lineage(genome.chromosome_lengths(genome_chunks))
@@ -420,13 +422,14 @@ def background_chain(spark, sf):
     quotas = lengths.select("chrom", (F.col("chrom") % 3 + 1).alias("cnt"))
     scorer = _kmer_scorer(spark)
     rounded = lambda windows: scorer(windows).withColumns({c: F.round(c, 9) for c in ("p_ref", "p_alt")})
-    tested, rejects = flows.background_chain(
+    tested, rejects, lost = flows.background_chain(
         snps, sites, lengths, ranges, quotas, genome_chunks, rounded, _MODEL, _LENGTH, "bonf", 0.2, 40.0, buffer=20, size=_SIZE, overlap=_OVERLAP
     )
     shown = tested.select(
         "variant_key", r6(F.col("p_value")).alias("p_value"), "significant", F.round("prior", 9).alias("prior"), F.lit(None).cast("string").alias("problem")
     )
-    return shown.unionByName(rejects.select("variant_key", "problem"), allowMissingColumns=True)
+    problems = rejects.select("variant_key", "problem").unionByName(lost.select("variant_key", F.concat(F.lit("background: "), "problem").alias("problem")))
+    return shown.unionByName(problems, allowMissingColumns=True)
 
 
 @query("""
