@@ -12,6 +12,8 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 MEMO_ENTRIES = 120_000
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 24 << 20
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
@@ -53,13 +55,14 @@ def split_at_spaces(text: str) -> list[str]:
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _AFTER_WORDS = '.,;:!?)"'
 _WORD = re.compile(rf"( ?[{_LETTERS}]+)([{re.escape(_AFTER_WORDS)}]*)")
-# A space beside other white space, or at either end of a text.
-_ODD_SPACE = f"[ {_SPACES}] | [{_SPACES}]|^ | $"
+# A space or line end beside other white space, or at either end of a text.
+_ODD_SPACE = f"[ {_SPACES}][ \n]|[ \n][{_SPACES}]|^[ \n]|[ \n]$"
 _LETTER_RUN = re.compile(rf" ?[{_LETTERS}]+")
 _RUNS = re.compile(r" ?[^\W\d_]+|[\W\d_]+")
 # Byte-level models write bytes as letters: printable ones as they are, the others counted from U+0100 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_token_id = attrgetter("id")
 _LATIN = "\u0250"  # letters below are letters to every Unicode version
 
 
@@ -89,6 +92,11 @@ def _strings(array: pa.StringArray) -> list[str]:
     return array.to_numpy(zero_copy_only=False).tolist()
 
 
+def _lists(pieces: list[bytes]) -> pa.LargeListArray:
+    """Ids as bytes to lists of ids."""
+    return pa.LargeListArray.from_arrays(pa.array(np.cumsum([0, *map(len, pieces)]) // 4), pa.array(np.frombuffer(b"".join(pieces), "<u4")))
+
+
 class Encoder:
     """Whole texts to ids.
 
@@ -118,36 +126,47 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def _learn(self, words: set[str], runs: set[str]) -> None:
-        """Remember the ids of all ``words``, a space and letters each, and of other runs."""
+    def _pieces(self, words: list[str]) -> list[bytes]:
+        """The ids of letters, with or without a space before them: one piece each, which the model can have without the cutting."""
+        runs = self.runs
+        found = [runs.get(w) for w in words]
+        new = [i for i, ids in enumerate(found) if ids is None]
+        if new and self.older:
+            for i in new:
+                found[i] = self.older.get(words[i])
+            again = [i for i in new if found[i] is not None]
+            runs.update((words[i], found[i]) for i in again)
+            new = [i for i in new if found[i] is None]
+        fresh = [words[i] for i in new]
+        written = [
+            (w.replace(" ", "\u0120") if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_LETTERS)) for w in fresh
+        ]
+        tokens = [*map(self.model.tokenize, written)]
+        flat = np.fromiter(map(_token_id, chain.from_iterable(tokens)), "<u4").tobytes()
+        ends = np.cumsum([0, *map(len, tokens)]) * 4
+        made = [flat[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
+        runs.update(zip(fresh, made))
+        for i, ids in zip(new, made):
+            found[i] = ids
+        return found
+
+    def _age(self) -> None:
         if len(self.runs) > self.memo_entries:
             self.older, self.runs = self.runs, {}
-        words, runs = words.difference(self.runs), runs.difference(self.runs)
-        if self.older:
-            again = words.union(runs).intersection(self.older)
-            self.runs.update((r, self.older[r]) for r in again)
-            words, runs = words - again, runs - again
-        # Letters are one piece: the model can have them without the cutting.
-        words = [*words, *(r for r in runs if _LETTER_RUN.fullmatch(r))]
-        flat, ends, tokenize = [], [], self.model.tokenize
-        for word in words:
-            if word.isascii():
-                written = "\u0120" + word[1:] if word[0] == " " else word
-            else:
-                written = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
-            flat += [t.id for t in tokenize(written)]
-            ends.append(4 * len(flat))
-        data = np.array(flat, "<u4").tobytes()
-        self.runs.update((w, data[a:b]) for w, a, b in zip(words, [0, *ends], ends))
-        for run in runs.difference(self.runs):
-            self.runs[run] = self._whole(run)
 
     def _cut(self, part: str) -> list[str]:
         return [part] if any(t in part for t in self.special) else split_at_letters(part)
 
     def _parts(self, parts: list[str]) -> list[bytes]:
         cuts = [self._cut(p) for p in parts]
-        self._learn(set(), set().union(*cuts))
+        runs = set().union(*cuts).difference(self.runs)
+        again = runs.intersection(self.older)
+        self.runs.update((r, self.older[r]) for r in again)
+        runs -= again
+        letters = [r for r in runs if _LETTER_RUN.fullmatch(r)]
+        self._pieces(letters)
+        for run in runs.difference(letters):
+            self.runs[run] = self._whole(run)
         return [b"".join([self.runs[r] for r in runs]) for runs in cuts]
 
     def _text(self, text: str) -> bytes:
@@ -157,32 +176,55 @@ class Encoder:
         first, *more = split_at_spaces(text)
         return b"".join(self._parts([first, *[" " + p for p in more]]))
 
-    def _distinct(self, parts: pa.StringArray) -> list[bytes]:
-        """The ids of each part with a space before it."""
-        stems = pc.utf8_rtrim(parts, characters=_AFTER_WORDS)
-        words = stems.dictionary_encode()
-        own = [" " + w for w in _strings(words.dictionary)]
-        is_word = pc.match_substring_regex(words.dictionary, f"^[{_LETTERS}]+$").to_numpy(zero_copy_only=False).tolist()
-        sizes = [len(w) for w in own]
-        places, texts = words.indices.to_numpy().tolist(), _strings(parts)
-        # A part is a word and what follows it, or is cut with care.
-        rests = [text[sizes[at] - 1:] if is_word[at] else None for text, at in zip(texts, places)]
-        others = self._parts([" " + text for text, rest in zip(texts, rests) if rest is None])
-        self._learn({w for w, letters in zip(own, is_word) if letters}, {r for r in rests if r})
-        ids = [self.runs[w] if letters else b"" for w, letters in zip(own, is_word)]
-        other, run = iter(others), self.runs
-        return [next(other) if rest is None else ids[at] + run[rest] if rest else ids[at] for at, rest in zip(places, rests)]
+    def _distinct(self, parts: pa.StringArray) -> pa.LargeListArray:
+        """The ids of each part, which stands behind a space or begins with a line end.
+
+        A word and what follows it are two pieces; any other part is cut with care and is one, with nothing behind it.
+        """
+        after_line = pc.starts_with(parts, "\n")
+        body = pc.if_else(after_line, pc.utf8_slice_codeunits(parts, 1), parts)
+        stems = pc.utf8_rtrim(body, characters=_AFTER_WORDS)
+        is_word = pc.match_substring_regex(stems, f"^[{_LETTERS}]+$")
+        spaced = pc.binary_join_element_wise(pc.if_else(after_line, "", " "), stems, "")
+        words = spaced.filter(is_word).dictionary_encode()
+        known = self._pieces(_strings(words.dictionary))
+        # A line end alone is a piece of its own.
+        line, = self._parts(["\n"])
+        nothing = len(known)
+        pieces = [*known, b""]
+        first, second = np.full(len(parts), nothing, np.int64), np.full(len(parts), nothing, np.int64)
+        word_at = np.flatnonzero(is_word.to_numpy(zero_copy_only=False))
+        first[word_at] = words.indices.to_numpy()
+        rest_sizes = (pc.binary_length(body).to_numpy() - pc.binary_length(stems).to_numpy())[word_at]
+        with_rest = word_at[rest_sizes > 0]
+        rests = pc.extract_regex(body.take(pa.array(with_rest)), f"(?P<rest>[{re.escape(_AFTER_WORDS)}]+)$").field("rest").dictionary_encode()
+        second[with_rest] = len(pieces) + rests.indices.to_numpy()
+        pieces += self._parts(_strings(rests.dictionary))
+        lines = after_line.to_numpy(zero_copy_only=False)
+        # The line end goes before the word: it takes the first place, and the word with its rest the second.
+        both = np.flatnonzero(lines & is_word.to_numpy(zero_copy_only=False))
+        for at in both.tolist():
+            first[at], second[at], joined = len(pieces), nothing, pieces[first[at]] + pieces[second[at]]
+            pieces.append(line + joined)
+        other_at = np.flatnonzero(~is_word.to_numpy(zero_copy_only=False))
+        others = [t if t[:1] == "\n" else " " + t for t in _strings(parts.take(pa.array(other_at)))]
+        first[other_at] = len(pieces) + np.arange(len(others))
+        pieces += self._parts(others)
+        both = _lists(pieces).take(pa.array(np.stack([first, second], axis=1).ravel()))
+        return pa.LargeListArray.from_arrays(both.offsets[::2], both.values)
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text's ids followed by the end id; and the number of ids of each text."""
         if not self.by_part:
             found = [self._whole(t) + self.end for t in texts.to_pylist()]
             return np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found], np.int64)
+        self._age()
         odd = pc.match_substring_regex(texts, _ODD_SPACE)
         for token in self.special:
             odd = pc.or_(odd, pc.match_substring(texts, token))
         odd_at = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
-        split = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+        # A line end between other characters than spaces is cut like a space; it stays at the beginning of what follows.
+        split = pc.split_pattern(pc.replace_substring(pc.if_else(odd, "", texts), "\n", " \n"), " ")
         flat, borders = split.flatten(), np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy())])
         parts = flat.dictionary_encode()
         # The first part of a text has no space before it; an odd text is one part as a whole.
@@ -190,18 +232,13 @@ class Encoder:
         for i in odd_at:
             firsts[i] = self._text(texts[i].as_py())
         known = self._distinct(parts.dictionary)
-        pieces = [*known, *firsts, self.end]
-        codes = parts.indices.to_numpy().astype(np.int64)
+        codes = parts.indices.to_numpy().copy()
         codes[borders[:-1]] = len(known) + np.arange(len(firsts))
-        codes = np.insert(codes, borders[1:], len(pieces) - 1)
-        sizes = np.array([len(x) // 4 for x in pieces], np.int64)
-        begins = np.cumsum(sizes) - sizes
-        taken = sizes[codes]
-        ends = np.cumsum(taken)
-        at = np.repeat(begins[codes] - (ends - taken), taken) + np.arange(ends[-1] if len(ends) else 0)
+        codes = np.insert(codes, borders[1:], len(known) + len(firsts))
+        found = pa.concat_arrays([known, _lists([*firsts, self.end])]).take(pa.array(codes))
         last = borders[1:] + np.arange(len(firsts))  # where the ends of the texts are among the codes
-        lengths = np.diff(np.concatenate([[0], ends[last]]))
-        return np.frombuffer(b"".join(pieces), "<u4")[at], lengths
+        ends = found.offsets.to_numpy()[last + 1]
+        return found.flatten().to_numpy(), np.diff(np.concatenate([[0], ends]))
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
