@@ -42,12 +42,30 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
 
+# Longer documents say more: copies are expected in proportion to these, and so are chances.
+PREFERENCE = "CASE WHEN {size} < 50 THEN 2.0 WHEN {size} < 500 THEN 3.0 ELSE 4.0 END"
+
+
+def _rate_steps(steps: int) -> str:
+    """The rate of each source after so many steps, each of which leaves out the documents that are full by then."""
+    sql = "rate0 AS (SELECT source, source_size, target, CASE WHEN liked > 0 THEN target / liked ELSE 0 END AS rate FROM targets)"
+    for i in range(steps):
+        sql += f""", rate{i + 1} AS (
+  SELECT r.source, any_value(r.source_size) AS source_size, any_value(r.target) AS target,
+    CASE WHEN sum(CASE WHEN rate * pref >= 2 THEN 0 ELSE size * pref END) > 0 THEN greatest(any_value(rate), (any_value(r.target) - 2.0::DOUBLE * sum(CASE WHEN rate * pref >= 2 THEN size ELSE 0 END)) /
+      sum(CASE WHEN rate * pref >= 2 THEN 0.0::DOUBLE ELSE size * pref END)) ELSE any_value(rate) END AS rate
+  FROM rate{i} r JOIN base b ON b.source IS NOT DISTINCT FROM r.source GROUP BY r.source)"""
+    return sql
+
+
 @query(r"""
-WITH base AS (
+WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
     md5('7:' || coalesce(doc_id::VARCHAR, '-') || ':' || coalesce(text, '')) AS draw FROM documents
+), base AS (
+  SELECT *, (""" + PREFERENCE.format(size="size") + r""")::DOUBLE AS pref FROM sized
 ), sizes AS (
-  SELECT source, sum(size)::BIGINT AS source_size FROM base GROUP BY source
+  SELECT source, sum(size)::BIGINT AS source_size, sum(size * pref) AS liked FROM base GROUP BY source
 ), placed AS (
   SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM sizes
 ), room AS (
@@ -61,23 +79,25 @@ WITH base AS (
 ), chosen AS (
   SELECT coalesce((SELECT level FROM levels WHERE level <= per_weight ORDER BY per_weight, place LIMIT 1), 'inf'::DOUBLE) AS per_weight
 ), targets AS (
-  SELECT l.source, l.source_size, least(2.0::DOUBLE * l.source_size, l.weight * c.per_weight) AS target FROM levels l, chosen c
-), ratios AS (
-  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM targets
-), needs AS (
-  SELECT *, floor(ratio) AS whole, greatest(0, target - floor(ratio) * source_size) AS need FROM ratios
+  SELECT l.source, l.source_size, l.liked, least(2.0::DOUBLE * l.source_size, l.weight * c.per_weight) AS target FROM levels l, chosen c
+), """ + _rate_steps(3) + r""", expected AS (
+  SELECT b.*, r.source_size, r.target, floor(least(2.0::DOUBLE, rate * pref)) AS whole, least(2.0::DOUBLE, rate * pref) - floor(least(2.0::DOUBLE, rate * pref)) AS p,
+    (('0x' || substr(draw, 1, 13))::UBIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
+  FROM base b JOIN rate3 r ON b.source IS NOT DISTINCT FROM r.source
+), odds AS (
+  SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) ELSE 'inf'::DOUBLE END AS q, CASE WHEN whole + 1 <= 2 THEN size ELSE 0 END AS open,
+    greatest(0, target - sum(whole * size) OVER (PARTITION BY source)) AS need FROM expected
 ), ranked AS (
-  SELECT b.doc_id, b.size, n.source_size, n.target, n.whole, n.need,
-    coalesce(sum(b.size) OVER (PARTITION BY b.source ORDER BY b.draw ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM base b JOIN needs n ON b.source IS NOT DISTINCT FROM n.source
+  SELECT *, coalesce(sum(open) OVER (PARTITION BY source ORDER BY whole + 1 > 2, q, draw ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM odds
 )
-SELECT doc_id, size, source_size, target,
-  (size * (whole + CASE WHEN whole + 1 <= 2 AND before + size / 2 <= need THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM ranked
+SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN whole + 1 <= 2 AND before + size / 2 <= need THEN 1 ELSE 0 END))::BIGINT AS taken FROM ranked
 """)
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words the mix takes of every document."""
-    return mixing.mix_sizes(table(spark, sf_dir, "documents")).select(
+    """Words the mix takes of every document; longer documents are preferred."""
+    docs = table(spark, sf_dir, "documents")
+    preference = F.expr(PREFERENCE.format(size="size"))
+    sized = docs.select("doc_id", "text", "source", mixing.n_words("text").alias("size"))
+    return mixing.mix_sizes(sized, preference=preference).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
     )
 
