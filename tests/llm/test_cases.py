@@ -49,6 +49,22 @@ def test_items_are_found_in_odd_rows(odd, nothing, items):
     )
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    """Every item is searched, whatever its length and script."""
+    asked = [(1, "What is the capital of France?"), (2, "法国的首都是哪里？它在塞纳河上。"), (3, "Paris"), (4, "ประเทศไทย"), (5, "42"), (6, "?!")]
+    texts = [
+        (1, "They asked: what is the capitol of France, then left."), (2, "昨天有人问，法国的首都是哪里？它在塞纳河上。没有人知道。"), (3, "In Paris, at night"),
+        (4, "Parisian nights, comparisons"), (5, "ราชอาณาจักรประเทศไทยสวยงาม"), (6, "it is 42."), (7, "it is 1425"), (8, "PARIS"), (9, "的首都"),
+    ]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    benchmark = spark.createDataFrame(asked, "item_id long, text string")
+    for size in (1 << 22, 20):
+        got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.find_items(docs, benchmark, block_characters=size).collect()}
+        assert got == {(1, 1): 1, (2, 2): 0, (3, 3): 0, (5, 4): 0, (6, 5): 0, (8, 3): 0}
+        kept = decontaminate.remove_contaminated(docs, benchmark, block_characters=size)
+        assert sorted(r.doc_id for r in kept.collect()) == [4, 7, 9]
+
+
 def test_contaminated_rows_go(odd, nothing, items):
     kept = decontaminate.remove_contaminated(odd, items)
     hit = {r.doc_id for r in decontaminate.find_items(odd, items).collect()}
@@ -131,6 +147,31 @@ def test_preferences_make_unequal_copies(spark):
 # --- 4 -------------------------------------------------------------------------------------------
 
 
+def test_copies_go_with_preferences(spark):
+    """Over 400 sources with the same sizes each document is taken as often as its preference says, within the error of a mean."""
+    sizes, liked = [40, 60, 30, 50, 20, 45, 55, 35, 25, 40], [1.0, 2.0, 3.0, 1.0, 4.0, 2.0, 1.0, 1.5, 2.5, 1.0]
+    rows = [(s * 100 + i, " ".join(["w"] * n), f"s{s:03d}", liked[i]) for s in range(400) for i, n in enumerate(sizes)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, liked double").repartition(4)
+    got = mixing.mix_sizes(docs, weights=(1,), share=0.8, preference=docs["liked"]).collect()
+    rate, full = None, set()
+    while True:  # what is above two copies stays there, and the rest is dealt again
+        rate = (0.8 * sum(sizes) - 2 * sum(sizes[i] for i in full)) / sum(sizes[i] * liked[i] for i in range(10) if i not in full)
+        more = {i for i in range(10) if rate * liked[i] > 2}
+        if more <= full:
+            break
+        full |= more
+    for i in range(10):
+        copies = [r.copies for r in got if r.doc_id % 100 == i]
+        expected = min(2.0, rate * liked[i])
+        assert len(copies) == 400 and set(copies) <= {int(expected), int(expected) + 1}
+        # Sizes are fixed, so chances are met but for the last document of a source.
+        assert abs(sum(copies) / 400 - expected) < 0.12
+    taken = Counter()
+    for r in got:
+        taken[r.doc_id // 100] += r.copies * r.size
+    assert all(abs(t - 0.8 * sum(sizes)) <= 30 for t in taken.values())
+
+
 def test_fingerprint_groups_of_odd_rows(odd, nothing):
     got = simhash.assign(odd)
     rows = got.collect()

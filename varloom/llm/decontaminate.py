@@ -6,7 +6,8 @@ the leaves of a tree whose parts halve both item and budget (a + b = k - 1: one
 hit is verified upwards: Myers' bit-parallel distance of the next larger part first, of the whole item last. Most chance hits
 end after a few characters, and none that lies inside an occurrence is lost.
 
-Both sides are compared as words: lower case, everything but letters and digits counts as one space.
+Both sides are compared as words: lower case, everything but letters and digits counts as one space. An item too short
+for an edit is found where it stands as whole words; scripts that write no spaces have no such borders.
 """
 
 from __future__ import annotations
@@ -18,14 +19,15 @@ import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
-from varloom.llm.common import free_name
+from varloom.llm.common import free_name, stored
+from varloom.llm.words import give_back
 
 RATE = 0.1
-MIN_WORDS = 8
 BLOCK_CHARACTERS = 4 << 20
 
 _BETWEEN_WORDS = re.compile(r"[\W_]+")
 _WORDS = re.compile(r"[^\W_]+")
+_NO_SPACES = "\u0e00"  # from Thai on, most scripts write no space between words
 _HITS = "array<struct<item:long, start:long, end:long, distance:int>>"
 
 
@@ -33,6 +35,12 @@ def plain(text: str | None) -> str:
     return _BETWEEN_WORDS.sub(" ", text).strip().lower() if text else ""
 
 
+def stands_alone(text: str, begin: int, end: int) -> bool:
+    """Whether no word goes on beyond the ends of this part of a plain text, as far as its script tells words apart."""
+    joined = lambda a, b: a != " " and b != " " and a < _NO_SPACES and b < _NO_SPACES
+    return not (begin > 0 and joined(text[begin - 1], text[begin])) and not (end < len(text) and joined(text[end - 1], text[end]))
+
+
 def rows_by_character(pattern: str) -> dict[str, int]:
     """For each character the set of its places in ``pattern``, as bits."""
     rows: dict[str, int] = {}
@@ -121,6 +129,8 @@ class Matcher:
             for number, piece in places:
                 item_start = last + 1 - len(piece.text) - piece.start
                 item = self.items[number][1]
+                if not item.budget and not stands_alone(own, item_start, last + 1):
+                    continue
                 start, stop = item.window(item_start)
                 seen = read.get(number)
                 if seen and seen[0] <= start and stop <= seen[1]:
@@ -158,7 +168,7 @@ class Matcher:
         return start, stop
 
 
-def test_items(benchmark: DataFrame, text: str = "text", item_id: str = "item_id", min_words: int = MIN_WORDS) -> DataFrame:
+def test_items(benchmark: DataFrame, text: str = "text", item_id: str = "item_id") -> DataFrame:
     """(key, plain, item_id, n_items): each distinct plain text once, with its smallest id."""
 
     @F.pandas_udf("string")
@@ -166,8 +176,7 @@ def test_items(benchmark: DataFrame, text: str = "text", item_id: str = "item_id
         return texts.map(plain, na_action=None)
 
     own = benchmark.select(F.col(item_id).alias("item_id"), plainly(F.col(text)).alias("plain"))
-    long_enough = F.size(F.split("plain", " ")) >= min_words
-    return own.filter(long_enough).groupBy("plain").agg(
+    return own.filter("plain != ''").groupBy("plain").agg(
         F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("n_items")
     ).withColumn("key", F.xxhash64("plain"))
 
@@ -188,29 +197,42 @@ def _hits(sent: Broadcast, rate: float, text: Column) -> Column:
         matcher = Matcher(sent.value, rate)
         for texts in batches:
             yield pd.Series([[dict(zip(("item", "start", "end", "distance"), h)) for h in matcher.find(t)] for t in texts])
+        del matcher
+        give_back()
 
     return found(text)
 
 
+def _held(df: DataFrame) -> DataFrame:
+    """``df``, computed before anything else is."""
+    return stored(df, "decontaminated")
+
+
 def find_items(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text",
-    item_id: str = "item_id", rate: float = RATE, min_words: int = MIN_WORDS, block_characters: int = BLOCK_CHARACTERS,
+    item_id: str = "item_id", rate: float = RATE, block_characters: int = BLOCK_CHARACTERS,
 ) -> DataFrame:
     """(doc_id, item_id, n_items, start, end, distance): every test item that a document holds within its edit budget.
 
     - Of items with the same plain text the smallest id stands for all ``n_items``; start and end are the offsets of
       the first best place in the document's text, from word to word.
-    - Items under ``min_words`` words are no passages and are not searched. Null or empty texts on either side match
-      nothing; null ids are kept; repeated documents give repeated rows; empty tables give none.
-    - Documents of any length are searched whole. A large benchmark is searched in blocks, one pass over the documents each.
+    - Every item with a letter or digit is searched; one too short for an edit, under ten characters, must stand as whole words.
+    - Null or empty texts on either side match nothing; null ids are kept; repeated documents give repeated rows; empty
+      tables give none. Other columns of ``docs``, whatever their names, play no part.
+    - Documents of any length are searched whole. A large benchmark is searched in blocks one after the other, one pass
+      over the documents each, so that one block's automaton is held at a time.
     """
-    items = test_items(benchmark, item_text, item_id, min_words)
+    items = test_items(benchmark, item_text, item_id)
     context = docs.sparkSession.sparkContext
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    result = None
+    result = last = None
     for block in blocks(items, block_characters):
-        hits = own.select("doc_id", F.explode(_hits(context.broadcast(block), rate, F.col("text"))).alias("hit"))
-        result = hits if result is None else result.unionByName(hits)
+        if last is not None:
+            last = _held(last)
+            result = last if result is None else result.unionByName(last)
+        last = own.select("doc_id", F.explode(_hits(context.broadcast(block), rate, F.col("text"))).alias("hit"))
+    if last is not None:
+        result = last if result is None else result.unionByName(last)
     if result is None:
         result = own.select("doc_id", F.explode(F.lit(None).cast(_HITS)).alias("hit"))
     return result.alias("h").join(items.alias("i"), F.col("h.hit.item") == F.col("i.key")).select(
@@ -220,12 +242,16 @@ def find_items(
 
 def remove_contaminated(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id",
-    rate: float = RATE, min_words: int = MIN_WORDS, block_characters: int = BLOCK_CHARACTERS,
+    rate: float = RATE, block_characters: int = BLOCK_CHARACTERS,
 ) -> DataFrame:
     """``docs`` without the rows that hold a test item; cases as in ``find_items``."""
-    items = test_items(benchmark, item_text, item_id, min_words)
+    items = test_items(benchmark, item_text, item_id)
     context = docs.sparkSession.sparkContext
+    done = 0
     for block in blocks(items, block_characters):
+        if done:  # rows that are left go on to the next block
+            docs = _held(docs)
+        done += 1
         held = free_name(docs.columns, "hits")
         docs = docs.withColumn(held, _hits(context.broadcast(block), rate, F.col(text))).filter(F.size(held) == 0).drop(held)
     return docs

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from varloom.llm.common import free_name, stored
+from varloom.llm.words import give_back
 
 BITS = 16
 ORDERS = (1, 2, 3)
@@ -86,6 +87,7 @@ def document_frequencies(learning: DataFrame, text: str, bits: int) -> tuple[int
             for value in batch[text]:
                 found += ngram_counts(value or "", bits) > 0
                 rows += 1
+        give_back()
         at = np.flatnonzero(found)
         yield pd.DataFrame({"bucket": np.append(at, -1), "rows": np.append(found[at], rows)})
 
@@ -208,6 +210,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         known = sent.value
         for texts in batches:
             yield pd.DataFrame([known.predict(t) for t in texts], columns=["lang_pred", "score"])
+        give_back()
 
     held = free_name(docs.columns, "predicted")
     names = {n: free_name(docs.columns, n) for n in ("lang_pred", "score")}

@@ -20,6 +20,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from varloom.llm.words import give_back
+
 MEMO_ENTRIES = 120_000
 GROUP_BYTES = 24 << 20
 ROW_GROUP_BYTES = 16 << 20
@@ -286,9 +288,8 @@ def encode_rows(docs: DataFrame, tokenizer_file: str, end_id: int, text: str = "
                     pa.ListArray.from_arrays(offsets, pa.array(ids.view(np.int32))),
                 ], names=["doc_id", "shard", "position", "n_tokens", "ids"])
                 position += rows
-        # The worker lives on for other stages.
         encoder.older = {}
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     id_type = docs.schema[doc_id].dataType.simpleString()
     return dealt.mapInArrow(encoded, f"doc_id {id_type}, shard int, position long, n_tokens long, ids array<int>")
@@ -355,6 +356,7 @@ def read_checksums(spark: SparkSession, path: str) -> DataFrame:
                 *[batch.column(c) for c in ("doc_id", "shard", "position")],
                 pa.array(ends - starts), pa.array(sums, pa.int64()),
             ], names=["doc_id", "shard", "position", "n_tokens", "ids_crc32"])
+        give_back()
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
     return _with_start(

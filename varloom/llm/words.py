@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -12,6 +14,13 @@ from pyspark.sql import DataFrame, functions as F
 _BUCKETS_PER_OCTAVE = 16
 
 
+def give_back() -> None:
+    """Return free memory to the system: a worker lives on after a task, while other stages need the memory elsewhere."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries do it by themselves
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words between ASCII white space, A-Z lower-cased; all other bytes stay."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
