@@ -305,9 +305,16 @@ def test_forest_tells_planted_secrets_from_harmless_values(spark):
 def test_secret_query(spark, sf, documents):
     expected = Counter()
     for d, r in documents.items():
-        for m in re.finditer(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}", r.text):
-            if re.search("[0-9]", m[0]):
-                expected[d, m.start(), m.end(), hashlib.sha256(m[0].encode()).hexdigest()] += 1
+        spans = {m.span() for m in re.finditer(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}", r.text) if re.search("[0-9]", m[0])}
+        for form in (r"(AKIA|ASIA)[0-9A-Z]{16}", r"gh[pousr]_[A-Za-z0-9]{36,}", r"AIza[0-9A-Za-z_\-]{35}", r"xox[abprs]-[0-9A-Za-z\-]{10,}", r"sk_live_[0-9a-zA-Z]{24,}"):
+            spans |= {m.span() for m in re.finditer(form, r.text)}
+        for name in ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key"):
+            for m in re.finditer(name + r"""["']?[ \t]*[=:][ \t]*(["']?)""", r.text, re.IGNORECASE):
+                end = re.compile(re.escape(m[1]) if m[1] else r"""[\s"',;]|\Z""").search(r.text, m.end())
+                if end and end.start() > m.end() and "\n" not in r.text[m.end():end.start()]:
+                    spans.add((m.end(), end.start()))
+        for a, b in spans:
+            expected[d, a, b, hashlib.sha256(r.text[a:b].encode()).hexdigest()] += 1
     got = queries.op9_secret_scan(spark, sf).collect()
     assert Counter((r.doc_id, r.start, r.end, r.sha256) for r in got) == expected
     judged = [r for r in got if r.held_out and r.label is not None] or [r for r in got if r.label is not None]

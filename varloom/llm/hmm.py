@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from varloom.llm.common import crc_of_id, free_name, stored, text_or_empty
+from varloom.llm.common import crc_of_id, discard, free_name, stored, text_or_empty
 from varloom.llm.words import count_words, frequency_histogram, least_count, texts_of, words_of
 
 STATES = 8
@@ -219,8 +219,19 @@ def starting_point(rows: Sequence[np.ndarray], unigram: np.ndarray, states: int,
     return Hmm(np.full(states, 1 / states), move, emit.astype(np.float32))
 
 
-def _sampled(training: DataFrame, symbols, rows: int, total: int) -> list[np.ndarray]:
-    drawn = (F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1_000_003)) + 0.5) / 1_000_003
+def _sampled(training: DataFrame, symbols, rows: int) -> list[np.ndarray]:
+    """Of ``rows`` distinct texts, or all there are, the counts of the most frequent words as their symbols; copies count once."""
+    key = F.xxhash64("text", F.lit(3))
+    distinct = stored(training.select(key.alias("key")).distinct(), "distinct-texts")
+    total = distinct.count()
+    # Twice as many hashes and more reach the driver; fewer than wanted cannot be expected from distinct texts.
+    place = F.pmod("key", F.lit(1_000_003))
+    offered = distinct.filter((place + 0.5) / 1_000_003 < (2 * rows + 50) / max(1, total))
+    chosen = sorted((r[0] for r in offered.collect()), key=lambda h: (h % 1_000_003, h))[:rows]
+    discard(distinct)
+    if not chosen:
+        return []
+    wanted = training.sparkSession.createDataFrame([(k,) for k in chosen], "key long")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Symbols(symbols.value)
@@ -229,7 +240,8 @@ def _sampled(training: DataFrame, symbols, rows: int, total: int) -> list[np.nda
             kept = [np.sort(s[s < START_WORDS]) for s in (known.encode(words_of(t)) for t in texts)]
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.list_(pa.int32()))], names=["ids"])
 
-    got = training.filter(drawn < rows / max(1, total)).select("text").mapInArrow(encoded, "ids array<int>").toArrow()["ids"]
+    taken = training.select("text", key.alias("key")).join(F.broadcast(wanted), "key", "left_semi").dropDuplicates(["key"])  # at most ``rows`` keys
+    got = taken.select("text").mapInArrow(encoded, "ids array<int>").toArrow()["ids"]
     return sorted((np.array(r, np.int64) for r in got.to_pylist()), key=lambda r: (len(r), r.tobytes()))
 
 
@@ -243,7 +255,7 @@ def train(
     observed = counts.symbol_counts() + ADDED
     unigram = observed / observed.sum()
     head = context.broadcast(counts.head)  # at most HEAD_WORDS words
-    model = starting_point(_sampled(training, head, start_rows, counts.texts), unigram, states)
+    model = starting_point(_sampled(training, head, start_rows), unigram, states)
     columns = [f"s{k}" for k in range(states)]
     size = len(unigram)
     for _ in range(passes):

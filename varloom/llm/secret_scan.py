@@ -1,8 +1,9 @@
 """Secrets in texts: candidates by form, false positives removed by a random forest.
 
-A candidate is a run of 16 or more letters, digits and ``+/_-`` that holds a digit. The forest judges it by its length,
-its character transitions against those of the whole corpus, how much of it dictionary words cover, its path and its
-neighbouring words. It is trained on labelled findings: a caller's own, or those that ``rule_labels`` can settle.
+A candidate is a run of 16 or more letters, digits and ``+/_-`` that holds a digit; a value that is assigned to a credential's
+name, whatever its length and characters; or a form that issuers document, wherever it stands. The forest judges it by its
+length, its character transitions against those of the whole corpus, how much of it dictionary words cover, its path and
+its neighbouring words. It is trained on labelled findings: a caller's own, or those that ``rule_labels`` can settle.
 """
 
 from __future__ import annotations
@@ -48,6 +49,10 @@ _ASSIGNED = re.compile(r"[=:]\s*[\"']?$")
 _ISSUED = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|AIza[0-9A-Za-z_\-]{35}|xox[abprs]-[0-9A-Za-z\-]{10,}|sk_live_[0-9a-zA-Z]{24,}")
 _NAMED = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?$")
 
+_VALUE = re.compile(
+    r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?[^\S\n]*[=:][^\S\n]*(?:\"([^\"\n]{1,512})\"|'([^'\n]{1,512})'|([^\s\"',;]+))"
+)
+
 # Characters by class: letters by themselves, digits together, everything else together.
 _CLASSES = 54
 _CLASS = np.full(256, 53, np.uint8)
@@ -56,8 +61,8 @@ _CLASS[np.arange(ord("A"), ord("Z") + 1)] = np.arange(26, 52)
 _CLASS[np.arange(ord("0"), ord("9") + 1)] = 52
 
 
-def candidates(text: str, min_length: int = MIN_LENGTH) -> Iterator[tuple[int, int]]:
-    """(start, end) of every candidate of the whole text."""
+def long_runs(text: str, min_length: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs that hold a digit."""
     done = 0
     for found in _TAIL.finditer(text):
         start, end = found.span()
@@ -68,6 +73,15 @@ def candidates(text: str, min_length: int = MIN_LENGTH) -> Iterator[tuple[int, i
             yield start, end
 
 
+def candidates(text: str, min_length: int = MIN_LENGTH) -> list[tuple[int, int]]:
+    """(start, end) of every candidate of the whole text; one that is found in several ways is there once."""
+    found = set(long_runs(text, min_length))
+    found.update(m.span() for m in _ISSUED.finditer(text))
+    if "=" in text or ":" in text:
+        found.update(m.span(m.lastindex) for m in _VALUE.finditer(text))
+    return sorted(found)
+
+
 def transition_counts(docs: DataFrame) -> np.ndarray:
     """Pairs of neighbouring character classes over all texts; one small table per task reaches the sums."""
 
@@ -119,8 +133,8 @@ def features(text: str, start: int, end: int, path: str | None, corpus: Corpus)
     value = text[start:end]
     n, counts = len(value), Counter(value)
     entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
-    codes = _CLASS[np.frombuffer(value.encode("ascii"), np.uint8)]
-    steps = corpus.transitions[codes[:-1], codes[1:]]
+    codes = _CLASS[np.frombuffer(value.encode("utf-8", "surrogatepass"), np.uint8)]
+    steps = corpus.transitions[codes[:-1], codes[1:]] if len(codes) > 1 else np.zeros(1)
     before, after = text[max(0, start - _BEFORE):start], text[end:end + _AFTER]
     neighbours = [w.lower() for w in _WORD.findall(before)[-3:] + _WORD.findall(after)[:1]]
     parts = _WORD.findall((path or "").lower())
@@ -140,8 +154,8 @@ def features(text: str, start: int, end: int, path: str | None, corpus: Corpus)
 
 
 def rule_labels(value: str, before: str, corpus: Corpus) -> int | None:
-    """1 for an issuer's form or a named assignment; 0 for plain numbers and runs of words; None where no rule decides."""
-    if _ISSUED.fullmatch(value) or _NAMED.search(before):
+    """1 for an issuer's form or a long named value with a digit; 0 for plain numbers and runs of words; None where no rule decides."""
+    if _ISSUED.fullmatch(value) or len(value) >= MIN_LENGTH and any(c.isdigit() for c in value) and _NAMED.search(before):
         return 1
     if not any(c.isalpha() for c in value) or covered(value, corpus.words) >= 0.5:
         return 0
@@ -168,7 +182,7 @@ def find_candidates(docs: DataFrame, corpus: Corpus, min_length: int = MIN_LENGT
                     shape = "digits" if value.isdigit() else "hex" if all(c in "0123456789abcdef" for c in value) else "mixed"
                     owners.append(i)
                     rows.append((
-                        start, end, shape, value[:4] + "...", hashlib.sha256(value.encode()).hexdigest(),
+                        start, end, shape, value[:4] + "...", hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest(),
                         rule_labels(value, text[max(0, start - _BEFORE):start], known), features(text, start, end, paths[i], known),
                     ))
             columns = list(zip(*rows)) or [()] * 7
