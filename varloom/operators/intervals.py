@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from varloom.operators.scale import (
     POSITION_BUCKET, exact_percentiles, lookup_join, match, position_bucket, position_scan, reject_nulls, skew_join,
@@ -216,6 +218,49 @@ def nearest_feature(
     return scanned.select(*keys, "start", F.explode(pairs).alias("p")).select("p.anchor", "p.feature", *keys, "start", "p.nearest", "p.distance")
 
 
+def nearest_intervals(
+    df: DataFrame, features: Sequence[str], keys: Sequence[str] = ("chrom",), width: int = POSITION_BUCKET
+) -> DataFrame:
+    """For every interval of every feature, the nearest interval of each other feature, whatever their widths.
+
+    Overlap is distance 0 and book-ended 1; no interval on the chromosome gives -1. Of equally near ones the one with the
+    smallest start counts. One scan serves all ordered pairs: each start carries, per feature, the last end to the left,
+    and the first interval by start that ends behind it, which either overlaps or is the nearest to the right. Only
+    intervals that reach further than all before them can be that first one, and among these ends rise with starts.
+    """
+    keys = list(keys)
+    ids = {f: i for i, f in enumerate(features)}
+    known = df.filter(F.col("feature").isin(list(features)))
+    longest = known.groupBy(*keys, "feature", "start").agg(F.max("end").alias("end"))
+    reached = position_scan(longest, [*keys, "feature"], "start", before={"_reach": (F.max, F.col("end"))}, width=width)
+    far = reached.filter("end = _reach").groupBy(*keys, "feature", "end").agg(F.min("start").alias("_far"))
+    near = known.groupBy(*keys, "feature", "end").agg(F.min("start").alias("_near"))
+    marks = match(near, far, [*keys, "feature", "end"], "left").withColumnRenamed("end", "_pos")
+    asked = known.select(*keys, F.col("start").alias("_pos"), F.lit(True).alias("_asked")).distinct()
+    of = lambda f, column: F.max(F.when((F.col("feature") == f) & F.col(column).isNotNull(), F.struct("_pos", F.col(column).alias("start"))))
+    rows = marks.unionByName(asked, allowMissingColumns=True).groupBy(*keys, "_pos").agg(
+        F.max("_asked").alias("_asked"), *[of(f, c).alias(f"{c}{i}") for f, i in ids.items() for c in ("_near", "_far")]
+    )
+    scanned = position_scan(
+        rows, keys, "_pos", before={f"_left{i}": (F.max, F.col(f"_near{i}")) for i in ids.values()},
+        following={f"_next{i}": (F.min, F.col(f"_far{i}")) for i in ids.values()}, width=width,
+    ).filter("_asked").select(*keys, F.col("_pos").alias("start"), *[f"{c}{i}" for i in ids.values() for c in ("_left", "_next")])
+
+    def pair(b):
+        left, after = F.col(f"_left{ids[b]}"), F.col(f"_next{ids[b]}")
+        to_left = F.col("start") - left["_pos"] + 1
+        to_right = F.when(after["start"] < F.col("end"), 0).otherwise(after["start"] - F.col("end") + 1)
+        take_left = left.isNotNull() & (after.isNull() | (to_left <= to_right))
+        return F.when(F.col("feature") != b, F.struct(
+            F.lit(b).alias("other"), F.coalesce(F.when(take_left, left["start"]).otherwise(after["start"]), F.lit(-1)).alias("nearest"),
+            F.coalesce(F.when(take_left, to_left).otherwise(to_right), F.lit(-1)).alias("distance"),
+        ))
+
+    placed = known.join(scanned, [*keys, "start"])
+    pairs = placed.withColumn("_p", F.explode(F.filter(F.array(*[pair(b) for b in features]), lambda p: p.isNotNull())))
+    return pairs.select(*df.columns, F.col("_p.other").alias("other"), F.col("_p.nearest").alias("nearest"), F.col("_p.distance").alias("distance"))
+
+
 def start_distances(df: DataFrame, keys: Sequence[str] = ("chrom",), width: int = POSITION_BUCKET) -> DataFrame:
     """Distance from each interval's start to the previous start on its chromosome.
 
@@ -306,11 +351,49 @@ def call_broad_peaks(runs: DataFrame, cutoff: float, link_cutoff: float, max_gap
 
 def cutoff_analysis(runs: DataFrame, cutoffs: Sequence[float], max_gap: int = 100, min_length: int = 200,
                     keys: Sequence[str] = ("chrom",), width: int = POSITION_BUCKET) -> DataFrame:
-    """Number, total and mean length of the peaks at each cutoff of a short list."""
-    levels = runs.select(*keys, "start", "end", "value", F.explode(F.array(*[F.lit(float(c)) for c in cutoffs])).alias("cutoff"))
-    peaks = merge_intervals(levels.filter("value >= cutoff"), ["cutoff", *keys], max_gap, width)
-    length = F.col("end") - F.col("start")
-    return (
-        peaks.filter(length >= min_length).groupBy("cutoff")
-        .agg(F.count(F.lit(1)).alias("n_peaks"), F.sum(length).alias("total_length"), F.avg(length).alias("mean_length"))
+    """Number, total and mean length of the peaks at each cutoff; a cutoff without a peak has no row.
+
+    The runs are read once, whatever the number of cutoffs. A bucket finds the peaks of one cutoff after the other, from the
+    runs that are left above it. Peaks inside a bucket are only counted; its first and last one of each cutoff may go on
+    in other buckets and are put together with theirs.
+    """
+    keys, levels = list(keys), sorted({float(c) for c in cutoffs})
+    first, last = F.floor(F.col("start") / width), F.floor((F.greatest(F.col("end") - 1, F.col("start"))) / width)
+    high = reject_nulls(runs, [*keys, "start", "end"]).filter(F.col("value") >= levels[0]) if levels else runs.limit(0)
+    pieces = high.withColumn("_bucket", F.explode(F.sequence(first, last))).select(
+        *keys, "_bucket", F.greatest(F.col("start"), F.col("_bucket") * width).cast("long").alias("start"),
+        F.least(F.col("end"), (F.col("_bucket") + 1) * width).cast("long").alias("end"), F.col("value").cast("double").alias("value"),
     )
+    schema = T.StructType([
+        *[pieces.schema[k] for k in keys], T.StructField("cutoff", T.DoubleType()), T.StructField("n", T.LongType()),
+        T.StructField("length", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
+    ])
+
+    def peaks(bucket: pa.Table) -> pa.Table:
+        order = np.argsort(bucket["start"].to_numpy(), kind="stable")
+        start, end, value = (bucket[c].to_numpy()[order] for c in ("start", "end", "value"))
+        rows = []
+        for cutoff in levels:
+            above = value >= cutoff
+            if not above.all():
+                start, end, value = start[above], end[above], value[above]
+            if not len(start):
+                break
+            reach = np.maximum.accumulate(end)
+            opens = np.concatenate([[0], np.flatnonzero(start[1:] > reach[:-1] + max_gap) + 1])
+            begins, stops = start[opens], reach[np.concatenate([opens[1:] - 1, [len(start) - 1]])]
+            lengths = (stops - begins)[1:-1]
+            lengths = lengths[lengths >= min_length]
+            rows.append((cutoff, len(lengths), int(lengths.sum()), None, None))
+            rows += [(cutoff, 0, 0, int(begins[i]), int(stops[i])) for i in {0, len(begins) - 1}]
+        columns = list(zip(*rows))
+        own = [pa.repeat(bucket[k][0], len(rows)) for k in keys]
+        return pa.Table.from_arrays([*own, *[pa.array(c, t) for c, t in zip(columns, (pa.float64(), *[pa.int64()] * 4))]], names=schema.names)
+
+    found = cut_lineage(pieces.groupBy(*keys, "_bucket").applyInArrow(peaks, schema))
+    length = F.col("end") - F.col("start")
+    borders = merge_intervals(found.filter("start is not null").select("cutoff", *keys, "start", "end"), ["cutoff", *keys], max_gap, width)
+    whole = borders.filter(length >= min_length).select("cutoff", F.lit(1).cast("long").alias("n"), length.alias("length"))
+    return found.select("cutoff", "n", "length").unionByName(whole).groupBy("cutoff").agg(
+        F.sum("n").alias("n_peaks"), F.sum("length").alias("total_length")
+    ).filter("n_peaks > 0").withColumn("mean_length", F.col("total_length") / F.col("n_peaks"))

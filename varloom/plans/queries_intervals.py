@@ -101,6 +101,18 @@ def nearest_feature_distances(spark, sf):
     return _closest(spark, sf)
 
 
+@query("""
+  SELECT a.feature, f.feature AS other, a.chrom, a.start, a."end", a.interval_id, coalesce(min(d), -1) AS distance, coalesce(arg_min(b_start, (d, b_start)), -1) AS nearest
+  FROM intervals a JOIN (SELECT DISTINCT feature FROM intervals) f ON f.feature <> a.feature
+  LEFT JOIN LATERAL (
+    SELECT b.start AS b_start, CASE WHEN b.start < a."end" AND b."end" > a.start THEN 0 WHEN b."end" <= a.start THEN a.start - b."end" + 1 ELSE b.start - a."end" + 1 END AS d
+    FROM intervals b WHERE b.chrom = a.chrom AND b.feature = f.feature) ON true
+  GROUP BY ALL""")
+def nearest_intervals(spark, sf):
+    """Nearest intervals of all ordered pairs of features, from the raw, overlapping and nested ones."""
+    return iv.nearest_intervals(intervals(spark, sf).drop("sample"), EVENT_TYPES)
+
+
 def _summary_sql(source: str, keys: str, value: str) -> str:
     limits = ", ".join(f"round(avg(CAST(v <= {limit} AS INTEGER)) FILTER (v >= 0), 6) AS {name}" for name, limit in iv.LIMITS.items())
     points = ", ".join(f"round(quantile_cont(v, {p}) FILTER (v >= 0), 6) AS {name}" for name, p in iv.PERCENTILES.items())
@@ -179,6 +191,17 @@ def cutoff_analysis(spark, sf):
     return iv.cutoff_analysis(runs(spark, sf), _CUTOFFS).withColumn("mean_length", r6(F.col("mean_length")))
 
 
+view("grid_runs", "SELECT c.cutoff, r.* FROM runs r JOIN (SELECT CAST(c AS DOUBLE) AS cutoff FROM range(2, 202, 2) t(c)) c ON r.value >= c.cutoff")
+
+
+@query(f"""
+  SELECT cutoff, count(*) AS n_peaks, CAST(sum("end" - start) AS BIGINT) AS total_length, round(avg("end" - start), 6) AS mean_length
+  FROM ({_islands('grid_runs', 'cutoff, chrom', 100)}) WHERE "end" - start >= 200 GROUP BY cutoff""")
+def cutoff_grid(spark, sf):
+    """A hundred cutoffs in one reading of the runs."""
+    return iv.cutoff_analysis(runs(spark, sf), [2.0 * c for c in range(1, 101)]).withColumn("mean_length", r6(F.col("mean_length")))
+
+
 # --- tracks ------------------------------------------------------------------------------------
 
 
