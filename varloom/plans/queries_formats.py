@@ -153,9 +153,11 @@ def best_records_of_models(spark, sf):
     return readers.parse_best_metrics(e.select(record.alias("value"), path.alias("path")), "step long, eval_loss double")
 
 
-@query("SELECT 12 AS n_ld, count(*) AS n_scores FROM embeddings WHERE vec_id < 12")
+@query("SELECT count(DISTINCT u.j) AS n_ld, count(DISTINCT u.j) AS n_scores FROM embeddings, LATERAL (SELECT unnest(range(len(embedding))) AS j) u")
 def ld_size(spark, sf):
-    return stats.check_ld_size(_ld(spark, sf), table(spark, sf, "embeddings").filter("vec_id < 12"))
+    """The LD matrix of all components against one score for each."""
+    scores = table(spark, sf, "embeddings").select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("score"))
+    return stats.check_ld_size(_ld(spark, sf), scores)
 
 
 @query("""

@@ -241,16 +241,12 @@ def region_deviation(spark, sf):
 
 
 @query("""
-  SELECT feature AS region_id, m.chrom, p.pos0, value FROM
-    (SELECT feature, chrom, (min(start) + max("end")) // 2 AS middle FROM intervals GROUP BY ALL) m,
-    LATERAL (SELECT unnest(range(m.middle, m.middle + 500)) AS pos0) p
-  LEFT JOIN runs r ON r.chrom = m.chrom AND r.start <= p.pos0 AND r."end" > p.pos0""")
+  SELECT v.variant_key AS region_id, v.chrom, p.pos0, value FROM variants v, LATERAL (SELECT unnest(range(v.pos - 3, v.pos + 2)) AS pos0) p
+  LEFT JOIN runs r ON r.chrom = v.chrom AND r.start <= p.pos0 AND r."end" > p.pos0""")
 def base_values(spark, sf):
-    middle = F.floor((F.min("start") + F.max("end")) / 2)
-    regions = intervals(spark, sf).groupBy("feature", "chrom").agg(middle.alias("start")).select(
-        F.col("feature").alias("region_id"), "chrom", "start", (F.col("start") + 500).alias("end")
-    )
-    return tracks.base_values(regions, runs(spark, sf))
+    """The signal at every variant and at two bases on either side of it."""
+    sites = variants(spark, sf).select(F.col("variant_key").alias("region_id"), "chrom", (F.col("pos") - 3).alias("start"), (F.col("pos") + 2).alias("end"))
+    return tracks.base_values(sites, runs(spark, sf))
 
 
 _BINS = 400

@@ -296,18 +296,26 @@ def minmax_softmax_prior(spark, sf):
 # --- linkage -------------------------------------------------------------------------------------
 
 
+_COMPONENTS = 64
+
+
 def _ld(spark, sf):
-    """Correlations of the first twelve vector components, from one pass of sums."""
-    e = table(spark, sf, "embeddings")
-    x = lambda i: F.col("embedding")[i].cast("double")
-    wide = e.agg(*[F.corr(x(i), x(j)).alias(f"_{i}_{j}") for i in range(12) for j in range(i, 12)])
-    cells = [F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.col(f"_{min(a, b)}_{max(a, b)}").alias("r")) for a in range(12) for b in range(12)]
-    return wide.select(F.explode(F.array(*cells)).alias("c")).select(F.lit(0).alias("block"), "c.*")
+    """Correlations of all vector components: a row per vector and component, products with all others summed map-side."""
+    vectors = table(spark, sf, "embeddings").select(F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    sums = vectors.select(F.posexplode("v").alias("i", "x"), "v").groupBy("i").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), *[F.sum(F.col("x") * F.col("v")[j]).alias(f"p{j}") for j in range(_COMPONENTS)]
+    )
+    of = lambda side: sums.select(F.col("i").alias(side), F.col("s").alias(f"s_{side}"), F.get(F.array(*[f"p{j}" for j in range(_COMPONENTS)]), F.col("i")).alias(f"q_{side}"))
+    products = sums.select("i", "n", F.posexplode(F.array(*[f"p{j}" for j in range(_COMPONENTS)])).alias("j", "p"))
+    both = products.join(of("i"), "i").join(of("j"), "j")
+    spread = lambda side: F.sqrt(F.col("n") * F.col(f"q_{side}") - F.col(f"s_{side}") * F.col(f"s_{side}"))
+    r = (F.col("n") * F.col("p") - F.col("s_i") * F.col("s_j")) / (spread("i") * spread("j"))
+    return both.select(F.lit(0).alias("block"), "i", "j", r.alias("r"))
 
 
-@query("""
+@query(f"""
   SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(corr(CAST(embedding[i + 1] AS DOUBLE), CAST(embedding[j + 1] AS DOUBLE)), 6) + 0.0 AS r
-  FROM embeddings, range(12) a(i), range(12) b(j) GROUP BY i, j""")
+  FROM embeddings, range({_COMPONENTS}) a(i), range({_COMPONENTS}) b(j) GROUP BY i, j""")
 def ld_matrix(spark, sf):
     return _ld(spark, sf).select("i", "j", r6(F.col("r")).alias("r"))
 
