@@ -10,6 +10,7 @@ from varloom.functions.naming import accession_to_number, number_to_name, varian
 from varloom.operators.genome import CHUNK, OVERLAP, chunk_pieces
 from varloom.operators.scale import hash_rank, top_n_per_group
 from varloom.session import cut_lineage
+from varloom.sources import bgzf
 
 SNP_LIST = "chrom int, pos long, id string, ref string, alt string"
 ANNOTATED_SNPS = "chrom int, pos long, annot_id string, id string, ref string, alt string, MAF double, MAF_PCT double"
@@ -86,6 +87,11 @@ def read_vcf(spark: SparkSession, path, on_error: str = "raise"):
     return parse_vcf(spark.read.text(path), on_error)
 
 
+def read_vcf_blocks(spark: SparkSession, path: str, on_error: str = "raise", split_bytes: int = bgzf.SPLIT_BYTES):
+    """A block-compressed VCF file, or a folder of such, read by many tasks."""
+    return parse_vcf(bgzf.read_lines(spark, path, split_bytes).select("value"), on_error)
+
+
 def vcf_to_snp_list(sites: DataFrame, numbered: bool = True, keep_id: bool = False) -> DataFrame:
     """SNP list of VCF sites whose CHROM is an accession."""
     number = accession_to_number(F.col("CHROM"))
@@ -382,6 +388,18 @@ def read_fasta(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("at"),
     )
+    return _chunks_of(lines, ids, size, overlap, numbered)
+
+
+def read_fasta_blocks(
+    spark: SparkSession, path: str, ids: Sequence[str] | None = None, size: int = CHUNK, overlap: int = OVERLAP, numbered: bool = True,
+    split_bytes: int = bgzf.SPLIT_BYTES,
+) -> DataFrame:
+    """The same from a block-compressed file, read by many tasks; records may go on over blocks and splits."""
+    return _chunks_of(bgzf.read_lines(spark, path, split_bytes), ids, size, overlap, numbered)
+
+
+def _chunks_of(lines: DataFrame, ids: Sequence[str] | None, size: int, overlap: int, numbered: bool) -> DataFrame:
     pieces = fasta_pieces(lines)
     chrom = accession_to_number(F.col("accession")) if numbered else F.col("accession")
     if ids is not None:
