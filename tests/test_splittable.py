@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from varloom.sources import bgzf, npy, readers
+from varloom.sources import bgzf, npy, readers, writers
 
 
 def blocks_of(data, size, draw=None):
@@ -104,3 +104,27 @@ def test_vectors_and_what_is_no_matrix(spark, tmp_path):
     ragged = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "order int, values array<double>").repartition(1)
     with pytest.raises(Exception, match="differ in length"):
         npy.write_npy(ragged, str(tmp_path / "r"), "order", parts=1)
+
+
+def scan_metric(df, name):
+    """Of the one scan of a plan that has run."""
+    df.collect()
+    node = df._jdf.queryExecution().executedPlan()
+    while node.children().size():
+        node = node.children().apply(0)
+    return node.metrics().apply(name).value()
+
+
+def test_a_region_opens_few_files_and_row_groups(spark, tmp_path):
+    draw = random.Random(4)
+    hot = [(i, 3 if draw.random() < 0.7 else draw.randint(1, 12), draw.randint(0, 10**6)) for i in range(60_000)]
+    frame = spark.createDataFrame(hot, "id long, chr int, start long").withColumn("end", F.col("start") + 50).withColumn("seq", F.md5(F.col("id").cast("string")))
+    writers.write_samples(frame.repartition(8), str(tmp_path / "samples"), parts=10, row_group_bytes=64 << 10)
+    files = list((tmp_path / "samples").glob("chr=*/*.parquet"))
+    assert len(files) <= 10 + 12 and len(list((tmp_path / "samples").glob("chr=3/*.parquet"))) >= 6
+    found = readers.read_samples(spark, str(tmp_path / "samples"), region=(3, 400_000, 405_000))
+    expected = {i for i, c, s in hot if c == 3 and s < 405_000 and s + 50 > 400_000}
+    assert {r.id for r in found.collect()} == expected and expected
+    # All rows of chromosome 3 lie in files of its folder, and only row groups that may hold the region are read.
+    assert scan_metric(found, "numOutputRows") < sum(c == 3 for _, c, _ in hot) / 4
+    assert readers.read_samples(spark, str(tmp_path / "samples")).count() == len(hot)

@@ -9,8 +9,8 @@ from varloom.plans.inputs import bins, genome_variants, intervals, stored_sequen
 from varloom.plans.queries_scores import _ld
 from varloom.plans.queries_sequences import _LENGTH, _OVERLAP, _SIZE, chunks
 from varloom.plans.registry import query, view
-from varloom.session import cut_lineage
-from varloom.sources import readers, writers
+from varloom.session import cut_lineage, shared_path
+from varloom.sources import npy, readers, writers
 
 
 def _lines(df, *fields, **others):
@@ -171,6 +171,22 @@ def long_alternates(spark, sf):
     return genome.extract_windows(longer, chunks(spark, sf, dna), _LENGTH, _SIZE, _OVERLAP, on_error="split")[1].select("variant_key", "problem")
 
 
+@query("SELECT ordinal, u.j, CAST(embedding[u.j + 1] AS DOUBLE) AS value FROM (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS ordinal, embedding FROM embeddings), LATERAL (SELECT unnest(range(64)) AS j) u")
+def matrix_from_npy(spark, sf):
+    """All vectors as one matrix in npy files, read back by splits."""
+    path = shared_path(spark, "matrix")
+    npy.write_npy(table(spark, sf, "embeddings").withColumnRenamed("embedding", "values"), path, "vec_id", dtype="<f4")
+    return npy.read_npy(spark, path, split_bytes=32 << 10).select("ordinal", F.posexplode("values").alias("j", "value")).withColumn("j", F.col("j").cast("long"))
+
+
+@query('SELECT chrom AS chr, start, "end", feature, interval_id FROM intervals WHERE chrom = 5 AND start < 1000000 AND "end" > 500000')
+def samples_of_region(spark, sf):
+    """Samples that overlap a region, from files in order of position."""
+    path = shared_path(spark, "samples")
+    writers.write_samples(intervals(spark, sf).drop("sample").withColumnRenamed("chrom", "chr"), path)
+    return readers.read_samples(spark, path, region=(5, 500_000, 1_000_000)).select("chr", "start", "end", "feature", "interval_id")
+
+
 # --- rows as lines ---------------------------------------------------------------------------------
 
 

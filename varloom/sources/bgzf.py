@@ -18,6 +18,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from varloom.sources.npy import file_system
+
 SPLIT_BYTES = 16 << 20
 _LARGEST = 1 << 16  # bytes of a block
 _MAGIC = b"\x1f\x8b\x08\x04"
@@ -103,7 +105,7 @@ class BlockReader(DataSourceReader):
         self.path, self.split_bytes = path, split_bytes
 
     def _open(self, path: str | None = None):
-        system, own = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith(("/", "file:")) else (fs.LocalFileSystem(), self.path)
+        system, own = file_system(self.path)
         return system, path or own
 
     def partitions(self) -> list[Blocks]:

@@ -57,8 +57,15 @@ class Rows(InputPartition):
     ordinal: int  # of that row in the whole matrix
 
 
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path in it; Hadoop writes local ones with a single slash."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 def _files(path: str) -> tuple[fs.FileSystem, list[str]]:
-    system, own = fs.FileSystem.from_uri(path) if "://" in path or path.startswith(("/", "file:")) else (fs.LocalFileSystem(), path)
+    system, own = file_system(path)
     if system.get_file_info(own).type == fs.FileType.Directory:
         listed = system.get_file_info(fs.FileSelector(own))
         return system, sorted(f.path for f in listed if f.is_file and f.base_name.endswith(".npy") and not f.base_name.startswith(("_", ".")))
@@ -115,7 +122,7 @@ class NpyWriter(DataSourceArrowWriter):
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         partition = TaskContext.get().partitionId()
-        system, own = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith(("/", "file:")) else (fs.LocalFileSystem(), self.path)
+        system, own = file_system(self.path)
         system.create_dir(own, recursive=True)
         path = posixpath.join(own, f"_{self.run}-{partition:05d}-{uuid.uuid4().hex}")
         # The header needs the number of rows, so rows are held until all are there: one task's share.

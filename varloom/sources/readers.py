@@ -203,9 +203,13 @@ def read_coverage(spark: SparkSession, path, column: str = "percent_covered") ->
 # --- datasets ----------------------------------------------------------------------------------
 
 
-def read_samples(spark: SparkSession, path, chrom: str = "chr") -> DataFrame:
-    """Samples of chromosomes 1 to 12; other partitions are not opened."""
-    return spark.read.parquet(path).filter(F.col(chrom).between(1, 12))
+def read_samples(spark: SparkSession, path, chrom: str = "chr", region: tuple | None = None) -> DataFrame:
+    """Samples of chromosomes 1 to 12, or those that overlap a region (chromosome, start, end); others are not opened."""
+    samples = spark.read.parquet(path).filter(F.col(chrom).between(1, 12))
+    if region is None:
+        return samples
+    number, start, end = region
+    return samples.filter((F.col(chrom) == number) & (F.col("start") < end) & (F.col("end") > start))
 
 
 def read_labeled(spark: SparkSession, path) -> DataFrame:
