@@ -12,7 +12,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 from operator import attrgetter
 
 import numpy as np
@@ -22,11 +22,12 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from varloom.llm.words import give_back
 
-MEMO_ENTRIES = 120_000
-GROUP_BYTES = 24 << 20
+MEMO_ENTRIES = 60_000
+GROUP_BYTES = 16 << 20
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
+_AT_ONCE = 5_000  # words whose tokens are held as objects
 
 # Every code point that either Unicode or Python counts as white space, but for the plain space. Fixed values.
 _SPACES = (
@@ -122,8 +123,7 @@ class Encoder:
         )
         self.model = self.tokenizer.model
         self.memo_entries = memo_entries
-        self.runs: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}  # met before the others; at most ``memo_entries`` and one group of texts
+        self.runs: dict[str, bytes] = {}  # in the order they were met, so that frequent ones are among the first
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
@@ -133,28 +133,25 @@ class Encoder:
         runs = self.runs
         found = [runs.get(w) for w in words]
         new = [i for i, ids in enumerate(found) if ids is None]
-        if new and self.older:
-            for i in new:
-                found[i] = self.older.get(words[i])
-            again = [i for i in new if found[i] is not None]
-            runs.update((words[i], found[i]) for i in again)
-            new = [i for i in new if found[i] is None]
-        fresh = [words[i] for i in new]
-        written = [
-            (w.replace(" ", "\u0120") if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_LETTERS)) for w in fresh
-        ]
-        tokens = [*map(self.model.tokenize, written)]
-        flat = np.fromiter(map(_token_id, chain.from_iterable(tokens)), "<u4").tobytes()
-        ends = np.cumsum([0, *map(len, tokens)]) * 4
-        made = [flat[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
-        runs.update(zip(fresh, made))
-        for i, ids in zip(new, made):
-            found[i] = ids
+        for at in range(0, len(new), _AT_ONCE):
+            part = new[at:at + _AT_ONCE]
+            fresh = [words[i] for i in part]
+            written = [
+                (w.replace(" ", "\u0120") if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_LETTERS)) for w in fresh
+            ]
+            tokens = [*map(self.model.tokenize, written)]
+            flat = np.fromiter(map(_token_id, chain.from_iterable(tokens)), "<u4").tobytes()
+            ends = np.cumsum([0, *map(len, tokens)]) * 4
+            made = [flat[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
+            runs.update(zip(fresh, made))
+            for i, ids in zip(part, made):
+                found[i] = ids
         return found
 
-    def _age(self) -> None:
+    def _forget(self) -> None:
+        """Keep the runs that were met first, between two groups of texts."""
         if len(self.runs) > self.memo_entries:
-            self.older, self.runs = self.runs, {}
+            self.runs = dict(islice(self.runs.items(), self.memo_entries))
 
     def _cut(self, part: str) -> list[str]:
         return [part] if any(t in part for t in self.special) else split_at_letters(part)
@@ -162,9 +159,6 @@ class Encoder:
     def _parts(self, parts: list[str]) -> list[bytes]:
         cuts = [self._cut(p) for p in parts]
         runs = set().union(*cuts).difference(self.runs)
-        again = runs.intersection(self.older)
-        self.runs.update((r, self.older[r]) for r in again)
-        runs -= again
         letters = [r for r in runs if _LETTER_RUN.fullmatch(r)]
         self._pieces(letters)
         for run in runs.difference(letters):
@@ -220,7 +214,6 @@ class Encoder:
         if not self.by_part:
             found = [self._whole(t) + self.end for t in texts.to_pylist()]
             return np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found], np.int64)
-        self._age()
         odd = pc.match_substring_regex(texts, _ODD_SPACE)
         for token in self.special:
             odd = pc.or_(odd, pc.match_substring(texts, token))
@@ -233,8 +226,11 @@ class Encoder:
         firsts = self._parts(_strings(flat.take(pa.array(borders[:-1]))))
         for i in odd_at:
             firsts[i] = self._text(texts[i].as_py())
+        del split, flat
         known = self._distinct(parts.dictionary)
+        self._forget()
         codes = parts.indices.to_numpy().copy()
+        del parts
         codes[borders[:-1]] = len(known) + np.arange(len(firsts))
         codes = np.insert(codes, borders[1:], len(known) + len(firsts))
         found = pa.concat_arrays([known, _lists([*firsts, self.end])]).take(pa.array(codes))
@@ -288,7 +284,6 @@ def encode_rows(docs: DataFrame, tokenizer_file: str, end_id: int, text: str = "
                     pa.ListArray.from_arrays(offsets, pa.array(ids.view(np.int32))),
                 ], names=["doc_id", "shard", "position", "n_tokens", "ids"])
                 position += rows
-        encoder.older = {}
         give_back()
 
     id_type = docs.schema[doc_id].dataType.simpleString()
