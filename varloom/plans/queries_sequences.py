@@ -271,7 +271,8 @@ def kmer_weights(spark, units=(50.0, 80.0)):
 def score_windows(spark, sf):
     dna = stored_sequences(spark, sf)
     model = kmer_track.KmerModel.of(kmer_weights(spark), _MODEL, 3)
-    scored = kmer_track.score_variants(genome_variants(spark, sf, dna), chunks(spark, sf, dna), model, _LENGTH, _SIZE, _OVERLAP)
+    snps = cut_lineage(genome_variants(spark, sf, dna))
+    scored = kmer_track.score_variants(snps, chunks(spark, sf, dna), model, _LENGTH, _SIZE, _OVERLAP)
     return kmer_track.long_probabilities(scored, _MODEL)
 
 
