@@ -62,12 +62,14 @@ def _ranked(df: DataFrame, p: str, key: str, rows_per_block: int) -> DataFrame:
 
 def bh(df: DataFrame, q: float, m: float, p: str = "p_value", key: str = "variant_key", rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Step-up procedure with threshold rank / m * q."""
+    df = cut_lineage(df)  # rows with a p-value and those without are read apart
     ranked = _ranked(df, p, key, rows_per_block)
     return _step_up(ranked, p, F.col("rank") / F.lit(float(m)) * q)
 
 
 def bh_meff(df: DataFrame, q: float, m_eff: float, p: str = "p_value", key: str = "variant_key", rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Step-up procedure whose threshold climbs from q / m_eff at rank 1 to q at the last rank."""
+    df = cut_lineage(df)
     ranked = _ranked(df, p, key, rows_per_block)
     total = df.agg(F.count(p).alias("_total"))
     first = q / m_eff
