@@ -58,5 +58,13 @@ def test_bins_are_cut_without_a_shuffle(spark, tmp_path):
     assert "Exchange" not in plan(genome.bin_genome(chunks, 20, forward=5, backward=5, size=256, overlap=64))
 
 
+@pytest.mark.parametrize("name", [
+    "track_lengths", "runs_in_region", "cutoff_grid", "multi_intersect", "nearest_intervals", "nearest_feature_distances", "start_distances",
+])
+def test_no_frame_is_read_again_for_every_row(spark, sf, name):
+    # Spark evaluates a frame that ends at the last row anew for every row: a bucket of n rows would cost n * n / 2.
+    assert "unboundedfollowing" not in plan(QUERIES[name](spark, sf)).lower()
+
+
 def test_top_k_is_not_a_full_sort(spark, sf):
     assert "TakeOrderedAndProject" in plan(QUERIES["top_variants"](spark, sf))

@@ -24,7 +24,6 @@ POSITION_BUCKET = 1 << 18
 
 _EVERYTHING = (W.unboundedPreceding, W.currentRow)
 _EARLIER = (W.unboundedPreceding, -1)
-_LATER = (1, W.unboundedFollowing)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -307,10 +306,10 @@ def bucket_carry(
     pieces = df.groupBy(*keys, "_bucket").agg(
         *[fn(column).alias(name) for name, (fn, column) in {**before, **after}.items()]
     )
-    ordered = W.partitionBy(*keys).orderBy("_bucket")
+    upward, downward = (W.partitionBy(*keys).orderBy(order).rowsBetween(*_EARLIER) for order in (F.asc("_bucket"), F.desc("_bucket")))
     return pieces.withColumns({
-        **{name: fn(name).over(ordered.rowsBetween(*_EARLIER)) for name, (fn, _) in before.items()},
-        **{name: fn(name).over(ordered.rowsBetween(*_LATER)) for name, (fn, _) in after.items()},
+        **{name: fn(name).over(upward) for name, (fn, _) in before.items()},
+        **{name: fn(name).over(downward) for name, (fn, _) in after.items()},
     })
 
 
@@ -329,11 +328,12 @@ def position_scan(
     before, after, following = before or {}, after or {}, following or {}
     rightward = {**after, **following}
     bucketed = cut_lineage(reject_nulls(df, [*keys, position]).withColumn("_bucket", position_bucket(position, width)))
-    inside = W.partitionBy(*keys, "_bucket").orderBy(position)
+    # Values from the right run over the descending order: a frame up to the last row would be read again for every row.
+    upward, downward = (W.partitionBy(*keys, "_bucket").orderBy(order) for order in (F.asc(position), F.desc(position)))
     frames = {
-        **{n: (*v, inside.rowsBetween(*_EVERYTHING)) for n, v in before.items()},
-        **{n: (*v, inside.rowsBetween(W.currentRow, W.unboundedFollowing)) for n, v in after.items()},
-        **{n: (*v, inside.rowsBetween(*_LATER)) for n, v in following.items()},
+        **{n: (*v, upward.rowsBetween(*_EVERYTHING)) for n, v in before.items()},
+        **{n: (*v, downward.rowsBetween(*_EVERYTHING)) for n, v in after.items()},
+        **{n: (*v, downward.rowsBetween(*_EARLIER)) for n, v in following.items()},
     }
     carried = bucket_carry(
         bucketed, keys,
