@@ -8,7 +8,7 @@ Document frequencies come from all learning rows; the regression is fitted on at
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -99,6 +99,16 @@ def document_frequencies(learning: DataFrame, text: str, bits: int) -> tuple[int
     return int(got.loc[~inside, "rows"].sum()), frequencies
 
 
+def sparse_counts(texts: Iterable[str | None], bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Buckets and counts of each text; all 2**bits of them are held for one text at a time."""
+    at, n = [], []
+    for text in texts:
+        found = ngram_counts(text or "", bits)
+        at.append(np.flatnonzero(found))
+        n.append(found[at[-1]])
+    return at, n
+
+
 def bounded_sample(learning: DataFrame, text: str, label: str, max_rows: int, bits: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """max_rows / labels distinct texts of every label, one at least, or all it has: label, buckets, counts.
 
@@ -123,9 +133,9 @@ def bounded_sample(learning: DataFrame, text: str, label: str, max_rows: int, bi
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [ngram_counts(value or "", bits) for value in batch[text]]
-            at = [np.flatnonzero(c) for c in found]
-            yield pd.DataFrame({"label": batch[label], "at": at, "n": [c[i] for c, i in zip(found, at)]})
+            at, n = sparse_counts(batch[text], bits)
+            yield pd.DataFrame({"label": batch[label], "at": at, "n": n})
+        give_back()
 
     sample = rows.select(text, label).mapInPandas(counted, "label string, at array<int>, n array<int>")
     got = [(r["label"], np.array(r["at"], np.int64), np.array(r["n"], float)) for r in sample.toArrow().to_pylist()]
