@@ -64,7 +64,7 @@ _LETTER_RUN = re.compile(rf" ?[{_LETTERS}]+")
 _RUNS = re.compile(r" ?[^\W\d_]+|[\W\d_]+")
 # Byte-level models write bytes as letters: printable ones as they are, the others counted from U+0100 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_BYTE_LETTERS = {chr(b): chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 _token_id = attrgetter("id")
 _LATIN = "\u0250"  # letters below are letters to every Unicode version
 
@@ -91,6 +91,17 @@ def split_at_letters(part: str) -> list[str]:
     return runs
 
 
+def _as_byte_letters(words: list[str]) -> list[str]:
+    """Words without line ends in the letters of a byte-level model; all at once, as each replacement is one pass over them."""
+    joined = "\n".join(words)
+    if not joined.isascii():
+        joined = joined.encode().decode("latin-1")
+    for byte, letter in _BYTE_LETTERS.items():
+        if byte != "\n":
+            joined = joined.replace(byte, letter)
+    return joined.split("\n")
+
+
 def _strings(array: pa.StringArray) -> list[str]:
     return array.to_numpy(zero_copy_only=False).tolist()
 
@@ -136,10 +147,7 @@ class Encoder:
         for at in range(0, len(new), _AT_ONCE):
             part = new[at:at + _AT_ONCE]
             fresh = [words[i] for i in part]
-            written = [
-                (w.replace(" ", "\u0120") if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_LETTERS)) for w in fresh
-            ]
-            tokens = [*map(self.model.tokenize, written)]
+            tokens = [*map(self.model.tokenize, _as_byte_letters(fresh))]
             flat = np.fromiter(map(_token_id, chain.from_iterable(tokens)), "<u4").tobytes()
             ends = np.cumsum([0, *map(len, tokens)]) * 4
             made = [flat[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
