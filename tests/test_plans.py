@@ -68,3 +68,8 @@ def test_no_frame_is_read_again_for_every_row(spark, sf, name):
 
 def test_top_k_is_not_a_full_sort(spark, sf):
     assert "TakeOrderedAndProject" in plan(QUERIES["top_variants"](spark, sf))
+
+
+def test_a_token_has_one_digest(spark, sf):
+    analysed = QUERIES["masked_tokens"](spark, sf)._jdf.queryExecution().analyzed().toString()
+    assert analysed.count("md5(") == 1

@@ -77,14 +77,19 @@ def mask_tokens(
     part = lambda h, at: F.conv(F.substring(h, at, 8), 16, 10).cast("long")
     unit = lambda h, at: part(h, at) / float(1 << 32)
 
-    def decide(token, i):
-        h = digest(i)
-        picked = (unit(h, 1) < share) & ~F.array_contains(special, token)
+    def pick(cell):
+        picked = (unit(cell["h"], 1) < share) & ~F.array_contains(special, cell["id"])
+        return F.struct(cell["id"].alias("id"), cell["h"].alias("h"), picked.alias("picked"))
+
+    def decide(cell):
+        token, h, picked = cell["id"], cell["h"], cell["picked"]
         masked, replaced = unit(h, 9) < division[0], unit(h, 9) < division[0] + division[1]
         new = F.when(picked & masked, F.lit(mask_id)).when(picked & replaced, (part(h, 17) % vocab_size).cast("int")).otherwise(token)
         return F.struct(new.alias("id"), F.when(picked & replaced, token).otherwise(F.lit(NO_LABEL)).alias("label"))
 
-    decided = df.withColumn("_d", F.transform(ids, decide))
+    # One after the other, as a digest inside a lambda function is made again for each place that names it.
+    cells = F.transform(ids, lambda token, i: F.struct(token.alias("id"), digest(i).alias("h")))
+    decided = df.withColumn("_d", F.transform(F.transform(cells, pick), decide))
     return decided.select(key, F.transform("_d", lambda d: d["id"]).alias("masked_ids"), F.transform("_d", lambda d: d["label"]).alias("labels"))
 
 
