@@ -113,3 +113,15 @@ def test_short_windows_and_empty_frames(spark, chunks, weight_rows):
     assert none.problem == "window leaves its chromosome: 1:5"
     with pytest.raises(ValueError, match="overlap"):
         kmer_track.saturate(chunks, model, OVERLAP + 1, SIZE, OVERLAP)
+
+
+@pytest.mark.parametrize("k, length, centre", [(1, 5, 2), (3, 21, 10), (3, 5, 2), (3, 7, 1), (3, 7, 5), (5, 31, 15)])
+def test_effects_by_surroundings_are_those_of_each_place(k, length, centre):
+    draw = np.random.default_rng(4)
+    model = kmer_track.KmerModel(("a", "b"), "ACGT", k, draw.normal(size=(2, 4**k)))
+    track = kmer_track.Track(model, np.frombuffer("".join(draw.choice([*"ACGTN"], 9000)).encode(), np.uint8))
+    starts = np.arange(9000 - length + 1)
+    found = track.effects(starts, length, centre, [0, 1, 2, 3])
+    for digit in range(4):
+        change = track.real(track.changes(starts, length, centre, np.full(len(starts), digit)))
+        assert (found[digit] == np.sqrt((change * change).sum(axis=0))).all()

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ from varloom.functions.scores import sigmoid
 from varloom.functions.sequence import BASES
 
 _LETTERS = 1 << 20  # letters whose sums are held together; a longer chunk is held alone
+_CONTEXTS = 1 << 16  # surroundings of a letter whose effects are held in a table
 
 
 @dataclass(frozen=True)
@@ -63,10 +65,14 @@ class Track:
     def __init__(self, model: KmerModel, letters: np.ndarray):
         self.model, self.digits = model, model.digits(letters)
         self.weights, self.unit = model.fixed(len(letters))
-        k, count = model.k, max(0, len(letters) - model.k + 1)
+
+    @cached_property
+    def sums(self) -> np.ndarray:
+        count = max(0, len(self.digits) - self.model.k + 1)
         numbers = self._numbers(np.arange(count), lambda at: self.digits[at])
-        self.sums = np.zeros((len(model.features), count + 1), np.int64)
-        np.cumsum(self._weight(numbers), axis=1, out=self.sums[:, 1:])
+        sums = np.zeros((len(self.model.features), count + 1), np.int64)
+        np.cumsum(self._weight(numbers), axis=1, out=sums[:, 1:])
+        return sums
 
     def _numbers(self, begins: np.ndarray, digit) -> np.ndarray:
         """The k-mers that begin there as numbers, -1 where a letter is unknown."""
@@ -86,18 +92,44 @@ class Track:
             return np.zeros((len(self.model.features), len(starts)), np.int64)
         return self.sums[:, starts + (length - self.model.k + 1)] - self.sums[:, starts]
 
-    def changes(self, starts: np.ndarray, length: int, centre: int, alternates: np.ndarray) -> np.ndarray:
+    def changes(
+        self, starts: np.ndarray, length: int, centre: int, alternates: np.ndarray, digits: np.ndarray | None = None
+    ) -> np.ndarray:
         """What the logits of windows change by when the letter at ``centre`` becomes another (digits, -1 if unknown)."""
         at, k = starts + centre, self.model.k
+        digits = self.digits if digits is None else digits
         total = np.zeros((len(self.model.features), len(starts)), np.int64)
         for back in range(k):
             if back > centre or centre - back + k > length:
                 continue
             begins = at - back
-            for sign, middle in ((1, alternates), (-1, self.digits[at])):
-                total += sign * self._weight(self._numbers(begins, lambda p: np.where(p == at, middle, self.digits[p])))
+            for sign, middle in ((1, alternates), (-1, digits[at])):
+                total += sign * self._weight(self._numbers(begins, lambda p: np.where(p == at, middle, digits[p])))
         return total
 
+    def effects(self, starts: np.ndarray, length: int, centre: int, alternates: Sequence[int]) -> list[np.ndarray]:
+        """For each alternate (a digit) the norm over features of ``changes``.
+
+        The change depends on the k - 1 letters on either side only. Where these surroundings are few, each is looked at once.
+        """
+        k, size = self.model.k, len(self.model.alphabet) + 1
+        span = 2 * k - 1
+        count = size**span
+
+        def norms(*where):
+            for digit in alternates:
+                change = self.real(self.changes(*where[:3], np.full(len(where[0]), digit), *where[3:]))
+                yield np.sqrt((change * change).sum(axis=0))
+
+        if count > min(_CONTEXTS, len(starts)) or centre < k - 1 or centre + k > length:
+            return [*norms(starts, length, centre)]
+        every = np.arange(count)[:, None] // size ** np.arange(span)[::-1] % size - 1
+        places = np.zeros(len(self.digits) - span + 1, np.int32)
+        for j in range(span):
+            places = places * size + (self.digits[j:j + len(places)] + 1)
+        own = places[starts + (centre - k + 1)]
+        return [table[own] for table in norms(np.arange(count) * span, span, k - 1, every.ravel())]
+
     def real(self, values: np.ndarray) -> np.ndarray:
         return values * self.unit
 
@@ -116,6 +148,13 @@ def _letters(chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def _each(letters: np.ndarray) -> pa.StringArray:
+    """Every byte as a string of its own."""
+    if letters.max(initial=0) >= 128:
+        return pa.array([*letters.tobytes().decode("latin-1")], pa.string())
+    return pa.StringArray.from_buffers(len(letters), pa.py_buffer(np.arange(len(letters) + 1, dtype=np.int32)), pa.py_buffer(letters.tobytes()))
+
+
 def _spans(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
     begin = held = 0
     for i, size in enumerate(sizes.tolist()):
@@ -262,14 +301,10 @@ def saturate(chunks: DataFrame, model: KmerModel, length: int, size: int, overla
                 begins = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
                 starts = begins + offsets[owner]
                 track = Track(model, letters)
-                effects = []
-                for base in BASES:
-                    digit = np.full(len(starts), model.digits(np.frombuffer(base.encode(), np.uint8))[0])
-                    change = track.real(track.changes(starts, length, centre, digit))
-                    effects.append(pa.array(np.sqrt((change * change).sum(axis=0))))
-                ref = letters[starts + centre].tobytes().decode("latin-1")
+                digits = model.digits(np.frombuffer("".join(BASES).encode(), np.uint8)).tolist()
+                effects = [pa.array(e) for e in track.effects(starts, length, centre, digits)]
                 yield pa.RecordBatch.from_arrays([
-                    part.column("chrom").take(pa.array(owner)), pa.array(begins + chunk_start[owner] + centre + 1), pa.array(list(ref), pa.string()), *effects,
+                    part.column("chrom").take(pa.array(owner)), pa.array(begins + chunk_start[owner] + centre + 1), _each(letters[starts + centre]), *effects,
                 ], names=["chrom", "pos", "ref", *BASES])
 
     own = chunks.select("chrom", F.col("chunk_start").cast("long").alias("chunk_start"), F.col("seq").cast("binary").alias("seq"), F.col("length").cast("long").alias("length"))
