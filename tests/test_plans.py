@@ -73,3 +73,19 @@ def test_top_k_is_not_a_full_sort(spark, sf):
 def test_a_token_has_one_digest(spark, sf):
     analysed = QUERIES["masked_tokens"](spark, sf)._jdf.queryExecution().analyzed().toString()
     assert analysed.count("md5(") == 1
+
+
+def test_lines_are_cut_from_bytes(spark, sf):
+    from varloom.plans import queries_sequences
+    from pyspark.sql import functions as F
+
+    seen = []
+    original = queries_sequences.fasta_pieces
+    queries_sequences.fasta_pieces = lambda lines: seen.append(lines) or original(lines)
+    try:
+        QUERIES["genome_from_fasta"](spark, sf)
+    finally:
+        queries_sequences.fasta_pieces = original
+    analysed = seen[0]._jdf.queryExecution().analyzed().toString()
+    assert "cast(seq" in analysed and "substring(seq" not in analysed
+    assert seen[0].filter(F.length("value") > 60).filter("not value like '>%'").isEmpty()

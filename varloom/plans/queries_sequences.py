@@ -31,7 +31,9 @@ def genome_chunks(spark, sf):
   FROM dna d, LATERAL (SELECT unnest(range(0, length(d.seq), 1000)) AS s) u""")
 def genome_from_fasta(spark, sf):
     """FASTA lines of 60 bases, put back together as chunks."""
-    line = F.transform(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / 60).cast("int")), lambda i: F.substring("seq", i * 60 + 1, F.lit(60)))
+    places = F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / 60).cast("int"))
+    # Bound once as bytes: a substring of a string walks to its offset, one of bytes does not.
+    line = F.transform(F.array(F.col("seq").cast("binary")), lambda b: F.transform(places, lambda i: F.substring(b, i * 60 + 1, F.lit(60)).cast("string")))[0]
     header = F.array(F.concat(F.lit(">"), F.col("chrom").cast("string"), F.lit(" made from a document")))
     lines = stored_sequences(spark, sf).filter(F.length("seq") > 0).select("chrom", F.posexplode(F.concat(header, line)).alias("at", "value"))
     # Eight splits per file, so records run over split borders.
