@@ -176,9 +176,11 @@ _TO = "ACGTACGTACGTACGTACGTACGTACN"
 
 def sequences(spark: SparkSession, sf: str) -> DataFrame:
     """Every document as a DNA string (chrom = doc_id)."""
-    letters = F.upper(F.regexp_replace("text", "[^A-Za-z ]", ""))
+    known, bases = _FROM + _FROM.strip().lower(), F.lit(_TO + _TO[:26])
     texts = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    return texts.select(F.col("doc_id").alias("chrom"), F.translate(letters, _FROM, _TO).alias("seq"))
+    # Letters without a base are listed behind the others, and so left out; a regular expression takes ten times as long.
+    listed = F.concat(F.lit(known), F.translate("text", known, ""))
+    return texts.select(F.col("doc_id").alias("chrom"), F.call_function("translate", F.col("text"), listed, bases).alias("seq"))
 
 
 def stored_sequences(spark: SparkSession, sf: str) -> DataFrame:
