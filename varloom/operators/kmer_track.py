@@ -140,7 +140,7 @@ def _lists(values: np.ndarray) -> pa.Array:
     return pa.FixedSizeListArray.from_arrays(pa.array(values.T.ravel()), features).cast(pa.list_(pa.float64()))
 
 
-def _letters(chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def letters_of(chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All letters of binary values one after the other, and where each value begins."""
     chunks = chunks.cast(pa.large_binary())
     offsets = np.frombuffer(chunks.buffers()[1], np.int64)[chunks.offset:chunks.offset + len(chunks) + 1]
@@ -155,7 +155,7 @@ def _each(letters: np.ndarray) -> pa.StringArray:
     return pa.StringArray.from_buffers(len(letters), pa.py_buffer(np.arange(len(letters) + 1, dtype=np.int32)), pa.py_buffer(letters.tobytes()))
 
 
-def _spans(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+def letter_spans(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
     begin = held = 0
     for i, size in enumerate(sizes.tolist()):
         if i > begin and held + size > _LETTERS:
@@ -218,7 +218,7 @@ def score_variants(
             is_chunk = pc.equal(rows["kind"], 0).to_numpy(zero_copy_only=False)
             at_chunk = np.flatnonzero(is_chunk)
             owner = np.cumsum(is_chunk) - 1
-            for begin, stop in _spans(pc.binary_length(rows["seq"]).to_numpy(zero_copy_only=False)[at_chunk]):
+            for begin, stop in letter_spans(pc.binary_length(rows["seq"]).to_numpy(zero_copy_only=False)[at_chunk]):
                 yield from _scored(rows, at_chunk[begin:stop], np.flatnonzero((owner >= begin) & (owner < stop) & ~is_chunk), owner, begin)
             lost = np.flatnonzero(owner < 0)
             if len(lost):
@@ -236,7 +236,7 @@ def score_variants(
         if not len(asked):
             return
         own, wanted = rows.take(pa.array(at_chunk)), rows.take(pa.array(asked))
-        letters, offsets = _letters(own["seq"].combine_chunks())
+        letters, offsets = letters_of(own["seq"].combine_chunks())
         place = owner[asked] - begin
         mine = own.select(["chrom", "chunk_id", "start", "length"]).take(pa.array(place))
         same = pc.and_(pc.equal(mine["chrom"], wanted["chrom"]), pc.equal(mine["chunk_id"], wanted["chunk_id"]))
@@ -248,7 +248,7 @@ def score_variants(
             track = Track(model, letters)
             inside = (start - mine["start"].to_numpy() + offsets[place])[good]
             alternates = pc.cast(wanted["alt"].take(pa.array(good)), pa.binary()).combine_chunks()
-            first, ends = _letters(alternates)
+            first, ends = letters_of(alternates)
             base = np.where(np.diff(ends) == 1, model.digits(first[ends[:-1]]), -1)
             ref = track.windows(inside, length)
             alt = ref + track.changes(inside, length, centre, base)
@@ -291,8 +291,8 @@ def saturate(chunks: DataFrame, model: KmerModel, length: int, size: int, overla
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seqs = batch.column("seq")
-            for begin, stop in _spans(pc.binary_length(seqs).to_numpy()):
-                letters, offsets = _letters(seqs.slice(begin, stop - begin))
+            for begin, stop in letter_spans(pc.binary_length(seqs).to_numpy()):
+                letters, offsets = letters_of(seqs.slice(begin, stop - begin))
                 part = batch.slice(begin, stop - begin)
                 chunk_start, total = part.column("chunk_start").to_numpy(), part.column("length").to_numpy()
                 last = np.minimum(chunk_start + size, total - length + 1) - chunk_start  # windows that begin in the chunk

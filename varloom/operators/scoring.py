@@ -5,17 +5,36 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from varloom.functions.naming import position_id
 from varloom.functions.scores import EFFECTS, sigmoid
 from varloom.functions.sequence import BASES
+from varloom.operators.kmer_track import KmerModel, letter_spans, letters_of
 from varloom.operators.scale import global_row_number, lookup_join, skew_join
 
 # --- probabilities -----------------------------------------------------------------------------
 
 
+def _predictions(model: Callable[[list[str]], np.ndarray], seqs: list[str], batch: int, logits: bool) -> np.ndarray:
+    """A row per sequence; the model sees at most ``batch`` of them at a time."""
+    parts = [np.asarray(model(seqs[at:at + batch]), dtype=float) for at in range(0, len(seqs), batch)]
+    out = np.concatenate(parts)
+    if len(out) != len(seqs):
+        raise ValueError(f"the model returned {len(out)} rows for {len(seqs)} sequences")
+    return 1 / (1 + np.exp(-out)) if logits else out
+
+
+def _lists(values: np.ndarray, missing: np.ndarray | None = None) -> pa.Array:
+    """One list per row of a matrix, null where ``missing``."""
+    rows, features = values.shape
+    ends = np.arange(0, (rows + 1) * features, features, dtype=np.int32) if features else np.zeros(rows + 1, np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel()))
+    return lists if missing is None else pc.if_else(pa.array(missing), pa.scalar(None, lists.type), lists)
+
+
 def score_sequences(
     df: DataFrame, model: Callable[[list[str]], np.ndarray], features: Sequence[str], seq: str = "seq",
     batch: int = 32, logits: bool = True,
@@ -26,74 +45,99 @@ def score_sequences(
     """
     schema = T.StructType([*df.schema.fields, *[T.StructField(f, T.DoubleType()) for f in features]])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for at in range(0, len(frame), batch):
-                part = frame.iloc[at:at + batch].reset_index(drop=True)
-                out = np.asarray(model(part[seq].tolist()), dtype=float)
-                if logits:
-                    out = 1 / (1 + np.exp(-out))
-                yield pd.concat([part, pd.DataFrame(out, columns=list(features))], axis=1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            if rows.num_rows:
+                out = _predictions(model, rows.column(seq).to_pylist(), batch, logits)
+                yield pa.RecordBatch.from_arrays([*rows.columns, *[pa.array(out[:, i]) for i in range(len(features))]], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
 
-    return df.mapInPandas(run, schema)
+_Table = tuple[str, np.ndarray]
 
 
-def _kmer_table(weights: DataFrame, features: Sequence[str], k: int) -> tuple[str, DataFrame]:
-    """The alphabet of the k-mers, and one row with an array of weights per feature, indexed by the k-mer read as a number.
+def _kmer_table(weights: DataFrame, features: Sequence[str], k: int) -> _Table:
+    """The alphabet of the k-mers, and a row of weights per feature, indexed by the k-mer read as a number.
 
     ``weights`` has a column kmer and one per feature, at most alphabet ** k rows.
     """
-    rows = weights.select("kmer", *features).collect()
-    alphabet = "".join(sorted({c for r in rows for c in r["kmer"]}))
-    table = np.zeros((len(features), len(alphabet) ** k))
-    for r in rows:
-        number = 0
-        for c in r["kmer"]:
-            number = number * len(alphabet) + alphabet.index(c)
-        table[:, number] = [r[f] or 0.0 for f in features]
-    fields = ", ".join(f"_w{i} array<double>" for i in range(len(features)))
-    return alphabet, weights.sparkSession.createDataFrame([tuple(row.tolist() for row in table)], fields)
-
-
-def _kmer_logits(seq: str, alphabet: str, features: Sequence[str], k: int) -> Column:
-    """Summed weights of a sequence's k-mers as an array by feature, in one pass along the letters.
-
-    K-mers with letters that the model does not know add nothing.
-    """
-    size = len(alphabet)
-    start = F.struct(F.lit(0).alias("number"), F.lit(0).alias("run"), F.array(*[F.lit(0.0)] * len(features)).alias("sums"))
+    model = KmerModel.of(weights, features, k)
+    return model.alphabet, model.weights
+
 
-    def step(state, letter):
-        digit = F.position(letter, F.lit(alphabet)) - 1
-        run = F.when((digit < 0) | (F.length(letter) == 0), 0).otherwise(state["run"] + 1)
-        number = F.when(digit < 0, 0).otherwise((state["number"] * size + digit) % size**k)
-        added = [state["sums"][i] + F.when(run >= k, F.get(F.col(f"_w{i}"), number)).otherwise(0.0) for i in range(len(features))]
-        return F.struct(number.cast("int").alias("number"), run.cast("int").alias("run"), F.array(*added).alias("sums"))
+def _kmer_logits(seqs: pa.Array, known: _Table, k: int) -> pa.Array:
+    """Summed weights of each sequence's k-mers as a list by feature, null for a null sequence.
 
-    return F.aggregate(F.split(F.col(seq), ""), start, step, lambda state: state["sums"])
+    K-mers with letters that the model does not know add nothing. Weights are added from left to right.
+    """
+    alphabet, weights = known
+    place = np.full(max(map(ord, alphabet), default=0) + 257, -1)  # the last one stands for all letters behind it
+    place[[*map(ord, alphabet)]] = np.arange(len(alphabet))
+    out = np.zeros((len(seqs), len(weights)))
+    for begin, stop in letter_spans(pc.fill_null(pc.binary_length(seqs), 0).to_numpy()):
+        own = seqs.slice(begin, stop - begin)
+        if alphabet.isascii():
+            letters, ends = letters_of(own)
+        else:
+            sizes = pc.fill_null(pc.utf8_length(own), 0).to_numpy()
+            letters, ends = np.frombuffer("".join(s or "" for s in own.to_pylist()).encode("utf-32-le"), np.uint32), np.concatenate([[0], np.cumsum(sizes)])
+        digits = place[np.minimum(letters.astype(np.int64), len(place) - 1)]
+        count = len(digits) - k + 1
+        if count < 1:
+            continue
+        numbers, fits = np.zeros(count, np.int64), np.ones(count, bool)
+        for j in range(k):
+            digit = digits[j:j + count]
+            numbers, fits = numbers * len(alphabet) + digit, fits & (digit >= 0)
+        owner = np.repeat(np.arange(begin, stop), np.diff(ends))
+        fits &= owner[:count] == owner[k - 1:]
+        numbers, owner = numbers[fits], owner[:count][fits]
+        for i, weight in enumerate(weights):
+            out[begin:stop, i] = np.bincount(owner - begin, weight[numbers], stop - begin)
+    return _lists(out, pc.is_null(seqs).to_numpy(zero_copy_only=False) if seqs.null_count else None)
 
 
 def score_kmers(
     df: DataFrame, weights: DataFrame, features: Sequence[str], k: int, key: str = "variant_key", seq: str = "seq"
 ) -> DataFrame:
     """Linear k-mer model: sigmoid of the summed weights of a sequence's k-mers. Rows are scored by themselves."""
-    alphabet, table = _kmer_table(weights, features, k)
-    scored = df.select(key, seq).crossJoin(F.broadcast(table)).select(key, _kmer_logits(seq, alphabet, features, k).alias("_l"))  # one row
-    return scored.select(key, *[sigmoid(F.col("_l")[i]).alias(f) for i, f in enumerate(features)])
+    known = _kmer_table(weights, features, k)
+    asked = df.select(F.col(key).alias("key"), F.col(seq).cast("string").alias("seq"))
+    schema = T.StructType([T.StructField("key", asked.schema["key"].dataType), T.StructField("logits", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            yield pa.RecordBatch.from_arrays([rows.column("key"), _kmer_logits(rows.column("seq"), known, k)], names=schema.names)
+
+    scored = asked.mapInArrow(run, schema)
+    return scored.select(F.col("key").alias(key), *[sigmoid(F.col("logits")[i]).alias(f) for i, f in enumerate(features)])
 
 
 def score_kmer_pairs(
     df: DataFrame, weights: DataFrame, features: Sequence[str], k: int, key: str = "variant_key"
 ) -> DataFrame:
     """Long (key, feature, p_ref, p_alt) of the k-mer model for windows with ref_seq and alt_seq; nothing is shuffled."""
-    alphabet, table = _kmer_table(weights, features, k)
-    logits = lambda side: _kmer_logits(f"{side}_seq", alphabet, features, k).alias(side)
-    scored = df.select(key, "ref_seq", "alt_seq").crossJoin(F.broadcast(table)).select(key, logits("ref"), logits("alt"))  # one row
+    known = _kmer_table(weights, features, k)
+    return _scored_pairs(df, lambda seqs: _kmer_logits(seqs, known, k), features, key, sigmoid)
+
+
+def _scored_pairs(
+    df: DataFrame, score: Callable[[pa.Array], pa.Array], features: Sequence[str], key: str, shown: Callable[[Column], Column] = lambda c: c,
+) -> DataFrame:
+    """Long (key, feature, p_ref, p_alt); ``score`` gives a list by feature for each sequence of a batch."""
+    asked = df.select(F.col(key).alias("key"), "ref_seq", "alt_seq")
+    schema = T.StructType([T.StructField("key", asked.schema["key"].dataType), *[T.StructField(s, T.ArrayType(T.DoubleType())) for s in ("ref", "alt")]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            if rows.num_rows:
+                yield pa.RecordBatch.from_arrays([rows.column("key"), score(rows.column("ref_seq")), score(rows.column("alt_seq"))], names=schema.names)
+
     rows = F.array(*[
-        F.struct(F.lit(f).alias("feature"), sigmoid(F.col("ref")[i]).alias("p_ref"), sigmoid(F.col("alt")[i]).alias("p_alt"))
-        for i, f in enumerate(features)
+        F.struct(F.lit(f).alias("feature"), shown(F.col("ref")[i]).alias("p_ref"), shown(F.col("alt")[i]).alias("p_alt")) for i, f in enumerate(features)
     ])
-    return scored.select(key, F.explode(rows).alias("_r")).select(key, "_r.*")
+    return asked.mapInArrow(run, schema).select(F.col("key").alias(key), F.explode(rows).alias("_r")).select(f"`{key}`", "_r.*")
 
 
 def score_ref_alt(df: DataFrame, scorer: Callable[[DataFrame], DataFrame], key: str = "variant_key") -> DataFrame:
@@ -115,21 +159,7 @@ def score_pairs(
     df: DataFrame, model: Callable[[list[str]], np.ndarray], features: Sequence[str], key: str = "variant_key", batch: int = 32, logits: bool = True,
 ) -> DataFrame:
     """Long (key, feature, p_ref, p_alt) with a user model that sees both sides of a row in one task; no shuffle."""
-    schema = T.StructType([df.schema[key], T.StructField("ref", T.ArrayType(T.DoubleType())), T.StructField("alt", T.ArrayType(T.DoubleType()))])
-
-    def predict(seqs: list[str]) -> list[np.ndarray]:
-        out = [np.asarray(model(seqs[at:at + batch]), dtype=float) for at in range(0, len(seqs), batch)]
-        return [row for part in out for row in (1 / (1 + np.exp(-part)) if logits else part)]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({key: frame[key], "ref": predict(frame["ref_seq"].tolist()), "alt": predict(frame["alt_seq"].tolist())})
-
-    scored = df.select(key, "ref_seq", "alt_seq").mapInPandas(run, schema)
-    rows = F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col("ref")[i].alias("p_ref"), F.col("alt")[i].alias("p_alt")) for i, f in enumerate(features)
-    ])
-    return scored.select(key, F.explode(rows).alias("_r")).select(key, "_r.*")
+    return _scored_pairs(df, lambda seqs: _lists(_predictions(model, seqs.to_pylist(), batch, logits)), features, key)
 
 
 def pair_probabilities(ref: DataFrame, alt: DataFrame, features: Sequence[str], key: str = "variant_key") -> DataFrame:

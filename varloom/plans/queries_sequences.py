@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import functions as F
 
 from varloom.functions.sequence import MAX_TOKENS, complement, kmer_combinations, kmerize, n_percent
@@ -298,10 +298,11 @@ def score_variants_with_kmers(spark, sf):
 
 def gc_model(batch: list[str]):
     """A stand-in for a user's model: logits from the base composition."""
-    s = pd.Series(batch)
-    gc = (s.str.count("G") + s.str.count("C")) / s.str.len()
-    at = (s.str.count("A") - s.str.count("T")) / s.str.len()
-    return pd.DataFrame({"gc": gc * 4 - 2, "skew": at * 4}).to_numpy()
+    nothing = [np.nan] * 3
+    counts = np.array([nothing if s is None else [s.count("G") + s.count("C"), s.count("A") - s.count("T"), len(s)] for s in batch], float)
+    with np.errstate(invalid="ignore"):  # an empty sequence has no composition
+        shares = counts[:, :2] / counts[:, 2:]
+    return shares * 4 - [2, 0]
 
 
 @query("""
