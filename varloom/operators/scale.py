@@ -21,6 +21,7 @@ ROWS_PER_BLOCK = 1_000_000
 MAX_BLOCKS = 1 << 16
 HOT_ROWS = 1_000_000
 POSITION_BUCKET = 1 << 18
+BROADCAST_ROWS = 100_000  # rows of two numbers
 
 _EVERYTHING = (W.unboundedPreceding, W.currentRow)
 _EARLIER = (W.unboundedPreceding, -1)
@@ -86,6 +87,11 @@ def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
     return left.join(right, list(on), how)
 
 
+def counts_within(df: DataFrame, rows: int) -> bool:
+    """Whether ``df`` has at most so many rows."""
+    return df.limit(rows + 1).count() <= rows
+
+
 # --- value order -------------------------------------------------------------------------------
 
 

@@ -13,7 +13,7 @@ from varloom.functions.naming import (
 )
 from varloom.operators.intervals import outside_intervals
 from varloom.operators.scale import (
-    POSITION_BUCKET, enclosing_blocks, hash_order, hash_rank, lookup_join, position_scan,
+    BROADCAST_ROWS, POSITION_BUCKET, counts_within, enclosing_blocks, hash_order, hash_rank, lookup_join, position_scan,
     running_totals, skew_join, top_n_per_group, with_aligned_blocks,
 )
 from varloom.session import cut_lineage
@@ -94,6 +94,8 @@ def percent_rank(df: DataFrame, value: str, name: str = "MAF_PCT", digits: int |
     if digits is not None:
         share = F.round(share, digits)
     shares = ranked.crossJoin(F.broadcast(total)).select(value, share.alias(name))  # one row
+    if counts_within(ranked, BROADCAST_ROWS):
+        return df.join(F.broadcast(shares), value, "left")  # the rows are not shuffled, however hot a value is
     return skew_join(df, shares, [value], "left", counted=ranked.select(value, "_rows"))
 
 

@@ -135,16 +135,17 @@ def parse_freq(lines: DataFrame) -> DataFrame:
 
     Header lines, whose second field is POS, and empty lines are skipped; a line whose position is no number is an error.
     """
-    f = F.split("value", "\t")
     pairs = F.slice("_f", 5, F.greatest(F.size("_f") - 4, F.lit(0)))
     header = F.upper(F.trim(F.coalesce(F.try_element_at("_f", F.lit(2)), F.lit("")))) == "POS"
     position = F.try_element_at("_f", F.lit(2)).try_cast("double")
     broken = F.raise_error(F.concat(F.lit("no position in line: "), F.array_join("_f", " "))).cast("boolean")
-    whole = F.coalesce(position == F.floor(position), F.lit(False))
-    return lines.filter("length(value) > 0").select(f.alias("_f")).filter(~header).filter(
-        F.when(whole, F.lit(True)).otherwise(broken)
-    ).select(
-        F.col("_f")[0].alias("CHROM"), position.cast("long").alias("POS"),
+    whole = F.coalesce(F.col("_position") == F.floor("_position"), F.lit(False))
+    # Filters are not moved before columns that name the task; before the others, each of their terms would split its line anew.
+    split = lines.select(F.split("value", "\t").alias("_f"), (F.length("value") > 0).alias("_any"), F.spark_partition_id().alias("_task"))
+    placed = split.filter(F.col("_any") & (F.col("_task") >= 0)).select("_f", position.alias("_position"))
+    kept = placed.filter(~header).filter(F.when(whole, F.lit(True)).otherwise(broken))
+    return kept.select(
+        F.col("_f")[0].alias("CHROM"), F.col("_position").cast("long").alias("POS"),
         F.col("_f")[2].cast("int").alias("N_ALLELES"), F.col("_f")[3].cast("int").alias("N_CHR"),
         F.transform(pairs, lambda x: F.split(x, ":")[1].cast("double")).alias("freqs"),
     )
