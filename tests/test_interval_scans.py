@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from varloom.operators import intervals as iv
+from varloom.operators import intervals as iv, tracks
 
 
 @pytest.mark.parametrize("width", [16, 1 << 18])
@@ -68,3 +68,36 @@ def test_many_cutoffs_against_each_alone(spark, width):
             assert alone is None or alone.count() == r.n_peaks
     assert iv.cutoff_analysis(frame, [99.0]).count() == 0 and iv.cutoff_analysis(frame, []).count() == 0
     assert iv.cutoff_analysis(frame.limit(0), [1.0]).count() == 0
+
+
+@pytest.mark.parametrize("bound", [0, tracks.BROADCAST_BLOCKS])
+def test_regions_with_and_without_a_broadcast_of_blocks(spark, monkeypatch, bound):
+    monkeypatch.setattr(tracks, "BROADCAST_BLOCKS", bound)
+    draw = random.Random(3)
+    runs, regions = [], []
+    for chrom in (1, 2):
+        at = draw.randint(0, 50)
+        while at < 5000:
+            end = at + draw.choice([1, 1, 2, 5, 40, 700])
+            runs.append((chrom, at, end, draw.randint(0, 5000) / 100))
+            at = end + draw.choice([0, 0, 1, 30, 300])
+    for i in range(300):
+        start = draw.choice([0, 127, 128, 129, 255, 256, draw.randint(0, 5500)])
+        regions.append((i, draw.choice([1, 2, 3]), start, start + draw.choice([1, 3, 100, 127, 128, 129, 256, 700, 3000])))
+    found = tracks.region_stats(
+        spark.createDataFrame(regions, "region_id long, chrom int, start long, end long"),
+        spark.createDataFrame(runs, "chrom int, start long, end long, value double"),
+    ).collect()
+    assert len(found) == len(regions)
+    for row in found:
+        over = [(min(row.end, e) - max(row.start, s), v) for c, s, e, v in runs if c == row.chrom and s < row.end and e > row.start]
+        bases = sum(b for b, _ in over)
+        assert round(row.coverage * (row.end - row.start)) == bases
+        if not over:
+            assert row["mean"] is None and row["min"] is None
+            continue
+        mean = sum(b * v for b, v in over) / bases
+        assert (row["min"], row["max"]) == (min(v for _, v in over), max(v for _, v in over))
+        assert row["mean"] == pytest.approx(mean)
+        if bases > 1:
+            assert row["std"] == pytest.approx((sum(b * (v - mean) ** 2 for b, v in over) / (bases - 1)) ** 0.5, abs=1e-5)

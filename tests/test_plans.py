@@ -66,6 +66,13 @@ def test_no_frame_is_read_again_for_every_row(spark, sf, name):
     assert "unboundedfollowing" not in plan(QUERIES[name](spark, sf)).lower()
 
 
+@pytest.mark.parametrize("name", ["region_signal", "region_deviation"])
+def test_blocks_of_regions_are_not_shuffled(spark, sf, name):
+    # The list of every region's blocks is several times the regions; it is added up before anything is shuffled.
+    joins = re.findall(r"\(\d+\) (\w+)\n(?:Input.*\n)*Left keys \[\d+\]: \[chrom#\w+, level#\w+, block#\w+\]", plan(QUERIES[name](spark, sf)))
+    assert joins and set(joins) == {"BroadcastHashJoin"}
+
+
 def test_top_k_is_not_a_full_sort(spark, sf):
     assert "TakeOrderedAndProject" in plan(QUERIES["top_variants"](spark, sf))
 

@@ -11,10 +11,11 @@ from varloom.operators.intervals import asof_last
 from varloom.operators.scale import POSITION_BUCKET, lookup_join, skew_join, with_aligned_blocks
 from varloom.session import cut_lineage
 
-CELL = 256
-# Blocks of up to 2**23 cells, two gigabases; the lower levels are made from cells, the upper from blocks of 64.
-LEVELS = 24
+CELL = 128
+# Blocks of up to 2**24 cells, two gigabases; the lower levels are made from cells, the upper from blocks of 64.
+LEVELS = 25
 LOWER = 6
+BROADCAST_BLOCKS = 1 << 20  # rows of eight numbers
 
 
 def track_lengths(runs: DataFrame, keys: Sequence[str] = ("chrom",)) -> DataFrame:
@@ -70,7 +71,9 @@ def region_stats(regions: DataFrame, runs: DataFrame, keys: Sequence[str] = ("ch
     cells = cut_lineage(_cell_runs(apart, keys))
     blocks = cut_lineage(cells.groupBy(*keys, "_cell").agg(*_moments(F.col("_to") - F.col("_from"), F.col("_apart"))))
     wide = blocks.groupBy(*keys, F.floor(F.col("_cell") / (1 << LOWER)).alias("_cell")).agg(*_combined())
-    levels = _level_sums(blocks, keys, 0, range(LOWER)).unionByName(_level_sums(wide, keys, LOWER, range(LOWER, LEVELS)))
+    levels = cut_lineage(_level_sums(blocks, keys, 0, range(LOWER)).unionByName(_level_sums(wide, keys, LOWER, range(LOWER, LEVELS))))
+    if levels.count() <= BROADCAST_BLOCKS:  # then a region's blocks are added up where they are listed, without a shuffle of their list
+        levels = F.broadcast(levels)
     first, last = F.floor(F.col("start") / CELL), F.floor((F.col("end") - 1) / CELL)
     parts = ("_b", "_s", "_q", "_lo", "_hi")
     inner = skew_join(
