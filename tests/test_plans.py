@@ -66,6 +66,35 @@ def test_no_frame_is_read_again_for_every_row(spark, sf, name):
     assert "unboundedfollowing" not in plan(QUERIES[name](spark, sf)).lower()
 
 
+def stored_frames(monkeypatch, store):
+    """Frames on their way to being stored; ``store`` is what is done with them."""
+    from varloom import session
+    from varloom.operators import intervals, scale, tracks
+    from varloom.plans import inputs
+
+    seen, original = [], session.cut_lineage
+    for module in (intervals, scale, tracks, inputs):
+        monkeypatch.setattr(module, "cut_lineage", lambda df: seen.append(df) or (original(df) if store else df))
+    return seen
+
+
+@pytest.mark.parametrize("name", [
+    "binned_track", "call_broad_peaks", "cutoff_grid", "track_lengths", "cutoff_analysis", "base_values", "call_peaks",
+])
+def test_no_frame_behind_a_stored_one_is_read_again_either(spark, sf, monkeypatch, name):
+    assert stored_frames(monkeypatch, store=False) == []
+    text = plan(QUERIES[name](spark, sf)).lower()
+    assert "unboundedpreceding" in text and "unboundedfollowing" not in text
+
+
+@pytest.mark.parametrize("name", ["binned_track", "smoothed_track"])
+def test_runs_are_scanned_once(spark, sf, monkeypatch, name):
+    seen = stored_frames(monkeypatch, store=True)
+    frames = [QUERIES[name](spark, sf), *seen]
+    text = "".join(df._jdf.queryExecution().analyzed().toString() for df in frames)
+    assert len(re.findall(r"Window \[.* AS _in__next#", text)) == 1
+
+
 @pytest.mark.parametrize("name", ["region_signal", "region_deviation"])
 def test_blocks_of_regions_are_not_shuffled(spark, sf, name):
     # The list of every region's blocks is several times the regions; it is added up before anything is shuffled.

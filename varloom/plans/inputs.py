@@ -77,6 +77,11 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
     return scanned.select("chrom", "start", F.coalesce("_next", F.col("start") + 1).alias("end"), "value")
 
 
+def stored_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, made once for a query that reads them several times."""
+    return cut_lineage(runs(spark, sf))
+
+
 view("runs", """
   SELECT chrom, pos AS start, coalesce(lead(pos) OVER (PARTITION BY chrom ORDER BY pos), pos + 1) AS "end", value
   FROM (SELECT chrom, pos, max(score) AS value FROM variants GROUP BY chrom, pos)""")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from varloom.operators import intervals as iv, tracks
 from varloom.operators.variants import outside_genes
-from varloom.plans.inputs import EVENT_TYPES, bins, genes, intervals, r6, runs, variants
+from varloom.plans.inputs import EVENT_TYPES, bins, genes, intervals, r6, runs, stored_runs, variants
 from varloom.plans.registry import query, view
 
 
@@ -259,7 +259,7 @@ view("track", f"""
 
 
 def _track(spark, sf):
-    source = runs(spark, sf)
+    source = stored_runs(spark, sf)
     return tracks.binned_track(source, tracks.track_lengths(source), _BINS)
 
 
