@@ -87,7 +87,7 @@ def test_no_frame_behind_a_stored_one_is_read_again_either(spark, sf, monkeypatc
     assert "unboundedpreceding" in text and "unboundedfollowing" not in text
 
 
-@pytest.mark.parametrize("name", ["binned_track", "smoothed_track"])
+@pytest.mark.parametrize("name", ["binned_track", "smoothed_track", "call_broad_peaks"])
 def test_runs_are_scanned_once(spark, sf, monkeypatch, name):
     seen = stored_frames(monkeypatch, store=True)
     frames = [QUERIES[name](spark, sf), *seen]

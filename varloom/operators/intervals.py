@@ -337,8 +337,10 @@ def call_broad_peaks(runs: DataFrame, cutoff: float, link_cutoff: float, max_gap
     if link_cutoff > cutoff or link_gap < max_gap:
         raise ValueError("the linking level must be the looser one")
     keys = list(keys)
-    strong = call_peaks(runs, cutoff, max_gap, min_length, keys, width)
-    weak = call_peaks(runs, link_cutoff, link_gap, min_length, keys, width)
+    # Both levels read the runs above the lower one, which are made once.
+    low = cut_lineage(runs.filter(F.col("value") >= link_cutoff).select(*keys, "start", "end", "value"))
+    strong = call_peaks(low, cutoff, max_gap, min_length, keys, width)
+    weak = call_peaks(low, link_cutoff, link_gap, min_length, keys, width)
     # Runs above the high cutoff are also above the low one, so a strong peak starts inside its weak region.
     owners = asof_last(strong, weak.select(*keys, "start", "end"), keys, "start", ["end"], width)
     placed = strong.withColumnRenamed("end", "peak_end").join(owners, [*keys, "start"])
